@@ -32,7 +32,7 @@ def _bin(x: Column, low: float, high: float, bins: int) -> Column:
     if high == low:
         return F.when(x.isNotNull(), F.lit(0))
     at = F.floor((x - F.lit(float(low))) / F.lit(float(high - low)) * bins)
-    return F.least(at, F.lit(bins - 1)).cast("int")
+    return F.when(at >= bins, bins - 1).otherwise(at).cast("int")  # ``least`` would skip NULL
 
 
 def bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
