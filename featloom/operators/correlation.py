@@ -6,37 +6,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from featloom import constants as K
 from featloom.functions.columns import NUMERIC, as_double, class_of, numeric_columns
-from featloom.functions.stats import pearson
 from featloom.operators.encode import attach_codes, fit_levels
-
-PAIRS_PER_PASS = 60  # keeps one generated aggregate at a compilable size
+from featloom.operators.moments import pair_correlations
 
 
 def corr_pairs_all(df: DataFrame, columns: list[str]) -> DataFrame:
-    """r of every pair i < j (and i = j), long form; half the matrix only."""
+    """r of every pair i ≤ j, long form: half the matrix, one scan."""
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    result = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = pairs[start : start + PAIRS_PER_PASS]
-        row = df.agg(
-            *[
-                pearson(as_double(columns[i]), as_double(columns[j])).alias(f"r{i}_{j}")
-                for i, j in batch
-            ]
-        )
-        rows = row.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(columns[i]).alias("feature_a"),
-                                 F.lit(columns[j]).alias("feature_b"), F.col(f"r{i}_{j}").alias("corr"))
-                        for i, j in batch
-                    ]
-                )
-            )
-        )
-        result = rows if result is None else result.unionByName(rows)
-    return result
+    names = F.array(*[F.lit(c) for c in columns])
+    return pair_correlations(df, columns, pairs).select(
+        "i", "j",
+        F.element_at(names, F.col("i") + 1).alias("feature_a"),
+        F.element_at(names, F.col("j") + 1).alias("feature_b"),
+        "corr",
+    )
 
 
 def corr_matrix(df: DataFrame, target: str | None = None) -> DataFrame | None:
@@ -87,11 +70,12 @@ def corr_to_target(df: DataFrame, target: str) -> DataFrame:
         levels = fit_levels(df, [target])[target]
         coded = attach_codes(df, target, levels, "__y", missing=None, on_unseen="null")
         coded = coded.withColumn("__y", F.coalesce(F.col("__y"), F.lit(-1)).cast("double"))
-    row = coded.agg(
-        *[F.abs(pearson(as_double(f), F.col("__y"))).alias(f"r{i}") for i, f in enumerate(features)]
-    )
-    rows = row.select(
-        F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(f).alias("feature"), F.col(f"r{i}").alias("corr"))
-                           for i, f in enumerate(features)]))
+    ordered = [*features, "__y"]
+    found = pair_correlations(coded, ordered, [(i, len(features)) for i in range(len(features))])
+    names = F.array(*[F.lit(c) for c in features])
+    return (
+        found.where(F.col("corr").isNotNull())
+        .select(F.col("i").alias("ordinal"), F.element_at(names, F.col("i") + 1).alias("feature"),
+                F.abs("corr").alias("corr"))
+        .orderBy(F.desc("corr"), "ordinal")
     )
-    return rows.where(F.col("corr").isNotNull()).orderBy(F.desc("corr"), "ordinal")

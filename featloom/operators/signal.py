@@ -13,6 +13,9 @@ from featloom import constants as K
 from featloom.functions import rules
 from featloom.functions.columns import CATEGORICAL, NUMERIC, as_double, class_of, col, stat_rows, unpivot
 from featloom.functions.stats import pearson, sum_of_squares_ratio
+from featloom.operators.moments import pair_correlations
+
+FEW_FEATURES = 12
 
 
 def _measured_as_number(data_type: T.DataType) -> bool:
@@ -33,9 +36,20 @@ def _double(df: DataFrame, name: str):
 
 
 def pearson_to_target(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """Signed r of each numeric feature with a numeric target."""
+    """Signed r of each numeric feature with a numeric target.
+
+    A few features stay inside one generated aggregate; many go through the
+    matrix form, whose cost per row does not depend on generated code size.
+    """
     y = _double(df, target)
-    return stat_rows(df, {f: {"r": pearson(_double(df, f), y)} for f in features})
+    if len(features) <= FEW_FEATURES:
+        return stat_rows(df, {f: {"r": pearson(_double(df, f), y)} for f in features})
+    wide = df.select(*[_double(df, f).alias(f"x{i}") for i, f in enumerate(features)], y.alias("y"))
+    found = pair_correlations(wide, wide.columns, [(i, len(features)) for i in range(len(features))])
+    names = F.array(*[F.lit(f) for f in features])
+    return found.select(
+        F.col("i").alias("ordinal"), F.element_at(names, F.col("i") + 1).alias("feature"), F.col("corr").alias("r")
+    )
 
 
 def eta_squared(df: DataFrame, features: list[str], target: str) -> DataFrame:
