@@ -48,30 +48,66 @@ def as_double(name: str) -> Column:
 
 def unpivot(df: DataFrame, columns: list[str], cast: str, ids: list[str] = ()) -> DataFrame:
     """Long form ``ids…, feature, value``; a narrow step, no shuffle."""
-    wide = df.select(*[col(i) for i in ids], *[col(c).cast(cast).alias(c) for c in columns])
+
+    def typed(c):
+        floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+        return (col(c) + 0.0 if floating else col(c)).cast(cast).alias(c)  # -0.0 counts as 0.0
+
+    wide = df.select(*[col(i) for i in ids], *[typed(c) for c in columns])
     return wide.unpivot([col(i) for i in ids], [col(c) for c in columns], "feature", "value")
 
 
-def stat_rows(df: DataFrame, stats: dict[str, dict[str, Column]]) -> DataFrame:
-    """One aggregation pass for all features, returned as one row per feature.
+# Aggregate buffers one generated method can hold and still be compiled by the JVM.
+BUFFERS_PER_SCAN = 48
+
+
+def batches(features: list[str], buffers_each: int) -> list[list[str]]:
+    """Split features into groups whose aggregates fit one compiled method.
+
+    Each group is a scan of its own columns only, so a columnar source reads
+    every column once however many groups there are.
+    """
+    size = max(1, BUFFERS_PER_SCAN // max(buffers_each, 1))
+    return [features[i : i + size] for i in range(0, len(features), size)]
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def stat_rows(
+    df: DataFrame, stats: dict[str, dict[str, Column]], buffers_each: int = 4, facts: dict[str, dict] | None = None
+) -> DataFrame:
+    """Aggregates of many features, returned as one row per feature.
 
     ``stats`` maps a feature to its named aggregates; every feature must carry
-    the same names. The wide one-row aggregate is exploded afterwards, so the
-    table is read once however many features there are.
+    the same names. ``facts`` adds known values to a feature's row.
+    ``buffers_each`` is the number of running values a feature's aggregates keep
+    (a variance counts three).
     """
+    position = {feature: i for i, feature in enumerate(stats)}
     names = list(next(iter(stats.values())))
-    aggregates = [
-        agg.alias(f"s{i}_{name}")
-        for i, feature in enumerate(stats)
-        for name, agg in stats[feature].items()
-    ]
-    row = df.agg(*aggregates)
-    structs = [
-        F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(feature).alias("feature"),
-            *[F.col(f"s{i}_{name}").alias(name) for name in names],
+    parts = []
+    for group in batches(list(stats), buffers_each):
+        row = df.agg(
+            *[stats[f][name].alias(f"s{position[f]}_{name}") for f in group for name in names]
         )
-        for i, feature in enumerate(stats)
-    ]
-    return row.select(F.inline(F.array(*structs)))
+        structs = [
+            F.struct(
+                F.lit(position[f]).alias("ordinal"),
+                F.lit(f).alias("feature"),
+                *[F.col(f"s{position[f]}_{name}").alias(name) for name in names],
+                *[F.lit(v).cast("string").alias(k) for k, v in (facts or {}).get(f, {}).items()],
+            )
+            for f in group
+        ]
+        parts.append(row.select(F.inline(F.array(*structs))))
+    return union_all(parts)
+
+
+def stat_values(df: DataFrame, stats: dict[str, dict[str, Column]], buffers_each: int = 4) -> dict[str, dict]:
+    """``stat_rows`` fetched: a few numbers per column."""
+    return {r["feature"]: r.asDict() for r in stat_rows(df, stats, buffers_each).collect()}

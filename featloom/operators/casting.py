@@ -15,24 +15,19 @@ def validate_schema(
     required_types = required_types or {}
     actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     asked = list(dict.fromkeys([*required_columns, *required_types]))
-    stats = {}
+    stats, facts = {}, {}
     for name in asked:
         expected = required_types.get(name)
-        bad = F.lit(0).cast("bigint")
-        if name in actual and expected and expected != actual[name]:
-            bad = F.count_if(col(name).isNotNull() & col(name).try_cast(expected).isNull())
+        differs = name in actual and expected is not None and expected != actual[name]
+        bad = F.count_if(col(name).isNotNull() & col(name).try_cast(expected).isNull()) if differs else F.count(F.lit(None))
         error = None
         if name not in actual and name in required_columns:
             error = f"Missing column: {name}"
-        elif name in actual and expected and expected != actual[name]:
+        elif differs:
             error = f"Column {name} has type {actual[name]}, expected {expected}"
-        stats[name] = {
-            "expected": F.max(F.lit(expected).cast("string")),
-            "actual": F.max(F.lit(actual.get(name)).cast("string")),
-            "unconvertible": F.max(bad) if expected is None or name not in actual or expected == actual[name] else bad,
-            "error": F.max(F.lit(error).cast("string")),
-        }
-    return stat_rows(df, stats).drop("ordinal").withColumnRenamed("feature", "column")
+        stats[name] = {"unconvertible": bad}
+        facts[name] = {"expected": expected, "actual": actual.get(name), "error": error}
+    return stat_rows(df, stats, 1, facts).drop("ordinal").withColumnRenamed("feature", "column")
 
 
 def cast_types(df: DataFrame, types: dict[str, str]) -> DataFrame:

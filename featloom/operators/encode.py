@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,7 +32,6 @@ class LevelTable:
     rows: list[tuple] | None = None
     table: DataFrame | None = None
     missing: int = 0
-    _side: DataFrame | None = field(default=None, repr=False)
 
     def frame(self, spark) -> DataFrame:
         if self.table is not None:
@@ -49,12 +48,15 @@ def fit_levels(df: DataFrame, columns: list[str], small_limit: int = SMALL_LEVEL
     """
     counts = unpivot(df, columns, "string").groupBy("feature", F.col("value").alias("level")).agg(
         F.count(F.lit(1)).alias("n")
-    )
-    fetched = counts.limit(small_limit + 1).collect()
-    if len(fetched) <= small_limit:
-        return {c: _small_table(c, [r for r in fetched if r["feature"] == c]) for c in columns}
-    counts = cut_lineage(counts)
-    return {c: _large_table(c, counts.where(F.col("feature") == c)) for c in columns}
+    ).persist()  # counted once, whichever way it goes on
+    try:
+        fetched = counts.limit(small_limit + 1).collect()
+        if len(fetched) <= small_limit:
+            return {c: _small_table(c, [r for r in fetched if r["feature"] == c]) for c in columns}
+        stored = cut_lineage(counts)
+    finally:
+        counts.unpersist()
+    return {c: _large_table(c, stored.where(F.col("feature") == c)) for c in columns}
 
 
 def _small_table(column: str, rows) -> LevelTable:

@@ -24,7 +24,7 @@ from featloom.constants import KNN_NEIGHBOURS
 from featloom.session import cut_lineage
 
 POINTS_PER_CELL = 4_000
-MAX_PIVOTS = 1_024
+MAX_PIVOTS = 8_192
 BLOCK_POINTS = 20_000
 BLOCK_QUERIES = 4_000
 CHUNK_CELLS = 4_000_000  # distances held at once inside a task
@@ -46,14 +46,24 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in column])
 
 
+def _chunks(column: pd.Series, width: int):
+    """Row ranges of an Arrow batch that keep ``rows x width`` distances small."""
+    step = max(1, CHUNK_CELLS // width)
+    for start in range(0, len(column), step):
+        yield slice(start, start + step)
+
+
 def _nearest_pivot(pivots: np.ndarray):
     @F.pandas_udf("cell int, pivot_dist double")
     def assign(x: pd.Series) -> pd.DataFrame:
         if not len(x):
             return pd.DataFrame({"cell": pd.Series(dtype="int32"), "pivot_dist": pd.Series(dtype=float)})
-        d = _distances(_stack(x), pivots)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "pivot_dist": d[np.arange(len(d)), cell]})
+        nearest, dist = [], []
+        for part in _chunks(x, len(pivots)):
+            d = _distances(_stack(x.iloc[part]), pivots)
+            nearest.append(d.argmin(axis=1))
+            dist.append(d.min(axis=1))
+        return pd.DataFrame({"cell": np.concatenate(nearest).astype("int32"), "pivot_dist": np.concatenate(dist)})
 
     return assign
 
@@ -63,14 +73,17 @@ def _other_cells(pivots: np.ndarray, radius: np.ndarray, weight: np.ndarray, k:
 
     @F.pandas_udf("array<int>")
     def cells(x: pd.Series, own: pd.Series, kth: pd.Series) -> pd.Series:
-        d = _distances(_stack(x), pivots)
-        reach = np.where(weight >= k, d + radius, np.inf).min(axis=1)
-        bound = np.fmin(kth.to_numpy(dtype=float), reach)
-        room = SLACK * (1.0 + d + radius)
-        near = (d - radius - room) <= bound[:, None]
-        near &= weight[None, :] > 0
-        near[np.arange(len(d)), own.to_numpy()] = False
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in near])
+        found = []
+        for part in _chunks(x, len(pivots)):
+            d = _distances(_stack(x.iloc[part]), pivots)
+            reach = np.where(weight >= k, d + radius, np.inf).min(axis=1)
+            bound = np.fmin(kth.iloc[part].to_numpy(dtype=float), reach)
+            room = SLACK * (1.0 + d + radius)
+            near = (d - radius - room) <= bound[:, None]
+            near &= weight[None, :] > 0
+            near[np.arange(len(d)), own.iloc[part].to_numpy()] = False
+            found += [np.flatnonzero(row).astype("int32") for row in near]
+        return pd.Series(found)
 
     return cells
 
@@ -121,10 +134,10 @@ class KnnModel:
         assigned = queries.select("qid", "x", _nearest_pivot(self.pivots)("x").alias("a")).select(
             "qid", "x", F.col("a.cell").alias("cell")
         )
-        first = self._search(assigned)
         if len(self.pivots) == 1:
-            return self._cut(first)
-        first = cut_lineage(self._cut(first))
+            return self._cut(self._search(assigned))
+        assigned = cut_lineage(assigned)
+        first = cut_lineage(self._cut(self._search(assigned)))
         kth = first.groupBy("qid").agg(
             F.when(F.sum("weight") >= self.k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("kth")
         )

@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from featloom import constants as K
-from featloom.functions.columns import as_double
+from featloom.functions.columns import as_double, stat_values
 
 Bounds = dict[str, tuple[float | None, float | None]]
 
 
 def outlier_bounds(df: DataFrame, columns: list[str], threshold: float = K.OUTLIER_STDS) -> Bounds:
     """mean ± threshold · sample std for all columns in one pass."""
-    row = df.agg(
-        *[F.avg(as_double(c)).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_samp(as_double(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-    ).first()
+    stats = {c: {"mean": F.avg(as_double(c)), "std": F.stddev_samp(as_double(c))} for c in columns}
     bounds = {}
-    for i, c in enumerate(columns):
-        mean, std = row[f"m{i}"], row[f"s{i}"]
-        known = mean is not None and std is not None
-        bounds[c] = (mean - threshold * std, mean + threshold * std) if known else (None, None)
+    for c, r in stat_values(df, stats, 5).items():
+        known = r["mean"] is not None and r["std"] is not None
+        gap = threshold * r["std"] if known else None
+        bounds[c] = (r["mean"] - gap, r["mean"] + gap) if known else (None, None)
     return bounds
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from featloom import constants as K
 from featloom.functions.columns import (
-    as_double, categorical_columns, col, nan_to_null, numeric_columns, unpivot,
+    as_double, categorical_columns, col, nan_to_null, numeric_columns, stat_values, unpivot,
 )
 from featloom.operators.encode import LevelTable, fit_levels, frequency_encode, label_encode, one_hot_encode
 from featloom.operators.quantiles import exact_quantiles
@@ -64,8 +64,8 @@ def fit_imputer(df: DataFrame, strategy: str, columns: list[str], constant: floa
     if strategy == "Constant":
         fill = {c: constant for c in columns}
     elif strategy == "Mean":
-        row = df.agg(*[F.avg(as_double(c)).alias(f"v{i}") for i, c in enumerate(columns)]).first()
-        fill = {c: row[f"v{i}"] for i, c in enumerate(columns)}
+        found = stat_values(df, {c: {"mean": F.avg(as_double(c))} for c in columns}, 2)
+        fill = {c: found[c]["mean"] for c in columns}
     elif strategy == "Median":
         found = exact_quantiles(df, columns, [0.5])
         fill = {c: found[None, c][0] for c in columns}
@@ -125,16 +125,15 @@ def fit_scaler(df: DataFrame, strategy: str, columns: list[str]) -> Scaler:
             low, mid, high = found[None, c]
             raw[c] = (mid, None if mid is None else high - low)
     else:
-        standard = strategy == "StandardScaler"
-        shift = F.avg if standard else F.min
-        row = df.agg(
-            *[shift(as_double(c)).alias(f"a{i}") for i, c in enumerate(columns)],
-            *[
-                (F.stddev_pop(as_double(c)) if standard else F.max(as_double(c)) - F.min(as_double(c))).alias(f"b{i}")
-                for i, c in enumerate(columns)
-            ],
-        ).first()
-        raw = {c: (row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(columns)}
+        stats = {}
+        for c in columns:
+            x = as_double(c)
+            if strategy == "StandardScaler":
+                stats[c] = {"shift": F.avg(x), "width": F.stddev_pop(x)}
+            else:
+                stats[c] = {"shift": F.min(x), "width": F.max(x) - F.min(x)}
+        found = stat_values(df, stats, 5)
+        raw = {c: (found[c]["shift"], found[c]["width"]) for c in columns}
     return Scaler(strategy, {c: (a, b or 1.0) for c, (a, b) in raw.items()})
 
 

@@ -13,10 +13,9 @@ def column_types(df: DataFrame) -> DataFrame:
     kinds = {f.name: class_of(f.dataType) for f in df.schema.fields}
     return stat_rows(
         df,
-        {
-            name: {"column_class": F.max(F.lit(kind)), "present": F.count(col(name))}
-            for name, kind in kinds.items()
-        },
+        {name: {"present": F.count(col(name))} for name in kinds},
+        buffers_each=1,
+        facts={name: {"column_class": kind} for name, kind in kinds.items()},
     ).withColumnRenamed("feature", "column")
 
 
@@ -26,7 +25,7 @@ def missing_pct(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         c: {"n_rows": F.count(F.lit(1)), "present": F.count(col(c))} for c in (columns or df.columns)
     }
     share = F.try_divide(100.0 * (F.col("n_rows") - F.col("present")), F.col("n_rows"))
-    return stat_rows(df, stats).select("ordinal", F.col("feature").alias("column"), "n_rows",
+    return stat_rows(df, stats, 1).select("ordinal", F.col("feature").alias("column"), "n_rows",
                                        share.alias("missing_pct"))
 
 
@@ -82,7 +81,7 @@ def target_type(df: DataFrame, target: str) -> DataFrame:
     value = col(target)
     fractional = isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType))
     known = class_of(data_type) in (NUMERIC, CATEGORICAL) or isinstance(data_type, T.BooleanType)
-    has_fraction = F.max(value != F.floor(value)) if fractional else F.lit(False)
+    has_fraction = F.max(value % 1 != 0) if fractional else F.lit(False)
     facts = df.agg(
         F.count(value).alias("present"),
         F.count_distinct(value).alias("n_unique"),

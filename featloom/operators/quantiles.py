@@ -14,7 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from featloom.functions.columns import as_double, col
+from featloom.functions.columns import as_double, batches, col
 
 SKETCH_ACCURACY = 10_000
 INSIDE_LIMIT = 1_000_000  # values ranked in one window at the end
@@ -50,6 +50,12 @@ def exact_quantiles(
     chart), because one row per group comes back to the caller.
     """
     wanted = sorted(set(probabilities))
+    groups = batches(columns, 2 * len(wanted))  # four counts each, a compiled method's worth
+    if len(groups) > 1:
+        result = {}
+        for group in groups:  # every group scans its own columns only
+            result.update(exact_quantiles(df, group, probabilities, by, inside_limit))
+        return result
     data = df.select(*([col(by).alias("__g")] if by else [F.lit(None).cast("string").alias("__g")]),
                      *[as_double(c).alias(f"c{i}") for i, c in enumerate(columns)])
     names = {c: f"c{i}" for i, c in enumerate(columns)}
@@ -116,7 +122,7 @@ def _bound_columns(data: DataFrame, names, cuts: list[_Cut]):
     for c in cuts:
         row = table.setdefault(c.group, {})
         row[index[c.column, c.p]] = (c.lo, c.hi)
-    fields = [data.schema["__g"].dataType.simpleString().join(["g ", ""])]
+    fields = [f"g {data.schema['__g'].dataType.simpleString()}"]
     fields += [f"lo{i} double, hi{i} double" for i in range(len(slots))]
     rows = [
         (g, *[v for i in range(len(slots)) for v in row.get(i, (None, None))])
@@ -136,7 +142,7 @@ def _confirm(data, names, cuts: list[_Cut], inside_limit: int) -> None:
         missed = [c for c in open_cuts if not c.holds_ranks(c.below, c.upto_hi)]
         for c in missed:  # the sketch was off: start again from the full range
             c.lo, c.hi = c.min, c.max
-        wide = [c for c in open_cuts if c not in missed and c.mid > inside_limit]
+        wide = [c for c in open_cuts if c not in missed and c.mid > max(inside_limit, 1)]
         if wide:
             _narrow(data, names, wide)
         open_cuts = missed + wide
@@ -207,29 +213,26 @@ def _pick(data, names, cuts: list[_Cut]) -> dict:
         running = F.sum("n").over(
             Window.partitionBy("__g", "slot").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
         )
+        kind = data.schema["__g"].dataType.simpleString()
         ranks = data.sparkSession.createDataFrame(
-            [(None if c.group is None else str(c.group), index[c.column, c.p], c.k0 - c.below, c.k1 - c.below)
-             for c in todo],
-            "gtext string, slot int, r0 bigint, r1 bigint",
+            [(c.group, index[c.column, c.p], c.k0 - c.below, c.k1 - c.below) for c in todo],
+            f"g {kind}, slot int, r0 bigint, r1 bigint",
         )
         picked = (
-            counted.withColumn("upto", running)
-            .withColumn("gtext", F.col("__g").cast("string"))
-            .alias("v")
+            counted.withColumn("upto", running).alias("v")
             .join(F.broadcast(ranks.alias("k")),  # one row per group, column and probability
-                  (F.col("v.slot") == F.col("k.slot")) & F.col("v.gtext").eqNullSafe(F.col("k.gtext")))
+                  (F.col("v.slot") == F.col("k.slot")) & F.col("__g").eqNullSafe(F.col("g")))
             .where((F.col("upto") > F.col("r0")) & (F.col("upto") - F.col("n") <= F.col("r1")))
-            .select("v.gtext", "v.slot", "x", "upto")
-            .collect()
+            .select("g", "v.slot", "x", "upto")
+            .collect()  # one or two values per rank
         )
         found = {}
         for row in picked:
-            found.setdefault((row["gtext"], row["slot"]), []).append((row["x"], row["upto"]))
+            found.setdefault((row["g"], row["slot"]), []).append((row["x"], row["upto"]))
         for i, c in enumerate(cuts):
             if i in values:
                 continue
-            gtext = None if c.group is None else str(c.group)
-            pair = sorted(found[gtext, index[c.column, c.p]])
+            pair = sorted(found[c.group, index[c.column, c.p]])
             first = next(x for x, upto in pair if upto > c.k0 - c.below)
             second = next(x for x, upto in pair if upto > c.k1 - c.below)
             values[i] = first + (second - first) * c.share

@@ -11,11 +11,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from featloom import constants as K
 from featloom.functions import rules
-from featloom.functions.columns import CATEGORICAL, NUMERIC, as_double, class_of, col, stat_rows, unpivot
+from featloom.functions.columns import (
+    CATEGORICAL, NUMERIC, as_double, batches, class_of, col, stat_rows, union_all, unpivot,
+)
 from featloom.functions.stats import pearson, sum_of_squares_ratio
 from featloom.operators.moments import pair_correlations
 
-FEW_FEATURES = 12
+FEW_FEATURES = 12  # beyond this, correlations go through the matrix form
+# Running values kept per feature: covariance 4 and two deviations 3 each; min, max,
+# deviation 3 and mean 2; count, mean 2, variance 3, min and max.
+PEARSON_BUFFERS, SPREAD_BUFFERS, CLASS_BUFFERS = 10, 7, 8
 
 
 def _measured_as_number(data_type: T.DataType) -> bool:
@@ -43,7 +48,7 @@ def pearson_to_target(df: DataFrame, features: list[str], target: str) -> DataFr
     """
     y = _double(df, target)
     if len(features) <= FEW_FEATURES:
-        return stat_rows(df, {f: {"r": pearson(_double(df, f), y)} for f in features})
+        return stat_rows(df, {f: {"r": pearson(_double(df, f), y)} for f in features}, PEARSON_BUFFERS)
     wide = df.select(*[_double(df, f).alias(f"x{i}") for i, f in enumerate(features)], y.alias("y"))
     found = pair_correlations(wide, wide.columns, [(i, len(features)) for i in range(len(features))])
     names = F.array(*[F.lit(f) for f in features])
@@ -52,35 +57,38 @@ def pearson_to_target(df: DataFrame, features: list[str], target: str) -> DataFr
     )
 
 
-def eta_squared(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """η² of numeric features by the classes of the target.
+def _class_moments(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """Count, mean, variance, min and max per feature and target class.
 
-    Complete rows per feature; one grouping by target class for all features.
+    One grouping for all features; rows without target form a class of their
+    own (``known`` is false).
     """
-    present = df.where(col(target).isNotNull())
-    by_class = present.groupBy(col(target).alias("g")).agg(
-        *[
-            agg.alias(f"{tag}{i}")
-            for i, f in enumerate(features)
-            for tag, agg in (
-                ("n", F.count(_double(df, f)).cast("double")),
-                ("m", F.avg(_double(df, f))),
-                ("v", F.var_pop(_double(df, f))),
-            )
-        ]
-    )
-    rows = by_class.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("ordinal"), F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"),
-                             F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v"))
-                    for i, f in enumerate(features)
-                ]
-            )
+    aggregates = {
+        "n": lambda x: F.count(x).cast("double"),
+        "m": F.avg,
+        "v": F.var_pop,
+        "lo": F.min,
+        "hi": F.max,
+    }
+    position = {f: i for i, f in enumerate(features)}
+    parts = []
+    for group in batches(features, CLASS_BUFFERS):
+        by_class = df.groupBy(col(target).alias("g")).agg(
+            *[agg(_double(df, f)).alias(f"{tag}{position[f]}") for f in group for tag, agg in aggregates.items()]
         )
-    )
-    return _combine_groups(rows, ["ordinal", "feature"])
+        rows = [
+            F.struct(F.lit(position[f]).alias("ordinal"), F.lit(f).alias("feature"),
+                     *[F.col(f"{tag}{position[f]}").alias(tag) for tag in aggregates])
+            for f in group
+        ]
+        parts.append(by_class.select(F.col("g").isNotNull().alias("known"), F.inline(F.array(*rows))))
+    return union_all(parts)
+
+
+def eta_squared(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """η² of numeric features by the classes of the target, over complete rows."""
+    groups = _class_moments(df.where(col(target).isNotNull()), features, target)
+    return _combine_groups(groups, ["ordinal", "feature"])
 
 
 def eta_squared_by_levels(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -101,12 +109,62 @@ def _combine_groups(groups: DataFrame, keys: list[str]) -> DataFrame:
         F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("grand")
     )
     return (
-        groups.join(grand, keys)  # one row per feature on the right
+        groups.join(F.broadcast(grand), keys)  # one row per feature on the right
         .groupBy(*keys)
         .agg(sum_of_squares_ratio(F.col("n"), F.col("m"), F.col("v"), F.col("grand")).alias("eta_squared"))
     )
 
 
+def _profile_by_class(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """η² and spread of numeric features from a single scan.
+
+    The overall range, mean and sample std follow from the class moments, so
+    the table is not read again for the scale sensitivity.
+    """
+    groups = _class_moments(df, features, target)
+    n, m, v = F.col("n"), F.col("m"), F.col("v")
+    known_n = F.when(F.col("known"), n).otherwise(0.0)
+    means = groups.groupBy("ordinal", "feature").agg(
+        F.try_divide(F.sum(n * m), F.sum(n)).alias("mean"),
+        F.try_divide(F.sum(known_n * m), F.sum(known_n)).alias("known_mean"),
+        F.sum(n).alias("total"),
+        (F.max("hi") - F.min("lo")).alias("value_range"),
+    )
+    gap, known_gap = m - F.col("mean"), m - F.col("known_mean")
+    squares = F.sum(n * v + n * gap * gap)
+    std = F.sqrt(F.try_divide(squares, F.first("total") - 1.0))
+    between = F.sum(known_n * known_gap * known_gap)
+    return (
+        groups.join(F.broadcast(means), ["ordinal", "feature"])  # one row per feature
+        .groupBy("ordinal", "feature", "value_range", "mean")
+        .agg(
+            F.coalesce(F.try_divide(between, between + F.sum(known_n * v)), F.lit(0.0)).alias("s"),
+            std.alias("std"),
+        )
+        .select("feature", "s", "value_range", (F.col("std") / (F.abs("mean") + K.CV_EPSILON)).alias("cv"))
+    )
+
+
+def _profile_by_number(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """|r| and spread of numeric features; one scan for a few features."""
+    if len(features) > FEW_FEATURES:
+        return pearson_to_target(df, features, target).select("feature", F.abs("r").alias("s")).join(
+            scale_sensitivity(df, features).select("feature", "value_range", "cv"), "feature"
+        )
+    y = _double(df, target)
+    stats = {f: {"r": pearson(_double(df, f), y), **_spread(_double(df, f))} for f in features}
+    return stat_rows(df, stats, PEARSON_BUFFERS + SPREAD_BUFFERS).select(
+        "feature", F.abs("r").alias("s"), "value_range", "cv"
+    )
+
+
+def _spread(x) -> dict:
+    return {
+        "value_range": F.max(x) - F.min(x),
+        "cv": F.stddev_samp(x) / (F.abs(F.avg(x)) + K.CV_EPSILON),
+    }
+
+
 def contingency(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Counts per (feature, level, class) over complete pairs, long form."""
     wide = df.select(*[col(f) for f in features], col(target).cast("string").alias("__t"))
@@ -144,44 +202,55 @@ def cramers_v(df: DataFrame, features: list[str], target: str) -> DataFrame:
     )
 
 
-def signal_strength(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
-    """``ordinal, feature, is_numeric, method, strength, signal`` for every feature.
-
-    number–number |r|; number–levels η² in either direction; levels–levels V.
-    An undefined strength is labelled Low.
-    """
-    features = features or [f for f in df.columns if f != target]
+def _profile(df: DataFrame, target: str, features: list[str]) -> DataFrame:
+    """Strength and spread of every feature, in feature order."""
     kinds = {f: df.schema[f].dataType for f in features}
     numbers = [f for f in features if _measured_as_number(kinds[f])]
     levels = [f for f in features if _measured_as_levels(kinds[f])]
     numeric_target = _measured_as_number(df.schema[target].dataType)
 
     parts = []
-    if numbers and numeric_target:
-        parts.append(("pearson", pearson_to_target(df, numbers, target).select("feature", F.abs("r").alias("s"))))
-    elif numbers:
-        parts.append(("eta_squared", eta_squared(df, numbers, target).select("feature", F.col("eta_squared").alias("s"))))
-    if levels and numeric_target:
-        parts.append(("eta_squared", eta_squared_by_levels(df, levels, target).select("feature", F.col("eta_squared").alias("s"))))
-    elif levels:
-        parts.append(("cramers_v", cramers_v(df, levels, target).select("feature", F.col("cramers_v").alias("s"))))
-
-    measured = None
-    for method, part in parts:
-        part = part.withColumn("method", F.lit(method))
-        measured = part if measured is None else measured.unionByName(part)
+    if numbers:
+        measure = _profile_by_number if numeric_target else _profile_by_class
+        parts.append(measure(df, numbers, target).withColumn(
+            "method", F.lit("pearson" if numeric_target else "eta_squared")))
+    if levels:
+        found = (
+            eta_squared_by_levels(df, levels, target).select("feature", F.col("eta_squared").alias("s"))
+            if numeric_target
+            else cramers_v(df, levels, target).select("feature", F.col("cramers_v").alias("s"))
+        )
+        missing = F.lit(None).cast("double")
+        parts.append(found.select("feature", "s", missing.alias("value_range"), missing.alias("cv"),
+                                  F.lit("eta_squared" if numeric_target else "cramers_v").alias("method")))
     # One row per column of the table.
     frame = df.sparkSession.createDataFrame(
-        [(i, f, class_of(kinds[f]) == NUMERIC) for i, f in enumerate(features)],
-        "ordinal int, feature string, is_numeric boolean",
+        [(i, f, class_of(kinds[f]) == NUMERIC, isinstance(kinds[f], T.BooleanType)) for i, f in enumerate(features)],
+        "ordinal int, feature string, is_numeric boolean, is_bool boolean",
     )
-    if measured is None:
-        measured = frame.select("feature", F.lit(None).cast("double").alias("s"), F.lit(None).cast("string").alias("method"))
+    measured = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else frame.selectExpr(
+        "feature", "double(null) as s", "double(null) as value_range", "double(null) as cv", "string(null) as method")
     strength = F.nanvl(F.col("s"), F.lit(None).cast("double"))
-    return (
-        F.broadcast(frame).join(measured, "feature", "left")
-        .select("ordinal", "feature", "is_numeric", "method", strength.alias("strength"),
-                rules.signal_label(strength).alias("signal"))
+    return frame.join(measured, "feature", "left").withColumns(
+        {
+            "strength": strength,
+            "signal": rules.signal_label(strength),
+            "sensitivity": F.when(
+                F.col("is_numeric"), rules.sensitivity_label(F.col("value_range"), F.col("cv"))
+            ).when(F.col("is_bool"), "Low").otherwise("N/A"),
+        }
+    )
+
+
+def signal_strength(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
+    """``ordinal, feature, is_numeric, method, strength, signal`` for every feature.
+
+    number–number |r|; number–levels η² in either direction; levels–levels V.
+    An undefined strength is labelled Low.
+    """
+    features = features or [f for f in df.columns if f != target]
+    return _profile(df, target, features).select(
+        "ordinal", "feature", "is_numeric", "method", "strength", "signal"
     )
 
 
@@ -191,33 +260,32 @@ def scale_sensitivity(df: DataFrame, features: list[str] | None = None) -> DataF
     Non-numeric features are N/A; bool features are Low.
     """
     features = features or df.columns
-    stats = {}
+    stats, facts = {}, {}
     for f in features:
         numeric = class_of(df.schema[f].dataType) == NUMERIC
-        x = as_double(f) if numeric else F.lit(None).cast("double")
-        stats[f] = {
-            "value_range": F.max(x) - F.min(x),
-            "cv": F.stddev_samp(x) / (F.abs(F.avg(x)) + K.CV_EPSILON),
-            "kind": F.max(F.lit(
-                NUMERIC if numeric else "bool" if isinstance(df.schema[f].dataType, T.BooleanType) else "none"
-            )),
-        }
+        kind = NUMERIC if numeric else "bool" if isinstance(df.schema[f].dataType, T.BooleanType) else "none"
+        nothing = F.max(F.lit(None).cast("double"))
+        stats[f] = _spread(as_double(f)) if numeric else {"value_range": nothing, "cv": nothing}
+        facts[f] = {"kind": kind}
     label = (
         F.when(F.col("kind") == NUMERIC, rules.sensitivity_label(F.col("value_range"), F.col("cv")))
         .when(F.col("kind") == "bool", "Low")
         .otherwise("N/A")
     )
-    return stat_rows(df, stats).select("ordinal", "feature", "value_range", "cv", label.alias("sensitivity"))
+    return stat_rows(df, stats, SPREAD_BUFFERS, facts).select(
+        "ordinal", "feature", "value_range", "cv", label.alias("sensitivity")
+    )
 
 
 def feature_report(
     df: DataFrame, target: str, models: list[str] = tuple(K.MODELS), features: list[str] | None = None
 ) -> DataFrame:
-    """Suitability of every feature for every model, one row each."""
+    """Suitability of every feature for every model, one row each.
+
+    One scan for the numeric features, one for the others.
+    """
     features = features or [f for f in df.columns if f != target]
-    profile = signal_strength(df, target, features).join(
-        scale_sensitivity(df, features).select("feature", "sensitivity"), "feature"
-    )
+    profile = _profile(df, target, features)
     asked = profile.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
     signal, sensitivity, model = F.col("signal"), F.col("sensitivity"), F.col("model")
     fit = rules.compatibility(signal, sensitivity, model)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featloom import constants as K
-from featloom.functions.columns import as_double, class_of, col, NUMERIC, numeric_columns, stat_rows, unpivot
+from featloom.functions.columns import (
+    NUMERIC, as_double, class_of, col, numeric_columns, stat_rows, stat_values, unpivot,
+)
 from featloom.operators.quantiles import exact_quantiles
 
 
@@ -37,11 +39,8 @@ def _bin(x: Column, low: float, high: float, bins: int) -> Column:
 
 def bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """(min, max) per column, one pass; columns without values are left out."""
-    row = df.agg(
-        *[F.min(as_double(c)).alias(f"a{i}") for i, c in enumerate(columns)],
-        *[F.max(as_double(c)).alias(f"b{i}") for i, c in enumerate(columns)],
-    ).first()
-    return {c: (row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(columns) if row[f"a{i}"] is not None}
+    found = stat_values(df, {c: {"low": F.min(as_double(c)), "high": F.max(as_double(c))} for c in columns}, 2)
+    return {c: (found[c]["low"], found[c]["high"]) for c in columns if found[c]["low"] is not None}
 
 
 def histograms(df: DataFrame, columns: list[str], bins: int = K.HISTOGRAM_BINS, edges: dict | None = None) -> DataFrame:
@@ -178,7 +177,7 @@ def missing_patterns(df: DataFrame, columns: list[str] | None = None) -> DataFra
 def scale_ranges(df: DataFrame, target: str | None = None) -> DataFrame:
     """Range of each numeric feature, its share of the largest, and dominance."""
     features = numeric_columns(df, target)
-    rows = stat_rows(df, {f: {"value_range": F.max(as_double(f)) - F.min(as_double(f))} for f in features})
+    rows = stat_rows(df, {f: {"value_range": F.max(as_double(f)) - F.min(as_double(f))} for f in features}, 2)
     largest = F.max("value_range").over(Window.partitionBy())  # one row per column
     share = F.try_divide(F.col("value_range"), largest)
     return (
