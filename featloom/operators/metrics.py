@@ -23,13 +23,20 @@ def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFr
     The rows are counted once into class pairs; the rest works on those.
     """
     cells = confusion(df, label, prediction)
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
-    by_label = cells.groupBy("label").agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
-    by_prediction = cells.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("predicted"))
-    scored = by_label.join(by_prediction, "label", "left").withColumn(
-        "f1", 2.0 * F.col("tp") / (F.col("support") + F.coalesce("predicted", F.lit(0)))
+    none = F.lit(0).cast("bigint")
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(none)
+    # Each cell adds to the support of its label and to the calls of its prediction.
+    sides = cells.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("label").alias("class"), F.col("n").alias("support"), none.alias("called"), hit.alias("tp")),
+                F.struct(F.col("prediction").alias("class"), none.alias("support"), F.col("n").alias("called"), none.alias("tp")),
+            )
+        )
     )
-    return scored.agg(
+    by_class = sides.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "called", "tp")])
+    f1 = F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("called"))
+    return by_class.agg(
         F.try_divide(F.sum("tp").cast("double"), F.sum("support")).alias("accuracy"),
-        F.try_divide(F.sum(F.col("support") * F.col("f1")), F.sum("support")).alias("f1_score"),
+        F.try_divide(F.sum(F.col("support") * f1), F.sum("support")).alias("f1_score"),
     )

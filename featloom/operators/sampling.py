@@ -8,14 +8,16 @@ the edge are ranked.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from featloom import constants as K
 from featloom.functions.columns import col
 from featloom.functions.hashing import HASH_BITS, key_hash, key_uniform
+from featloom.session import cut_lineage
 
 BUCKET_BITS = 16
-BUCKETS = 2**BUCKET_BITS
 
 
 def sample_random(df: DataFrame, max_rows: int, keys: list[str], seed: int = K.SEED) -> DataFrame:
@@ -52,66 +54,66 @@ def _take(df, max_rows, keys, seed, target):
     marked = df.withColumns({"__g": group, "__h": key_hash(keys, seed)}).withColumn(
         "__b", F.shiftright("__h", HASH_BITS - BUCKET_BITS)
     )
-    # At most 20 classes x 65,536 buckets, added up before the shuffle.
-    histogram = marked.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("n"))
-    sizes = histogram.groupBy("__g").agg(F.sum("n").alias("size"))
-    over_all = Window.partitionBy()  # at most 20 rows
-    share = F.lit(float(max_rows)) * F.col("size") / F.sum("size").over(over_all)
-    quotas = (
-        sizes.withColumn("total", F.sum("size").over(over_all))
-        .withColumn("share", share)
-        .withColumn("floor", F.floor("share").cast("bigint"))
-        .withColumn("missing", F.lit(max_rows) - F.sum("floor").over(over_all))
-        .withColumn(
-            "turn",
-            F.row_number().over(
-                Window.orderBy((F.col("share") - F.col("floor")).desc(), F.col("__g"))
-            ),
-        )
-        .withColumn(
-            "quota",
-            F.when(F.col("total") <= max_rows, F.col("size")).otherwise(
-                F.col("floor") + F.when(F.col("turn") <= F.col("missing"), 1).otherwise(0)
-            ),
-        )
-        .select("__g", "quota")
+    # At most 20 classes x 65,536 buckets, added up before the shuffle; one scan.
+    histogram = cut_lineage(marked.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("n")))
+    sizes = {r["__g"]: r["size"] for r in histogram.groupBy("__g").agg(F.sum("n").alias("size")).collect()}
+    if sum(sizes.values()) <= max_rows:
+        return df
+    edges = _edges(histogram, _quotas(sizes, max_rows))
+    # The sample plus one bucket per class, read from the source once.
+    by_class = [F.when(F.col("__g").eqNullSafe(F.lit(e["g"])), F.lit(e["edge"])) for e in edges]
+    candidates = cut_lineage(
+        marked.withColumn("__edge", F.coalesce(*by_class)).where(F.col("__b") <= F.col("__edge"))
     )
+    whole = candidates.where(F.col("__b") < F.col("__edge"))
+    rest = _edge_rows(candidates.where(F.col("__b") == F.col("__edge")), edges, keys)
+    return whole.unionByName(rest).select(*[col(c) for c in df.columns])
+
+
+def _quotas(sizes: dict, max_rows: int) -> dict:
+    """Rows to take per class: proportional, largest remainders first."""
+    total = sum(sizes.values())
+    quotas = {g: max_rows * n // total for g, n in sizes.items()}
+    by_remainder = sorted(sizes, key=lambda g: (-(max_rows * sizes[g] % total), g))
+    for g in by_remainder[: max_rows - sum(quotas.values())]:
+        quotas[g] += 1
+    return quotas
+
+
+def _edges(histogram: DataFrame, quotas: dict) -> list[dict]:
+    """Per class: the bucket in which its quota ends, and the rows to take from it."""
+    quota = F.coalesce(*[F.when(F.col("__g").eqNullSafe(F.lit(g)), F.lit(q)) for g, q in quotas.items()])
     upto = F.sum("n").over(
-        Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)  # 65,536 rows
     )
-    edges = (
-        histogram.withColumn("upto", upto)
-        .join(F.broadcast(quotas), "__g")  # at most 20 rows
+    found = (
+        histogram.withColumns({"upto": upto, "quota": quota})
         .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select(
-            F.col("__g").alias("g"),
-            F.col("__b").alias("edge"),
-            (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"),
-            F.col("n").alias("edge_rows"),
-        )
+        .select(F.col("__g").alias("g"), F.col("__b").alias("edge"), F.col("n").alias("rows"),
+                (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"))
     )
-    bounded = marked.join(F.broadcast(edges), F.col("__g") == F.col("g"))  # one row per class
-    whole = bounded.where(F.col("__b") < F.col("edge"))
-    return whole.unionByName(_edge_rows(bounded, keys)).select(*[col(c) for c in df.columns])
+    return [r.asDict() for r in found.collect()]
 
 
-def _edge_rows(bounded: DataFrame, keys: list[str]) -> DataFrame:
+def _edge_rows(edge: DataFrame, edges: list[dict], keys: list[str]) -> DataFrame:
     """The ``rest`` smallest rows of each class's edge bucket, in two rounds.
 
     Normally the bucket holds 1/65,536 of a class. Should many copies of one
     key fall into it, the salt spreads them, and each salt passes on no more
     than ``rest`` rows.
     """
-    salts = F.greatest(F.lit(1.0), F.sqrt(F.col("edge_rows") / F.col("rest")))
-    edge = bounded.where((F.col("__b") == F.col("edge")) & (F.col("rest") > 0)).withColumn(
-        "__s", F.floor(F.rand(K.SEED) * salts)
-    )
+
+    def of_class(value):
+        return F.coalesce(*[F.when(F.col("__g").eqNullSafe(F.lit(e["g"])), F.lit(value(e))) for e in edges])
+
+    salts = of_class(lambda e: max(1.0, math.sqrt(e["rows"] / e["rest"])))
+    edge = edge.withColumns({"__rest": of_class(lambda e: e["rest"]), "__s": F.floor(F.rand(K.SEED) * salts)})
     order = ["__h", *[col(k) for k in keys]]
     first = edge.withColumn("__r", F.row_number().over(Window.partitionBy("__g", "__s").orderBy(*order)))
-    last = first.where(F.col("__r") <= F.col("rest")).withColumn(
+    last = first.where(F.col("__r") <= F.col("__rest")).withColumn(
         "__r", F.row_number().over(Window.partitionBy("__g").orderBy(*order))
     )
-    return last.where(F.col("__r") <= F.col("rest")).drop("__r", "__s")
+    return last.where(F.col("__r") <= F.col("__rest")).drop("__r", "__s", "__rest")
 
 
 def plot_sample(df: DataFrame, target: str, keys: list[str], rows: int = K.PLOT_SAMPLE_ROWS) -> DataFrame:

@@ -16,6 +16,7 @@ from featloom.functions.columns import (
 )
 from featloom.functions.stats import pearson, sum_of_squares_ratio
 from featloom.operators.moments import pair_correlations
+from featloom.session import cut_lineage
 
 FEW_FEATURES = 12  # beyond this, correlations go through the matrix form
 # Running values kept per feature: covariance 4 and two deviations 3 each; min, max,
@@ -82,7 +83,7 @@ def _class_moments(df: DataFrame, features: list[str], target: str) -> DataFrame
             for f in group
         ]
         parts.append(by_class.select(F.col("g").isNotNull().alias("known"), F.inline(F.array(*rows))))
-    return union_all(parts)
+    return cut_lineage(union_all(parts))  # classes x features rows, used twice
 
 
 def eta_squared(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -100,7 +101,7 @@ def eta_squared_by_levels(df: DataFrame, features: list[str], target: str) -> Da
         .groupBy("feature", "value")
         .agg(F.count("__y").cast("double").alias("n"), F.avg("__y").alias("m"), F.var_pop("__y").alias("v"))
     )
-    return _combine_groups(groups, ["feature"])
+    return _combine_groups(cut_lineage(groups), ["feature"])
 
 
 def _combine_groups(groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -182,7 +183,7 @@ def cramers_v(df: DataFrame, features: list[str], target: str) -> DataFrame:
     ``χ²/n = Σ O²/(R·C) − 1`` covers the empty cells without building them. The
     margins are sums over the counted table, joined back on their own keys.
     """
-    cells = contingency(df, features, target)
+    cells = cut_lineage(contingency(df, features, target))  # counted once, used for both margins
     level_totals = cells.groupBy("feature", "level").agg(F.sum("n").alias("level_n"))
     class_totals = cells.groupBy("feature", "class").agg(F.sum("n").alias("class_n"))
     o = F.col("n").cast("double")
