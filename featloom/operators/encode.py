@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import OneHotEncoder
@@ -14,6 +15,7 @@ from featloom.session import cut_lineage
 SMALL_LEVELS = 100_000  # level rows that may come to the driver and be broadcast
 HOT_SHARE = 0.001  # a level above this share of rows is looked up by broadcast
 SPREAD = 1024
+LEVELS_PER_STRETCH = 500_000  # levels sorted by one task
 WIDE_ONE_HOT = 1_000  # indicator columns; beyond this one sparse vector per feature
 MISSING_CLASS = "nan"
 
@@ -71,12 +73,14 @@ def _large_table(column: str, counts: DataFrame) -> LevelTable:
     facts = counts.agg(
         F.sum(F.when(F.col("level").isNotNull(), F.col("n"))).alias("total"),
         F.sum(F.when(F.col("level").isNull(), F.col("n"))).alias("missing"),
+        F.count(F.lit(1)).alias("levels"),
     ).first()
     classes = counts.select(
         F.coalesce("level", F.lit(MISSING_CLASS)).alias("level"),
         F.when(F.col("level").isNotNull(), F.col("n")).otherwise(0).alias("n"),
     ).groupBy("level").agg(F.sum("n").alias("n"))
-    table = cut_lineage(rank_levels(classes))
+    stretches = max(2, math.ceil(facts["levels"] / LEVELS_PER_STRETCH))
+    table = cut_lineage(rank_levels(classes, partitions=stretches))
     return LevelTable(column, facts["total"] or 0, table.count(), table=table, missing=facts["missing"] or 0)
 
 

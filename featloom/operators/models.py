@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel,
@@ -90,7 +90,6 @@ class TrainedModel:
     features: list[str]
     model: object
     prep: FittedPrep | None = None
-    extra: dict = field(default_factory=dict)
 
     def score(self, prepared: DataFrame, keep: list[str] = ()) -> DataFrame:
         """Add ``prediction`` (class index) and ``score`` to prepared rows.
@@ -143,11 +142,8 @@ def fit_model(
         k = params.get("k", DEFAULTS[K.KNN]["k"])
         model = fit_knn(data, vector_to_array("features"), F.col("label"), k)
         return TrainedModel(name, target, classes, features, model, prep)
-    data = data.persist()
-    try:
-        model = estimator(name, data.count(), len(classes), **params).fit(data)
-    finally:
-        data.unpersist()
+    # The estimators keep their own input blocks in memory or on disk while they iterate.
+    model = estimator(name, data.count(), len(classes), **params).fit(data)
     return TrainedModel(name, target, classes, features, model, prep)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from featloom.session import cut_lineage
 
 
-def rank_levels(levels: DataFrame, level: str = "level", partitions: int | None = None) -> DataFrame:
+def rank_levels(levels: DataFrame, partitions: int, level: str = "level") -> DataFrame:
     """Add ``code`` = 0-based rank of distinct, non-null ``level`` values.
 
     The levels are range-partitioned, so each partition holds one stretch of
@@ -16,9 +16,7 @@ def rank_levels(levels: DataFrame, level: str = "level", partitions: int | None
     sizes and the ranks must see the very same stretches, even if an executor
     is lost in between.
     """
-    spread = (
-        levels.repartitionByRange(partitions, level) if partitions else levels.repartitionByRange(level)
-    )
+    spread = levels.repartitionByRange(partitions, level)
     stretch = cut_lineage(spread.withColumn("__p", F.spark_partition_id()))
     sizes = stretch.groupBy("__p").agg(F.count(F.lit(1)).alias("size"))
     before = sizes.select(

@@ -92,7 +92,20 @@ def model_knn(spark, sf):
     )
 
 
-@query("model_knn_embeddings")
+@query("model_knn_embeddings", f"""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, {sql_uniform('vec_id')} < 0.2 AS test FROM embeddings),
+d AS (SELECT q.vec_id AS qid, q.label AS truth, t.label AS label, list_distance(q.x, t.x) AS dist
+  FROM e q JOIN e t ON q.test AND NOT t.test),
+n AS (SELECT qid, truth, label FROM
+  (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, label) AS rn FROM d) WHERE rn <= 5),
+v AS (SELECT qid, truth, label, count(*) AS votes FROM n GROUP BY ALL),
+p AS (SELECT truth, label AS guess FROM
+  (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) AS rn FROM v) WHERE rn = 1),
+a AS (SELECT truth AS c, count(*) AS support, count(*) FILTER (truth = guess) AS tp FROM p GROUP BY 1),
+b AS (SELECT guess AS g, count(*) AS called FROM p GROUP BY 1)
+SELECT round(sum(tp) / CAST(sum(support) AS DOUBLE), 4) AS accuracy,
+  round(sum(support * 2.0 * tp / (support + coalesce(called, 0))) / sum(support), 4) AS f1_score
+FROM a LEFT JOIN b ON c = g""")
 def model_knn_embeddings(spark, sf):
     """Accuracy of 5 nearest neighbours on the embedding vectors."""
     rows = table(spark, sf, "embeddings").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featloom.operators import metrics, outliers, summaries, verify
-from featloom.plans.registry import GAPPY_NUMERIC, GAPPY_SQL, gappy, query, sql_rows, table
+from featloom.plans.registry import GAPPY_NUMERIC, GAPPY_SQL, gappy, query, sql_hash, sql_rows, table
 
 
 @query("target_value_counts", "SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1")
@@ -97,6 +97,20 @@ def box_separation(spark, sf):
     return _rounded_box(summaries.box_separation(rows, "event_type"))
 
 
+@query("feature_vs_target", f"""
+WITH p AS (SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS cust, o_totalprice FROM orders
+           ORDER BY {sql_hash('o_orderkey')}, o_orderkey LIMIT 5000)
+SELECT o_totalprice, 'o_orderkey' AS feature, CAST(o_orderkey AS DOUBLE) AS value FROM p
+UNION ALL SELECT o_totalprice, 'cust', cust FROM p""")
+def feature_vs_target(spark, sf):
+    """Scatter points of two features against a numeric target."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("double").alias("cust"), "o_totalprice")
+    kind, points = summaries.feature_vs_target(orders, "o_totalprice", ["o_orderkey"])
+    assert kind == "scatter"
+    return points
+
+
 FLAG = "CASE WHEN {c} IS NULL THEN '1' ELSE '0' END"
 PATTERN = " || ".join(FLAG.format(c=c) for c in ["qty", "price", "disc", "tax", "flag"])
 
