@@ -33,11 +33,23 @@ SLACK = 1e-9  # relative room for rounding in the pruning bounds
 CANDIDATE = "qid long, dist double, label double, weight long"
 
 
-def _distances(q: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Euclidean distances, added up dimension by dimension."""
-    total = np.zeros((len(q), len(t)))
+def _rough_squares(q: np.ndarray, t: np.ndarray):
+    """Squared distances by one matrix product, and their error bound per query.
+
+    Only used to rule points out; whatever is kept is measured exactly.
+    """
+    centre = t.mean(axis=0)
+    a, b = q - centre, t - centre
+    qn, tn = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    rough = np.maximum(qn[:, None] + tn[None, :] - 2.0 * (a @ b.T), 0.0)
+    return rough, 4.0 * (q.shape[1] + 8) * np.finfo(float).eps * (qn + tn.max())
+
+
+def _exact(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Euclidean distance row by row, added up dimension by dimension."""
+    total = np.zeros(len(q))
     for j in range(q.shape[1]):
-        step = q[:, j, None] - t[None, :, j]
+        step = q[:, j] - t[:, j]
         total += step * step
     return np.sqrt(total)
 
@@ -58,11 +70,11 @@ def _nearest_pivot(pivots: np.ndarray):
     def assign(x: pd.Series) -> pd.DataFrame:
         if not len(x):
             return pd.DataFrame({"cell": pd.Series(dtype="int32"), "pivot_dist": pd.Series(dtype=float)})
-        nearest, dist = [], []
+        points, nearest, dist = _stack(x), [], []
         for part in _chunks(x, len(pivots)):
-            d = _distances(_stack(x.iloc[part]), pivots)
-            nearest.append(d.argmin(axis=1))
-            dist.append(d.min(axis=1))
+            cell = _rough_squares(points[part], pivots)[0].argmin(axis=1)
+            nearest.append(cell)
+            dist.append(_exact(points[part], pivots[cell]))
         return pd.DataFrame({"cell": np.concatenate(nearest).astype("int32"), "pivot_dist": np.concatenate(dist)})
 
     return assign
@@ -73,15 +85,17 @@ def _other_cells(pivots: np.ndarray, radius: np.ndarray, weight: np.ndarray, k:
 
     @F.pandas_udf("array<int>")
     def cells(x: pd.Series, own: pd.Series, kth: pd.Series) -> pd.Series:
-        found = []
+        points, found = _stack(x), []
         for part in _chunks(x, len(pivots)):
-            d = _distances(_stack(x.iloc[part]), pivots)
-            reach = np.where(weight >= k, d + radius, np.inf).min(axis=1)
+            rough, error = _rough_squares(points[part], pivots)
+            low = np.sqrt(np.maximum(rough - error[:, None], 0.0))
+            high = np.sqrt(rough + error[:, None])
+            reach = np.where(weight >= k, high + radius, np.inf).min(axis=1)
             bound = np.fmin(kth.iloc[part].to_numpy(dtype=float), reach)
-            room = SLACK * (1.0 + d + radius)
-            near = (d - radius - room) <= bound[:, None]
+            room = SLACK * (1.0 + high + radius)
+            near = (low - radius - room) <= bound[:, None]
             near &= weight[None, :] > 0
-            near[np.arange(len(d)), own.iloc[part].to_numpy()] = False
+            near[np.arange(len(near)), own.iloc[part].to_numpy()] = False
             found += [np.flatnonzero(row).astype("int32") for row in near]
         return pd.Series(found)
 
@@ -93,24 +107,27 @@ def _block_search(k: int):
         empty = pd.DataFrame({"qid": [], "dist": [], "label": [], "weight": []})
         if queries.empty or points.empty:
             return empty.astype({"qid": "int64", "weight": "int64"})
-        t = _stack(points["x"])
-        labels, weights = points["label"].to_numpy(), points["weight"].to_numpy()
-        step = max(1, CHUNK_CELLS // len(t))
+        t, q, limit = _stack(points["x"]), _stack(queries["x"]), queries["kth"].to_numpy()
+        qid, labels, weights = queries["qid"].to_numpy(), points["label"].to_numpy(), points["weight"].to_numpy()
         parts = []
-        for start in range(0, len(queries), step):
-            chunk = queries.iloc[start : start + step]
-            d = _distances(_stack(chunk["x"]), t)
-            for qid, row in zip(chunk["qid"], d):
-                if len(row) > k:
-                    kth = np.partition(row, k - 1)[k - 1]
-                    near = np.flatnonzero(row <= kth)
-                else:
-                    near = np.arange(len(row))
-                near = near[np.lexsort((labels[near], row[near]))][:k]
-                parts.append((np.full(len(near), qid), row[near], labels[near], weights[near]))
-        return pd.DataFrame(
-            {name: np.concatenate([p[i] for p in parts]) for i, name in enumerate(("qid", "dist", "label", "weight"))}
-        )
+        for part in _chunks(queries["x"], len(t)):
+            chunk = q[part]
+            if len(t) > k:
+                rough, error = _rough_squares(chunk, t)
+                kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+                row, point = np.nonzero(rough <= (kth + 2.0 * error)[:, None])
+            else:
+                row, point = (x.ravel() for x in np.indices((len(chunk), len(t))))
+            dist = _exact(chunk[row], t[point])
+            order = np.lexsort((labels[point], dist, row))
+            row, point, dist = row[order], point[order], dist[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+            keep &= dist <= limit[part][row]
+            row, point = row[keep], point[keep]
+            parts.append(pd.DataFrame({
+                "qid": qid[part][row], "dist": dist[keep], "label": labels[point], "weight": weights[point],
+            }))
+        return pd.concat(parts)
 
     return search
 
@@ -132,7 +149,7 @@ class KnnModel:
         Order is (distance, label); copies of a point count once each.
         """
         assigned = queries.select("qid", "x", _nearest_pivot(self.pivots)("x").alias("a")).select(
-            "qid", "x", F.col("a.cell").alias("cell")
+            "qid", "x", F.col("a.cell").alias("cell"), F.lit(float("inf")).alias("kth")
         )
         if len(self.pivots) == 1:
             return self._cut(self._search(assigned))
@@ -143,14 +160,17 @@ class KnnModel:
         )
         find = _other_cells(self.pivots, self.radius, self.weight, self.k)
         more = (
-            assigned.join(kth, "qid", "left")
+            assigned.drop("kth").join(kth, "qid", "left")
             .withColumn("kth", F.coalesce("kth", F.lit(float("inf"))))
-            .select("qid", "x", F.explode(find("x", "cell", "kth")).alias("cell"))
+            .select("qid", "x", F.explode(find("x", "cell", "kth")).alias("cell"), "kth")
         )
         return self._cut(first.unionByName(self._search(cut_lineage(more))))
 
     def _search(self, assigned: DataFrame) -> DataFrame:
-        """Match query blocks with point blocks of the same cell."""
+        """Match query blocks with point blocks of the same cell.
+
+        ``kth`` is the distance beyond which a query has no use for a point.
+        """
         spark = assigned.sparkSession
         sizes = assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("qblocks"))
         blocks = spark.createDataFrame(
@@ -161,7 +181,7 @@ class KnnModel:
             assigned.join(F.broadcast(plan), "cell")
             .withColumn("qblock", F.pmod(F.xxhash64("qid"), F.col("qblocks")).cast("int"))
             .withColumn("tblock", F.explode(F.sequence(F.lit(0), F.col("tblocks") - 1)))
-            .select("cell", "qblock", "tblock", "qid", "x")
+            .select("cell", "qblock", "tblock", "qid", "x", "kth")
         )
         t = (
             self.points.join(F.broadcast(sizes), "cell")
