@@ -110,4 +110,6 @@ def stat_rows(
 
 def stat_values(df: DataFrame, stats: dict[str, dict[str, Column]], buffers_each: int = 4) -> dict[str, dict]:
     """``stat_rows`` fetched: a few numbers per column."""
+    if not stats:
+        return {}
     return {r["feature"]: r.asDict() for r in stat_rows(df, stats, buffers_each).collect()}

@@ -15,16 +15,16 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x_seen) * F.stddev_pop(y_seen))
 
 
-def sum_of_squares_ratio(n: Column, mean: Column, var: Column, grand: Column) -> Column:
-    """η² from per-group count, mean and population variance.
+def sum_of_squares_ratio(
+    n: Column, mean: Column, var: Column, grand: Column, low: Column, high: Column
+) -> Column:
+    """η² from per-group count, mean, population variance, min and max.
 
     Aggregates ``Σ n(m-M)²`` against that plus the within-group squares; no
-    difference of large sums is taken. 0 when the total is 0 or no rows exist.
+    difference of large sums is taken. 0 when no rows exist or all values are
+    equal (means of equal values may differ by rounding, so the range decides).
     """
     between = F.sum(n * F.pow(mean - grand, F.lit(2.0)))
     within = F.sum(n * var)
-    return F.coalesce(F.try_divide(between, between + within), F.lit(0.0))
-
-
-def or_null_if_zero(value: Column) -> Column:
-    return F.nullif(value, F.lit(0.0))
+    ratio = F.try_divide(between, between + within)
+    return F.when(F.max(high) > F.min(low), F.coalesce(ratio, F.lit(0.0))).otherwise(0.0)

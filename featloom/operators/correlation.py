@@ -64,6 +64,8 @@ def corr_to_target(df: DataFrame, target: str) -> DataFrame:
     A text target is replaced by the rank of its class (missing -> −1).
     """
     features = numeric_columns(df, target)
+    if not features:
+        return df.sparkSession.createDataFrame([], "ordinal int, feature string, corr double")
     if class_of(df.schema[target].dataType) == NUMERIC:
         coded = df.withColumn("__y", as_double(target))
     else:

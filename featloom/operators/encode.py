@@ -25,7 +25,8 @@ class LevelTable:
     """Levels of one column with their counts and label codes.
 
     ``rows`` is set when the table is small; otherwise ``table`` is a
-    checkpointed DataFrame of ``level, n, code``.
+    checkpointed DataFrame of ``level, n, code, all_rows``: ``n`` counts present
+    values, ``all_rows`` also the missing ones of the class ``'nan'``.
     """
 
     column: str
@@ -77,8 +78,9 @@ def _large_table(column: str, counts: DataFrame) -> LevelTable:
     ).first()
     classes = counts.select(
         F.coalesce("level", F.lit(MISSING_CLASS)).alias("level"),
-        F.when(F.col("level").isNotNull(), F.col("n")).otherwise(0).alias("n"),
-    ).groupBy("level").agg(F.sum("n").alias("n"))
+        F.when(F.col("level").isNotNull(), F.col("n")).otherwise(0).alias("present"),
+        "n",
+    ).groupBy("level").agg(F.sum("present").alias("n"), F.sum("n").alias("all_rows"))
     stretches = max(2, math.ceil(facts["levels"] / LEVELS_PER_STRETCH))
     table = cut_lineage(rank_levels(classes, partitions=stretches))
     return LevelTable(column, facts["total"] or 0, table.count(), table=table, missing=facts["missing"] or 0)
@@ -91,12 +93,13 @@ def _lookup(df: DataFrame, key: Column, levels: LevelTable, value: Column, out:
     (at most 1/HOT_SHARE of them) are broadcast, so their rows need no shuffle
     key and are spread by a salt, and only rare levels meet in the shuffle.
     """
-    side = levels.frame(df.sparkSession).select(F.col("level").alias("__k"), value.alias(out), "n")
+    side = levels.frame(df.sparkSession).withColumn(out, value).withColumnRenamed("level", "__k")
     keyed = df.withColumn("__k", key)
     if levels.table is None:
-        return keyed.join(F.broadcast(side.drop("n")), "__k", "left").drop("__k")
-    hot = side.where(F.col("n") > HOT_SHARE * max(levels.total, 1)).select("__k", F.col(out).alias("__hot"))
-    cold = side.where(F.col("n") <= HOT_SHARE * max(levels.total, 1)).select(
+        return keyed.join(F.broadcast(side.select("__k", out)), "__k", "left").drop("__k")
+    is_hot = F.col("all_rows") > HOT_SHARE * (levels.total + levels.missing)
+    hot = side.where(is_hot).select("__k", F.col(out).alias("__hot"))
+    cold = side.where(~is_hot).select(
         F.col("__k").alias("__c"), F.lit(0).alias("__s"), F.col(out).alias("__cold")
     )
     marked = keyed.join(F.broadcast(hot), "__k", "left").withColumn(

@@ -62,6 +62,8 @@ def check_target(df: DataFrame, target: str) -> list:
         raise ValueError(K.CONTINUOUS_TARGET_ERROR)
     if info["n_unique"] < 2:
         raise ValueError(K.SINGLE_CLASS_ERROR)
+    if info["task_type"] != "classification":
+        raise ValueError(f"Target column {target} holds neither numbers, text nor truth values.")
     if info["n_unique"] > MAX_CLASSES:
         raise ValueError(f"Target has {info['n_unique']} classes; at most {MAX_CLASSES} can be trained.")
     rows = df.where(col(target).isNotNull()).select(col(target).alias("v")).distinct().limit(MAX_CLASSES).collect()

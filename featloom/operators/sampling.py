@@ -24,7 +24,8 @@ def sample_random(df: DataFrame, max_rows: int, keys: list[str], seed: int = K.S
     """Exactly ``max_rows`` rows with the smallest key hashes; all if fewer exist.
 
     ``keys`` should identify a row; rows sharing a key share a hash and are
-    taken in any order once the sample is nearly full.
+    taken in any order once the sample is nearly full. Without keys the whole
+    row is the key.
     """
     return _take(df, max_rows, keys, seed, None)
 
@@ -50,6 +51,7 @@ def sample_stratified(
 
 
 def _take(df, max_rows, keys, seed, target):
+    keys = keys or df.columns
     group = col(target) if target else F.lit(0)
     marked = df.withColumns({"__g": group, "__h": key_hash(keys, seed)}).withColumn(
         "__b", F.shiftright("__h", HASH_BITS - BUCKET_BITS)
@@ -127,8 +129,11 @@ def training_sample(df: DataFrame, target: str, keys: list[str], rows: int = K.T
 def mark_test(
     df: DataFrame, keys: list[str], test_share: float = K.TEST_SHARE, seed: int = K.SEED, flag: str = "is_test"
 ) -> DataFrame:
-    """Flag about ``test_share`` of the rows as test; map-only and stable."""
-    return df.withColumn(flag, key_uniform(keys, seed) < F.lit(float(test_share)))
+    """Flag about ``test_share`` of the rows as test; map-only and stable.
+
+    Without keys the whole row is the key, so equal rows fall on the same side.
+    """
+    return df.withColumn(flag, key_uniform(keys or df.columns, seed) < F.lit(float(test_share)))
 
 
 def split(

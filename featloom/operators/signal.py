@@ -99,7 +99,8 @@ def eta_squared_by_levels(df: DataFrame, features: list[str], target: str) -> Da
         unpivot(wide, features, "string", ids=["__y"])
         .where(F.col("value").isNotNull() & F.col("__y").isNotNull())
         .groupBy("feature", "value")
-        .agg(F.count("__y").cast("double").alias("n"), F.avg("__y").alias("m"), F.var_pop("__y").alias("v"))
+        .agg(F.count("__y").cast("double").alias("n"), F.avg("__y").alias("m"), F.var_pop("__y").alias("v"),
+             F.min("__y").alias("lo"), F.max("__y").alias("hi"))
     )
     return _combine_groups(cut_lineage(groups), ["feature"])
 
@@ -112,7 +113,7 @@ def _combine_groups(groups: DataFrame, keys: list[str]) -> DataFrame:
     return (
         groups.join(F.broadcast(grand), keys)  # one row per feature on the right
         .groupBy(*keys)
-        .agg(sum_of_squares_ratio(F.col("n"), F.col("m"), F.col("v"), F.col("grand")).alias("eta_squared"))
+        .agg(sum_of_squares_ratio(*[F.col(c) for c in ("n", "m", "v", "grand", "lo", "hi")]).alias("eta_squared"))
     )
 
 
@@ -131,17 +132,14 @@ def _profile_by_class(df: DataFrame, features: list[str], target: str) -> DataFr
         F.sum(n).alias("total"),
         (F.max("hi") - F.min("lo")).alias("value_range"),
     )
-    gap, known_gap = m - F.col("mean"), m - F.col("known_mean")
-    squares = F.sum(n * v + n * gap * gap)
-    std = F.sqrt(F.try_divide(squares, F.first("total") - 1.0))
-    between = F.sum(known_n * known_gap * known_gap)
+    gap = m - F.col("mean")
+    std = F.sqrt(F.try_divide(F.sum(n * v + n * gap * gap), F.col("total") - 1.0))
+    of_class = [F.when(F.col("known"), c) for c in (n, m, v, F.col("known_mean"), F.col("lo"), F.col("hi"))]
+    per_feature = ["ordinal", "feature", "value_range", "mean", "total"]
     return (
         groups.join(F.broadcast(means), ["ordinal", "feature"])  # one row per feature
-        .groupBy("ordinal", "feature", "value_range", "mean")
-        .agg(
-            F.coalesce(F.try_divide(between, between + F.sum(known_n * v)), F.lit(0.0)).alias("s"),
-            std.alias("std"),
-        )
+        .groupBy(*per_feature)
+        .agg(sum_of_squares_ratio(*of_class).alias("s"), std.alias("std"))
         .select("feature", "s", "value_range", (F.col("std") / (F.abs("mean") + K.CV_EPSILON)).alias("cv"))
     )
 

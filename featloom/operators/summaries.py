@@ -50,6 +50,8 @@ def histograms(df: DataFrame, columns: list[str], bins: int = K.HISTOGRAM_BINS,
     """
     edges = edges or bounds(df, columns)
     kept = [c for c in columns if c in edges]
+    if not kept:
+        return df.sparkSession.createDataFrame([], "feature string, bin int, bin_low double, bin_high double, n bigint")
     binned = df.select(
         F.inline(
             F.array(
@@ -84,7 +86,7 @@ def distribution_shift(before: DataFrame, after: DataFrame, column: str, bins: i
     """Histograms of one column before and after a step, over shared bins."""
     a, b = bounds(before, [column]).get(column), bounds(after, [column]).get(column)
     known = [e for e in (a, b) if e is not None]
-    edges = {column: (min(e[0] for e in known), max(e[1] for e in known))}
+    edges = {column: (min(e[0] for e in known), max(e[1] for e in known))} if known else {}
     return (
         histograms(before, [column], bins, edges).withColumn("stage", F.lit("before"))
         .unionByName(histograms(after, [column], bins, edges).withColumn("stage", F.lit("after")))
@@ -128,9 +130,11 @@ def box_summary(df: DataFrame, features: list[str], target: str, classes: list)
     )
 
 
-def box_by_target(df: DataFrame, target: str, max_features: int = K.CHART_VS_TARGET) -> DataFrame:
+def box_by_target(df: DataFrame, target: str, max_features: int = K.CHART_VS_TARGET) -> DataFrame | None:
     """Boxes of the first numeric features for the 10 most frequent classes."""
     features = numeric_columns(df, target)[:max_features]
+    if not features:
+        return None
     classes = [r["value"] for r in value_counts(df, target, K.BOX_CLASSES).collect()]
     return box_summary(df, features, target, classes)
 
@@ -142,7 +146,7 @@ def box_separation(df: DataFrame, target: str, max_features: int = K.CHART_SEPAR
         .orderBy("v").limit(K.TOP_VALUES + 1).collect()
     )
     features = numeric_columns(df, target)[:max_features]
-    if not features or len(values) > K.TOP_VALUES:
+    if not features or not values or len(values) > K.TOP_VALUES:
         return None
     return box_summary(df, features, target, [r["v"] for r in values[: K.SEPARATION_CLASSES]])
 
@@ -177,6 +181,10 @@ def missing_patterns(df: DataFrame, columns: list[str] | None = None) -> DataFra
 def scale_ranges(df: DataFrame, target: str | None = None) -> DataFrame:
     """Range of each numeric feature, its share of the largest, and dominance."""
     features = numeric_columns(df, target)
+    if not features:
+        return df.sparkSession.createDataFrame(
+            [], "ordinal int, feature string, value_range double, normalized double, is_dominant boolean"
+        )
     rows = stat_rows(df, {f: {"value_range": F.max(as_double(f)) - F.min(as_double(f))} for f in features}, 2)
     largest = F.max("value_range").over(Window.partitionBy())  # one row per column
     share = F.try_divide(F.col("value_range"), largest)

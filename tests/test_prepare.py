@@ -1,5 +1,7 @@
 """Sampling, outliers, imputation, encoding, scaling, ingest, streams."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from featloom.operators import casting, derive, outliers, preprocess, sampling
 from featloom.operators.encode import fit_levels, frequency_encode, label_encode, one_hot_encode
 from featloom.operators.preprocess import PrepConfig, fit_prep
+from featloom.session import shared_dir
 from featloom.sources import files, messy
 from featloom.streaming.apply import prepare_stream
 
@@ -246,3 +249,24 @@ def test_generated_table(spark):
     assert 0.05 < a.Income.isna().mean() < 0.15 and 0.02 < a.Education.isna().mean() < 0.08
     assert abs(a.Age.mean() - 35) < 1.5 and abs(a.YearsEmployed.mean() - 5) < 0.6
     assert 0.4 < a.Purchased.mean() < 0.6 and a.CreditScore.between(300, 849).all()
+
+
+# --- shared folder --------------------------------------------------------------------------
+
+
+def test_shared_folder_comes_from_the_session():
+    def session(folder, master):
+        return SimpleNamespace(conf={"spark.checkpoint.dir": folder} if folder else {},
+                               sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("hdfs://x/cp", "yarn")) == "hdfs://x/cp"
+    assert shared_dir(session(None, "local[2]")).endswith("featloom-checkpoints")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session(None, "yarn"))
+
+
+def test_missing_class_may_be_the_hot_one(spark):
+    df = spark.range(0, 3_000).selectExpr("id", "case when id % 3 > 0 then concat('l', id) end as c")
+    small, large = fit_levels(df, ["c"]), fit_levels(df, ["c"], small_limit=10)
+    assert large["c"].table.where("level = 'nan'").first()["all_rows"] == 1_000
+    assert column(label_encode(df, small), "c") == column(label_encode(df, large), "c")

@@ -239,3 +239,43 @@ def test_guidance_without_findings(spark):
     df = spark.createDataFrame([("a",)], "t string").withColumn("x", F.lit(None).cast("double"))
     got = {r["model"]: r["guidance"] for r in rows(summaries.model_guidance(df, "t"))}
     assert got[K.KNN] == "No immediate action needed." and got[K.TREE] == "Scaling not required."
+
+
+def test_text_only_table(spark):
+    """Nothing numeric: empty tables or None, never an error."""
+    df = spark.createDataFrame([("a", "x"), ("b", "y")], "c string, t string")
+    assert correlation.corr_matrix(df, "t") is None
+    for found in (correlation.collinear_pairs(df, "t"), correlation.corr_to_target(df, "t"),
+                  summaries.scale_ranges(df, "t"), summaries.feature_histograms(df, "t")):
+        assert found.count() == 0
+    assert summaries.box_by_target(df, "t") is None and summaries.box_separation(df, "t") is None
+    assert signal.feature_report(df, "t").count() == 4
+
+
+def test_eta_squared_of_a_constant_that_has_no_exact_double(spark):
+    df = spark.range(0, 1_000, 1, 4).selectExpr("0.1D as k", "0.1D as y", "cast(id % 7 as string) as t")
+    assert rows(signal.eta_squared(df, ["k"], "t"))[0]["eta_squared"] == 0.0
+    assert rows(signal.eta_squared_by_levels(df, ["t"], "y"))[0]["eta_squared"] == 0.0
+    assert {r["signal"] for r in rows(signal.signal_strength(df, "t", ["k"]))} == {"Low"}
+
+
+def test_negative_zero_is_zero(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,)], "x double")
+    assert rows(profile.n_distinct(df, ["x"]))[0]["n_unique"] == 1
+
+
+def test_huge_values_are_not_fractions(spark):
+    df = spark.createDataFrame([(1e300,), (2.0,)], "t double")
+    assert profile.target_type(df, "t").first()["target_kind"] == "binary"
+
+
+def test_rows_without_target_count_for_spread_only(spark):
+    data = [(1.0, "a"), (2.0, "a"), (3.0, "b"), (400.0, None)]
+    df = spark.createDataFrame(data, "x double, t string")
+    got = rows(signal.feature_report(df, "t", [K.KNN]))[0]
+    assert got["scale_sensitivity"] == "High"
+    values, mean = [1.0, 2.0, 3.0], 2.0
+    want = (2 * 0.25 + 1.0) / sum((v - mean) ** 2 for v in values)
+    assert rows(signal.signal_strength(df, "t"))[0]["strength"] == pytest.approx(want)
+    spread = rows(signal.scale_sensitivity(df, ["x"]))[0]
+    assert rows(signal._profile(df, "t", ["x"]))[0]["cv"] == pytest.approx(spread["cv"])

@@ -64,3 +64,28 @@ def test_logistic_regression_minimises_the_penalised_loss(spark):
     w, b = fitted.model.coefficients.toArray(), fitted.model.intercept
     p = 1 / (1 + np.exp(-(x @ w + b)))
     assert np.abs(w + x.T @ (p - y)).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+
+
+def test_awkward_column_names(spark):
+    """Dots, carets, spaces and quotes in names go through every step."""
+    rows = spark.range(0, 300, 1, 4).selectExpr(
+        "id as `row.id`", "cast(id % 17 as double) as `a.b`", "cast(id % 5 as double) as `c^2`",
+        "case when id % 3 = 0 then 'x y' else 'z' end as `d e`", "cast(id % 17 > 8 as int) as `t.t`")
+    walk = Study(rows, "t.t", ["row.id"], FULL)
+    assert walk.report().count() == 12
+    assert walk.overview()["schema"].count() == 5
+    assert all(df.count() >= 0 for part in (walk.charts(), walk.selection()) for df in part.values())
+    for config in (FULL, PrepConfig("Median", "One-Hot Encoding", "RobustScaler")):
+        walk.config = config
+        result = walk.train(K.TREE)
+        assert result.metrics.first()["accuracy"] == 1.0
+        assert walk.verify(result)["ablation"].first()["feature"] == "a.b"
+
+
+def test_training_without_keys_splits_by_whole_row(spark):
+    rows = spark.range(0, 500, 1, 4).selectExpr("cast(id as double) as x", "cast(id % 2 as boolean) as t")
+    result = models.train_evaluate(rows, "t", K.TREE, FULL)
+    assert result.model.classes == [False, True]
+    assert result.model.predict(rows).select("predicted_class").dtypes == [("predicted_class", "boolean")]
+    with pytest.raises(ValueError, match="neither numbers"):
+        models.check_target(rows.select(F.expr("timestamp_seconds(x) as t")), "t")
