@@ -10,14 +10,14 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featloom import constants as K
-from featloom.functions.columns import col
+from featloom.functions.columns import OTHER, class_of, col
 from featloom.operators.knn import KnnModel, fit_knn
 from featloom.operators.metrics import classification_metrics
 from featloom.operators.preprocess import FittedPrep, PrepConfig, fit_prep
-from featloom.operators.profile import target_type
+from featloom.operators.profile import few_values
 from featloom.operators.sampling import split
 from featloom.session import cut_lineage
 
@@ -57,17 +57,17 @@ def estimator(name: str, n_rows: int, n_classes: int, **params):
 
 def check_target(df: DataFrame, target: str) -> list:
     """Sorted classes of a valid target; ``ValueError`` otherwise."""
-    info = target_type(df, target).first()
-    if info["task_type"] == "regression":
+    kind = df.schema[target].dataType
+    if class_of(kind) == OTHER and not isinstance(kind, T.BooleanType):
+        raise ValueError(f"Target column {target} holds neither numbers, text nor truth values.")
+    if isinstance(kind, T.FractionalType) and df.where(col(target) % 1 != 0).limit(1).count():
         raise ValueError(K.CONTINUOUS_TARGET_ERROR)
-    if info["n_unique"] < 2:
+    classes = few_values(df, target, MAX_CLASSES)
+    if classes is None:
+        raise ValueError(f"Target has more than {MAX_CLASSES} classes; no model here can hold them.")
+    if len(classes) < 2:
         raise ValueError(K.SINGLE_CLASS_ERROR)
-    if info["task_type"] != "classification":
-        raise ValueError(f"Target column {target} holds neither numbers, text nor truth values.")
-    if info["n_unique"] > MAX_CLASSES:
-        raise ValueError(f"Target has {info['n_unique']} classes; at most {MAX_CLASSES} can be trained.")
-    rows = df.where(col(target).isNotNull()).select(col(target).alias("v")).distinct().limit(MAX_CLASSES).collect()
-    return sorted(r["v"] for r in rows)
+    return classes
 
 
 def label_column(target: str, classes: list) -> Column:

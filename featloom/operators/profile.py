@@ -75,6 +75,19 @@ def null_target_counts(df: DataFrame, target: str) -> DataFrame:
     )
 
 
+def few_values(df: DataFrame, column: str, limit: int) -> list | None:
+    """Sorted present values of a column, or None if there are more than ``limit``.
+
+    A sketch settles the clear cases in one scan without a shuffle (its error is
+    far below the factor two left here); only a plausibly small set is listed.
+    """
+    rough = df.agg(F.approx_count_distinct(col(column)).alias("n")).first()["n"]
+    if rough > 2 * limit + 10:
+        return None
+    values = df.where(col(column).isNotNull()).select(col(column).alias("v")).distinct().limit(limit + 1).collect()
+    return None if len(values) > limit else sorted(r["v"] for r in values)
+
+
 def target_type(df: DataFrame, target: str) -> DataFrame:
     """One row: kind of target, task, class count, usable models, validity."""
     data_type = df.schema[target].dataType

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from featloom import constants as K
 from featloom.functions.columns import col
 from featloom.functions.hashing import HASH_BITS, key_hash, key_uniform
+from featloom.operators.profile import few_values
 from featloom.session import cut_lineage
 
 BUCKET_BITS = 16
@@ -39,14 +40,11 @@ def sample_stratified(
     classes and no class with a single row. Class shares are rounded by largest
     remainder, so the total is exact.
     """
-    # 21 classes are enough to know that there are too many.
-    classes = (
-        df.groupBy(col(target)).agg(F.count(F.lit(1)).alias("n")).limit(K.STRATIFY_MAX_CLASSES + 1).collect()
-    )
-    usable = (
-        K.STRATIFY_MIN_CLASSES <= len(classes) <= K.STRATIFY_MAX_CLASSES
-        and all(r[0] is not None and r["n"] > 1 for r in classes)
-    )
+    classes = few_values(df, target, K.STRATIFY_MAX_CLASSES)
+    usable = classes is not None and len(classes) >= K.STRATIFY_MIN_CLASSES
+    if usable:
+        sizes = df.groupBy(col(target).alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 21 rows
+        usable = all(r["v"] is not None and r["n"] > 1 for r in sizes)
     return _take(df, max_rows, keys, seed, target if usable else None)
 
 

@@ -8,6 +8,7 @@ from featloom import constants as K
 from featloom.functions.columns import (
     NUMERIC, as_double, class_of, col, numeric_columns, stat_rows, stat_values, unpivot,
 )
+from featloom.operators.profile import few_values
 from featloom.operators.quantiles import exact_quantiles
 
 
@@ -22,8 +23,7 @@ def value_counts(df: DataFrame, target: str, top: int | None = None) -> DataFram
 
 def target_distribution(df: DataFrame, target: str) -> tuple[str, DataFrame]:
     """Counts for up to 20 distinct values; else a histogram or the top values."""
-    few = df.where(col(target).isNotNull()).select(col(target)).distinct().limit(K.TOP_VALUES + 1).count()
-    if few <= K.TOP_VALUES:
+    if few_values(df, target, K.TOP_VALUES) is not None:
         return "counts", value_counts(df, target)
     if class_of(df.schema[target].dataType) == NUMERIC:
         return "histogram", histograms(df, [target])
@@ -141,14 +141,9 @@ def box_by_target(df: DataFrame, target: str, max_features: int = K.CHART_VS_TAR
 
 def box_separation(df: DataFrame, target: str, max_features: int = K.CHART_SEPARATION) -> DataFrame | None:
     """Boxes for the first 5 classes in sorted order; None above 20 classes."""
-    values = (
-        df.where(col(target).isNotNull()).select(col(target).alias("v")).distinct()
-        .orderBy("v").limit(K.TOP_VALUES + 1).collect()
-    )
     features = numeric_columns(df, target)[:max_features]
-    if not features or not values or len(values) > K.TOP_VALUES:
-        return None
-    return box_summary(df, features, target, [r["v"] for r in values[: K.SEPARATION_CLASSES]])
+    values = few_values(df, target, K.TOP_VALUES) if features else None
+    return box_summary(df, features, target, values[: K.SEPARATION_CLASSES]) if values else None
 
 
 def feature_vs_target(df: DataFrame, target: str, keys: list[str], max_features: int = K.CHART_VS_TARGET) -> tuple[str, DataFrame]:
@@ -156,8 +151,7 @@ def feature_vs_target(df: DataFrame, target: str, keys: list[str], max_features:
     from featloom.operators.sampling import sample_random
 
     numeric = class_of(df.schema[target].dataType) == NUMERIC
-    few = df.select(col(target)).where(col(target).isNotNull()).distinct().limit(K.TOP_VALUES + 1).count()
-    if numeric and few > K.TOP_VALUES:
+    if numeric and few_values(df, target, K.TOP_VALUES) is None:
         features = numeric_columns(df, target)[:max_features]
         points = sample_random(df, K.PLOT_SAMPLE_ROWS, keys)
         return "scatter", unpivot(points, features, "double", ids=[target])

@@ -112,7 +112,7 @@ def sample_stratified(spark, sf):
 
 
 @query("split_counts", f"""
-SELECT {sql_uniform('o_orderkey')} < 0.2 AS is_test, o_orderstatus, count(*) AS n, sum(o_orderkey) AS key_sum
+SELECT {sql_uniform('o_orderkey')} < 0.2 AS is_test, o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
 FROM orders GROUP BY 1, 2""")
 def split_counts(spark, sf):
     marked = sampling.mark_test(table(spark, sf, "orders"), ["o_orderkey"])
