@@ -31,7 +31,7 @@ class _Cut:
         self.k1 = min(self.k0 + 1, n - 1)
         self.share = position - self.k0
         self.lo = self.hi = None
-        self.below = self.at_lo = self.mid = 0
+        self.below = self.mid = self.upto_hi = 0
 
     def holds_ranks(self, below, upto_hi):
         return below <= self.k0 and self.k1 < upto_hi
@@ -50,7 +50,7 @@ def exact_quantiles(
     chart), because one row per group comes back to the caller.
     """
     wanted = sorted(set(probabilities))
-    groups = batches(columns, 2 * len(wanted))  # four counts each, a compiled method's worth
+    groups = batches(columns, 2 * len(wanted))  # a few counts each, a compiled method's worth
     if len(groups) > 1:
         result = {}
         for group in groups:  # every group scans its own columns only
@@ -153,14 +153,13 @@ def _count(data, names, cuts: list[_Cut]) -> None:
     aggregates = []
     for (column, _), i in index.items():
         x, (lo, hi) = F.col(names[column]), bounds[i]
-        for tag, test in (("a", x < lo), ("b", x <= lo), ("c", x < hi), ("d", x <= hi)):
+        for tag, test in (("a", x < lo), ("b", (x > lo) & (x < hi)), ("c", x <= hi)):
             aggregates.append(F.count_if(test).alias(f"{tag}{i}"))
     grouped = any(c.group is not None for c in cuts)
     found = {(r["__g"] if grouped else None): r for r in _grouped(rows, grouped).agg(*aggregates).collect()}
     for c in cuts:
         row, i = found[c.group], index[c.column, c.p]
-        c.below, c.at_lo = row[f"a{i}"], row[f"b{i}"] - row[f"a{i}"]
-        c.mid, c.upto_hi = max(row[f"c{i}"] - row[f"b{i}"], 0), row[f"d{i}"]
+        c.below, c.mid, c.upto_hi = row[f"a{i}"], row[f"b{i}"], row[f"c{i}"]
 
 
 def _narrow(data, names, cuts: list[_Cut]) -> None:
@@ -170,10 +169,15 @@ def _narrow(data, names, cuts: list[_Cut]) -> None:
     every round shrinks the inside by about the sketch accuracy.
     """
     rows, index, bounds = _bound_columns(data, names, cuts)
+    grouped = any(c.group is not None for c in cuts)
+    copies = _grouped(rows, grouped).agg(
+        *[F.count_if(F.col(names[column]) == bounds[i][0]).alias(f"e{i}") for (column, _), i in index.items()]
+    )
+    at_lo = {(r["__g"] if grouped else None): r for r in copies.collect()}
     grid = {}
     for c in cuts:
-        first, last = c.k0 - c.below - c.at_lo, c.k1 - c.below - c.at_lo
-        c.low_p, c.high_p = first / c.mid - MARGIN, last / c.mid + MARGIN
+        before = c.below + at_lo[c.group][f"e{index[c.column, c.p]}"]
+        c.low_p, c.high_p = (c.k0 - before) / c.mid - MARGIN, (c.k1 - before) / c.mid + MARGIN
         grid.setdefault(index[c.column, c.p], set()).update(
             min(max(p, 0.0), 1.0) for p in (c.low_p, c.high_p)
         )
@@ -182,7 +186,6 @@ def _narrow(data, names, cuts: list[_Cut]) -> None:
         x, (lo, hi) = F.col(names[column]), bounds[i]
         inside = F.when((x > lo) & (x < hi), x)
         aggregates.append(F.percentile_approx(inside, sorted(grid[i]), SKETCH_ACCURACY).alias(f"q{i}"))
-    grouped = any(c.group is not None for c in cuts)
     found = {(r["__g"] if grouped else None): r for r in _grouped(rows, grouped).agg(*aggregates).collect()}
     for c in cuts:
         i = index[c.column, c.p]

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featloom import constants as K
 from featloom.functions.columns import (
-    NUMERIC, as_double, class_of, col, numeric_columns, stat_rows, stat_values, unpivot,
+    NUMERIC, as_double, batches, class_of, col, numeric_columns, stat_rows, stat_values, union_all, unpivot,
 )
 from featloom.operators.profile import few_values
 from featloom.operators.quantiles import exact_quantiles
 
+BOX_BUFFERS = 6  # running values kept per feature in a box pass
+
 
 def value_counts(df: DataFrame, target: str, top: int | None = None) -> DataFrame:
     """Counts per present value, largest first (ties by value)."""
@@ -101,33 +103,52 @@ def box_summary(df: DataFrame, features: list[str], target: str, classes: list)
     """
     chosen = df.where(col(target).isin(classes))
     quartiles = exact_quantiles(chosen, features, [0.25, 0.5, 0.75], by=target)
-    spark = df.sparkSession
     kind = df.schema[target].dataType.simpleString()
-    params = [(g, f, *q) for (g, f), q in quartiles.items()]
+    parts = [
+        _whiskers(chosen, group, target, kind, quartiles) for group in batches(features, BOX_BUFFERS)
+    ]
     # One row per feature and class: at most max_features x 10.
-    table = spark.createDataFrame(params, f"class {kind}, feature string, q1 double, median double, q3 double")
-    table = table.withColumns(
-        {
-            "low_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
-            "high_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")),
-        }
+    table = df.sparkSession.createDataFrame(
+        [(g, f, *q) for (g, f), q in quartiles.items()],
+        f"class {kind}, feature string, q1 double, median double, q3 double",
     )
-    x = F.col("value")
-    inside = x.between(F.col("low_fence"), F.col("high_fence"))
-    values = unpivot(chosen.withColumn("class", col(target)), features, "double", ids=["class"])
-    return (
-        values.where(x.isNotNull())
-        .join(F.broadcast(table), ["class", "feature"])
-        .groupBy("feature", "class", "q1", "median", "q3")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
-            F.min(F.when(inside, x)).alias("whisker_low"),
-            F.max(F.when(inside, x)).alias("whisker_high"),
-            F.count_if(~inside).alias("n_outliers"),
+    return union_all(parts).where(F.col("n") > 0).join(F.broadcast(table), ["class", "feature"])
+
+
+def _whiskers(chosen: DataFrame, features: list[str], target: str, kind: str, quartiles: dict) -> DataFrame:
+    """Counts, extremes and whisker ends of a few features, one scan by class."""
+    slots = list(enumerate(features))
+    rows = []
+    for g in {g for g, _ in quartiles}:
+        fences = []
+        for _, f in slots:
+            q1, _, q3 = quartiles.get((g, f), (None, None, None))
+            fences += [None, None] if q1 is None else [q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)]
+        rows.append((g, *fences))
+    schema = ", ".join([f"class {kind}", *[f"lo{i} double, hi{i} double" for i, _ in slots]])
+    fences = F.broadcast(chosen.sparkSession.createDataFrame(rows, schema))  # one row per class
+    data = chosen.select(col(target).alias("class"), *[as_double(f).alias(f"x{i}") for i, f in slots])
+    aggregates = []
+    for i, _ in slots:
+        x = F.col(f"x{i}")
+        inside = x.between(F.col(f"lo{i}"), F.col(f"hi{i}"))
+        aggregates += [
+            F.count(x).alias(f"n{i}"),
+            F.min(x).alias(f"min{i}"),
+            F.max(x).alias(f"max{i}"),
+            F.min(F.when(inside, x)).alias(f"low{i}"),
+            F.max(F.when(inside, x)).alias(f"high{i}"),
+            F.count_if(~inside).alias(f"out{i}"),
+        ]
+    structs = [
+        F.struct(
+            F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"min{i}").alias("min"),
+            F.col(f"max{i}").alias("max"), F.col(f"low{i}").alias("whisker_low"),
+            F.col(f"high{i}").alias("whisker_high"), F.col(f"out{i}").alias("n_outliers"),
         )
-    )
+        for i, f in slots
+    ]
+    return data.join(fences, "class").groupBy("class").agg(*aggregates).select("class", F.inline(F.array(*structs)))
 
 
 def box_by_target(df: DataFrame, target: str, max_features: int = K.CHART_VS_TARGET) -> DataFrame | None:
