@@ -19,6 +19,7 @@ from featloom.functions.columns import as_double, batches, col
 SKETCH_ACCURACY = 10_000
 INSIDE_LIMIT = 1_000_000  # values ranked in one window at the end
 MARGIN = 3.0 / SKETCH_ACCURACY
+MAX_ROUNDS = 25  # each shrinks the inside a thousandfold
 
 
 class _Cut:
@@ -137,7 +138,9 @@ def _bound_columns(data: DataFrame, names, cuts: list[_Cut]):
 def _confirm(data, names, cuts: list[_Cut], inside_limit: int) -> None:
     """Count around the bounds; narrow until few values lie strictly inside."""
     open_cuts = list(cuts)
-    while open_cuts:
+    for _ in range(MAX_ROUNDS):
+        if not open_cuts:
+            return
         _count(data, names, open_cuts)
         missed = [c for c in open_cuts if not c.holds_ranks(c.below, c.upto_hi)]
         for c in missed:  # the sketch was off: start again from the full range
@@ -146,6 +149,7 @@ def _confirm(data, names, cuts: list[_Cut], inside_limit: int) -> None:
         if wide:
             _narrow(data, names, wide)
         open_cuts = missed + wide
+    raise RuntimeError(f"quantile intervals did not settle in {MAX_ROUNDS} rounds; are NaN values left?")
 
 
 def _count(data, names, cuts: list[_Cut]) -> None:

@@ -49,6 +49,8 @@ def sample_stratified(
 
 
 def _take(df, max_rows, keys, seed, target):
+    if max_rows <= 0:
+        return df.limit(0)
     keys = keys or df.columns
     group = col(target) if target else F.lit(0)
     marked = df.withColumns({"__g": group, "__h": key_hash(keys, seed)}).withColumn(

@@ -30,56 +30,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # The given tables hold no NULL, so both engines blank the same cells of lineitem.
-GAPPY_COLUMNS = """
-  l_orderkey, l_linenumber,
-  CASE WHEN l_linenumber % 7 = 0 THEN NULL ELSE l_quantity END AS qty,
-  l_extendedprice AS price,
-  CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE l_discount END AS disc,
-  l_tax AS tax,
-  CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_returnflag END AS flag,
-  l_linestatus AS status
-"""
-GAPPY_SQL = f"g AS (SELECT {GAPPY_COLUMNS} FROM lineitem)"
+GAPPY_COLUMNS = [
+    "l_orderkey",
+    "l_linenumber",
+    "CASE WHEN l_linenumber % 7 = 0 THEN NULL ELSE l_quantity END AS qty",
+    "l_extendedprice AS price",
+    "CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE l_discount END AS disc",
+    "l_tax AS tax",
+    "CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_returnflag END AS flag",
+    "l_linestatus AS status",
+]
+GAPPY_SQL = f"g AS (SELECT {', '.join(GAPPY_COLUMNS)} FROM lineitem)"
 GAPPY_NUMERIC = ["qty", "price", "disc", "tax"]
 
-# Columns of known signal: the band follows the price, revenue follows price and quantity.
-SIGNAL_COLUMNS = """
-  l_quantity AS qty, l_extendedprice AS price, l_discount AS disc, l_tax AS tax,
-  l_quantity * l_extendedprice AS gross,
-  l_extendedprice * (1 - l_discount) AS net,
-  CAST(l_suppkey AS INTEGER) AS supp,
-  l_returnflag AS flag, l_linestatus AS status,
-  CASE WHEN l_quantity * l_extendedprice < 500000 THEN 'small'
-       WHEN l_quantity * l_extendedprice < 1500000 THEN 'medium' ELSE 'large' END AS size_class,
-  CASE WHEN l_extendedprice < 30000 THEN 'low'
-       WHEN l_extendedprice < 60000 THEN 'mid' ELSE 'high' END AS band
-"""
-SIGNAL_SQL = f"s AS (SELECT {SIGNAL_COLUMNS} FROM lineitem)"
+# Columns of known signal: the band follows the price, gross follows price and quantity.
+SIGNAL_COLUMNS = [
+    "l_quantity AS qty",
+    "l_extendedprice AS price",
+    "l_discount AS disc",
+    "l_tax AS tax",
+    "l_quantity * l_extendedprice AS gross",
+    "l_extendedprice * (1 - l_discount) AS net",
+    "CAST(l_suppkey AS INTEGER) AS supp",
+    "l_returnflag AS flag",
+    "l_linestatus AS status",
+    "CASE WHEN l_quantity * l_extendedprice < 500000 THEN 'small' "
+    "WHEN l_quantity * l_extendedprice < 1500000 THEN 'medium' ELSE 'large' END AS size_class",
+    "CASE WHEN l_extendedprice < 30000 THEN 'low' WHEN l_extendedprice < 60000 THEN 'mid' ELSE 'high' END AS band",
+]
+SIGNAL_SQL = f"s AS (SELECT {', '.join(SIGNAL_COLUMNS)} FROM lineitem)"
 SIGNAL_NUMERIC = ["qty", "price", "disc", "tax", "gross", "net", "supp"]
 
 
-def _projected(spark, sf_dir, columns):
-    lineitem = table(spark, sf_dir, "lineitem")
-    return lineitem.selectExpr(*[c.strip() for c in _split_top_level(columns)])
-
-
-def _split_top_level(text: str) -> list[str]:
-    """The items of a select list (commas inside brackets do not separate)."""
-    items, depth, start = [], 0, 0
-    for i, ch in enumerate(text):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            items.append(text[start:i])
-            start = i + 1
-    return [*items, text[start:]]
-
-
 def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _projected(spark, sf_dir, GAPPY_COLUMNS)
+    return table(spark, sf_dir, "lineitem").selectExpr(*GAPPY_COLUMNS)
 
 
 def signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _projected(spark, sf_dir, SIGNAL_COLUMNS)
+    return table(spark, sf_dir, "lineitem").selectExpr(*SIGNAL_COLUMNS)
 
 
 # --- SQL fragments --------------------------------------------------------------

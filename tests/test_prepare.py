@@ -29,6 +29,8 @@ def test_sample_is_exact_and_stable(spark):
     assert first.count() == 777
     assert set(column(first, "id")) == set(column(second, "id"))
     assert sampling.sample_random(df, 20_000, ["id"]).count() == 10_000
+    assert sampling.sample_random(df, 0, ["id"]).count() == 0
+    assert sampling.sample_random(df.limit(0), 5, ["id"]).count() == 0
     parts = dict(sampling.sample_stratified(df, 1_005, "t", ["id"]).groupBy("t").count().collect())
     assert sum(parts.values()) == 1_005 and parts["r"] in (100, 101)
 
