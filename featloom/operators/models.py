@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featloom import constants as K
 from featloom.functions.columns import OTHER, class_of, col
+from featloom.operators.kernel import FourierMap, fit_fourier_map
 from featloom.operators.knn import KnnModel, fit_knn
 from featloom.operators.metrics import classification_metrics
 from featloom.operators.preprocess import FittedPrep, PrepConfig, fit_prep
@@ -27,7 +28,7 @@ MAX_CLASSES = 1_000  # model size grows with classes; more is refused, never tru
 DEFAULTS = {
     K.LOGISTIC: {"maxIter": 1000, "C": 1.0},
     K.KNN: {"k": K.KNN_NEIGHBOURS},
-    K.SVM: {"maxIter": 100, "regParam": 0.01},
+    K.SVM: {"maxIter": 100, "C": 1.0},
     K.TREE: {"maxDepth": 12, "maxBins": 256, "impurity": "gini", "seed": K.SEED},
 }
 
@@ -35,22 +36,22 @@ DEFAULTS = {
 def estimator(name: str, n_rows: int, n_classes: int, **params):
     """Spark ML estimator for a model name; ``params`` override the defaults.
 
-    Logistic regression takes the inverse strength ``C`` on the summed loss;
-    Spark regularises the mean loss, hence ``regParam = 1/(C·n)``. The SVM is
-    linear (one against the rest for several classes), the tree bins its splits
-    and is limited in depth.
+    Logistic regression and SVM take the inverse strength ``C`` on the summed
+    loss; Spark regularises the mean loss, hence ``regParam = 1/(C·n)``. The SVM
+    is linear (one against the rest for several classes), the tree bins its
+    splits and is limited in depth.
     """
     if name not in DEFAULTS:
         raise ValueError(f"unknown model: {name!r}; use one of {K.MODELS}")
     settings = {**DEFAULTS[name], **params}
+    if "C" in settings:
+        settings.setdefault("regParam", 1.0 / (settings.pop("C") * max(n_rows, 1)))
     if name == K.LOGISTIC:
-        c = settings.pop("C")
-        settings.setdefault("regParam", 1.0 / (c * max(n_rows, 1)))
         return LogisticRegression(elasticNetParam=0.0, standardization=False, **settings)
     if name == K.TREE:
         return DecisionTreeClassifier(**settings)
     if name == K.SVM:
-        svm = LinearSVC(**settings)
+        svm = LinearSVC(standardization=False, **settings)
         return svm if n_classes == 2 else OneVsRest(classifier=svm, parallelism=2)
     raise ValueError("KNN has no estimator; it is fitted by fit_knn")
 
@@ -92,6 +93,7 @@ class TrainedModel:
     features: list[str]
     model: object
     prep: FittedPrep | None = None
+    projection: FourierMap | None = None
 
     def score(self, prepared: DataFrame, keep: list[str] = ()) -> DataFrame:
         """Add ``prediction`` (class index) and ``score`` to prepared rows.
@@ -111,7 +113,7 @@ class TrainedModel:
             if len(self.classes) == 2:
                 share = F.coalesce(F.try_element_at("votes", F.lit(1.0)), F.lit(0))
             return joined.select(*keep_cols, "prediction", (share / total).alias("score"))
-        scored = self.model.transform(rows)
+        scored = self.model.transform(self.projection.apply(rows) if self.projection else rows)
         if "probability" in scored.columns:
             p = vector_to_array("probability")
             score = p[1] if len(self.classes) == 2 else F.array_max(p)
@@ -137,16 +139,25 @@ def fit_model(
     prepared: DataFrame, name: str, target: str, classes: list, features: list[str],
     prep: FittedPrep | None = None, **params,
 ) -> TrainedModel:
-    """Fit on prepared rows (which still hold the raw target column)."""
+    """Fit on prepared rows (which still hold the raw target column).
+
+    The SVM takes ``kernel="rbf"``: a linear SVM on random Fourier features.
+    """
     labelled = prepared.withColumn("label", label_column(target, classes))
     data = assemble(labelled, features, ["label"])
     if name == K.KNN:
         k = params.get("k", DEFAULTS[K.KNN]["k"])
         model = fit_knn(data, vector_to_array("features"), F.col("label"), k)
         return TrainedModel(name, target, classes, features, model, prep)
+    kernel, projection = params.pop("kernel", "linear"), None
+    if kernel not in ("linear", "rbf") or (kernel == "rbf" and name != K.SVM):
+        raise ValueError(f"{name} has no kernel {kernel!r}")
+    if kernel == "rbf":
+        projection = fit_fourier_map(data)
+        data = projection.apply(data)
     # The estimators keep their own input blocks in memory or on disk while they iterate.
-    model = estimator(name, data.count(), len(classes), **params).fit(data)
-    return TrainedModel(name, target, classes, features, model, prep)
+    model = estimator(name, prepared.count(), len(classes), **params).fit(data)
+    return TrainedModel(name, target, classes, features, model, prep, projection)
 
 
 def usable_features(prepared: DataFrame, prep: FittedPrep) -> list[str]:
@@ -226,7 +237,7 @@ def train_evaluate(
 def importance(trained: TrainedModel) -> list[tuple[str, float]]:
     """(feature, importance) in feature order; empty where a model has none."""
     model = trained.model
-    if isinstance(model, KnnModel):
+    if isinstance(model, KnnModel) or trained.projection:
         return []
     if isinstance(model, OneVsRestModel):
         rows = [m.coefficients.toArray() for m in model.models]

@@ -54,6 +54,11 @@ def model_svm(spark, sf):
     return _scores(_trained(spark, sf, K.SVM, maxIter=20))
 
 
+@query("model_svm_rbf")
+def model_svm_rbf(spark, sf):
+    return _scores(_trained(spark, sf, K.SVM, maxIter=20, kernel="rbf"))
+
+
 @query("train_evaluate")
 def train_evaluate(spark, sf):
     """Three classes, one-hot features."""

@@ -78,6 +78,21 @@ def test_metrics_by_hand(spark):
     assert row["accuracy"] == 0.5 and row["f1_score"] == pytest.approx((2 * 2 / 3 + 0.5 + 0) / 4)
 
 
+def test_kernel_svm_learns_a_circle(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(800, 2))
+    inside = (x**2).sum(axis=1) < 1.2
+    df = spark.createDataFrame([(float(a), float(b), int(t)) for (a, b), t in zip(x, inside)], "a double, b double, t int")
+    scores = {}
+    for kernel in ("linear", "rbf"):
+        result = models.train_evaluate(df, "t", K.SVM, PrepConfig(), C=10.0, kernel=kernel, maxIter=50)
+        scores[kernel] = result.metrics.first()["accuracy"]
+    assert scores["rbf"] > 0.9 > scores["linear"] + 0.1
+    assert models.importance(result.model) == []
+    with pytest.raises(ValueError):
+        models.train_evaluate(df, "t", K.TREE, PrepConfig(), kernel="rbf")
+
+
 # --- nearest neighbours -----------------------------------------------------------------
 
 
