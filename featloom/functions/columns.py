@@ -57,6 +57,18 @@ def unpivot(df: DataFrame, columns: list[str], cast: str, ids: list[str] = ()) -
     return wide.unpivot([col(i) for i in ids], [col(c) for c in columns], "feature", "value")
 
 
+LONG_TEXT = 64  # characters
+
+
+def level_key(text: Column) -> Column:
+    """Stand-in for a text where only equality matters.
+
+    Long texts are replaced by their SHA-256, so that counting distinct
+    documents moves 64 characters per text instead of the text.
+    """
+    return F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
+
+
 # Aggregate buffers one generated method can hold and still be compiled by the JVM.
 BUFFERS_PER_SCAN = 48
 

@@ -12,7 +12,8 @@ from featloom.functions.columns import col, unpivot
 from featloom.operators.ranking import rank_levels
 from featloom.session import cut_lineage
 
-SMALL_LEVELS = 100_000  # level rows that may come to the driver and be broadcast
+SMALL_LEVELS = 100_000  # level rows that may come to the driver and be broadcast …
+SMALL_BYTES = 32 * 2**20  # … and the size of their texts together
 HOT_SHARE = 0.001  # a level above this share of rows is looked up by broadcast
 SPREAD = 1024
 LEVELS_PER_STRETCH = 500_000  # levels sorted by one task
@@ -46,15 +47,16 @@ def fit_levels(df: DataFrame, columns: list[str], small_limit: int = SMALL_LEVEL
     """Count the levels of all columns in one grouping and rank them by text.
 
     Missing values belong to the class ``'nan'`` for codes. Up to
-    ``small_limit`` level rows are fetched (the limit itself proves the bound);
-    beyond it the counts stay distributed.
+    ``small_limit`` level rows are fetched, after a check of their number and
+    size; beyond that the counts stay distributed.
     """
     counts = unpivot(df, columns, "string").groupBy("feature", F.col("value").alias("level")).agg(
         F.count(F.lit(1)).alias("n")
     ).persist()  # counted once, whichever way it goes on
     try:
-        fetched = counts.limit(small_limit + 1).collect()
-        if len(fetched) <= small_limit:
+        size = counts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("level")).alias("bytes")).first()
+        if size["rows"] <= small_limit and (size["bytes"] or 0) <= SMALL_BYTES:
+            fetched = counts.collect()
             return {c: _small_table(c, [r for r in fetched if r["feature"] == c]) for c in columns}
         stored = cut_lineage(counts)
     finally:

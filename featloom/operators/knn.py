@@ -27,6 +27,7 @@ POINTS_PER_CELL = 4_000
 MAX_PIVOTS = 8_192
 BLOCK_POINTS = 20_000
 BLOCK_QUERIES = 4_000
+BLOCK_VALUES = 8_000_000  # numbers in one block of points or queries, and in the pivots
 CHUNK_CELLS = 4_000_000  # distances held at once inside a task
 SLACK = 1e-9  # relative room for rounding in the pruning bounds
 
@@ -58,6 +59,11 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in column])
 
 
+def _rows(most: int, width: int) -> int:
+    """Rows of ``width`` numbers that fit a block."""
+    return max(1, min(most, BLOCK_VALUES // max(width, 1)))
+
+
 def _chunks(column: pd.Series, width: int):
     """Row ranges of an Arrow batch that keep ``rows x width`` distances small."""
     step = max(1, CHUNK_CELLS // width)
@@ -172,7 +178,7 @@ class KnnModel:
         ``kth`` is the distance beyond which a query has no use for a point.
         """
         spark = assigned.sparkSession
-        sizes = assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("qblocks"))
+        sizes = assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / _rows(BLOCK_QUERIES, self.pivots.shape[1])).cast("int").alias("qblocks"))
         blocks = spark.createDataFrame(
             [(i, int(b)) for i, b in enumerate(self.blocks)], "cell int, tblocks int"
         )
@@ -217,10 +223,14 @@ def fit_knn(train: DataFrame, x: Column, label: Column, k: int = KNN_NEIGHBOURS)
     )
     points = cut_lineage(points)
     n = points.count()
-    wanted = max(1, min(MAX_PIVOTS, math.ceil(n / POINTS_PER_CELL)))
+    first = points.select("x").first()
+    if first is None:
+        raise ValueError("no training points")
+    width = len(first["x"])
+    wanted = max(1, min(_rows(MAX_PIVOTS, width), math.ceil(n / POINTS_PER_CELL)))
     # A hash filter leaves about four times the wanted pivots; the limit bounds the fetch.
     draw = F.pmod(F.xxhash64("x"), F.lit(1_000_003)) < int(min(1.0, 4.0 * wanted / max(n, 1)) * 1_000_003) + 1
-    chosen = points.where(draw).select("x").limit(wanted).collect() or points.select("x").limit(1).collect()
+    chosen = points.where(draw).select("x").limit(wanted).collect() or [first]
     pivots = np.array([r["x"] for r in chosen], dtype=float)
     celled = points.select("x", "label", "weight", _nearest_pivot(pivots)("x").alias("a")).select(
         "x", "label", "weight", "a.cell", "a.pivot_dist"
@@ -232,7 +242,7 @@ def fit_knn(train: DataFrame, x: Column, label: Column, k: int = KNN_NEIGHBOURS)
         F.max("pivot_dist").alias("radius"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")
     ).collect():  # one row per cell
         radius[r["cell"]], weight[r["cell"]] = r["radius"], r["weight"]
-        blocks[r["cell"]] = max(1, math.ceil(r["n"] / BLOCK_POINTS))
+        blocks[r["cell"]] = max(1, math.ceil(r["n"] / _rows(BLOCK_POINTS, width)))
     count = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
     points = celled.withColumn("tblock", F.pmod(F.xxhash64("x", "label"), count).cast("int")).drop("pivot_dist")
     return KnnModel(points, pivots, radius, weight, blocks, k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featloom import constants as K
-from featloom.functions.columns import CATEGORICAL, NUMERIC, class_of, col, stat_rows, unpivot
+from featloom.functions.columns import CATEGORICAL, NUMERIC, class_of, col, level_key, stat_rows, unpivot
 
 
 def column_types(df: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def n_distinct(df: DataFrame, columns: list[str], approximate: bool = False) ->
         return stat_rows(df, {c: {"n_unique": F.approx_count_distinct(col(c))} for c in columns}).select(
             F.col("feature").alias("column"), "n_unique"
         )
-    pairs = unpivot(df, columns, "string").groupBy("feature", "value").agg(F.lit(1).alias("one"))
+    pairs = unpivot(df, columns, "string").select("feature", level_key(F.col("value")).alias("value")).distinct()
     return pairs.groupBy(F.col("feature").alias("column")).agg(F.count("value").alias("n_unique"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from featloom import constants as K
 from featloom.functions import rules
 from featloom.functions.columns import (
-    CATEGORICAL, NUMERIC, as_double, batches, class_of, col, stat_rows, union_all, unpivot,
+    CATEGORICAL, NUMERIC, as_double, batches, class_of, col, level_key, stat_rows, union_all, unpivot,
 )
 from featloom.functions.stats import pearson, sum_of_squares_ratio
 from featloom.operators.moments import pair_correlations
@@ -98,7 +98,7 @@ def eta_squared_by_levels(df: DataFrame, features: list[str], target: str) -> Da
     groups = (
         unpivot(wide, features, "string", ids=["__y"])
         .where(F.col("value").isNotNull() & F.col("__y").isNotNull())
-        .groupBy("feature", "value")
+        .groupBy("feature", level_key(F.col("value")).alias("level"))
         .agg(F.count("__y").cast("double").alias("n"), F.avg("__y").alias("m"), F.var_pop("__y").alias("v"),
              F.min("__y").alias("lo"), F.max("__y").alias("hi"))
     )
@@ -164,13 +164,17 @@ def _spread(x) -> dict:
     }
 
 
-def contingency(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """Counts per (feature, level, class) over complete pairs, long form."""
+def contingency(df: DataFrame, features: list[str], target: str, readable: bool = True) -> DataFrame:
+    """Counts per (feature, level, class) over complete pairs, long form.
+
+    ``readable=False`` lets long texts stand as digests where only the counts matter.
+    """
+    shown = (lambda c: c) if readable else level_key
     wide = df.select(*[col(f) for f in features], col(target).cast("string").alias("__t"))
     return (
         unpivot(wide, features, "string", ids=["__t"])
         .where(F.col("value").isNotNull() & F.col("__t").isNotNull())
-        .groupBy("feature", F.col("value").alias("level"), F.col("__t").alias("class"))
+        .groupBy("feature", shown(F.col("value")).alias("level"), shown(F.col("__t")).alias("class"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -181,7 +185,7 @@ def cramers_v(df: DataFrame, features: list[str], target: str) -> DataFrame:
     ``χ²/n = Σ O²/(R·C) − 1`` covers the empty cells without building them. The
     margins are sums over the counted table, joined back on their own keys.
     """
-    cells = cut_lineage(contingency(df, features, target))  # counted once, used for both margins
+    cells = cut_lineage(contingency(df, features, target, readable=False))  # counted once, used for both margins
     level_totals = cells.groupBy("feature", "level").agg(F.sum("n").alias("level_n"))
     class_totals = cells.groupBy("feature", "class").agg(F.sum("n").alias("class_n"))
     o = F.col("n").cast("double")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from featloom.operators import casting, derive, outliers, preprocess, sampling
+from featloom.operators import casting, derive, encode, outliers, preprocess, sampling
 from featloom.operators.encode import fit_levels, frequency_encode, label_encode, one_hot_encode
 from featloom.operators.preprocess import PrepConfig, fit_prep
 from featloom.session import shared_dir
@@ -272,3 +272,12 @@ def test_missing_class_may_be_the_hot_one(spark):
     small, large = fit_levels(df, ["c"]), fit_levels(df, ["c"], small_limit=10)
     assert large["c"].table.where("level = 'nan'").first()["all_rows"] == 1_000
     assert column(label_encode(df, small), "c") == column(label_encode(df, large), "c")
+
+
+def test_long_levels_stay_distributed(spark, monkeypatch):
+    """Few levels, but too large together to fetch."""
+    monkeypatch.setattr(encode, "SMALL_BYTES", 1_000)
+    df = spark.range(40).selectExpr("id", "repeat(chr(65 + id % 20), 100) as c")
+    tables = fit_levels(df, ["c"])
+    assert tables["c"].table is not None
+    assert column(label_encode(df, tables), "c") == [i % 20 for i in range(40)]

@@ -279,3 +279,12 @@ def test_rows_without_target_count_for_spread_only(spark):
     assert rows(signal.signal_strength(df, "t"))[0]["strength"] == pytest.approx(want)
     spread = rows(signal.scale_sensitivity(df, ["x"]))[0]
     assert rows(signal._profile(df, "t", ["x"]))[0]["cv"] == pytest.approx(spread["cv"])
+
+
+def test_long_texts_count_by_their_whole_content(spark):
+    """Texts that differ only after a long common beginning are different levels."""
+    df = spark.range(40).selectExpr(
+        "concat(repeat('x', 5000), cast(id % 4 as string)) as c", "cast(id % 4 > 1 as string) as t", "id % 4 * 1.0D as y")
+    assert rows(profile.n_distinct(df, ["c"]))[0]["n_unique"] == 4
+    assert rows(signal.cramers_v(df, ["c"], "t"))[0]["cramers_v"] == pytest.approx(1.0)
+    assert rows(signal.eta_squared_by_levels(df, ["c"], "y"))[0]["eta_squared"] == pytest.approx(1.0)
