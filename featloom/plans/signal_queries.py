@@ -94,7 +94,7 @@ def _sensitivity_sql(features, numeric=SIGNAL_NUMERIC):
             rows.append(f"SELECT '{c}' AS feature, CAST(max({c}) - min({c}) AS DOUBLE) AS value_range, "
                         f"stddev_samp({c}) / (abs(avg({c})) + 1e-10) AS cv, true AS num FROM s")
         else:
-            rows.append(f"SELECT '{c}', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), false")
+            rows.append(f"SELECT '{c}' AS feature, CAST(NULL AS DOUBLE) AS value_range, CAST(NULL AS DOUBLE) AS cv, false AS num")
     return f"""SELECT feature, value_range, cv, CASE WHEN NOT num THEN 'N/A'
       WHEN value_range > 100 OR cv > 1 THEN 'High' WHEN value_range > 10 OR cv > 0.3 THEN 'Medium' ELSE 'Low' END
       AS sensitivity FROM ({sql_rows(rows)})"""
@@ -154,6 +154,17 @@ def feature_report_lineitem(spark, sf):
     return signal.feature_report(rows, "l_returnflag", features=FLAG_FEATURES)
 
 
+DOCUMENT_FEATURES = ["text", "source", "n_chars"]
+
+
+@query("feature_report_documents", _report_sql(
+    "s AS (SELECT * FROM documents)", DOCUMENT_FEATURES, "lang", False, ["n_chars"]))
+def feature_report_documents(spark, sf):
+    """Whole texts as levels; copies of a text are one level."""
+    rows = table(spark, sf, "documents").select(*DOCUMENT_FEATURES, "lang")
+    return signal.feature_report(rows, "lang", features=DOCUMENT_FEATURES)
+
+
 # --- correlations ---------------------------------------------------------------------
 
 
