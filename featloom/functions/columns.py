@@ -43,7 +43,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def as_double(name: str) -> Column:
-    return col(name).cast("double")
+    """The column as a double; NaN counts as missing."""
+    return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
 
 
 def unpivot(df: DataFrame, columns: list[str], cast: str, ids: list[str] = ()) -> DataFrame:
@@ -51,7 +52,8 @@ def unpivot(df: DataFrame, columns: list[str], cast: str, ids: list[str] = ()) -
 
     def typed(c):
         floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
-        return (col(c) + 0.0 if floating else col(c)).cast(cast).alias(c)  # -0.0 counts as 0.0
+        # -0.0 counts as 0.0 and NaN as missing
+        return (as_double(c) + 0.0 if floating else col(c)).cast(cast).alias(c)
 
     wide = df.select(*[col(i) for i in ids], *[typed(c) for c in columns])
     return wide.unpivot([col(i) for i in ids], [col(c) for c in columns], "feature", "value")

@@ -13,7 +13,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featloom import constants as K
-from featloom.functions.columns import OTHER, class_of, col
+from featloom.functions.columns import OTHER, class_of, col, nan_to_null
 from featloom.operators.kernel import FourierMap, fit_fourier_map
 from featloom.operators.knn import KnnModel, fit_knn
 from featloom.operators.metrics import classification_metrics
@@ -58,7 +58,7 @@ def estimator(name: str, n_rows: int, n_classes: int, **params):
 
 def check_target(df: DataFrame, target: str) -> list:
     """Sorted classes of a valid target; ``ValueError`` otherwise."""
-    kind = df.schema[target].dataType
+    df, kind = nan_to_null(df), df.schema[target].dataType
     if class_of(kind) == OTHER and not isinstance(kind, T.BooleanType):
         raise ValueError(f"Target column {target} holds neither numbers, text nor truth values.")
     if isinstance(kind, T.FractionalType) and df.where(col(target) % 1 != 0).limit(1).count():
@@ -192,7 +192,7 @@ def prepare_experiment(
     sides are persisted: every fit reuses them, and a lost block is recomputed
     from the source.
     """
-    df = df.where(col(target).isNotNull())
+    df = nan_to_null(df).where(col(target).isNotNull())
     classes = check_target(df, target)
     features = features or [c for c in df.columns if c not in keys and c != target]
     train, test = split(df, keys, test_share)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featloom import constants as K
-from featloom.functions.columns import CATEGORICAL, NUMERIC, class_of, col, level_key, stat_rows, unpivot
+from featloom.functions.columns import CATEGORICAL, NUMERIC, class_of, col, level_key, nan_to_null, stat_rows, unpivot
 
 
 def column_types(df: DataFrame) -> DataFrame:
     """Class of each column with its count of present values."""
+    df = nan_to_null(df)
     kinds = {f.name: class_of(f.dataType) for f in df.schema.fields}
     return stat_rows(
         df,
@@ -21,6 +22,7 @@ def column_types(df: DataFrame) -> DataFrame:
 
 def missing_pct(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Percent missing per column; one pass for all columns."""
+    df = nan_to_null(df)
     stats = {
         c: {"n_rows": F.count(F.lit(1)), "present": F.count(col(c))} for c in (columns or df.columns)
     }
@@ -37,7 +39,7 @@ def n_distinct(df: DataFrame, columns: list[str], approximate: bool = False) ->
     repeat every wide row once per column. ``approximate`` uses sketches only.
     """
     if approximate:
-        return stat_rows(df, {c: {"n_unique": F.approx_count_distinct(col(c))} for c in columns}).select(
+        return stat_rows(nan_to_null(df), {c: {"n_unique": F.approx_count_distinct(col(c))} for c in columns}).select(
             F.col("feature").alias("column"), "n_unique"
         )
     pairs = unpivot(df, columns, "string").select("feature", level_key(F.col("value")).alias("value")).distinct()
@@ -64,11 +66,12 @@ def schema_summary(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
-    return df.where(col(target).isNotNull())
+    return nan_to_null(df).where(col(target).isNotNull())
 
 
 def null_target_counts(df: DataFrame, target: str) -> DataFrame:
     """Rows kept and dropped by the missing-target filter."""
+    df = nan_to_null(df)
     return df.agg(
         F.count(col(target)).alias("kept"),
         F.count_if(col(target).isNull()).alias("dropped"),
@@ -81,6 +84,7 @@ def few_values(df: DataFrame, column: str, limit: int) -> list | None:
     A sketch settles the clear cases in one scan without a shuffle (its error is
     far below the factor two left here); only a plausibly small set is listed.
     """
+    df = nan_to_null(df)
     rough = df.agg(F.approx_count_distinct(col(column)).alias("n")).first()["n"]
     if rough > 2 * limit + 10:
         return None
@@ -90,6 +94,7 @@ def few_values(df: DataFrame, column: str, limit: int) -> list | None:
 
 def target_type(df: DataFrame, target: str) -> DataFrame:
     """One row: kind of target, task, class count, usable models, validity."""
+    df = nan_to_null(df)
     data_type = df.schema[target].dataType
     value = col(target)
     fractional = isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType))

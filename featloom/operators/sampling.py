@@ -37,14 +37,15 @@ def sample_stratified(
     """Proportional sample of ``max_rows`` rows over the target's classes.
 
     Falls back to a plain sample unless the target is complete, has 2 to 20
-    classes and no class with a single row. Class shares are rounded by largest
+    classes, no class with a single row, and room for every class on both sides. Class shares are rounded by largest
     remainder, so the total is exact.
     """
     classes = few_values(df, target, K.STRATIFY_MAX_CLASSES)
     usable = classes is not None and len(classes) >= K.STRATIFY_MIN_CLASSES
     if usable:
         sizes = df.groupBy(col(target).alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 21 rows
-        usable = all(r["v"] is not None and r["n"] > 1 for r in sizes)
+        total = sum(r["n"] for r in sizes)
+        usable = all(r["v"] is not None and r["n"] > 1 for r in sizes) and len(sizes) <= min(max_rows, total - max_rows)
     return _take(df, max_rows, keys, seed, target if usable else None)
 
 

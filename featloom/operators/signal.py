@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from featloom import constants as K
 from featloom.functions import rules
 from featloom.functions.columns import (
-    CATEGORICAL, NUMERIC, as_double, batches, class_of, col, level_key, stat_rows, union_all, unpivot,
+    CATEGORICAL, NUMERIC, as_double, batches, class_of, col, level_key, nan_to_null, stat_rows, union_all, unpivot,
 )
 from featloom.functions.stats import pearson, sum_of_squares_ratio
 from featloom.operators.moments import pair_correlations
@@ -252,7 +252,7 @@ def signal_strength(df: DataFrame, target: str, features: list[str] | None = Non
     An undefined strength is labelled Low.
     """
     features = features or [f for f in df.columns if f != target]
-    return _profile(df, target, features).select(
+    return _profile(nan_to_null(df), target, features).select(
         "ordinal", "feature", "is_numeric", "method", "strength", "signal"
     )
 
@@ -288,7 +288,7 @@ def feature_report(
     One scan for the numeric features, one for the others.
     """
     features = features or [f for f in df.columns if f != target]
-    profile = _profile(df, target, features)
+    profile = _profile(nan_to_null(df), target, features)
     asked = profile.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
     signal, sensitivity, model = F.col("signal"), F.col("sensitivity"), F.col("model")
     fit = rules.compatibility(signal, sensitivity, model)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featloom import constants as K
 from featloom.functions.columns import (
-    NUMERIC, as_double, batches, class_of, col, numeric_columns, stat_rows, stat_values, union_all, unpivot,
+    NUMERIC, as_double, batches, class_of, col, nan_to_null, numeric_columns, stat_rows, stat_values, union_all, unpivot,
 )
 from featloom.operators.profile import few_values
 from featloom.operators.quantiles import exact_quantiles
@@ -16,6 +16,7 @@ BOX_BUFFERS = 6  # running values kept per feature in a box pass
 
 def value_counts(df: DataFrame, target: str, top: int | None = None) -> DataFrame:
     """Counts per present value, largest first (ties by value)."""
+    df = nan_to_null(df)
     counts = (
         df.where(col(target).isNotNull()).groupBy(col(target).alias("value")).agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "value")
@@ -101,7 +102,7 @@ def box_summary(df: DataFrame, features: list[str], target: str, classes: list)
     Whiskers end at the outermost values inside the fences; ``n_outliers``
     counts the values beyond. Quartiles are exact.
     """
-    chosen = df.where(col(target).isin(classes))
+    chosen = nan_to_null(df).where(col(target).isin(classes))
     quartiles = exact_quantiles(chosen, features, [0.25, 0.5, 0.75], by=target)
     kind = df.schema[target].dataType.simpleString()
     parts = [
@@ -185,7 +186,7 @@ def missing_patterns(df: DataFrame, columns: list[str] | None = None) -> DataFra
     ``pattern`` has one 0/1 per column, in column order; rows without anything
     missing form the all-0 pattern.
     """
-    columns = columns or df.columns
+    df, columns = nan_to_null(df), columns or df.columns
     marks = [F.when(col(c).isNull(), "1").otherwise("0") for c in columns]
     pattern = df.select(F.concat(*marks).alias("pattern"))
     return pattern.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).select(

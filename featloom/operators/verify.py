@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from featloom import constants as K
 from featloom.functions import rules
-from featloom.functions.columns import col, numeric_columns
+from featloom.functions.columns import col, nan_to_null, numeric_columns
 from featloom.operators.models import Experiment, TrainedModel, evaluate, fit_model, prepare_experiment
 from featloom.operators.preprocess import PrepConfig
 from featloom.operators.quantiles import exact_quantiles
@@ -145,7 +145,7 @@ def sensitivity(
     was trained in. All asked features share one grid and one scoring pass.
     Returns the curves and their summary.
     """
-    prepared = trained.prep.apply(df.where(col(trained.target).isNotNull()))
+    prepared = trained.prep.apply(nan_to_null(df).where(col(trained.target).isNotNull()))
     asked = [f for f in (resolve_feature(n, trained.features) for n in features) if f]
     if not asked:
         raise ValueError(f"none of {features} is a prepared feature")

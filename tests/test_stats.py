@@ -288,3 +288,21 @@ def test_long_texts_count_by_their_whole_content(spark):
     assert rows(profile.n_distinct(df, ["c"]))[0]["n_unique"] == 4
     assert rows(signal.cramers_v(df, ["c"], "t"))[0]["cramers_v"] == pytest.approx(1.0)
     assert rows(signal.eta_squared_by_levels(df, ["c"], "y"))[0]["eta_squared"] == pytest.approx(1.0)
+
+
+def test_nan_and_null_give_the_same_results(spark):
+    nan = float("nan")
+    data = [(1.0, 1.0, "a"), (nan, 2.0, "b"), (3.0, nan, "a"), (4.0, 4.5, "b"), (9.0, 1.5, "b"), (nan, nan, "a")]
+    a = spark.createDataFrame(data, "x double, y double, t string")
+    b = nan_to_null(a)
+    for run in (
+        lambda d: profile.schema_summary(d), lambda d: profile.missing_pct(d), lambda d: profile.n_distinct(d, ["x", "y"]),
+        lambda d: profile.target_type(d, "x"), lambda d: profile.null_target_counts(d, "x"),
+        lambda d: signal.feature_report(d, "t"), lambda d: signal.signal_strength(d, "y"),
+        lambda d: signal.scale_sensitivity(d), lambda d: correlation.corr_matrix(d),
+        lambda d: correlation.corr_to_target(d, "t"), lambda d: summaries.histograms(d, ["x", "y"]),
+        lambda d: summaries.box_by_target(d, "t"), lambda d: summaries.missing_patterns(d),
+        lambda d: summaries.value_counts(d, "x"), lambda d: summaries.scale_ranges(d, "t"),
+    ):
+        assert sorted(map(str, run(a).collect())) == sorted(map(str, run(b).collect()))
+    assert exact_quantiles(a, ["x", "y"], [0.1, 0.5]) == exact_quantiles(b, ["x", "y"], [0.1, 0.5])
