@@ -8,14 +8,13 @@ from dataclasses import dataclass
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, functions as F
 
-from featloom.functions.columns import col, unpivot
+from featloom.functions.columns import col, level_key, unpivot
 from featloom.operators.ranking import rank_levels
 from featloom.session import cut_lineage
 
 SMALL_LEVELS = 100_000  # level rows that may come to the driver and be broadcast …
 SMALL_BYTES = 32 * 2**20  # … and the size of their texts together
 HOT_SHARE = 0.001  # a level above this share of rows is looked up by broadcast
-SPREAD = 1024
 LEVELS_PER_STRETCH = 500_000  # levels sorted by one task
 WIDE_ONE_HOT = 1_000  # indicator columns; beyond this one sparse vector per feature
 MISSING_CLASS = "nan"
@@ -92,24 +91,25 @@ def _lookup(df: DataFrame, key: Column, levels: LevelTable, value: Column, out:
     """Left join of a level's value; NULL where the level is unknown.
 
     A small table is broadcast. A large one is split: levels above ``HOT_SHARE``
-    (at most 1/HOT_SHARE of them) are broadcast, so their rows need no shuffle
-    key and are spread by a salt, and only rare levels meet in the shuffle.
+    (at most 1/HOT_SHARE of them) are broadcast, and only rare levels meet in
+    the shuffle. Rows that need no match there, those of hot levels and of
+    missing values, are spread by the task that read them, which does not depend
+    on row order and so stays the same when a task is run again.
     """
-    side = levels.frame(df.sparkSession).withColumn(out, value).withColumnRenamed("level", "__k")
-    keyed = df.withColumn("__k", key)
+    side = levels.frame(df.sparkSession).withColumn(out, value)
     if levels.table is None:
-        return keyed.join(F.broadcast(side.select("__k", out)), "__k", "left").drop("__k")
+        small = F.broadcast(side.select(F.col("level").alias("__k"), out))
+        return df.withColumn("__k", key).join(small, "__k", "left").drop("__k")
+    side = side.withColumn("__k", level_key(F.col("level")))
     is_hot = F.col("all_rows") > HOT_SHARE * (levels.total + levels.missing)
     hot = side.where(is_hot).select("__k", F.col(out).alias("__hot"))
     cold = side.where(~is_hot).select(
         F.col("__k").alias("__c"), F.lit(0).alias("__s"), F.col(out).alias("__cold")
     )
-    marked = keyed.join(F.broadcast(hot), "__k", "left").withColumn(
+    marked = df.withColumn("__k", level_key(key)).join(F.broadcast(hot), "__k", "left").withColumn(
         "__c", F.when(F.col("__hot").isNull(), F.col("__k"))
     )
-    marked = marked.withColumn(
-        "__s", F.when(F.col("__c").isNull(), F.floor(F.rand(42) * SPREAD).cast("int")).otherwise(0)
-    )
+    marked = marked.withColumn("__s", F.when(F.col("__c").isNull(), F.spark_partition_id()).otherwise(0))
     return (
         marked.join(cold, ["__c", "__s"], "left")
         .withColumn(out, F.coalesce("__hot", "__cold"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from featloom.constants import SEED
 
-DIMENSIONS = 256
+DIMENSIONS = 128
 
 
 @dataclass(frozen=True)

@@ -17,6 +17,6 @@ def prepare_stream(stream: DataFrame, prep: FittedPrep) -> DataFrame:
         raise ValueError("not a streaming DataFrame; use FittedPrep.apply")
     large = [c for c, t in prep.encoder.tables.items() if t.table is not None]
     if large:
-        # The look-up of a large table salts rows at random, which a stream refuses.
+        # A large table would be shuffled against every micro-batch.
         raise ValueError(f"level tables too large to broadcast into a stream: {large}")
     return prep.apply(stream)
