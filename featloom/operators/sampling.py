@@ -13,9 +13,8 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from featloom import constants as K
-from featloom.functions.columns import col
+from featloom.functions.columns import col, nan_to_null
 from featloom.functions.hashing import HASH_BITS, key_hash, key_uniform
-from featloom.operators.profile import few_values
 from featloom.session import cut_lineage
 
 BUCKET_BITS = 16
@@ -40,28 +39,40 @@ def sample_stratified(
     classes, no class with a single row, and room for every class on both sides. Class shares are rounded by largest
     remainder, so the total is exact.
     """
-    classes = few_values(df, target, K.STRATIFY_MAX_CLASSES)
-    usable = classes is not None and len(classes) >= K.STRATIFY_MIN_CLASSES
-    if usable:
-        sizes = df.groupBy(col(target).alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 21 rows
-        total = sum(r["n"] for r in sizes)
-        usable = all(r["v"] is not None and r["n"] > 1 for r in sizes) and len(sizes) <= min(max_rows, total - max_rows)
-    return _take(df, max_rows, keys, seed, target if usable else None)
+    clean = nan_to_null(df.select(col(target).alias("t")))
+    rough = clean.agg(F.approx_count_distinct("t").alias("n")).first()["n"]
+    # A sketch above twice the limit settles it; otherwise the exact sizes decide.
+    return _take(df, max_rows, keys, seed, target if rough <= 2 * K.STRATIFY_MAX_CLASSES + 10 else None)
+
+
+def _can_stratify(sizes: dict, max_rows: int) -> bool:
+    rest = sum(sizes.values()) - max_rows
+    return (
+        K.STRATIFY_MIN_CLASSES <= len(sizes) <= K.STRATIFY_MAX_CLASSES
+        and None not in sizes
+        and min(sizes.values()) > 1
+        and len(sizes) <= min(max_rows, rest)
+    )
 
 
 def _take(df, max_rows, keys, seed, target):
     if max_rows <= 0:
         return df.limit(0)
     keys = keys or df.columns
-    group = col(target) if target else F.lit(0)
-    marked = df.withColumns({"__g": group, "__h": key_hash(keys, seed)}).withColumn(
+    one = F.lit(0)
+    marked = df.withColumns({"__g": col(target) if target else one, "__h": key_hash(keys, seed)}).withColumn(
         "__b", F.shiftright("__h", HASH_BITS - BUCKET_BITS)
     )
-    # At most 20 classes x 65,536 buckets, added up before the shuffle; one scan.
-    histogram = cut_lineage(marked.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("n")))
+    # A few classes x 65,536 buckets, added up before the shuffle; one scan.
+    counted = nan_to_null(marked.select("__g", "__b")).groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("n"))
+    histogram = cut_lineage(counted)
     sizes = {r["__g"]: r["size"] for r in histogram.groupBy("__g").agg(F.sum("n").alias("size")).collect()}
-    if sum(sizes.values()) <= max_rows:
+    total = sum(sizes.values())
+    if total <= max_rows:
         return df
+    if target and not _can_stratify(sizes, max_rows):
+        marked, sizes = marked.withColumn("__g", one), {0: total}
+        histogram = histogram.groupBy(one.alias("__g"), "__b").agg(F.sum("n").alias("n"))
     edges = _edges(histogram, _quotas(sizes, max_rows))
     # The sample plus one bucket per class, read from the source once.
     by_class = [F.when(F.col("__g").eqNullSafe(F.lit(e["g"])), F.lit(e["edge"])) for e in edges]
