@@ -207,14 +207,12 @@ def _pick(data, names, cuts: list[_Cut]) -> dict:
     if todo:
         rows, index, bounds = _bound_columns(data, names, todo)
         hits: list[Column] = []
-        any_hit = F.lit(False)
         for (column, _), i in index.items():
             x, (lo, hi) = F.col(names[column]), bounds[i]
-            any_hit = any_hit | ((x >= lo) & (x <= hi))
-            hits.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("slot"), x.alias("x"))))
+            hits.append(F.when(x.between(lo, hi), F.struct(F.lit(i).alias("slot"), x.alias("x"))))
+        # No filter in front: a condition over many columns takes the planner exponential time.
         counted = (
-            rows.where(any_hit)
-            .select("__g", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+            rows.select("__g", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
             .groupBy("__g", "hit.slot", "hit.x").agg(F.count(F.lit(1)).alias("n"))
         )
         running = F.sum("n").over(

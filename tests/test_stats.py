@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -306,3 +307,13 @@ def test_nan_and_null_give_the_same_results(spark):
     ):
         assert sorted(map(str, run(a).collect())) == sorted(map(str, run(b).collect()))
     assert exact_quantiles(a, ["x", "y"], [0.1, 0.5]) == exact_quantiles(b, ["x", "y"], [0.1, 0.5])
+
+
+def test_quantiles_of_many_columns(spark):
+    """Plans must stay small on wide tables."""
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame(rng.normal(size=(400, 40)), columns=[f"v{i}" for i in range(40)])
+    start = time.time()
+    found = exact_quantiles(spark.createDataFrame(pdf), list(pdf), [0.5])
+    assert all(math.isclose(found[None, c][0], pdf[c].median(), abs_tol=1e-12) for c in pdf)
+    assert time.time() - start < 60
