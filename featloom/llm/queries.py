@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm import exact_dedup
+from featloom.llm import exact_dedup, language
 from featloom.llm.common import table
 from featloom.plans.registry import query
 
@@ -25,3 +25,11 @@ FROM d"""
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op10_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language.learn(docs.where(~language.held_out()))
+    return language.predict(docs, profiles, carry=["doc_id"]).withColumn("held_out", language.held_out()).select(
+        "doc_id", "held_out", "lang_pred", "score")
