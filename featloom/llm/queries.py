@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm import exact_dedup, language
-from featloom.llm.common import table
+from featloom.llm import bpe, exact_dedup, language
+from featloom.llm.common import sha256, table
 from featloom.plans.registry import query
 
 EXACT_DEDUP_SQL = r"""
@@ -33,3 +34,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = language.learn(docs.where(~language.held_out()))
     return language.predict(docs, profiles, carry=["doc_id"]).withColumn("held_out", language.held_out()).select(
         "doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op6_bpe")
+def op6(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+    words = bpe.Vocabulary(public_tokenizers.path(vocabulary))
+    ids = bpe.encode(table(spark, sf_dir, "documents"), words, carry=["doc_id"])
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+                      sha256(bpe.decode(F.col("ids"), words, spark)).alias("decoded_sha256"))
