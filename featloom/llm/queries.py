@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm import bpe, exact_dedup, language
+from featloom.llm import bpe, decontaminate, exact_dedup, language
 from featloom.llm.common import sha256, table
 from featloom.plans.registry import query
 
@@ -43,3 +43,33 @@ def op6(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json")
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
                       sha256(bpe.decode(F.col("ids"), words, spark)).alias("decoded_sha256"))
+
+
+DECONTAMINATE_SQL = r"""
+WITH low AS (SELECT 'item' AS kind, CAST(item_id AS VARCHAR) AS id, text FROM benchmark
+             UNION ALL SELECT 'doc', CAST(doc_id AS VARCHAR), text FROM documents),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM low),
+item AS (SELECT id, ws, least(len(ws), 13) AS n FROM w WHERE kind = 'item' AND len(ws) > 0),
+win AS (SELECT DISTINCT id, n, array_to_string(ws[s:s + n - 1], ' ') AS g
+        FROM (SELECT id, n, ws, unnest(range(1, len(ws) - n + 2)) AS s FROM item)),
+doc AS (SELECT CAST(id AS BIGINT) AS doc_id, ws FROM w WHERE kind = 'doc'),
+dw AS (SELECT doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS g
+       FROM (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS s
+             FROM doc JOIN (SELECT DISTINCT n FROM win) ON len(ws) >= n)),
+hit AS (SELECT DISTINCT doc_id, n, s, id FROM dw JOIN win USING (n, g)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS sha
+        FROM (SELECT DISTINCT doc_id, id FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(sha, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM doc LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
+@query("op9_decontaminate", DECONTAMINATE_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        sha256(F.array_join("items", ",")).alias("items_sha256"),
+                        decontaminate.contaminated().alias("contaminated"))
