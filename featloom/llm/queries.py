@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm import bpe, decontaminate, exact_dedup, language
+from featloom.llm import bpe, decontaminate, exact_dedup, language, secrets, toxicity
 from featloom.llm.common import sha256, table
 from featloom.plans.registry import query
 
@@ -73,3 +73,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         sha256(F.array_join("items", ",")).alias("items_sha256"),
                         decontaminate.contaminated().alias("contaminated"))
+
+
+@query("op3_secrets")
+def op3(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN,
+                         carry=["doc_id"])
+    name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    of = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+        sha256(F.array_join(F.transform(of(*secrets.KINDS[:3]), name), ",")).alias("base_sha256"),
+        F.array_join(F.transform("secrets", name), ",").alias("spans"))
+
+
+TOXIC_CATEGORIES = ["low_quality", "toxic"]
+
+
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
+    """Fitted on the given documents and labels; the labels have two categories to chain."""
+    labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels, TOXIC_CATEGORIES)
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.predict(table(spark, sf_dir, "documents"), toxicity_chain(spark, sf_dir), carry=["doc_id"])
+    return scores.withColumn("toxic", F.col("p_toxic") >= 0.5)

@@ -1,0 +1,101 @@
+"""Secrets in texts: fixed patterns, and random strings by token efficiency.
+
+The fixed kinds are ``assign`` (a named value), ``access`` (cloud access keys) and ``hex``
+(long hexadecimal runs). On top, kind ``random`` marks strings that a token vocabulary
+compresses badly: few characters per token mean that the string is made of nothing the
+vocabulary has ever seen. Known digests (plain hex of a digest's length), UUIDs, numbers,
+plain words and names of code are excluded first, and so is what a fixed kind covers already.
+
+Offsets are code points, the end is exclusive. Null and empty texts have no spans. Whole texts
+are searched, whatever their length; repeated rows are searched each on its own.
+"""
+
+from __future__ import annotations
+
+import base64
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import tiktoken
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+KINDS = ("assign", "access", "hex", "random")
+#: The patterns of the contract, and the least length of what they must find.
+ASSIGN = r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+NAMES = ("passw", "secret", "token", "apikey", "api_key")
+LEAST_VALUE = 6
+#: A string of these is tested for token efficiency.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
+UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+#: Words, possibly joined, as in prose and in names of code: no more than a few digits at the end of each.
+NAME = r"[/_=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)\d{0,4}[/_=+-]*){1,6}"
+NUMBER = r"[0-9+/_=-]+"
+RATIO = 2.0
+
+
+class Scanner:
+    def __init__(self, ranks: bytes, pattern: str, ratio: float = RATIO):
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, special_tokens={}, mergeable_ranks={
+            base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())})
+        self.assign, self.access, self.hex, self.candidate = map(re.compile, (ASSIGN, ACCESS, HEX, CANDIDATE))
+        self.known = [re.compile(p) for p in (UUID, NUMBER, NAME)]
+        self.digest = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+        self.ratio = ratio
+
+    def is_random(self, string: str) -> bool:
+        """Few characters a token, and no known form."""
+        bare = string.strip("=/+_-")
+        if any(p.fullmatch(bare) for p in self.known) or (len(bare) in DIGEST_LENGTHS and self.digest.fullmatch(bare)):
+            return False
+        return len(string) < self.ratio * len(self.encoding.encode_ordinary(string))
+
+    def base(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, kind number, end) of the fixed kinds, in order."""
+        found = [(m.start(), 1, m.end()) for m in self.access.finditer(text)]
+        found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
+        low = text.lower()
+        if any(n in low for n in NAMES):
+            found += [(m.start(), 0, m.end()) for m in self.assign.finditer(text) if len(m[2]) >= LEAST_VALUE]
+        return sorted(found)
+
+    def scan(self, text: str) -> list[tuple[int, int, int]]:
+        base = self.base(text)
+        added, taken = [], 0
+        covered = [(a, b) for a, _, b in base]
+        for m in self.candidate.finditer(text):
+            a, b = m.span()
+            while taken < len(covered) and covered[taken][1] <= a:
+                taken += 1
+            if not any(x < b and a < y for x, y in covered[taken:taken + 4]) and self.is_random(m[0]):
+                added.append((a, 3, b))
+        return sorted(base + added)
+
+
+def find(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "secrets",
+         ratio: float = RATIO, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with the spans found, in order of start and kind.
+
+    ``ranks_path`` is a tiktoken rank file on the driver (a few MB at most, it is broadcast),
+    ``pattern`` its splitting pattern, ``ratio`` the characters per token below which a string
+    counts as random.
+    """
+    carried = list(carry if carry is not None else [c for c in docs.columns if c != out_col])
+    names = [f"c{i}" for i in range(len(carried))]
+    frame = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(carried, names)])
+    with open(ranks_path, "rb") as file:
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(shared.value, pattern, ratio)
+        for batch in batches:
+            found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scanner.scan(t.as_py() or "")] for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, span)], names=[*names, "found"])
+
+    kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(carried, names))
+    return frame.mapInArrow(run, f"{kinds}found array<struct<kind:string,start:int,end:int>>").toDF(*carried, out_col)
