@@ -48,3 +48,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
         rest.join(groups, keys, how),
         marked.where(F.col("__hot")).drop("__hot").join(F.broadcast(hot), keys, "inner"),
     ])
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder, wherever its file system is."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm import bpe, decontaminate, exact_dedup, language, secrets, toxicity
+from featloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, secrets, toxicity
 from featloom.llm.common import sha256, table
 from featloom.plans.registry import query
 
@@ -100,3 +100,21 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.predict(table(spark, sf_dir, "documents"), toxicity_chain(spark, sf_dir), carry=["doc_id"])
     return scores.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+LINE_DEDUP_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.doc_id, pos, line, often.key IS NOT NULL AND k.doc_id <> top AS gone FROM k LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id"""
+
+
+@query("op5_line_dedup", LINE_DEDUP_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
