@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, secrets, toxicity
+from featloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, secrets, surrogates, toxicity
 from featloom.llm.common import sha256, table
 from featloom.plans.registry import query
 
@@ -118,3 +118,9 @@ FROM j GROUP BY doc_id"""
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return lines.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
+
+
+@query("op1_surrogates")
+def op1(spark: SparkSession, sf_dir: str, key: str = "a key kept outside the code") -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, key)
