@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, secrets, surrogates, toxicity
+from featloom.llm import bpe, decontaminate, exact_dedup, jaccard, language, line_dedup, secrets, surrogates, toxicity
 from featloom.llm.common import sha256, table
 from featloom.plans.registry import query
 
@@ -124,3 +124,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str, key: str = "a key kept outside the code") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace_entities(docs, key)
+
+
+@query("op8_jaccard")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
