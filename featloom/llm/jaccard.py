@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featloom.llm.common import join_groups
@@ -33,7 +33,7 @@ from featloom.session import cut_lineage
 
 WORDS = 5
 SIMILAR = (75, 100)  # intersection >= 75/100 of the union
-BUCKET_BITS = 10  # tokens are counted in 2**10 ranges
+PER_BUCKET = 1 << 18  # tokens counted together, about
 OFTEN = 24  # a token of so many prefixes goes to the end of the order
 MAX_OFTEN = 1 << 20  # at most so many, the most frequent; 8 MB to broadcast
 MAX_FILTER_BITS = 29  # 64 MB
@@ -103,19 +103,19 @@ def _longs(tokens: np.ndarray) -> pa.Array:
     return pa.array(tokens.view(np.int64))
 
 
-def token_counts(texts: DataFrame, filter_bits: int) -> DataFrame:
+def token_counts(texts: DataFrame, filter_bits: int, bucket_bits: int) -> DataFrame:
     """Per range of tokens: a bit array of tokens in two prefixes or more, and the frequent ones."""
-    low = filter_bits - BUCKET_BITS
+    low = max(3, filter_bits - bucket_bits)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, held, size = Hashes(), set(), [], 0
 
         def out():
             every = np.sort(np.concatenate(held))
-            edges = np.searchsorted(every >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
-            used = np.flatnonzero(np.diff(edges))
-            return pa.record_batch({"bucket": pa.array(used.astype(np.int32)),
-                                    "tokens": pa.array([every[edges[i]:edges[i + 1]].tobytes() for i in used], pa.binary())})
+            buckets = (every >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
+            return pa.record_batch({"bucket": pa.array(buckets[edges[:-1]]),
+                                    "tokens": pa.array([every[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())})
 
         for text in _texts(batches):
             tokens = shingles(text, hashes)
@@ -137,7 +137,7 @@ def token_counts(texts: DataFrame, filter_bits: int) -> DataFrame:
             bits = np.zeros(1 << low, bool)
             bits[((again >> np.uint64(64 - filter_bits)) & np.uint64((1 << low) - 1)).astype(np.int64)] = True
             often = counts >= OFTEN
-            return pa.record_batch({"bucket": pa.array([at], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()),
+            return pa.record_batch({"bucket": pa.array([at]), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()),
                                     "often": pa.array([tokens[often].tobytes()], pa.binary()),
                                     "counts": pa.array([counts[often].astype(np.int64).tobytes()], pa.binary())})
 
@@ -152,16 +152,17 @@ def token_counts(texts: DataFrame, filter_bits: int) -> DataFrame:
         if held:
             yield out()
 
-    return (texts.mapInArrow(spread, "bucket int, tokens binary").repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(gather, "bucket int, bits binary, often binary, counts binary"))
+    return (texts.mapInArrow(spread, "bucket long, tokens binary").repartition("bucket").sortWithinPartitions("bucket")
+            .mapInArrow(gather, "bucket long, bits binary, often binary, counts binary"))
 
 
 def token_order(texts: DataFrame, tokens: int) -> Order:
     """The common order; what reaches the driver is bounded by the filter's and the list's sizes."""
-    bits = max(BUCKET_BITS + 3, min(MAX_FILTER_BITS, int(np.ceil(np.log2(max(1, tokens) * 2)))))
-    rows = cut_lineage(token_counts(texts, bits))
+    buckets = max(6, int(np.ceil(np.log2(max(1, tokens / 4 / PER_BUCKET)))))  # a quarter of the tokens are in prefixes
+    bits = max(buckets + 3, min(MAX_FILTER_BITS, int(np.ceil(np.log2(max(1, tokens) * 2)))))
+    rows = cut_lineage(token_counts(texts, bits, buckets))
     array = np.zeros((1 << bits) // 8, np.uint8)
-    width = len(array) >> BUCKET_BITS
+    width = len(array) >> buckets
     for row in rows.select("bucket", "bits").collect():
         array[row.bucket * width:(row.bucket + 1) * width] = np.frombuffer(row.bits, np.uint8)
 

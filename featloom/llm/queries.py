@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm import bpe, decontaminate, exact_dedup, jaccard, language, line_dedup, secrets, surrogates, toxicity
+from featloom.llm import bpe, bytes_dedup, decontaminate, exact_dedup, jaccard, language, line_dedup, secrets, surrogates, toxicity
 from featloom.llm.common import sha256, table
 from featloom.plans.registry import query
 
@@ -129,3 +129,11 @@ def op1(spark: SparkSession, sf_dir: str, key: str = "a key kept outside the cod
 @query("op8_jaccard")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bytes_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
