@@ -351,3 +351,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = cut_lineage(named.join(classes, "label").select("sig", "k", "component_id"))
     grouped = join_groups(rows.where(F.col("sig").isNotNull()), known, ["sig"], "k")
     return alone.unionByName(grouped.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of ``docs`` without near duplicates: of each class the least id stays.
+
+    Ids are expected to be unique; rows that share one go together. Rows without an id stay.
+    """
+    gone = cut_lineage(near_duplicates(docs, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct())
+    small = gone.count() <= 1 << 20  # 8 MB; more are joined by shuffling
+    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("__gone"), "left_anti")
