@@ -171,6 +171,8 @@ class Shards:
         for row in held:  # in order of place within a gram, so the first one seen is the earliest
             if row[4] in seen and first[seen[row[4]]][0] == row[0]:
                 old = first[seen[row[4]]]
+                if old[1:4] == row[1:4]:
+                    continue  # the same place, from a repeated row
                 early, late = (old, row) if old[1:4] <= row[1:4] else (row, old)
                 first[seen[row[4]]] = early
                 self.out.append((late[1], late[2], late[3], late[3] + len(late[4])))
@@ -354,7 +356,7 @@ def passages(texts: DataFrame, copies, array: np.ndarray, part: int, parts: int,
                     if old is None:
                         first[key] = place
                         size += len(key[1])
-                    else:
+                    elif old != place:  # not a repeated row
                         early, late = (old, place) if old <= place else (place, old)
                         first[key] = early
                         known.append((None, *late, None, late[2] + len(key[1])))
