@@ -103,12 +103,16 @@ def _longs(tokens: np.ndarray) -> pa.Array:
     return pa.array(tokens.view(np.int64))
 
 
-def token_counts(texts: DataFrame, filter_bits: int, bucket_bits: int) -> DataFrame:
-    """Per range of tokens: a bit array of tokens in two prefixes or more, and the frequent ones."""
+def token_counts(texts: DataFrame, filter_bits: int, bucket_bits: int, often: np.ndarray) -> DataFrame:
+    """Per range of tokens: a bit array of tokens in two prefixes or more, and the frequent ones.
+
+    The prefixes are those of the order with ``often`` last.
+    """
     low = max(3, filter_bits - bucket_bits)
+    shared = texts.sparkSession.sparkContext.broadcast(often)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, held, size = Hashes(), set(), [], 0
+        hashes, order, seen, held, size = Hashes(), Order(shared.value, np.zeros(1, np.uint8)), set(), [], 0
 
         def out():
             every = np.sort(np.concatenate(held))
@@ -122,7 +126,7 @@ def token_counts(texts: DataFrame, filter_bits: int, bucket_bits: int) -> DataFr
             own = signature(tokens)
             if len(tokens) and own not in seen:  # copies in one task count once
                 seen.add(own)
-                held.append(tokens[:prefix_size(len(tokens))])
+                held.append(order.prefix(tokens))
                 size += len(held[-1])
                 if size > 1 << 20:
                     yield out()
@@ -136,10 +140,10 @@ def token_counts(texts: DataFrame, filter_bits: int, bucket_bits: int) -> DataFr
             again = tokens[counts > 1]
             bits = np.zeros(1 << low, bool)
             bits[((again >> np.uint64(64 - filter_bits)) & np.uint64((1 << low) - 1)).astype(np.int64)] = True
-            often = counts >= OFTEN
+            frequent = counts >= OFTEN
             return pa.record_batch({"bucket": pa.array([at]), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()),
-                                    "often": pa.array([tokens[often].tobytes()], pa.binary()),
-                                    "counts": pa.array([counts[often].astype(np.int64).tobytes()], pa.binary())})
+                                    "often": pa.array([tokens[frequent].tobytes()], pa.binary()),
+                                    "counts": pa.array([counts[frequent].astype(np.int64).tobytes()], pa.binary())})
 
         at, held = None, []
         for batch in batches:
@@ -157,22 +161,29 @@ def token_counts(texts: DataFrame, filter_bits: int, bucket_bits: int) -> DataFr
 
 
 def token_order(texts: DataFrame, tokens: int) -> Order:
-    """The common order; what reaches the driver is bounded by the filter's and the list's sizes."""
+    """The common order; what reaches the driver is bounded by the filter's and the list's sizes.
+
+    Prefixes by hash alone tell which tokens are frequent. With these last the prefixes are
+    others, so they are counted once more to see which tokens can be shared at all.
+    """
     buckets = max(6, int(np.ceil(np.log2(max(1, tokens / 4 / PER_BUCKET)))))  # a quarter of the tokens are in prefixes
     bits = max(buckets + 3, min(MAX_FILTER_BITS, int(np.ceil(np.log2(max(1, tokens) * 2)))))
-    rows = cut_lineage(token_counts(texts, bits, buckets))
-    array = np.zeros((1 << bits) // 8, np.uint8)
-    width = len(array) >> buckets
-    for row in rows.select("bucket", "bits").collect():
-        array[row.bucket * width:(row.bucket + 1) * width] = np.frombuffer(row.bits, np.uint8)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield pa.record_batch({"token": _longs(np.frombuffer(a, np.uint64)), "n": pa.array(np.frombuffer(b, np.int64))})
 
-    top = (rows.select("often", "counts").mapInArrow(listed, "token long, n long").orderBy(F.desc("n"), "token").limit(MAX_OFTEN).collect())
-    return Order(np.sort(np.array([r.token for r in top], np.int64).view(np.uint64)), array)
+    rows = cut_lineage(token_counts(texts, bits, buckets, np.empty(0, np.uint64)))
+    top = rows.select("often", "counts").mapInArrow(listed, "token long, n long").orderBy(F.desc("n"), "token").limit(MAX_OFTEN).collect()
+    often = np.sort(np.array([r.token for r in top], np.int64).view(np.uint64))
+    if len(often):
+        rows = token_counts(texts, bits, buckets, often)
+    array = np.zeros((1 << bits) // 8, np.uint8)
+    width = len(array) >> buckets
+    for row in rows.select("bucket", "bits").collect():
+        array[row.bucket * width:(row.bucket + 1) * width] = np.frombuffer(row.bits, np.uint8)
+    return Order(often, array)
 
 
 def postings(texts: DataFrame, order: Order) -> DataFrame:
