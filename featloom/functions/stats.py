@@ -5,16 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Correlation over rows complete in both columns; NULL where undefined.
-
-    ``corr`` raises on a constant column under ANSI, hence the guarded ratio.
-    """
-    x_seen = F.when(y.isNotNull(), x)
-    y_seen = F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x_seen) * F.stddev_pop(y_seen))
-
-
 def sum_of_squares_ratio(
     n: Column, mean: Column, var: Column, grand: Column, low: Column, high: Column
 ) -> Column:

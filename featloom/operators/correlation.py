@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from featloom import constants as K
-from featloom.functions.columns import NUMERIC, as_double, class_of, numeric_columns
+from featloom.functions.columns import NUMERIC, as_double, class_of, col, numeric_columns
 from featloom.operators.encode import attach_codes, fit_levels
 from featloom.operators.moments import pair_correlations
 
@@ -61,7 +61,7 @@ def collinear_pairs(df: DataFrame, target: str | None = None, threshold: float =
 def corr_to_target(df: DataFrame, target: str) -> DataFrame:
     """|r| of numeric features with the target, largest first, undefined left out.
 
-    A text target is replaced by the rank of its class (missing -> −1).
+    A text target is replaced by the rank of its class among those present (missing -> −1).
     """
     features = numeric_columns(df, target)
     if not features:
@@ -69,7 +69,7 @@ def corr_to_target(df: DataFrame, target: str) -> DataFrame:
     if class_of(df.schema[target].dataType) == NUMERIC:
         coded = df.withColumn("__y", as_double(target))
     else:
-        levels = fit_levels(df, [target])[target]
+        levels = fit_levels(df.where(col(target).isNotNull()), [target])[target]  # present classes only
         coded = attach_codes(df, target, levels, "__y", missing=None, on_unseen="null")
         coded = coded.withColumn("__y", F.coalesce(F.col("__y"), F.lit(-1)).cast("double"))
     ordered = [*features, "__y"]

@@ -14,7 +14,7 @@ from featloom.session import cut_lineage
 
 SMALL_LEVELS = 100_000  # level rows that may come to the driver and be broadcast …
 SMALL_BYTES = 32 * 2**20  # … and the size of their texts together
-HOT_SHARE = 0.001  # a level above this share of rows is looked up by broadcast
+HOT_SHARE = 0.001  # a level above this share of the rows at hand is looked up by broadcast
 LEVELS_PER_STRETCH = 500_000  # levels sorted by one task
 WIDE_ONE_HOT = 1_000  # indicator columns; beyond this one sparse vector per feature
 MISSING_CLASS = "nan"
@@ -90,31 +90,26 @@ def _large_table(column: str, counts: DataFrame) -> LevelTable:
 def _lookup(df: DataFrame, key: Column, levels: LevelTable, value: Column, out: str) -> DataFrame:
     """Left join of a level's value; NULL where the level is unknown.
 
-    A small table is broadcast. A large one is split: levels above ``HOT_SHARE``
-    (at most 1/HOT_SHARE of them) are broadcast, and only rare levels meet in
-    the shuffle. Rows that need no match there, those of hot levels and of
-    missing values, are spread by the task that read them, which does not depend
-    on row order and so stays the same when a task is run again.
+    A small table is broadcast. With a large one the rows are split into two
+    frames. Rows without a key, and rows of levels that hold more than
+    ``HOT_SHARE`` of the table at hand (at most 1/HOT_SHARE of them, known to
+    the fit or not), are answered by a broadcast and never shuffle. Only rows
+    of rarer levels meet in the join.
     """
     side = levels.frame(df.sparkSession).withColumn(out, value)
     if levels.table is None:
         small = F.broadcast(side.select(F.col("level").alias("__k"), out))
         return df.withColumn("__k", key).join(small, "__k", "left").drop("__k")
-    side = side.withColumn("__k", level_key(F.col("level")))
-    is_hot = F.col("all_rows") > HOT_SHARE * (levels.total + levels.missing)
-    hot = side.where(is_hot).select("__k", F.col(out).alias("__hot"))
-    cold = side.where(~is_hot).select(
-        F.col("__k").alias("__c"), F.lit(0).alias("__s"), F.col(out).alias("__cold")
-    )
-    marked = df.withColumn("__k", level_key(key)).join(F.broadcast(hot), "__k", "left").withColumn(
-        "__c", F.when(F.col("__hot").isNull(), F.col("__k"))
-    )
-    marked = marked.withColumn("__s", F.when(F.col("__c").isNull(), F.spark_partition_id()).otherwise(0))
-    return (
-        marked.join(cold, ["__c", "__s"], "left")
-        .withColumn(out, F.coalesce("__hot", "__cold"))
-        .drop("__c", "__s", "__k", "__hot", "__cold")
-    )
+    side = side.select(level_key(F.col("level")).alias("__k"), out)
+    keyed = df.withColumn("__k", level_key(key))
+    counts = keyed.where(F.col("__k").isNotNull()).groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    floor = HOT_SHARE * keyed.count()
+    hot = cut_lineage(counts.where(F.col("__n") > floor).join(side, "__k", "left").select("__k", F.col(out).alias("__hot"), F.lit(True).alias("__is_hot")))
+    marked = keyed.join(F.broadcast(hot), "__k", "left")
+    easy = marked.where(F.col("__is_hot") | F.col("__k").isNull()).withColumn(out, F.col("__hot"))
+    rest = marked.where(F.col("__is_hot").isNull() & F.col("__k").isNotNull()).join(side, "__k", "left")
+    columns = [*[col(c) for c in df.columns], col(out)]
+    return easy.select(*columns).unionByName(rest.select(*columns))
 
 
 def attach_codes(

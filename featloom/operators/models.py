@@ -22,8 +22,6 @@ from featloom.operators.profile import few_values
 from featloom.operators.sampling import split
 from featloom.session import cut_lineage
 
-MAX_CLASSES = 1_000  # model size grows with classes; more is refused, never truncated
-
 # --- fixed values: model defaults ------------------------------------------------
 DEFAULTS = {
     K.LOGISTIC: {"maxIter": 1000, "C": 1.0},
@@ -52,20 +50,20 @@ def estimator(name: str, n_rows: int, n_classes: int, **params):
         return DecisionTreeClassifier(**settings)
     if name == K.SVM:
         svm = LinearSVC(standardization=False, **settings)
-        return svm if n_classes == 2 else OneVsRest(classifier=svm, parallelism=2)
+        return svm if n_classes == 2 else OneVsRest(classifier=svm, parallelism=min(n_classes, 8))
     raise ValueError("KNN has no estimator; it is fitted by fit_knn")
 
 
-def check_target(df: DataFrame, target: str) -> list:
-    """Sorted classes of a valid target; ``ValueError`` otherwise."""
+def check_target(df: DataFrame, target: str, max_classes: int | None = None) -> list:
+    """Sorted classes of a valid target; ``ValueError`` otherwise, or beyond ``max_classes`` if given."""
     df, kind = nan_to_null(df), df.schema[target].dataType
     if class_of(kind) == OTHER and not isinstance(kind, T.BooleanType):
         raise ValueError(f"Target column {target} holds neither numbers, text nor truth values.")
     if isinstance(kind, T.FractionalType) and df.where(col(target) % 1 != 0).limit(1).count():
         raise ValueError(K.CONTINUOUS_TARGET_ERROR)
-    classes = few_values(df, target, MAX_CLASSES)
+    classes = few_values(df, target, max_classes)
     if classes is None:
-        raise ValueError(f"Target has more than {MAX_CLASSES} classes; no model here can hold them.")
+        raise ValueError(f"Target has more than {max_classes} classes.")
     if len(classes) < 2:
         raise ValueError(K.SINGLE_CLASS_ERROR)
     return classes

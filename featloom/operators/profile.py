@@ -78,13 +78,15 @@ def null_target_counts(df: DataFrame, target: str) -> DataFrame:
     )
 
 
-def few_values(df: DataFrame, column: str, limit: int) -> list | None:
-    """Sorted present values of a column, or None if there are more than ``limit``.
+def few_values(df: DataFrame, column: str, limit: int | None) -> list | None:
+    """Sorted present values of a column, or None if there are more than ``limit`` (None: no limit).
 
     A sketch settles the clear cases in one scan without a shuffle (its error is
     far below the factor two left here); only a plausibly small set is listed.
     """
     df = nan_to_null(df)
+    if limit is None:
+        return sorted(r["v"] for r in df.where(col(column).isNotNull()).select(col(column).alias("v")).distinct().collect())
     rough = df.agg(F.approx_count_distinct(col(column)).alias("n")).first()["n"]
     if rough > 2 * limit + 10:
         return None

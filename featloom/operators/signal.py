@@ -14,14 +14,14 @@ from featloom.functions import rules
 from featloom.functions.columns import (
     CATEGORICAL, NUMERIC, as_double, batches, class_of, col, level_key, nan_to_null, stat_rows, union_all, unpivot,
 )
-from featloom.functions.stats import pearson, sum_of_squares_ratio
+from featloom.functions.stats import sum_of_squares_ratio
 from featloom.operators.moments import pair_correlations
 from featloom.session import cut_lineage
 
-FEW_FEATURES = 12  # beyond this, correlations go through the matrix form
-# Running values kept per feature: covariance 4 and two deviations 3 each; min, max,
-# deviation 3 and mean 2; count, mean 2, variance 3, min and max.
-PEARSON_BUFFERS, SPREAD_BUFFERS, CLASS_BUFFERS = 10, 7, 8
+# Running values kept per feature: min, max, deviation 3 and mean 2; count, mean 2,
+# variance 3, min and max.
+SPREAD_BUFFERS, CLASS_BUFFERS = 7, 8
+MAX_BROADCAST_MARGINS = 100_000  # rows of a name, a key of 64 characters at most and a count
 
 
 def _measured_as_number(data_type: T.DataType) -> bool:
@@ -44,12 +44,10 @@ def _double(df: DataFrame, name: str):
 def pearson_to_target(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Signed r of each numeric feature with a numeric target.
 
-    A few features stay inside one generated aggregate; many go through the
-    matrix form, whose cost per row does not depend on generated code size.
+    Always in the matrix form, however many features there are: one scan, and
+    one notion of a constant column.
     """
     y = _double(df, target)
-    if len(features) <= FEW_FEATURES:
-        return stat_rows(df, {f: {"r": pearson(_double(df, f), y)} for f in features}, PEARSON_BUFFERS)
     wide = df.select(*[_double(df, f).alias(f"x{i}") for i, f in enumerate(features)], y.alias("y"))
     found = pair_correlations(wide, wide.columns, [(i, len(features)) for i in range(len(features))])
     names = F.array(*[F.lit(f) for f in features])
@@ -145,15 +143,9 @@ def _profile_by_class(df: DataFrame, features: list[str], target: str) -> DataFr
 
 
 def _profile_by_number(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """|r| and spread of numeric features; one scan for a few features."""
-    if len(features) > FEW_FEATURES:
-        return pearson_to_target(df, features, target).select("feature", F.abs("r").alias("s")).join(
-            scale_sensitivity(df, features).select("feature", "value_range", "cv"), "feature"
-        )
-    y = _double(df, target)
-    stats = {f: {"r": pearson(_double(df, f), y), **_spread(_double(df, f))} for f in features}
-    return stat_rows(df, stats, PEARSON_BUFFERS + SPREAD_BUFFERS).select(
-        "feature", F.abs("r").alias("s"), "value_range", "cv"
+    """|r| and spread of numeric features; a scan each."""
+    return pearson_to_target(df, features, target).select("feature", F.abs("r").alias("s")).join(
+        scale_sensitivity(df, features).select("feature", "value_range", "cv"), "feature"
     )
 
 
@@ -189,9 +181,10 @@ def cramers_v(df: DataFrame, features: list[str], target: str) -> DataFrame:
     level_totals = cells.groupBy("feature", "level").agg(F.sum("n").alias("level_n"))
     class_totals = cells.groupBy("feature", "class").agg(F.sum("n").alias("class_n"))
     o = F.col("n").cast("double")
+    # Few margins are broadcast, after a count; a class that many levels share is then no hot key.
     chi = (
-        cells.join(level_totals, ["feature", "level"])
-        .join(class_totals, ["feature", "class"])
+        cells.join(_few_or_shuffled(level_totals), ["feature", "level"])
+        .join(_few_or_shuffled(class_totals), ["feature", "class"])
         .groupBy("feature")
         .agg(F.sum(o * o / (F.col("level_n").cast("double") * F.col("class_n").cast("double"))).alias("s"))
     )
@@ -205,6 +198,10 @@ def cramers_v(df: DataFrame, features: list[str], target: str) -> DataFrame:
     )
 
 
+def _few_or_shuffled(margins: DataFrame) -> DataFrame:
+    return F.broadcast(margins) if margins.count() <= MAX_BROADCAST_MARGINS else margins
+
+
 def _profile(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """Strength and spread of every feature, in feature order."""
     kinds = {f: df.schema[f].dataType for f in features}

@@ -29,7 +29,8 @@ def target_distribution(df: DataFrame, target: str) -> tuple[str, DataFrame]:
     if few_values(df, target, K.TOP_VALUES) is not None:
         return "counts", value_counts(df, target)
     if class_of(df.schema[target].dataType) == NUMERIC:
-        return "histogram", histograms(df, [target])
+        mean = df.agg(F.avg(as_double(target))).first()[0]
+        return "histogram", histograms(df, [target]).withColumn("mean", F.lit(mean).cast("double"))
     return "top", value_counts(df, target, K.TOP_VALUES)
 
 
@@ -47,7 +48,7 @@ def bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
 
 
 def histograms(df: DataFrame, columns: list[str], bins: int = K.HISTOGRAM_BINS, edges: dict | None = None) -> DataFrame:
-    """Equal-width counts: ``feature, bin, bin_low, bin_high, n, mean``.
+    """Equal-width counts: ``feature, bin, bin_low, bin_high, n``.
 
     Two scans (range, then counts); the shuffle holds features x bins rows.
     """
@@ -81,7 +82,7 @@ def histograms(df: DataFrame, columns: list[str], bins: int = K.HISTOGRAM_BINS,
     )
 
 
-def feature_histograms(df: DataFrame, target: str | None = None, max_features: int = K.CHART_HISTOGRAMS) -> DataFrame:
+def feature_histograms(df: DataFrame, target: str | None = None, max_features: int | None = None) -> DataFrame:
     return histograms(df, numeric_columns(df, target)[:max_features])
 
 
@@ -108,7 +109,7 @@ def box_summary(df: DataFrame, features: list[str], target: str, classes: list)
     parts = [
         _whiskers(chosen, group, target, kind, quartiles) for group in batches(features, BOX_BUFFERS)
     ]
-    # One row per feature and class: at most max_features x 10.
+    # One row per feature and class.
     table = df.sparkSession.createDataFrame(
         [(g, f, *q) for (g, f), q in quartiles.items()],
         f"class {kind}, feature string, q1 double, median double, q3 double",
@@ -152,30 +153,36 @@ def _whiskers(chosen: DataFrame, features: list[str], target: str, kind: str, qu
     return data.join(fences, "class").groupBy("class").agg(*aggregates).select("class", F.inline(F.array(*structs)))
 
 
-def box_by_target(df: DataFrame, target: str, max_features: int = K.CHART_VS_TARGET) -> DataFrame | None:
-    """Boxes of the first numeric features for the 10 most frequent classes."""
+def box_by_target(
+    df: DataFrame, target: str, max_features: int | None = None, max_classes: int | None = None
+) -> DataFrame | None:
+    """Boxes of the numeric features by class; of the first ones and the most frequent classes, if asked."""
     features = numeric_columns(df, target)[:max_features]
     if not features:
         return None
-    classes = [r["value"] for r in value_counts(df, target, K.BOX_CLASSES).collect()]
+    classes = [r["value"] for r in value_counts(df, target, max_classes).collect()]
     return box_summary(df, features, target, classes)
 
 
-def box_separation(df: DataFrame, target: str, max_features: int = K.CHART_SEPARATION) -> DataFrame | None:
-    """Boxes for the first 5 classes in sorted order; None above 20 classes."""
+def box_separation(
+    df: DataFrame, target: str, max_features: int | None = None, max_classes: int | None = None
+) -> DataFrame | None:
+    """Boxes for the classes in sorted order, the first ones if asked; None above 20 classes."""
     features = numeric_columns(df, target)[:max_features]
     values = few_values(df, target, K.TOP_VALUES) if features else None
-    return box_summary(df, features, target, values[: K.SEPARATION_CLASSES]) if values else None
+    return box_summary(df, features, target, values[:max_classes]) if values else None
 
 
-def feature_vs_target(df: DataFrame, target: str, keys: list[str], max_features: int = K.CHART_VS_TARGET) -> tuple[str, DataFrame]:
-    """Scatter points for a numeric target with over 20 values, else boxes."""
+def feature_vs_target(
+    df: DataFrame, target: str, keys: list[str], max_features: int | None = None, rows: int = K.PLOT_SAMPLE_ROWS
+) -> tuple[str, DataFrame]:
+    """A sample of ``rows`` scatter points for a numeric target with over 20 values, else boxes."""
     from featloom.operators.sampling import sample_random
 
     numeric = class_of(df.schema[target].dataType) == NUMERIC
     if numeric and few_values(df, target, K.TOP_VALUES) is None:
         features = numeric_columns(df, target)[:max_features]
-        points = sample_random(df, K.PLOT_SAMPLE_ROWS, keys)
+        points = sample_random(df, rows, keys)
         return "scatter", unpivot(points, features, "double", ids=[target])
     return "boxes", box_by_target(df, target, max_features)
 
@@ -252,8 +259,14 @@ def model_guidance(df: DataFrame, target: str | None = None, models: list[str] =
 
 
 def feature_space(df: DataFrame, target: str, x: str, y: str, bins: int = K.HISTOGRAM_BINS) -> DataFrame:
-    """2-D binned counts per class: the scatter of two features at any size."""
+    """2-D binned counts per class: the scatter of two features at any size.
+
+    Empty if one of the two has no values.
+    """
     edges = bounds(df, [x, y])
+    if len(edges) < len({x, y}):
+        kind = df.schema[target].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"bin_x int, bin_y int, class {kind}, n bigint")
     return (
         df.select(
             _bin(as_double(x), *edges[x], bins).alias("bin_x"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from featloom import constants as K
 from featloom.functions import rules
-from featloom.functions.columns import col, nan_to_null, numeric_columns
+from featloom.functions.columns import as_double, col, nan_to_null, numeric_columns, stat_values
 from featloom.operators.models import Experiment, TrainedModel, evaluate, fit_model, prepare_experiment
 from featloom.operators.preprocess import PrepConfig
 from featloom.operators.quantiles import exact_quantiles
@@ -52,7 +52,7 @@ def _ablate(spark, setup: Experiment, model, features, max_features, params) ->
             rest = accuracy([c for c in setup.features if c != feature])
             return feature, baseline, rest, baseline - rest, None
         except Exception as problem:  # reported in the row
-            return feature, baseline, None, None, str(problem)[:200]
+            return feature, baseline, None, None, str(problem)
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         rows = list(pool.map(without, tested))
@@ -90,9 +90,17 @@ def median_row(df: DataFrame, columns: list[str]) -> dict[str, float]:
 
 def grid_bounds(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """min, max and two exact quantiles per column."""
-    found = exact_quantiles(df, columns, [0.0, low, high, 1.0])
+    found = exact_quantiles(df, columns, [low, high])
     rows = [(c, *found[None, c]) for c in columns]
-    return df.sparkSession.createDataFrame(rows, "feature string, min double, low double, high double, max double")
+    inner = df.sparkSession.createDataFrame(rows, "feature string, low double, high double")
+    return value_ranges(df, columns).join(inner, "feature").select("feature", "min", "low", "high", "max")
+
+
+def value_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """min and max per column, one plain aggregate."""
+    found = stat_values(df, {c: {"min": F.min(as_double(c)), "max": F.max(as_double(c))} for c in columns}, 2)
+    rows = [(c, found[c]["min"], found[c]["max"]) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "feature string, min double, max double")
 
 
 def sweep_grid(bounds: DataFrame, low: str, high: str, points: int = K.SWEEP_POINTS) -> DataFrame:
@@ -146,11 +154,17 @@ def sensitivity(
     Returns the curves and their summary.
     """
     prepared = trained.prep.apply(nan_to_null(df).where(col(trained.target).isNotNull()))
-    asked = [f for f in (resolve_feature(n, trained.features) for n in features) if f]
-    if not asked:
-        raise ValueError(f"none of {features} is a prepared feature")
-    medians = median_row(prepared, trained.features)
-    grid = sweep_grid(grid_bounds(prepared, asked), "min", "max", points)
+    resolved = {n: resolve_feature(n, trained.features) for n in features}
+    unknown = [n for n, f in resolved.items() if f is None]
+    if unknown or not resolved:
+        raise ValueError(f"not among the prepared features: {unknown or 'none asked'}")
+    asked = list(dict.fromkeys(resolved.values()))
+    prepared = prepared.persist()  # the look-ups are done once, for medians and ranges
+    try:
+        medians = median_row(prepared, trained.features)
+        grid = sweep_grid(value_ranges(prepared, asked), "min", "max", points)
+    finally:
+        prepared.unpersist()
     curve = _curve(trained, medians, grid)
     return curve, response_summary(curve, ["feature"])
 
@@ -159,7 +173,10 @@ def model_response(
     df: DataFrame, target: str, feature: str, config: PrepConfig = PrepConfig(), keys: list[str] = (),
     models: list[str] = (K.LOGISTIC, K.KNN, K.TREE), points: int = K.COMPARE_POINTS,
 ) -> DataFrame:
-    """Response of several models to one feature between its 5th and 95th percentile."""
+    """Response of several models to one feature between its 5th and 95th percentile.
+
+    A model that fails has one row with the error; the others go on.
+    """
     setup = prepare_experiment(df, target, config, list(keys))
     try:
         name = resolve_feature(feature, setup.features)
@@ -167,15 +184,19 @@ def model_response(
             raise ValueError(f"{feature} is not a prepared feature")
         medians = median_row(setup.train, setup.features)
         grid = sweep_grid(grid_bounds(setup.train, [name]), "low", "high", points)
-        result = None
+        rows = []  # points x models
         for model in models:
-            fitted = fit_model(setup.train, model, target, setup.classes, setup.features, setup.prep)
-            curve = _curve(fitted, medians, grid).withColumn("model", F.lit(model))
-            result = curve if result is None else result.unionByName(curve)
-        rows = result.collect()  # points x models
+            try:
+                fitted = fit_model(setup.train, model, target, setup.classes, setup.features, setup.prep)
+                curve = _curve(fitted, medians, grid).collect()
+                rows += [(model, r["feature"], r["step"], r["value"], r["prediction"], None) for r in curve]
+            except Exception as problem:  # reported in the model's only row
+                rows.append((model, name, None, None, None, str(problem)))
     finally:
         setup.release()
-    return df.sparkSession.createDataFrame(rows, result.schema).select("model", "feature", "step", "value", "prediction")
+    return df.sparkSession.createDataFrame(
+        rows, "model string, feature string, step int, value double, prediction double, error string"
+    )
 
 
 def scaling_impact(

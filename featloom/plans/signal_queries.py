@@ -206,10 +206,33 @@ codes AS (SELECT band AS b, row_number() OVER (ORDER BY band) - 1 AS y FROM (SEL
 t AS (SELECT s.*, y FROM s JOIN codes ON band = b),
 x AS ({sql_rows([f"SELECT {i} AS ordinal, '{c}' AS feature, abs({sql_pearson('t', c, 'y')}) AS corr"
                  for i, c in enumerate(SIGNAL_NUMERIC)])})
-SELECT ordinal, feature, round(corr, 6) AS corr FROM x ORDER BY corr DESC LIMIT 3""")
+SELECT ordinal, feature, round(corr, 6) AS corr FROM x ORDER BY corr DESC""")
 def corr_to_target(spark, sf):
-    found = correlation.corr_to_target(signal_table(spark, sf), "band").limit(3)
-    return found.withColumn("corr", F.round("corr", 6))
+    return correlation.corr_to_target(signal_table(spark, sf), "band").withColumn("corr", F.round("corr", 6))
+
+
+@query("corr_to_target_missing", f"""WITH {GAPPY_SQL},
+m AS (SELECT *, CASE flag WHEN 'A' THEN 'alpha' WHEN 'N' THEN 'next' WHEN 'R' THEN 'zeta' END AS c FROM g),
+codes AS (SELECT c AS b, row_number() OVER (ORDER BY c) - 1 AS y FROM (SELECT DISTINCT c FROM m WHERE c IS NOT NULL)),
+t AS (SELECT m.*, coalesce(y, -1) AS y FROM m LEFT JOIN codes ON c = b),
+x AS ({sql_rows([f"SELECT {i} AS ordinal, '{c}' AS feature, abs({sql_pearson('t', c, 'y')}) AS corr"
+                 for i, c in enumerate(GAPPY_NUMERIC)])})
+SELECT ordinal, feature, round(corr, 6) AS corr FROM x""")
+def corr_to_target_missing(spark, sf):
+    """Missing targets code as -1, present classes on both sides of 'nan' by rank."""
+    named = F.expr("CASE flag WHEN 'A' THEN 'alpha' WHEN 'N' THEN 'next' WHEN 'R' THEN 'zeta' END")
+    rows = gappy(spark, sf).select(*GAPPY_NUMERIC, named.alias("c"))
+    return correlation.corr_to_target(rows, "c").withColumn("corr", F.round("corr", 6))
+
+
+@query("pearson_wide", f"""WITH {SIGNAL_SQL}, w AS (SELECT *, {', '.join(f'qty * {k} + price AS w{k}' for k in range(1, 9))} FROM s)
+""" + sql_rows([f"SELECT '{c}' AS feature, round({sql_pearson('w', c, 'gross')}, 6) AS r"
+                for c in [*[n for n in SIGNAL_NUMERIC if n != "gross"], *[f"w{k}" for k in range(1, 9)]]]))
+def pearson_wide(spark, sf):
+    """Fourteen features by the same path as three."""
+    rows = signal_table(spark, sf).selectExpr("*", *[f"qty * {k} + price AS w{k}" for k in range(1, 9)])
+    features = [*[n for n in SIGNAL_NUMERIC if n != "gross"], *[f"w{k}" for k in range(1, 9)]]
+    return signal.pearson_to_target(rows, features, "gross").select("feature", F.round("r", 6).alias("r"))
 
 
 @query("scale_ranges", f"""WITH {SIGNAL_SQL},

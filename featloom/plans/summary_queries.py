@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from featloom import constants as K
 from featloom.operators import metrics, outliers, summaries, verify
 from featloom.plans.registry import GAPPY_NUMERIC, GAPPY_SQL, gappy, query, sql_hash, sql_rows, table
 
@@ -37,18 +38,19 @@ def _rounded(hist):
 def target_hist(spark, sf):
     kind, hist = summaries.target_distribution(table(spark, sf, "lineitem"), "l_extendedprice")
     assert kind == "histogram"
-    return _rounded(hist)
+    return _rounded(hist.drop("mean"))
 
 
 @query("target_mean", "SELECT round(avg(l_extendedprice), 4) AS mean FROM lineitem")
 def target_mean(spark, sf):
-    return table(spark, sf, "lineitem").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+    _, hist = summaries.target_distribution(table(spark, sf, "lineitem"), "l_extendedprice")
+    return hist.select(F.round("mean", 4).alias("mean")).distinct()
 
 
 @query("histograms", f"WITH {GAPPY_SQL}\n" + sql_rows([_hist_sql(c, "g") for c in GAPPY_NUMERIC]))
 def histograms(spark, sf):
     rows = gappy(spark, sf).drop("l_orderkey", "l_linenumber")
-    return _rounded(summaries.feature_histograms(rows, "flag"))
+    return _rounded(summaries.feature_histograms(rows, "flag", K.CHART_HISTOGRAMS))
 
 
 @query("hist_shift", f"""WITH b AS (SELECT avg(value) - 3 * stddev_samp(value) AS lo3, avg(value) + 3 * stddev_samp(value) AS hi3 FROM events),
@@ -86,7 +88,7 @@ k AS (SELECT flag AS c FROM g WHERE flag IS NOT NULL GROUP BY 1 ORDER BY count(*
 {_box_sql(GAPPY_NUMERIC, 'flag', 'g', 'k')}""")
 def box_by_target(spark, sf):
     rows = gappy(spark, sf).drop("l_orderkey", "l_linenumber")
-    return _rounded_box(summaries.box_by_target(rows, "flag"))
+    return _rounded_box(summaries.box_by_target(rows, "flag", K.CHART_VS_TARGET, K.BOX_CLASSES))
 
 
 @query("box_separation", f"""WITH v AS (SELECT event_id, user_id, value, event_type FROM events),
@@ -94,7 +96,7 @@ k AS (SELECT DISTINCT event_type AS c FROM v ORDER BY c LIMIT 5)
 {_box_sql(['event_id', 'user_id', 'value'], 'event_type', 'v', 'k')}""")
 def box_separation(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "user_id", "value", "event_type")
-    return _rounded_box(summaries.box_separation(rows, "event_type"))
+    return _rounded_box(summaries.box_separation(rows, "event_type", K.CHART_SEPARATION, K.SEPARATION_CLASSES))
 
 
 @query("feature_vs_target", f"""

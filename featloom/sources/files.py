@@ -54,10 +54,10 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
     return text.select(*typed)
 
 
-def file_size_mb(spark: SparkSession, path: str, file_format: str = "csv") -> float:
-    """Total size of the files below ``path``."""
-    files = spark.read.format(file_format).load(path).select("_metadata.file_path", "_metadata.file_size").distinct()
-    return (files.agg(F.sum("file_size").alias("b")).first()["b"] or 0) / (1024.0 * 1024.0)
+def file_size_mb(spark: SparkSession, path: str) -> float:
+    """Total size of the files below ``path``, from their listing; no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length")
+    return (files.agg(F.sum("length").alias("b")).first()["b"] or 0) / (1024.0 * 1024.0)
 
 
 def row_count(df: DataFrame) -> DataFrame:

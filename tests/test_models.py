@@ -187,3 +187,16 @@ def test_svm_with_three_classes(people):
     result = models.train_evaluate(df, "t", K.SVM, FULL, ["id"], maxIter=5)
     assert result.metrics.first()["accuracy"] > 0.4
     assert len(models.importance(result.model)) == len(result.model.features)
+
+
+def test_model_response_goes_on_when_one_model_fails(people):
+    got = verify.model_response(people, "Purchased", "Income", FULL, ["id"], models=["No Such Model", K.TREE], points=3).collect()
+    failed = [r for r in got if r["model"] == "No Such Model"]
+    assert len(failed) == 1 and failed[0]["prediction"] is None and "unknown model" in failed[0]["error"]
+    assert len([r for r in got if r["error"] is None]) == 3
+
+
+def test_sensitivity_names_unknown_features(people):
+    trained = models.train_evaluate(people, "Purchased", K.TREE, FULL, ["id"]).model
+    with pytest.raises(ValueError, match="no_such"):
+        verify.sensitivity(people, trained, ["Income", "no_such"])

@@ -281,3 +281,22 @@ def test_long_levels_stay_distributed(spark, monkeypatch):
     tables = fit_levels(df, ["c"])
     assert tables["c"].table is not None
     assert column(label_encode(df, tables), "c") == [i % 20 for i in range(40)]
+
+
+@pytest.mark.parametrize("hot", ["known", "missing", "unseen"])
+def test_hot_levels_do_not_meet_in_one_task(spark, hot):
+    """The executed join, with adaptive execution and automatic broadcasts off."""
+    level = {"known": "'l7'", "missing": "NULL", "unseen": "'never fitted'"}[hot]
+    rows = spark.range(40_000, numPartitions=8).selectExpr(f"CASE WHEN id % 2 = 0 THEN {level} ELSE concat('l', id % 5000) END AS c")
+    tables = fit_levels(spark.range(5000).selectExpr("concat('l', id) AS c"), ["c"], small_limit=10)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        coded = label_encode(rows, tables, on_unseen="null")
+        sizes = sorted(r["n"] for r in coded.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect())
+        assert sum(sizes) == 40_000 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+        assert frequency_encode(rows, tables).where("c > 0").count() == (40_000 if hot == "known" else 20_000)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -317,3 +317,21 @@ def test_quantiles_of_many_columns(spark):
     found = exact_quantiles(spark.createDataFrame(pdf), list(pdf), [0.5])
     assert all(math.isclose(found[None, c][0], pdf[c].median(), abs_tol=1e-12) for c in pdf)
     assert time.time() - start < 60
+
+
+def test_strength_does_not_depend_on_the_number_of_features(spark):
+    wide = spark.range(200).selectExpr("id * 1.0D AS t", "1e6 + 1e-8 * id AS near", *[f"sin(id * {k}) AS x{k}" for k in range(1, 16)])
+    few, many = ({r["feature"]: (r["strength"], r["signal"]) for r in rows(signal.signal_strength(wide, "t", ["near", *[f"x{k}" for k in range(1, n)]]))}
+                 for n in (12, 13))
+    assert all(many[f] == few[f] for f in few)
+
+
+def test_corr_to_target_counts_present_classes_only(spark):
+    df = spark.createDataFrame(list(zip([1.0, 2.0, 3.0, 4.0, 5.0, 2.5], ["a", "b", "z", "z", None, "a"])), "x double, t string")
+    expected = abs(np.corrcoef([1, 2, 3, 4, 5, 2.5], [0, 1, 2, 2, -1, 0])[0, 1])
+    assert rows(correlation.corr_to_target(df, "t"))[0]["corr"] == pytest.approx(expected)
+
+
+def test_feature_space_without_values(spark):
+    df = spark.createDataFrame([(1.0, None, "a")], "x double, y double, t string")
+    assert summaries.feature_space(df, "t", "x", "y").count() == 0
