@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm import bpe, bytes_dedup, decontaminate, exact_dedup, jaccard, language, line_dedup, secrets, surrogates, toxicity
+from featloom.llm import bpe, bytes_dedup, decontaminate, exact_dedup, jaccard, language, line_dedup, secret_scan, surrogates, toxicity
 from featloom.llm.common import sha256, table
 from featloom.plans.registry import query
 
@@ -77,13 +77,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_secrets")
 def op3(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    found = secrets.find(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN,
+    found = secret_scan.find(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN,
                          carry=["doc_id"])
     name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     of = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
     return found.select(
-        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
-        sha256(F.array_join(F.transform(of(*secrets.KINDS[:3]), name), ",")).alias("base_sha256"),
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS],
+        sha256(F.array_join(F.transform(of(*secret_scan.KINDS[:3]), name), ",")).alias("base_sha256"),
         F.array_join(F.transform("secrets", name), ",").alias("spans"))
 
 

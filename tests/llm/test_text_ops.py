@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from featloom.llm import bpe, decontaminate, language, secrets, surrogates, toxicity
+from featloom.llm import bpe, decontaminate, language, secret_scan, surrogates, toxicity
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -75,14 +75,14 @@ SECRETS = ["", 'token = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3" é', "PASSWOR
 
 def test_secrets_base_spans_against_brute_force(docs_of, given):
     texts = SECRETS + [r.text for r in given.select("text").collect()]
-    rows = secrets.find(docs_of(enumerate(texts)), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    rows = secret_scan.find(docs_of(enumerate(texts)), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     for r in rows:
-        base = [(s.start, secrets.KINDS.index(s.kind), s.end) for s in r.secrets if s.kind != "random"]
+        base = [(s.start, secret_scan.KINDS.index(s.kind), s.end) for s in r.secrets if s.kind != "random"]
         assert base == brute_secrets(texts[r.doc_id]), texts[r.doc_id][:80]
 
 
 def test_random_strings_and_known_forms(docs_of):
-    rows = secrets.find(docs_of(enumerate(SECRETS + [None])), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    rows = secret_scan.find(docs_of(enumerate(SECRETS + [None])), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     found = {r.doc_id: [SECRETS[r.doc_id][s.start:s.end] for s in r.secrets if s.kind == "random"] for r in rows if r.doc_id < len(SECRETS)}
     assert found[9] == ["Xk29sLqP0zVnB71mTyRw"]
     assert not found[7] and not found[8] and not found[10]
