@@ -37,27 +37,66 @@ PER_BUCKET = 1 << 18  # tokens counted together, about
 OFTEN = 24  # a token of so many prefixes goes to the end of the order
 MAX_OFTEN = 1 << 20  # at most so many, the most frequent; 8 MB to broadcast
 MAX_FILTER_BITS = 29  # 64 MB
-ROUNDS = 3
-CACHE = 500_000
+ROUNDS = 2
+PIECE = 1 << 20  # bytes of a text whose words are hashed at once
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-class Hashes(dict):
-    """Word to hash; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
+class Words:
+    """Hashes of the words of a text, all at once.
 
+    A word's hash is a polynomial of its bytes, the difference of two running sums over the
+    text, moved to a common place; texts are handled in pieces that end between words.
+    """
 
-def shingles(text: str | None, hashes: Hashes) -> np.ndarray:
+    def __init__(self):
+        draw = np.random.Generator(np.random.PCG64(20))
+        self.value = draw.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+        self.base = 0x9E3779B97F4A7C15
+        self.white = np.zeros(256, bool)
+        self.white[[0x20, *range(0x09, 0x0E)]] = True
+        self.grow(PIECE)
+
+    def grow(self, n: int) -> None:
+        self.power = np.full(n + 1, self.base, np.uint64)
+        self.power[0] = 1
+        np.multiply.accumulate(self.power, out=self.power)
+        self.back = np.full(n + 1, pow(self.base, -1, 1 << 64), np.uint64)
+        self.back[0] = 1
+        np.multiply.accumulate(self.back, out=self.back)
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        out, start = [], 0
+        while start < len(text):
+            size = PIECE
+            while True:
+                data = np.frombuffer(text, np.uint8, min(size, len(text) - start), start)
+                white = self.white[data]
+                last = start + size >= len(text)
+                if last or white.any():
+                    break
+                size *= 2  # one word so far
+            if not last:
+                end = len(data) - int(np.argmax(white[::-1]))  # after the last white space
+                data, white = data[:end], white[:end]
+            if len(data) > len(self.power) - 1:
+                self.grow(2 * len(data))
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]])))
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(self.value[data] * self.power[:len(data)], out=sums[1:])
+            begin = edges[::2]
+            h = (sums[edges[1::2]] - sums[begin]) * self.back[begin]
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            out.append(h ^ (h >> np.uint64(32)))
+            start += len(data)
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingles(text: str | None, words: Words) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    words = (text or "").encode("utf-8", "replace").translate(UPPER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    w = words((text or "").encode("utf-8", "replace").translate(UPPER))
+    if not len(w):
+        return w
     n = min(WORDS, len(w))
     out = np.full(len(w) - n + 1, n, np.uint64)
     for i in range(n):
@@ -112,7 +151,7 @@ def token_counts(texts: DataFrame, filter_bits: int, bucket_bits: int, often: np
     shared = texts.sparkSession.sparkContext.broadcast(often)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, order, seen, held, size = Hashes(), Order(shared.value, np.zeros(1, np.uint8)), set(), [], 0
+        hashes, order, seen, held, size = Words(), Order(shared.value, np.zeros(1, np.uint8)), set(), [], 0
 
         def out():
             every = np.sort(np.concatenate(held))
@@ -187,26 +226,29 @@ def token_order(texts: DataFrame, tokens: int) -> Order:
 
 
 def postings(texts: DataFrame, order: Order) -> DataFrame:
-    """(token, grp, n, sig): a row per shared prefix token of each group with ``sig`` null, and one per member with ``token`` null."""
+    """(token, grp, n, sig, id): a row per document with ``token`` null, and one per shared prefix token of each group."""
     shared = texts.sparkSession.sparkContext.broadcast((order.often, order.bits))
+    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes, members, groups = Order(*shared.value), Hashes(), set(), set()
-        for text in _texts(batches):
-            tokens = shingles(text, hashes)
-            sig = signature(tokens)
-            if not len(tokens) or sig in members:
-                continue
-            members.add(sig)
-            prefix = own.prefix(tokens)
-            grp = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(tokens)) - (1 << 63)
-            rows = own.shared(prefix) if grp not in groups else prefix[:0]
-            groups.add(grp)
-            k = len(rows) + 1
-            yield pa.record_batch({"token": pa.concat_arrays([pa.nulls(1, pa.int64()), _longs(rows)]), "grp": pa.array(np.full(k, grp)),
-                                   "n": pa.array(np.full(k, len(tokens), np.int32)), "sig": pa.array([sig, *[None] * (k - 1)], pa.binary())})
-
-    return texts.mapInArrow(rebatched(run), "token long, grp long, n int, sig binary")
+        own, hashes, groups = Order(*shared.value), Words(), set()
+        for batch in batches:
+            ids = batch.column(1)
+            for at, text in enumerate(batch.column(0)):
+                tokens = shingles(text.as_py(), hashes)
+                grp, sig, rows = None, None, tokens[:0]
+                if len(tokens):
+                    prefix, sig = own.prefix(tokens), signature(tokens)
+                    grp = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(tokens)) - (1 << 63)
+                    if grp not in groups:  # alike documents of one task send their tokens once
+                        groups.add(grp)
+                        rows = own.shared(prefix)
+                k = len(rows) + 1
+                yield pa.record_batch({"token": pa.concat_arrays([pa.nulls(1, pa.int64()), _longs(rows)]), "grp": pa.array([grp] * k, pa.int64()),
+                                       "n": pa.array(np.full(k, len(tokens), np.int32)), "sig": pa.array([sig, *[None] * (k - 1)], pa.binary()),
+                                       "id": pa.concat_arrays([ids.slice(at, 1), pa.nulls(k - 1, ids.type)])})
+
+    return texts.mapInArrow(rebatched(run), f"token long, grp long, n int, sig binary, id {kind}")
 
 
 def rebatched(run, rows: int = 50_000):
@@ -233,7 +275,7 @@ def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     keys = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.select(F.conv(F.hex(F.substring("a", 1, 7)), 16, 10).cast("long")).collect()], np.int64)) if few else None)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, among = Hashes(), set(), keys.value
+        hashes, seen, among = Words(), set(), keys.value
         for text in _texts(batches):
             tokens = shingles(text, hashes)
             sig = signature(tokens)
@@ -275,11 +317,9 @@ def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             .mapInArrow(judge, "a binary, b binary"))
 
 
-def links(texts: DataFrame, tokens: int) -> DataFrame:
-    """Links (a, b) between set signatures that connect the same sets as all links do."""
-    order = token_order(texts, tokens)
-    rows = cut_lineage(postings(texts, order))
-    members = cut_lineage(rows.where(F.col("token").isNull()).select("grp", "n", "sig").distinct())
+def links(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) between set signatures that connect the same sets as all links do; ``rows`` are the postings."""
+    members = cut_lineage(rows.where(F.col("sig").isNotNull()).select("grp", "n", "sig").distinct())
     shared = rows.where(F.col("token").isNotNull()).select("token", "grp", "n").repartition("token").dropDuplicates(["token", "grp"])
     lists = cut_lineage(shared.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1).drop("m").join(shared, "token"))
     first = cut_lineage(members.groupBy("grp").agg(F.min("sig").alias("first"), F.min("n").alias("n")))
@@ -295,7 +335,7 @@ def links(texts: DataFrame, tokens: int) -> DataFrame:
         if labels is not None:
             met = met.where(F.col("lead.l") != F.col("label"))
         counted = met.groupBy("grp", "n", F.col("lead.g").alias("lead")).agg(F.count("*").alias("c"))
-        best = counted.where(F.col("c") * 20 >= F.col("n")).groupBy("grp").agg(F.max(F.struct("c", "lead")).alias("best")).select("grp", F.col("best.lead").alias("lead"))
+        best = counted.where(F.col("c") * 10 >= F.col("n")).groupBy("grp").agg(F.max(F.struct("c", "lead")).alias("best")).select("grp", F.col("best.lead").alias("lead"))
         pairs = (best.join(first.select(F.col("grp").alias("lead"), F.col("first").alias("a")), "lead")
                  .join(members.select("grp", F.col("sig").alias("b")), "grp").select("a", "b"))
         pairs = cut_lineage((pairs.unionByName(inside) if turn == 0 else pairs).distinct())
@@ -340,22 +380,12 @@ def group_labels(linked: DataFrame, members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ``id_col``, n_shingles, component_id (least id linked to it, directly or not)."""
-    texts = docs.select(F.col(text_col).alias("text"))
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            found = [shingles(t.as_py(), hashes) for t in batch.column(0)]
-            yield pa.record_batch({"id": batch.column(1), "n": pa.array([len(f) for f in found], pa.int64()),
-                                   "sig": pa.array([signature(f) if len(f) else None for f in found], pa.binary())})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = cut_lineage(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id")).mapInArrow(sizes, f"id {kind}, n long, sig binary"))
+    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    made = cut_lineage(postings(texts, token_order(texts, bytes_ // 6)))  # about six bytes a word
+    rows = made.where(F.col("token").isNull()).select("id", F.col("n").cast("long").alias("n"), "sig")
     alone = rows.where(F.col("sig").isNull()).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    tokens = rows.agg(F.sum("n")).first()[0] or 0
-    if not tokens:
-        return alone
-    labels = set_labels(links(texts, tokens))
+    labels = set_labels(links(texts, made))
     groups = rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("k"))
     named = groups.join(labels, groups.sig == labels.node, "left").select("sig", "least", "k", F.coalesce("label", "sig").alias("label"))
     classes = named.groupBy("label").agg(F.min("least").alias("component_id"))
