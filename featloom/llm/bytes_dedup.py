@@ -68,7 +68,9 @@ def runs(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
         least = np.minimum(least[:len(least) - rest], least[rest:]) if rest else least
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         last = np.concatenate([first[1:], [len(least)]]) - 1
-        yield h[(least[first] & low).astype(np.int64)], first + at, last + at
+        # Least hashes are small; mixed again they spread over buckets and filter bits.
+        grams = h[(least[first] & low).astype(np.int64)] * U(0xC4CEB9FE1A85EC53)
+        yield grams ^ (grams >> U(32)), first + at, last + at
 
 
 def refine(text: np.ndarray, depth: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
