@@ -109,6 +109,12 @@ def signature(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def spread_out(tokens: np.ndarray) -> np.ndarray:
+    """Another hash, one to one: prefixes hold the small hashes, which would crowd few ranges."""
+    out = tokens * np.uint64(0xC4CEB9FE1A85EC53)
+    return out ^ (out >> np.uint64(32))
+
+
 def prefix_size(n: int) -> int:
     return n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
 
@@ -128,7 +134,7 @@ class Order:
         return np.concatenate([tokens[~late], tokens[late]])[:prefix_size(len(tokens))]
 
     def shared(self, tokens: np.ndarray) -> np.ndarray:
-        at = (tokens >> self.shift).astype(np.int64)
+        at = (spread_out(tokens) >> self.shift).astype(np.int64)
         return tokens[(self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0]
 
 
@@ -154,8 +160,10 @@ def token_counts(texts: DataFrame, filter_bits: int, bucket_bits: int, often: np
         hashes, order, seen, held, size = Words(), Order(shared.value, np.zeros(1, np.uint8)), set(), [], 0
 
         def out():
-            every = np.sort(np.concatenate(held))
-            buckets = (every >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            every = np.concatenate(held)
+            buckets = (spread_out(every) >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            by = np.argsort(buckets)
+            every, buckets = every[by], buckets[by]
             edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
             return pa.record_batch({"bucket": pa.array(buckets[edges[:-1]]),
                                     "tokens": pa.array([every[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())})
@@ -178,7 +186,7 @@ def token_counts(texts: DataFrame, filter_bits: int, bucket_bits: int, often: np
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             again = tokens[counts > 1]
             bits = np.zeros(1 << low, bool)
-            bits[((again >> np.uint64(64 - filter_bits)) & np.uint64((1 << low) - 1)).astype(np.int64)] = True
+            bits[((spread_out(again) >> np.uint64(64 - filter_bits)) & np.uint64((1 << low) - 1)).astype(np.int64)] = True
             frequent = counts >= OFTEN
             return pa.record_batch({"bucket": pa.array([at]), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()),
                                     "often": pa.array([tokens[frequent].tobytes()], pa.binary()),
