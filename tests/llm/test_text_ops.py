@@ -26,7 +26,7 @@ def odd_texts(n=1500):
 
 
 def test_fragments_encode_as_the_whole(vocabulary, monkeypatch):
-    encoder = bpe.Encoder(vocabulary.packed())
+    encoder = bpe.Encoder(vocabulary.parts())
     for text in odd_texts():
         assert encoder.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, text
     monkeypatch.setattr(bpe, "PIECE", 7)
