@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featloom.llm import bpe, decontaminate, exact_dedup, jaccard, queries, toxicity
-from featloom.llm.common import sha256, table
+from featloom.llm.common import remove_path, sha256, table
 from featloom.plans.registry import query
 from featloom.session import scratch_path
 
@@ -60,9 +60,12 @@ ORACLE_SQL = None
 
 @query("pipeline", ORACLE_SQL)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)  # its rows are in the next stage's table
+        before = path
     return docs
