@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 STRETCH = 20  # bits of a position inside one reducer's stretch

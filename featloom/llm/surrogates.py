@@ -11,7 +11,7 @@ A stand-in is a function of key, kind and the entity's plain form, so mentions o
 agree in all documents and deliveries with the same key, without any table (coreference).
 A check over all distinct entities draws again where two entities got the same stand-in or a
 stand-in is itself an entity of the corpus, until none is left (distinctness). Only these
-redrawn entities ever need a look-up.
+redrawn entities ever need a look-up; theirs is the one stand-in that depends on the corpus.
 
 Null text stays null; empty texts and texts without entities are unchanged and never shuffle.
 Repeated rows are replaced alike. DataFrame functions only.
