@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom.llm.common import join_groups
@@ -119,6 +119,20 @@ def prefix_size(n: int) -> int:
     return n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
 
 
+def index_size(n):
+    """Tokens of the smaller set that must be looked at in a pair: enough for a shared one even if
+    the other is no larger, and 3 % more so that several must be shared (works on columns, too)."""
+    return n - _ceil(2 * SIMILAR[0] * n, SIMILAR[0] + SIMILAR[1]) + 1 + _floor(3 * n, 100)
+
+
+def _floor(a, b):
+    return F.floor(a / b).cast("int") if isinstance(a, Column) else a // b
+
+
+def _ceil(a, b):
+    return F.ceil(a / b).cast("int") if isinstance(a, Column) else -(-a // b)
+
+
 class Order:
     """Tokens by hash, those of many prefixes last; and which tokens may be shared at all."""
 
@@ -234,29 +248,42 @@ def token_order(texts: DataFrame, tokens: int) -> Order:
 
 
 def postings(texts: DataFrame, order: Order) -> DataFrame:
-    """(token, grp, n, sig, id): a row per document with ``token`` null, and one per shared prefix token of each group."""
+    """(token, early, grp, n, sig, id): a row per document with ``token`` null, and one per shared
+    prefix token of each group; ``early`` tokens are among the first ``index_size(n)``."""
     shared = texts.sparkSession.sparkContext.broadcast((order.often, order.bits))
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, hashes, groups = Order(*shared.value), Words(), set()
-        for batch in batches:
-            ids = batch.column(1)
-            for at, text in enumerate(batch.column(0)):
-                tokens = shingles(text.as_py(), hashes)
-                grp, sig, rows = None, None, tokens[:0]
-                if len(tokens):
-                    prefix, sig = own.prefix(tokens), signature(tokens)
-                    grp = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(tokens)) - (1 << 63)
-                    if grp not in groups:  # alike documents of one task send their tokens once
-                        groups.add(grp)
-                        rows = own.shared(prefix)
-                k = len(rows) + 1
-                yield pa.record_batch({"token": pa.concat_arrays([pa.nulls(1, pa.int64()), _longs(rows)]), "grp": pa.array([grp] * k, pa.int64()),
-                                       "n": pa.array(np.full(k, len(tokens), np.int32)), "sig": pa.array([sig, *[None] * (k - 1)], pa.binary()),
-                                       "id": pa.concat_arrays([ids.slice(at, 1), pa.nulls(k - 1, ids.type)])})
-
-    return texts.mapInArrow(rebatched(run), f"token long, grp long, n int, sig binary, id {kind}")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                tokens, early, grps, sizes, sigs = [], [], [], [], []
+                for text in batch.column(0):
+                    every = shingles(text.as_py(), hashes)
+                    grp, sig, rows, first = None, None, every[:0], 0
+                    if len(every):
+                        prefix, sig = own.prefix(every), signature(every)
+                        grp = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(every)) - (1 << 63)
+                        if grp not in groups:  # alike documents of one task send their tokens once
+                            groups.add(grp)
+                            first = own.shared(prefix[:index_size(len(every))])
+                            rows, first = np.concatenate([first, own.shared(prefix[index_size(len(every)):])]), len(first)
+                    tokens += [np.zeros(1, np.uint64), rows]
+                    early.append(np.arange(-1, len(rows)) < first)
+                    grps.append(grp)
+                    sizes.append(len(every))
+                    sigs.append(sig)
+                counts = np.array([len(e) for e in early])
+                doc = np.repeat(np.arange(len(counts)), counts)
+                head = np.concatenate([[True], doc[1:] != doc[:-1]])
+                heads = pa.array(doc, mask=~head)
+                yield pa.record_batch({
+                    "token": pa.array(np.concatenate(tokens).view(np.int64), mask=head), "early": pa.array(np.concatenate(early)),
+                    "grp": pa.array(grps, pa.int64()).take(pa.array(doc)), "n": pa.array(np.array(sizes, np.int32)[doc]),
+                    "sig": pa.array(sigs, pa.binary()).take(heads), "id": batch.column(1).take(heads)})
+
+    return texts.mapInArrow(run, f"token long, early boolean, grp long, n int, sig binary, id {kind}")
 
 
 def rebatched(run, rows: int = 50_000):
@@ -328,7 +355,7 @@ def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def links(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) between set signatures that connect the same sets as all links do; ``rows`` are the postings."""
     members = cut_lineage(rows.where(F.col("sig").isNotNull()).select("grp", "n", "sig").distinct())
-    shared = rows.where(F.col("token").isNotNull()).select("token", "grp", "n").repartition("token").dropDuplicates(["token", "grp"])
+    shared = rows.where(F.col("token").isNotNull()).select("token", "early", "grp", "n").repartition("token").dropDuplicates(["token", "grp"])
     lists = cut_lineage(shared.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1).drop("m").join(shared, "token"))
     first = cut_lineage(members.groupBy("grp").agg(F.min("sig").alias("first"), F.min("n").alias("n")))
     # Members of one group against its first.
@@ -355,14 +382,18 @@ def links(texts: DataFrame, rows: DataFrame) -> DataFrame:
     at = (lists.join(labels, "grp", "left").withColumn("label", F.coalesce("label", "grp")))
     mixed = at.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("token")
     apart = cut_lineage(at.join(mixed, "token"))
+    # The smaller set's early tokens against all prefix tokens of larger ones. With at least
+    # ``need`` common tokens, the first n - need + j of both share j of them, for every j.
     other = apart.select("token", F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
     least, most = SIMILAR
-    met = apart.join(other, "token").where((F.col("grp") < F.col("grp2")) & (F.col("label") != F.col("label2"))
-                                           & (F.col("n") * most >= F.col("n2") * least) & (F.col("n2") * most >= F.col("n") * least))
+    met = apart.where("early").join(other, "token").where(
+        (F.struct("n", "grp") < F.struct(F.col("n2").alias("n"), F.col("grp2").alias("grp"))) & (F.col("label") != F.col("label2"))
+        & (F.col("n") * most >= F.col("n2") * least))
     counted = met.groupBy("grp", "grp2", "n", "n2").agg(F.count("*").alias("c"))
-    need = F.ceil((F.col("n") + F.col("n2")) * least / (least + most))
-    beyond = F.ceil(F.greatest("n", "n2") * least / most) - 1  # common tokens outside the prefixes, at most
-    close = counted.where(F.col("c") + beyond >= need).select("grp", "grp2")
+    n, n2 = F.col("n"), F.col("n2")
+    need = _ceil((n + n2) * least, least + most)
+    common = F.greatest(F.lit(1), F.least(index_size(n) - n, 1 - _ceil(n2 * least, most)) + need)
+    close = counted.where(F.col("c") >= common).select("grp", "grp2")
     # A group whose members ended up in several classes counts as apart from itself, too.
     split = members.join(set_labels(linked), members.sig == F.col("node"), "left").select("grp", "sig", F.coalesce("label", "sig").alias("label"))
     own = split.groupBy("grp").agg(F.countDistinct("label").alias("k")).where(F.col("k") > 1).select("grp", F.col("grp").alias("grp2"))
