@@ -3,8 +3,9 @@
 The fixed kinds are ``assign`` (a named value), ``access`` (cloud access keys) and ``hex``
 (long hexadecimal runs). On top, kind ``random`` marks strings that a token vocabulary
 compresses badly: few characters per token mean that the string is made of nothing the
-vocabulary has ever seen. Known digests (plain hex of a digest's length), UUIDs, numbers,
-plain words and names of code are excluded first, and so is what a fixed kind covers already.
+vocabulary has ever seen. Known digests (plain hex of a digest's length), UUIDs and numbers
+are excluded first, and so is what a fixed kind covers already. Words and names of code have no
+form that random letters couldn't have: only their tokens tell, with and without separators.
 
 Offsets are code points, the end is exclusive. Null and empty texts have no spans. Whole texts
 are searched, whatever their length; repeated rows are searched each on its own.
@@ -32,10 +33,9 @@ LEAST_VALUE = 6
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-#: Words, possibly joined, as in prose and in names of code: no more than a few digits at the end of each.
-NAME = r"[/_=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)\d{0,4}[/_=+-]*){1,6}"
 NUMBER = r"[0-9+/_=-]+"
 RATIO = 2.0
+STRETCH = 1 << 12  # characters tokenised at once
 
 
 class Scanner:
@@ -43,8 +43,9 @@ class Scanner:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, special_tokens={}, mergeable_ranks={
             base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())})
         self.assign, self.access, self.hex, self.candidate = map(re.compile, (ASSIGN, ACCESS, HEX, CANDIDATE))
-        self.known = [re.compile(p) for p in (UUID, NUMBER, NAME)]
+        self.known = [re.compile(p) for p in (UUID, NUMBER)]
         self.digest = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+        self.between = re.compile(r"[/=+_-]+")
         self.ratio = ratio
 
     def is_random(self, string: str) -> bool:
@@ -52,7 +53,12 @@ class Scanner:
         bare = string.strip("=/+_-")
         if any(p.fullmatch(bare) for p in self.known) or (len(bare) in DIGEST_LENGTHS and self.digest.fullmatch(bare)):
             return False
-        return len(string) < self.ratio * len(self.encoding.encode_ordinary(string))
+        # The words of a joined name, or the whole with its separators, are readable.
+        return self.badly([string]) and self.badly(self.between.split(bare))
+
+    def badly(self, pieces: list[str]) -> bool:
+        tokens = sum(len(self.encoding.encode_ordinary(p[i:i + STRETCH])) for p in pieces for i in range(0, len(p), STRETCH))
+        return sum(map(len, pieces)) < self.ratio * tokens
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind number, end) of the fixed kinds, in order."""

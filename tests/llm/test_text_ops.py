@@ -89,6 +89,25 @@ def test_random_strings_and_known_forms(docs_of):
     assert len(rows) == len(SECRETS) + 1
 
 
+@pytest.fixture(scope="module")
+def scanner():
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        return secret_scan.Scanner(file.read(), public_tokenizers.PATTERN)
+
+
+def test_random_strings_of_one_case_are_found(scanner):
+    """Shapes of words and names of code excuse nothing."""
+    rng = random.Random(5)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters, size, least in ((upper + "234567", 16, 0.97), (upper + "234567", 32, 0.97), (upper + lower + digits, 16, 0.97),
+                                 (upper + lower + digits, 20, 0.97), (lower + digits, 16, 0.9), (upper, 24, 0.9), (lower, 32, 0.8)):
+        keys = ["".join(rng.choices(letters, k=size)) for _ in range(300)]
+        assert sum(scanner.scan(f"key {k} end") == [(4, 3, 4 + size)] or bool(scanner.base(k)) for k in keys) >= least * 300, (letters, size)
+    for name in ("someVariableName_with_parts2", "getElementsByTagName", "CONFIGURATION_DIRECTORY", "HAVE_LINUX_SOUNDCARD_H", "internationalization", "/usr/local/share/applications"):
+        assert not scanner.scan(name), name
+    assert not scanner.scan("aB" + "x" * 200_000) and not scanner.scan("-=" * 20)
+
+
 PEOPLE = ["Write to Bob.Smith42@Mail8.example.com or bob.smith42@mail8.example.com, +1 (988) 555-2485 or +1 988 555 2485.",
           "Mrs Smith met Mr John Doe; MR JOHN DOE paid with 4111 1111 1111 1111, госпожа Иванова from 10.1.2.3 did not.",
           "42.144.35.254 and 4111111111111111", None, "", "nothing at all", "version 1.2.3 of 2024", "Bob.Smith42@mail8.example.com"]
