@@ -38,7 +38,7 @@ def looks(text: str, found: list[str], distinct: int) -> list[float]:
     n = max(1, len(text))
     return [min(1.0, np.log1p(len(found)) / 10), distinct / max(1, len(found)), sum(map(len, found)) / n,
             text.count("\n") / n * 20, (text.count("!") + text.count("|") + text.count("#")) / n * 10,
-            min(1.0, sum(map(str.isupper, found[:200])) / max(1, len(found[:200])))]
+            sum(map(str.isupper, found)) / max(1, len(found))]
 
 
 def features(text: str | None, word: re.Pattern) -> tuple[set[str], list[float]]:

@@ -217,6 +217,24 @@ def test_toxicity_odd_inputs(spark, docs_of):
     assert toxicity.predict(docs_of([(1, "a")], False), chain).first().p_toxic > 0.5
 
 
+def test_toxicity_signal_late_in_a_long_text(spark):
+    """Where the shouting stands doesn't matter."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(200):
+        words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(500)]
+        if i % 2:
+            words[250:] = map(str.upper, words[250:])
+        rows.append((i, " ".join(words), i % 2))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = toxicity.fit(frame.where("doc_id < 100"), frame.select("doc_id", "toxic"), ["toxic"])
+    got = toxicity.predict(frame, chain).where("doc_id >= 100").collect()
+    assert all((r.p_toxic > 0.5) == bool(r.toxic) for r in got)
+    front, word = " ".join(["LOUD"] * 250 + ["calm"] * 250), re.compile(toxicity.WORD)
+    back = " ".join(["calm"] * 250 + ["LOUD"] * 250)
+    assert toxicity.features(front, word) == toxicity.features(back, word)
+
+
 def test_logistic_fit_reaches_the_optimum():
     import numpy as np
 
