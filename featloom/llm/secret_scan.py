@@ -5,7 +5,9 @@ The fixed kinds are ``assign`` (a named value), ``access`` (cloud access keys) a
 compresses badly: few characters per token mean that the string is made of nothing the
 vocabulary has ever seen. Known digests (plain hex of a digest's length), UUIDs and numbers
 are excluded first, and so is what a fixed kind covers already. Words and names of code have no
-form that random letters couldn't have: only their tokens tell, with and without separators.
+form that random letters couldn't have: only their tokens tell, with and without separators. A
+random string that is glued to readable ones (a path, a setting's name) is marked on its own, and
+so is what a fixed kind leaves of a longer one.
 
 Offsets are code points, the end is exclusive. Null and empty texts have no spans. Whole texts
 are searched, whatever their length; repeated rows are searched each on its own.
@@ -34,6 +36,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
 NUMBER = r"[0-9+/_=-]+"
+#: The least length of a candidate, and of a part of one.
+LEAST_RANDOM = 16
 RATIO = 2.0
 STRETCH = 1 << 12  # characters tokenised at once
 
@@ -46,6 +50,10 @@ class Scanner:
         self.known = [re.compile(p) for p in (UUID, NUMBER)]
         self.digest = re.compile(r"[0-9a-f]+|[0-9A-F]+")
         self.between = re.compile(r"[/=+_-]+")
+        self.word = re.compile(r"[A-Za-z0-9]+")
+        digests = "|".join(f"[0-9A-F]{{{n}}}" for n in DIGEST_LENGTHS)
+        self.form = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID}|{digests}|[0-9][0-9/_=+-]{{7,}})(?![A-Za-z0-9])")
+        self.lengths = {int(b): len(base64.b64decode(a)) for a, b in map(bytes.split, ranks.splitlines())}
         self.ratio = ratio
 
     def is_random(self, string: str) -> bool:
@@ -69,16 +77,76 @@ class Scanner:
             found += [(m.start(), 0, m.end()) for m in self.assign.finditer(text) if len(m[2]) >= LEAST_VALUE]
         return sorted(found)
 
+    def dense(self, string: str) -> list[tuple[int, int]]:
+        """Maximal stretches with few characters a token (Ruzzo-Tompa); separators weigh nothing."""
+        kept: list[tuple[int, int, float, float, int]] = []  # start, end, sums before and after, the one before with a smaller sum
+        total, at = 0.0, 0
+        for i in range(0, len(string), STRETCH):
+            for token in self.encoding.encode_ordinary(string[i:i + STRETCH]):
+                end = at + self.lengths[token]
+                weight = 0.0 if self.between.fullmatch(string, at, end) else self.ratio - (end - at)
+                start, low, total = at, total, total + weight
+                while weight > 0:
+                    j = len(kept) - 1
+                    while j >= 0 and kept[j][2] >= low:
+                        j = kept[j][4]
+                    if j < 0 or kept[j][3] >= total:
+                        kept.append((start, end, low, total, j))
+                        break
+                    start, low = kept[j][0], kept[j][2]
+                    del kept[j:]
+                at = end
+        return [k[:2] for k in kept]
+
+    def random_parts(self, string: str) -> list[tuple[int, int]]:
+        """Ranges of the random strings in a candidate: the whole, else parts that readable ones are glued to."""
+        if self.is_random(string):
+            return [(0, len(string))]
+        found: list[tuple[int, int]] = []
+        edges = [0, *(x for m in self.form.finditer(string) for x in m.span()), len(string)]
+        for at, to in zip(edges[::2], edges[1::2]):
+            if to - at < LEAST_RANDOM:
+                continue
+            part = string[at:to]
+            words = [m.span() for m in self.word.finditer(part)]
+            left, right = 0, 0
+            for a, b in self.dense(part):
+                while words[left][1] <= a:
+                    left += 1
+                right = max(right, left)
+                while words[right][1] < b:
+                    right += 1
+                # The whole pieces it touches, else the stretch itself.
+                for x, y in ((words[left][0], words[right][1]), (a, b)):
+                    if y - x >= LEAST_RANDOM and self.is_random(part[x:y]):
+                        if found and at + x < found[-1][1]:
+                            found[-1] = min(found[-1][0], at + x), max(found[-1][1], at + y)
+                        else:
+                            found.append((at + x, at + y))
+                        break
+        return found
+
     def scan(self, text: str) -> list[tuple[int, int, int]]:
         base = self.base(text)
-        added, taken = [], 0
-        covered = [(a, b) for a, _, b in base]
+        added, covered, taken = [], [], 0
+        for a, _, b in base:
+            if covered and a <= covered[-1][1]:
+                covered[-1] = covered[-1][0], max(covered[-1][1], b)
+            else:
+                covered.append((a, b))
         for m in self.candidate.finditer(text):
             a, b = m.span()
             while taken < len(covered) and covered[taken][1] <= a:
                 taken += 1
-            if not any(x < b and a < y for x, y in covered[taken:taken + 4]) and self.is_random(m[0]):
-                added.append((a, 3, b))
+            # What the fixed kinds leave of it.
+            edges, i = [a], taken
+            while i < len(covered) and covered[i][0] < b:
+                edges += covered[i]
+                i += 1
+            edges.append(b)
+            for x, y in zip(edges[::2], edges[1::2]):
+                if y - x >= LEAST_RANDOM:
+                    added += [(x + p, 3, x + q) for p, q in self.random_parts(text[x:y])]
         return sorted(base + added)
 
 

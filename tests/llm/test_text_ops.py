@@ -108,6 +108,24 @@ def test_random_strings_of_one_case_are_found(scanner):
     assert not scanner.scan("aB" + "x" * 200_000) and not scanner.scan("-=" * 20)
 
 
+def test_random_parts_of_longer_strings_are_found(scanner):
+    """A readable path or name in front hides nothing, nor does a fixed kind inside."""
+    key, other = "Xk29sLqP0zVnB71mTyRw", "q7ZpW3vKx9RtB2mJ8dNf"
+    for text in (f"/usr/local/share/applications/service/{key}", f"name_of_another_application_setting={key}",
+                 f"/usr/local/share/applications/{key}/index/documents/information"):
+        at = text.index(key)
+        assert scanner.scan(text) == [(at, 3, at + len(key))], text
+    text = f"/usr/local/{key}/applications/information/documentation/configuration/environment/development/{other}"
+    assert [text[a:b] for a, _, b in scanner.scan(text)] == [key, other]
+    text = f"{key}{'0123456789abcdef' * 2}{other}"
+    assert sorted(k for _, k, _ in scanner.scan(text)) == [2, 3, 3] and sum(b - a for a, _, b in scanner.scan(text)) == len(text)
+    for name in ("/some/path/550e8400-e29b-41d4-a716-446655440000/index", "logfile/2024/01/15/123456789012/information",
+                 "checksum/D41D8CD98F00B204E9800998ECF8427E/file"):
+        assert not scanner.scan(name), name
+    long = "/usr/local/share" * 20_000 + "/" + key
+    assert [long[a:b] for a, _, b in scanner.scan(long)] == [key]
+
+
 PEOPLE = ["Write to Bob.Smith42@Mail8.example.com or bob.smith42@mail8.example.com, +1 (988) 555-2485 or +1 988 555 2485.",
           "Mrs Smith met Mr John Doe; MR JOHN DOE paid with 4111 1111 1111 1111, госпожа Иванова from 10.1.2.3 did not.",
           "42.144.35.254 and 4111111111111111", None, "", "nothing at all", "version 1.2.3 of 2024", "Bob.Smith42@mail8.example.com"]
