@@ -17,7 +17,6 @@ CV_EPSILON = 1e-10
 PAIR_THRESHOLD = 0.8
 DOMINANT_SHARE = 0.5
 OUTLIER_STDS = 3.0
-ABLATION_FEATURES = 8
 ABLATION_POINTS = 0.5
 SUMMARY_DROP = 0.01
 SUMMARY_TOP = 3

@@ -24,11 +24,11 @@ def resolve_feature(name: str, columns: list[str]) -> str | None:
 
 def ablation(
     df: DataFrame, target: str, model: str, config: PrepConfig = PrepConfig(), keys: list[str] = (),
-    features: list[str] | None = None, max_features: int = K.ABLATION_FEATURES, **params,
+    features: list[str] | None = None, max_features: int | None = None, **params,
 ) -> DataFrame:
     """Accuracy lost when one prepared column is left out, largest drop first.
 
-    Tests ``features`` or the first ``max_features`` columns. The prepared data
+    Tests ``features``, else all columns or the first ``max_features``. The prepared data
     is read once into memory/disk and a few fits run side by side. A fit that
     fails keeps its row, with the error text instead of a made-up drop.
     """
@@ -56,7 +56,7 @@ def _ablate(spark, setup: Experiment, model, features, max_features, params) ->
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         rows = list(pool.map(without, tested))
-    ranked = Window.orderBy(F.desc_nulls_last("drop"), "position")  # at most max_features rows
+    ranked = Window.orderBy(F.desc_nulls_last("drop"), "position")  # one row per tested column
     table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], ABLATION_SCHEMA + ", position int")
     return table.withColumn("rank", F.row_number().over(ranked)).select(
         "rank", "feature", "baseline_accuracy", "accuracy", "drop",

@@ -77,7 +77,7 @@ class Study:
             self._capped(self.train_rows), self.target, model, self.config, self.keys, **params
         )
 
-    def verify(self, result: models.TrainResult, max_features: int = K.ABLATION_FEATURES) -> dict[str, DataFrame]:
+    def verify(self, result: models.TrainResult, max_features: int | None = None) -> dict[str, DataFrame]:
         """Ablation, sweeps of the numeric features and a one-line summary."""
         rows = self._capped(self.train_rows)
         trained = result.model

@@ -147,6 +147,18 @@ def test_ablation(people):
     assert [r["feature"] for r in asked.collect()] == ["City"]
 
 
+def test_ablation_leaves_out_every_column(spark):
+    """The one column that matters comes last of ten."""
+    rows = [(i, *[(i * (7 + j)) % 11 for j in range(9)], i % 2, "yes" if i % 2 else "no") for i in range(200)]
+    names = ["id", *[f"f{j}" for j in range(9)], "last", "label"]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'label' else 'int'}" for n in names))
+    ablated = verify.ablation(frame, "label", K.TREE, FULL, ["id"])
+    got = ablated.collect()
+    assert len(got) == 10 and got[0]["feature"] == "last" and got[0]["drop"] > 0.1
+    assert "last" in verify.verification_summary(ablated).first()["summary"]
+    assert verify.ablation(frame, "label", K.TREE, FULL, ["id"], max_features=2).count() == 2
+
+
 def test_verification_summary(spark):
     rows = [(1, "a", 0.2), (2, "b", 0.05), (3, "c", -0.1)]
     df = spark.createDataFrame(rows, "rank int, feature string, drop double")
