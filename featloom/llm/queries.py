@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm import bpe, bytes_dedup, decontaminate, exact_dedup, jaccard, language, line_dedup, secret_scan, surrogates, toxicity
+from featloom.llm import (bpe, bytes_dedup, decontaminate, exact_dedup, jaccard, language, line_dedup, phrases, secret_scan, spelling,
+                          suffix_tree, surrogates, toxicity)
 from featloom.llm.common import sha256, table
 from featloom.plans.registry import query
 
@@ -137,3 +138,66 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+PHRASES_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+total AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, m, g, count(*) AS a FROM
+        (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: ws[i:i + m - 1])) AS g
+         FROM w, range(1, 6) AS t(m) WHERE len(ws) >= m) GROUP BY ALL HAVING count(*) >= 100),
+inner_ AS (SELECT lang, g[1:m - 1] AS g, a FROM f WHERE m > 2 UNION ALL SELECT lang, g[2:m], a FROM f WHERE m > 2),
+above AS (SELECT lang, g, max(a) AS above FROM inner_ GROUP BY ALL),
+cand AS (SELECT f.* FROM f LEFT JOIN above USING (lang, g) WHERE m > 1 AND (above IS NULL OR 100 * above < 100 * a)),
+cut AS (SELECT lang, m, g, a, unnest(range(1, m)) AS k FROM cand),
+scored AS (SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, n, (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score
+           FROM cut c JOIN f x ON x.lang = c.lang AND x.m = k AND x.g = c.g[1:k]
+           JOIN f y ON y.lang = c.lang AND y.m = c.m - k AND y.g = c.g[k + 1:c.m] JOIN total t ON t.lang = c.lang),
+weakest AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM scored
+            QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       n::BIGINT AS n, score::BIGINT AS score
+FROM weakest QUALIFY rank <= 2000"""
+
+
+@query("op11_phrases", PHRASES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_suffix_tree")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    found = suffix_tree.score(table(spark, sf_dir, "documents"), learn)
+    return found.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+SPELLING_SQL = r"""
+WITH RECURSIVE low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+run AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[A-Za-zÀ-ÿ]{6,}')) AS run FROM low) GROUP BY ALL),
+-- crc32, a byte at a time: the table's entry for a byte takes eight shifts.
+steps AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+hashed AS (SELECT run, k, length(run) AS n, hex(encode(concat(doc_id, ':', run))) AS x FROM run),
+crc AS (SELECT run, k, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)),
+               lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]))) AS h FROM hashed, steps),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM
+            (SELECT k, CASE WHEN h % 199 = 0 THEN run[1:h % n] || run[h % n + 2:n] ELSE run END AS word FROM crc)
+          WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+less AS (SELECT word, i, word[1:i - 1] || word[i + 1:length(word)] AS rest, length(word) AS len
+         FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.len = b.len AND a.word <> b.word
+         UNION SELECT l.word, w.word FROM less l JOIN words w ON w.word = l.rest
+         UNION SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.rest),
+best AS (SELECT near.word, count(*) AS n_near, max(n) AS top, arg_min(other, (-n, other)) AS other FROM near JOIN words o ON o.word = other GROUP BY near.word),
+form AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * n THEN other END AS form, CASE WHEN top >= 5 * n THEN top END AS form_n
+         FROM words LEFT JOIN best USING (word)),
+lead AS (SELECT word, word AS at FROM form UNION ALL SELECT lead.word, f.form FROM lead JOIN form f ON f.word = lead.at AND f.form IS NOT NULL)
+SELECT f.word, f.form, l.at AS root, f.n, f.n_near, f.form_n
+FROM form f JOIN lead l ON l.word = f.word JOIN form g ON g.word = l.at AND g.form IS NULL"""
+
+
+@query("op13_spelling", SPELLING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
