@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,7 +17,6 @@ SMALL_LEVELS = 100_000  # level rows that may come to the driver and be broadcas
 SMALL_BYTES = 32 * 2**20  # … and the size of their texts together
 HOT_SHARE = 0.001  # a level above this share of the rows at hand is looked up by broadcast
 LEVELS_PER_STRETCH = 500_000  # levels sorted by one task
-WIDE_ONE_HOT = 1_000  # indicator columns; beyond this one sparse vector per feature
 MISSING_CLASS = "nan"
 
 
@@ -153,33 +153,120 @@ def frequency_encode(df: DataFrame, tables: dict[str, LevelTable]) -> DataFrame:
     return df.select(*[col(c) for c in order])
 
 
-def one_hot_encode(df: DataFrame, tables: dict[str, LevelTable], wide_limit: int = WIDE_ONE_HOT) -> DataFrame:
-    """Indicator columns ``{column}_{level}`` at the right, originals removed.
+@dataclass(frozen=True)
+class OneHotSlots:
+    """Slots of the sparse vector ``{column}_vec``: one per level in text order, then one for missing values.
 
-    Missing is a level of its own, an unseen level gives all zeros. A feature
-    with more than ``wide_limit`` levels becomes one sparse vector column
-    ``{column}_vec`` instead, ordered by code; no level is left out.
+    ``counts`` holds the rows of each slot in the fit, ``rows`` their number. ``names`` is None where
+    the levels were not fetched; ``name_of`` then asks for single ones.
     """
-    plain = [c for c in df.columns if c not in tables]
-    indicators, vectors = [], []
+
+    levels: LevelTable
+    gap: int | None  # label code of the missing class where no level has that text
+    counts: np.ndarray
+    names: list[str] | None
+
+    @property
+    def column(self) -> str:
+        return self.levels.column
+
+    @property
+    def vector(self) -> str:
+        return f"{self.column}_vec"
+
+    @property
+    def size(self) -> int:
+        return len(self.counts)
+
+    @property
+    def rows(self) -> int:
+        return self.levels.total + self.levels.missing
+
+    def _missing_name(self) -> str:
+        return f"{self.column}_{MISSING_CLASS}" + ("" if self.gap is not None else "_missing")
+
+    def _slot_of(self, code: Column) -> Column:
+        return code if self.gap is None else F.when(code < self.gap, code).when(code > self.gap, code - 1)
+
+    def name_of(self, slots: list[int]) -> dict[int, str]:
+        if self.names is not None:
+            return {i: self.names[i] for i in slots}
+        last = self.size - 1 if self.levels.missing else None
+        found = self.levels.table.withColumn("slot", self._slot_of(F.col("code"))).where(F.col("slot").isin([i for i in slots if i != last]))
+        out = {r["slot"]: f"{self.column}_{r['level']}" for r in found.select("slot", "level").collect()}
+        return out | ({last: self._missing_name()} if last in slots else {})
+
+    def slot_named(self, name: str) -> int | None:
+        """The slot of a name ``{column}_{level}``."""
+        if self.names is not None:
+            return self.names.index(name) if name in self.names else None
+        if self.levels.missing and name == self._missing_name():
+            return self.size - 1
+        level = name[len(self.column) + 1:]
+        if not name.startswith(f"{self.column}_"):
+            return None
+        found = self.levels.table.where(F.col("level") == level).select(self._slot_of(F.col("code")).alias("slot")).first()
+        return found["slot"] if found else None
+
+    def attach(self, df: DataFrame, out: str) -> DataFrame:
+        """The slot of each row as ``out``; null for a level not seen in fit, and for missing values if none were."""
+        coded = attach_codes(df, self.column, self.levels, out, missing=None, on_unseen="null")
+        missing = F.lit(self.size - 1 if self.levels.missing else None).cast("long")
+        return coded.withColumn(out, F.when(col(self.column).isNull(), missing).otherwise(self._slot_of(F.col(out))))
+
+
+def one_hot_slots(levels: LevelTable) -> OneHotSlots:
+    if levels.rows is not None:
+        own = next((r for r in levels.rows if r[0] == MISSING_CLASS), None)
+        present = [(level, n) for level, n, _ in sorted(levels.rows, key=lambda r: r[2]) if n]
+        counts = [n for _, n in present]
+    else:
+        own = levels.table.where(F.col("level") == MISSING_CLASS).select("level", "n", "code").first()
+        # One number per slot: a model on these slots holds as many in the driver.
+        present, counts = None, [r["n"] for r in levels.table.where(F.col("n") > 0).select("code", "n").orderBy("code").toLocalIterator()]
+    gap = own[2] if own and not own[1] else None
+    slots = OneHotSlots(levels, gap, np.array([*counts, *([levels.missing] if levels.missing else [])], np.int64), None)
+    if present is None:
+        return slots
+    names = [f"{levels.column}_{level}" for level, _ in present] + ([slots._missing_name()] if levels.missing else [])
+    return replace(slots, names=names)
+
+
+def one_hot_vector(df: DataFrame, slots: OneHotSlots) -> DataFrame:
+    """``{column}_vec`` at the right instead of the column; slot names go along as column metadata."""
+    at = f"__i_{slots.column}"
+    coded = slots.attach(df, at).withColumn(at, F.coalesce(F.col(at), F.lit(slots.size)).cast("double"))
+    # An indexer range of known size: the slot after the last stands for no slot at all.
+    sized = df.sparkSession.createDataFrame([(float(slots.size),)], f"`{at}` double")
+    encoder = OneHotEncoder(inputCol=at, outputCol=slots.vector, dropLast=True)
+    made = encoder.fit(sized).transform(coded)
+    # Numeric, not binary: slots may be scaled, and trees take binary slots for categories 0 and 1.
+    names = {} if slots.names is None else {"attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(slots.names)]}}
+    vector = col(slots.vector).alias(slots.vector, metadata={"ml_attr": {**names, "num_attrs": slots.size}})
+    return made.select(*[col(c) for c in df.columns if c != slots.column], vector)
+
+
+def one_hot_encode(df: DataFrame, tables: dict[str, LevelTable], form: str = "columns") -> DataFrame:
+    """Missing is a level of its own, an unseen level gives all zeros; originals are removed.
+
+    ``form="columns"`` adds indicator columns ``{column}_{level}`` at the right, for any number of
+    levels that were fetched; ``form="vector"`` adds one sparse vector ``{column}_vec`` per feature,
+    for any number at all. The form never depends on the data.
+    """
+    if form == "vector":
+        for levels in tables.values():
+            df = one_hot_vector(df, one_hot_slots(levels))
+        return df
+    if form != "columns":
+        raise ValueError(f"unknown one-hot form: {form!r}; use 'columns' or 'vector'")
+    large = [c for c, levels in tables.items() if levels.rows is None]
+    if large:
+        raise ValueError(f"too many levels for indicator columns in {large}; use the form 'vector'")
+    indicators = []
     for c, levels in tables.items():
-        if levels.rows is None or levels.n_levels > wide_limit:
-            vectors.append(c)
-            continue
         for level, n, _ in levels.rows:
             if n:
                 indicators.append(F.when(col(c).eqNullSafe(F.lit(level)), 1.0).otherwise(0.0).alias(f"{c}_{level}"))
         if levels.missing:
-            taken = any(level == MISSING_CLASS and n for level, n, _ in levels.rows)
-            name = f"{c}_{MISSING_CLASS}" + ("_missing" if taken else "")
-            indicators.append(F.when(col(c).isNull(), 1.0).otherwise(0.0).alias(name))
-    for c in vectors:
-        df = attach_codes(df, c, tables[c], f"__i_{c}", on_unseen="minus_one")
-        df = df.withColumn(
-            f"__i_{c}", F.when(F.col(f"__i_{c}") < 0, tables[c].n_levels).otherwise(F.col(f"__i_{c}")).cast("double")
-        )
-        # An indexer range of known size: code n_levels (unseen) is the dropped last category.
-        sized = df.sparkSession.createDataFrame([(float(tables[c].n_levels),)], f"`__i_{c}` double")
-        encoder = OneHotEncoder(inputCol=f"__i_{c}", outputCol=f"{c}_vec", dropLast=True)
-        df = encoder.fit(sized).transform(df)
-    return df.select(*[col(c) for c in plain], *indicators, *[col(f"{c}_vec") for c in vectors])
+            indicators.append(F.when(col(c).isNull(), 1.0).otherwise(0.0).alias(one_hot_slots(levels).names[-1]))
+    return df.select(*[col(c) for c in df.columns if c not in tables], *indicators)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel,
 )
@@ -17,7 +18,7 @@ from featloom.functions.columns import OTHER, class_of, col, nan_to_null
 from featloom.operators.kernel import FourierMap, fit_fourier_map
 from featloom.operators.knn import KnnModel, fit_knn
 from featloom.operators.metrics import classification_metrics
-from featloom.operators.preprocess import FittedPrep, PrepConfig, fit_prep
+from featloom.operators.preprocess import FittedPrep, PrepConfig, SlotScale, fit_prep
 from featloom.operators.profile import few_values
 from featloom.operators.sampling import split
 from featloom.session import cut_lineage
@@ -83,6 +84,16 @@ def assemble(df: DataFrame, features: list[str], keep: list[str] = ()) -> DataFr
     return VectorAssembler(inputCols=names, outputCol="features").transform(renamed).drop(*names)
 
 
+@dataclass(frozen=True)
+class Slot:
+    """One number of the assembled vector: a column, or a level of a one-hot vector."""
+
+    name: str
+    index: int
+    column: str  # prepared column
+    place: int | None = None  # inside the column's vector
+
+
 @dataclass
 class TrainedModel:
     name: str
@@ -99,7 +110,10 @@ class TrainedModel:
         ``score`` is P(second class) for two classes, the largest probability
         for more, and the predicted class as a number for the SVM.
         """
-        rows = assemble(prepared, self.features, keep)
+        return self.score_vectors(assemble(prepared, self.features, keep), keep)
+
+    def score_vectors(self, rows: DataFrame, keep: list[str] = ()) -> DataFrame:
+        """``score`` of rows that hold the assembled ``features``."""
         keep_cols = [col(k) for k in keep]
         if isinstance(self.model, KnnModel):
             queries = rows.withColumn("x", vector_to_array("features")).drop("features")
@@ -119,6 +133,47 @@ class TrainedModel:
             score = self._class_number()
         return scored.select(*keep_cols, "prediction", score.alias("score"))
 
+    def scale_of(self, column: str) -> SlotScale | None:
+        return self.prep.slot_scales.get(column) if self.prep else None
+
+    def starts(self) -> dict[str, int]:
+        """Where each prepared column begins in the assembled vector."""
+        sizes = [scale.slots.size if (scale := self.scale_of(c)) else 1 for c in self.features]
+        return dict(zip(self.features, [sum(sizes[:i]) for i in range(len(sizes))]))
+
+    @property
+    def width(self) -> int:
+        return sum(scale.slots.size if (scale := self.scale_of(c)) else 1 for c in self.features)
+
+    def slot_names(self, indices: list[int]) -> dict[int, str]:
+        """Names of places in the assembled vector; levels that were not fetched are looked up."""
+        out = {}
+        for c, start in self.starts().items():
+            scale = self.scale_of(c)
+            size = scale.slots.size if scale else 1
+            own = [i - start for i in indices if start <= i < start + size]
+            out |= {start + i: n for i, n in scale.slots.name_of(own).items()} if scale and own else {start: c for _ in own}
+        return out
+
+    def find_slots(self, name: str) -> list[Slot]:
+        """The column or slot of that name, else all children of the feature ``name``: the slots or
+        indicator columns of its levels, else every prepared column with the name in its own."""
+        starts = self.starts()
+        scales = {c: scale for c in self.features if (scale := self.scale_of(c))}
+        if name in starts and name not in scales:
+            return [Slot(name, starts[name], name)]
+        for c, scale in scales.items():
+            if (place := scale.slots.slot_named(name)) is not None:
+                return [Slot(name, starts[c] + place, c, place)]
+        for c, scale in scales.items():
+            if name in (c, scale.slots.column):
+                named = scale.slots.name_of(list(range(scale.slots.size)))
+                return [Slot(named[i], starts[c] + i, c, i) for i in range(scale.slots.size)]
+        table = self.prep.encoder.tables.get(name) if self.prep else None
+        own = {f"{name}_{level}" for level, *_ in table.rows} | {f"{name}_nan_missing"} if table and table.rows else set()
+        children = [c for c in self.features if c in own] or [c for c in self.features if name in c and c not in scales]
+        return [Slot(c, starts[c], c) for c in children]
+
     def _class_number(self) -> Column:
         if all(isinstance(c, (int, float)) for c in self.classes):
             return F.element_at(F.array(*[F.lit(float(c)) for c in self.classes]), (F.col("prediction") + 1).cast("int"))
@@ -236,7 +291,7 @@ def train_evaluate(
 
 
 def importance(trained: TrainedModel) -> list[tuple[str, float]]:
-    """(feature, importance) in feature order; empty where a model has none."""
+    """(feature, importance) in feature order, every level of a one-hot feature by its name; empty where a model has none."""
     model = trained.model
     if isinstance(model, KnnModel) or trained.projection:
         return []
@@ -248,13 +303,12 @@ def importance(trained: TrainedModel) -> list[tuple[str, float]]:
         rows = list(model.coefficientMatrix.toArray())
     else:
         rows = [model.coefficients.toArray()]
-    means = [sum(abs(r[i]) for r in rows) / len(rows) for i in range(len(rows[0]))]
-    # A vector feature spans several slots; then names follow the slots.
-    names = trained.features if len(trained.features) == len(means) else [f"slot_{i}" for i in range(len(means))]
-    return [(n, float(v)) for n, v in zip(names, means)]
+    means = np.mean(np.abs(np.array(rows)), axis=0)
+    names = trained.slot_names(list(range(len(means))))
+    return [(names[i], float(v)) for i, v in enumerate(means)]
 
 
 def importance_ranking(spark, trained: TrainedModel, top_n: int = K.TOP_IMPORTANCE) -> DataFrame:
-    """Top features by mean |coefficient| or tree importance."""
+    """Top features by mean |coefficient| or tree importance; ``top_n`` is what the ranking is asked for."""
     table = spark.createDataFrame(importance(trained), "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature").limit(top_n)

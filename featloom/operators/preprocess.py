@@ -7,15 +7,18 @@ also works on a stream.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+from pyspark.ml.feature import ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from featloom import constants as K
 from featloom.functions.columns import (
     as_double, categorical_columns, col, nan_to_null, numeric_columns, stat_values, unpivot,
 )
-from featloom.operators.encode import LevelTable, fit_levels, frequency_encode, label_encode, one_hot_encode
+from featloom.operators.encode import LevelTable, OneHotSlots, fit_levels, frequency_encode, label_encode, one_hot_encode, one_hot_slots, one_hot_vector
 from featloom.operators.quantiles import exact_quantiles
 
 
@@ -138,6 +141,61 @@ def fit_scaler(df: DataFrame, strategy: str, columns: list[str]) -> Scaler:
     return Scaler(strategy, {c: (a, b or 1.0) for c, (a, b) in raw.items()})
 
 
+def indicator_quantile(ones: np.ndarray, rows: int, p: float) -> np.ndarray:
+    """Interpolated quantile of columns of ``rows`` zeros and ones, from the number of ones."""
+    position = max(rows - 1, 0) * p
+    low = int(position)
+    at = lambda rank: (rank >= rows - ones).astype(float)
+    return at(low) + (position - low) * (at(min(low + 1, rows - 1)) - at(low))
+
+
+@dataclass(frozen=True)
+class SlotScale:
+    """``(x - shift) / width`` for every slot of a one-hot vector.
+
+    Slots hold zeros and ones, so the level counts of the fit give both exactly, without a scan.
+    Vectors are divided by the width only and stay sparse. The shift moves all rows alike:
+    linear models take it up in their intercept, trees in their thresholds, and distances don't see it.
+    """
+
+    slots: OneHotSlots
+    shift: np.ndarray
+    width: np.ndarray
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        if (self.width == 1).all():
+            return df
+        vector = self.slots.vector
+        scaled = ElementwiseProduct(scalingVec=Vectors.dense(1 / self.width), inputCol=vector, outputCol="__scaled")
+        kept = df.schema[vector].metadata
+        made = scaled.transform(df)
+        return made.select(*[F.col("__scaled").alias(c, metadata=kept) if c == vector else col(c) for c in df.columns])
+
+    def shown(self, value: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """The scaled value that stands for an indicator's value."""
+        return (value - self.shift[slots]) / self.width[slots]
+
+    def stored(self, shown: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """What the vector holds for a scaled value."""
+        return shown + self.shift[slots] / self.width[slots]
+
+
+def fit_slot_scale(strategy: str, slots: OneHotSlots) -> SlotScale:
+    _check(strategy, K.SCALINGS, "scaling")
+    ones, rows = slots.counts, slots.rows
+    shift, width = np.zeros(slots.size), np.ones(slots.size)
+    if strategy == "StandardScaler":
+        shift = ones / max(rows, 1)
+        width = np.sqrt(shift * (1 - shift))
+    elif strategy == "MinMaxScaler":
+        shift = (ones == rows).astype(float)
+        width = (ones > 0) - shift
+    elif strategy == "RobustScaler":
+        low, shift, high = (indicator_quantile(ones, rows, p) for p in (0.25, 0.5, 0.75))
+        width = high - low
+    return SlotScale(slots, shift, np.where(width == 0, 1.0, width))
+
+
 # --- encoding ------------------------------------------------------------------
 
 
@@ -146,10 +204,15 @@ class Encoder:
     strategy: str
     tables: dict[str, LevelTable]
     on_unseen: str = "error"
+    slots: tuple[OneHotSlots, ...] = ()  # of one-hot vectors
 
     def apply(self, df: DataFrame) -> DataFrame:
         if not self.tables:
             return df
+        for slots in self.slots:
+            df = one_hot_vector(df, slots)
+        if self.slots:
+            return df
         if self.strategy == "Label Encoding":
             return label_encode(df, self.tables, self.on_unseen)
         if self.strategy == "One-Hot Encoding":
@@ -157,9 +220,12 @@ class Encoder:
         return frequency_encode(df, self.tables)
 
 
-def fit_encoder(df: DataFrame, strategy: str, columns: list[str], on_unseen: str = "error") -> Encoder:
+def fit_encoder(df: DataFrame, strategy: str, columns: list[str], on_unseen: str = "error", one_hot: str = "columns") -> Encoder:
     _check(strategy, K.ENCODINGS, "encoding")
-    return Encoder(strategy, fit_levels(df, columns) if columns else {}, on_unseen)
+    encoder = Encoder(strategy, fit_levels(df, columns) if columns else {}, on_unseen)
+    if strategy != "One-Hot Encoding" or one_hot == "columns":
+        return encoder
+    return replace(encoder, slots=tuple(one_hot_slots(t) for t in encoder.tables.values()))
 
 
 # --- the three together ----------------------------------------------------------
@@ -172,8 +238,10 @@ class PrepConfig:
     scaling: str = "No Scaling"
     constant: float = 0
     on_unseen: str = "error"
+    one_hot: str = "columns"  # or "vector", one sparse vector per feature
 
     def __post_init__(self):
+        _check(self.one_hot, ["columns", "vector"], "one-hot form")
         _check(self.imputation, K.IMPUTATIONS, "imputation")
         _check(self.encoding, K.ENCODINGS, "encoding")
         _check(self.scaling, K.SCALINGS, "scaling")
@@ -187,11 +255,32 @@ class FittedPrep:
     encoder: Encoder
     scaler: Scaler
     features: list[str] = field(default_factory=list)
+    slot_scales: dict[str, SlotScale] = field(default_factory=dict)  # by vector column
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Same columns as in fit; extra columns (target, keys) pass through."""
-        df = self.encoder.apply(self.imputer.apply(_ready(df, self.target)))
-        return self.scaler.apply(df)
+        df = self.scaler.apply(self.encoder.apply(self.imputer.apply(_ready(df, self.target))))
+        for scale in self.slot_scales.values():
+            df = scale.apply(df)
+        return df
+
+    def slot_counts(self, df: DataFrame) -> tuple[dict[str, np.ndarray], int]:
+        """Rows of ``df`` per slot of each one-hot vector, and all rows left after imputation."""
+        rows = self.imputer.apply(_ready(df, self.target))
+        names = {s.slots.column: f"s{i}" for i, s in enumerate(self.slot_scales.values())}
+        for scale in self.slot_scales.values():
+            rows = scale.slots.attach(rows, names[scale.slots.column])
+        found = {v: np.zeros(s.slots.size, np.int64) for v, s in self.slot_scales.items()}
+        if not names:
+            return found, rows.count()
+        # One number per slot, as many as a model on these slots has.
+        counted = rows.select(*names.values()).unpivot([], list(names.values()), "name", "slot").groupBy("name", "slot").agg(F.count("*").alias("n"))
+        vectors, total = dict(zip(names.values(), self.slot_scales)), 0
+        for r in counted.collect():
+            total += r["n"]
+            if r["slot"] is not None:
+                found[vectors[r["name"]]][r["slot"]] = r["n"]
+        return found, total // len(names)
 
 
 def _ready(df: DataFrame, target: str | None) -> DataFrame:
@@ -220,7 +309,8 @@ def fit_prep(
     used = ready.select(*[col(c) for c in ready.columns if c in numeric or c in text])
     imputer = fit_imputer(used, config.imputation, numeric, config.constant)
     imputed = imputer.apply(used)
-    encoder = fit_encoder(imputed, config.encoding, text, config.on_unseen)
+    encoder = fit_encoder(imputed, config.encoding, text, config.on_unseen, config.one_hot)
     encoded = encoder.apply(imputed)
     scaler = fit_scaler(encoded, config.scaling, numeric_columns(encoded))
-    return FittedPrep(config, target, imputer, encoder, scaler, encoded.columns)
+    slot_scales = {s.vector: fit_slot_scale(config.scaling, s) for s in encoder.slots}
+    return FittedPrep(config, target, imputer, encoder, scaler, encoded.columns, slot_scales)

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+import numpy as np
+from pyspark.errors import IllegalArgumentException
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window, functions as F
 
 from featloom import constants as K
 from featloom.functions import rules
 from featloom.functions.columns import as_double, col, nan_to_null, numeric_columns, stat_values
-from featloom.operators.models import Experiment, TrainedModel, evaluate, fit_model, prepare_experiment
-from featloom.operators.preprocess import PrepConfig
+from featloom.operators.models import Experiment, Slot, TrainedModel, evaluate, fit_model, prepare_experiment
+from featloom.operators.preprocess import PrepConfig, indicator_quantile
 from featloom.operators.quantiles import exact_quantiles
 
 PARALLEL_FITS = 3
+FIT_ERRORS = (ValueError, IllegalArgumentException)  # what a fit refuses; lost executors and failed jobs go up
 ABLATION_SCHEMA = "feature string, baseline_accuracy double, accuracy double, drop double, error string"
 
 
@@ -51,7 +56,7 @@ def _ablate(spark, setup: Experiment, model, features, max_features, params) ->
         try:
             rest = accuracy([c for c in setup.features if c != feature])
             return feature, baseline, rest, baseline - rest, None
-        except Exception as problem:  # reported in the row
+        except FIT_ERRORS as problem:  # reported in the row
             return feature, baseline, None, None, str(problem)
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
@@ -130,16 +135,60 @@ def response_summary(curve: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _curve(trained: TrainedModel, medians: dict, grid: DataFrame) -> DataFrame:
-    """Median row with one feature replaced by the grid value, through a model."""
-    rows = grid.select(
-        "feature", "step", "value",
-        *[
-            F.when(F.col("feature") == c, F.col("value")).otherwise(F.lit(float(medians[c]))).alias(c)
-            for c in trained.features
-        ],
-    )
-    scored = trained.score(rows, ["feature", "step", "value"])
+@dataclass(frozen=True)
+class Typical:
+    """The median row of a prepared table, and bounds for the slots that are swept."""
+
+    base: dict[int, float]  # assembled vector, zeros left out
+    bounds: DataFrame  # feature, low, high
+
+    @staticmethod
+    def of(trained: TrainedModel, prepared: DataFrame, counts: dict[str, np.ndarray], rows: int, asked: list[Slot], low: float, high: float) -> Typical:
+        """Bounds are the quantiles ``low`` and ``high``; 0 and 1 are the extremes.
+
+        Plain columns are ranked exactly in ``prepared``. One-hot slots hold zeros and ones, so
+        their medians and bounds follow from the rows per slot (``counts``).
+        """
+        spark, starts = prepared.sparkSession, trained.starts()
+        plain = [c for c in trained.features if trained.scale_of(c) is None]
+        base = {starts[c]: float(v) for c, v in median_row(prepared, plain).items()} if plain else {}
+        edges = []
+        for column, scale in trained.prep.slot_scales.items() if trained.prep else ():
+            if column not in starts:
+                continue
+            ones = counts[column]
+            middle = scale.stored(scale.shown(indicator_quantile(ones, rows, 0.5), np.arange(len(ones))), np.arange(len(ones)))
+            base |= {starts[column] + int(i): float(middle[i]) for i in np.flatnonzero(middle)}
+            own = [s for s in asked if s.column == column]
+            at = np.array([s.place for s in own], int)
+            ends = [scale.shown(indicator_quantile(ones[at], rows, p), at) for p in (low, high)]
+            edges += [(s.name, float(a), float(b)) for s, a, b in zip(own, *ends)]
+        bounds = spark.createDataFrame(edges, "feature string, low double, high double")
+        columns = list(dict.fromkeys(s.column for s in asked if s.place is None))
+        if columns and (low, high) == (0, 1):
+            bounds = bounds.unionByName(value_ranges(prepared, columns).toDF("feature", "low", "high"))
+        elif columns:
+            bounds = bounds.unionByName(grid_bounds(prepared, columns, low, high).select("feature", "low", "high"))
+        return Typical(base, bounds)
+
+
+def _curve(trained: TrainedModel, typical: Typical, asked: list[Slot], points: int) -> DataFrame:
+    """The median row with one slot replaced by grid values, through a model.
+
+    Vectors stay sparse: a row is the median row's few entries and the slot at hand.
+    """
+    grid, base, width = sweep_grid(typical.bounds, "low", "high", points), typical.base, trained.width
+    spark = grid.sparkSession
+    offset = {s: float(scale.shift[s.place] / scale.width[s.place]) if (scale := trained.scale_of(s.column)) else 0.0 for s in asked}
+    places = spark.createDataFrame([(s.name, s.index, offset[s]) for s in asked], "feature string, slot int, offset double")
+
+    @F.udf(VectorUDT())
+    def row(slot, value):
+        entries = {**base, slot: value}
+        return Vectors.sparse(width, sorted(entries), [entries[i] for i in sorted(entries)])
+
+    rows = grid.join(F.broadcast(places), "feature").select("feature", "step", "value", row("slot", F.col("value") + F.col("offset")).alias("features"))
+    scored = trained.score_vectors(rows, ["feature", "step", "value"])
     return scored.select("feature", "step", "value", F.col("score").cast("double").alias("prediction"))
 
 
@@ -150,22 +199,23 @@ def sensitivity(
 
     The model's own fitted preparation is applied to ``df``; medians and bounds
     come from the prepared columns, so the sweep lives in the space the model
-    was trained in. All asked features share one grid and one scoring pass.
+    was trained in. A feature encoded into several slots or columns gives a curve
+    for each. All share one grid and one scoring pass.
     Returns the curves and their summary.
     """
-    prepared = trained.prep.apply(nan_to_null(df).where(col(trained.target).isNotNull()))
-    resolved = {n: resolve_feature(n, trained.features) for n in features}
-    unknown = [n for n, f in resolved.items() if f is None]
-    if unknown or not resolved:
+    rows = nan_to_null(df).where(col(trained.target).isNotNull())
+    found = {n: trained.find_slots(n) for n in features}
+    unknown = [n for n, f in found.items() if not f]
+    if unknown or not found:
         raise ValueError(f"not among the prepared features: {unknown or 'none asked'}")
-    asked = list(dict.fromkeys(resolved.values()))
-    prepared = prepared.persist()  # the look-ups are done once, for medians and ranges
+    asked = list(dict.fromkeys(s for f in found.values() for s in f))
+    counts, n = trained.prep.slot_counts(rows) if trained.prep.slot_scales else ({}, 0)
+    prepared = trained.prep.apply(rows).persist()  # the look-ups are done once, for medians and ranges
     try:
-        medians = median_row(prepared, trained.features)
-        grid = sweep_grid(value_ranges(prepared, asked), "min", "max", points)
+        typical = Typical.of(trained, prepared, counts, n, asked, 0, 1)
     finally:
         prepared.unpersist()
-    curve = _curve(trained, medians, grid)
+    curve = _curve(trained, typical, asked, points)
     return curve, response_summary(curve, ["feature"])
 
 
@@ -175,23 +225,27 @@ def model_response(
 ) -> DataFrame:
     """Response of several models to one feature between its 5th and 95th percentile.
 
-    A model that fails has one row with the error; the others go on.
+    A feature of several slots or columns has a curve for each. A model that cannot be fitted
+    has one row with the error; the others go on.
     """
     setup = prepare_experiment(df, target, config, list(keys))
     try:
-        name = resolve_feature(feature, setup.features)
-        if name is None:
+        shape = TrainedModel("", target, setup.classes, setup.features, None, setup.prep)
+        asked = shape.find_slots(feature)
+        if not asked:
             raise ValueError(f"{feature} is not a prepared feature")
-        medians = median_row(setup.train, setup.features)
-        grid = sweep_grid(grid_bounds(setup.train, [name]), "low", "high", points)
-        rows = []  # points x models
+        scales = setup.prep.slot_scales
+        counts = {c: scale.slots.counts for c, scale in scales.items()}  # those of the training side
+        n = next((scale.slots.rows for scale in scales.values()), 0)
+        typical = Typical.of(shape, setup.train, counts, n, asked, 0.05, 0.95)
+        rows = []  # points x models x slots
         for model in models:
             try:
                 fitted = fit_model(setup.train, model, target, setup.classes, setup.features, setup.prep)
-                curve = _curve(fitted, medians, grid).collect()
+                curve = _curve(fitted, typical, asked, points).collect()
                 rows += [(model, r["feature"], r["step"], r["value"], r["prediction"], None) for r in curve]
-            except Exception as problem:  # reported in the model's only row
-                rows.append((model, name, None, None, None, str(problem)))
+            except FIT_ERRORS as problem:  # reported in the model's only row
+                rows.append((model, feature, None, None, None, str(problem)))
     finally:
         setup.release()
     return df.sparkSession.createDataFrame(

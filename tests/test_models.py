@@ -184,8 +184,77 @@ def test_sensitivity(people):
 def test_sensitivity_finds_one_hot_children(people):
     config = PrepConfig("Mean", "One-Hot Encoding", "StandardScaler")
     fitted = models.train_evaluate(people, "Purchased", K.TREE, config, ["id"]).model
-    assert verify.resolve_feature("City", fitted.features).startswith("City_")
-    assert verify.sensitivity(people, fitted, ["City"])[0].count() == 20
+    children = [c for c in fitted.features if c.startswith("City_")]
+    assert verify.resolve_feature("City", fitted.features) == children[0]
+    curve = verify.sensitivity(people, fitted, ["City"])[0]
+    assert {r[0] for r in curve.select("feature").distinct().collect()} == set(children)
+    assert curve.count() == 20 * len(children)
+
+
+VECTOR, COLUMNS = (PrepConfig("Mean", "One-Hot Encoding", "StandardScaler", one_hot=f) for f in ("vector", "columns"))
+
+
+def test_vector_and_columns_give_the_same(people):
+    """Same folds, names, importances and curves, whichever form the one-hot slots have."""
+    rows = people.withColumn("City", F.when(F.col("id") % 17 == 0, "nan").when(F.col("id") % 13 > 0, F.col("City")))
+    seen = {}
+    for config in (VECTOR, COLUMNS):
+        result = models.train_evaluate(rows, "Purchased", K.LOGISTIC, config, ["id"])
+        curve, summary = verify.sensitivity(rows, result.model, ["City", "Age"])
+        seen[config.one_hot] = (
+            result.metrics.first()["accuracy"], dict(models.importance(result.model)),
+            {(r["feature"], r["step"]): (r["value"], r["prediction"]) for r in curve.collect()},
+            {r["feature"]: r["response_type"] for r in summary.collect()})
+    for a, b in zip(*seen.values()):
+        if not isinstance(a, dict):
+            assert a == b
+            continue
+        assert a.keys() == b.keys()
+        for k in a:
+            assert a[k] == b[k] if isinstance(a[k], str) else a[k] == pytest.approx(b[k], abs=2e-3), k
+    names = seen["vector"][1]
+    assert {"City_nan", "City_nan_missing"} <= set(names)
+    again = models.train_evaluate(rows, "Purchased", K.LOGISTIC, VECTOR, ["id"]).model
+    assert [s.name for s in again.find_slots("City_nan")] == ["City_nan"]
+    assert again.find_slots("City_nowhere") == []
+
+
+@pytest.mark.parametrize("name", [K.KNN, K.TREE])
+def test_responses_in_both_forms(people, name):
+    got = [sorted(map(tuple, verify.model_response(people, "Purchased", "City", c, ["id"], models=[name], points=3).collect())) for c in (VECTOR, COLUMNS)]
+    assert len(got[0]) == len(got[1]) > 3
+    for a, b in zip(*got):
+        assert a[:3] == b[:3] and a[3:5] == pytest.approx(b[3:5]) and a[5] is None
+
+
+def test_thousands_of_levels(spark):
+    """1,500 levels: names, ranking and curves as for a few; the level that decides comes first."""
+    df = spark.range(6_000).selectExpr(
+        "id", "concat('l', case when id % 3 = 0 then 7 else id % 1500 end) as level", "cast(id % 11 as double) as x",
+        "case when id % 3 = 0 or id % 97 = 1 then 1 else 0 end as t")
+    fitted = models.train_evaluate(df, "t", K.TREE, VECTOR, ["id"], maxDepth=3).model
+    top = models.importance_ranking(spark, fitted, 2).collect()
+    assert top[0]["feature"] == "level_l7" and top[0]["importance"] > 0.9
+    curve, summary = verify.sensitivity(df, fitted, ["level_l7", "x"], points=5)
+    values = [r["prediction"] for r in curve.where("feature = 'level_l7'").orderBy("step").collect()]
+    assert values[-1] - values[0] > 0.5
+    assert verify.sensitivity(df, fitted, ["level"], points=2)[0].count() == 2 * fitted.prep.slot_scales["level_vec"].slots.size
+
+
+def test_levels_that_are_not_fetched(spark, monkeypatch):
+    """With level tables left in Spark, names are looked up one by one."""
+    from featloom.operators import encode, preprocess
+    df = spark.range(400).selectExpr("id", "case when id % 5 = 0 then null when id % 7 = 0 then 'nan' else concat('l', id % 4) end as level",
+                                     "case when id % 5 = 0 then 1 else 0 end as t")
+    near = models.train_evaluate(df, "t", K.TREE, VECTOR, ["id"], maxDepth=3).model
+    monkeypatch.setattr(preprocess, "fit_levels", lambda d, c: encode.fit_levels(d, c, small_limit=0))
+    far = models.train_evaluate(df, "t", K.TREE, VECTOR, ["id"], maxDepth=3).model
+    assert far.prep.slot_scales["level_vec"].slots.names is None
+    assert models.importance(far) == models.importance(near)
+    assert [s.name for s in far.find_slots("level")] == [s.name for s in near.find_slots("level")]
+    assert far.find_slots("level_l2") == near.find_slots("level_l2") != []
+    with pytest.raises(ValueError, match="vector"):
+        models.train_evaluate(df, "t", K.TREE, COLUMNS, ["id"])
 
 
 def test_model_response(people):

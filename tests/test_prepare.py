@@ -148,7 +148,7 @@ def test_encodings_small_and_large(spark, levels, limit):
     assert column(label_encode(levels, tables), "c") == [0, 1, 2, 0]
     got = column(frequency_encode(levels, tables), "c")
     assert got == pytest.approx([2 / 3, 1 / 3, 0, 2 / 3])
-    hot = one_hot_encode(levels, tables)
+    hot = one_hot_encode(levels, tables, "columns" if limit else "vector")
     if limit:
         assert hot.columns == ["id", "c_a", "c_b", "c_nan"]
         assert column(hot, "c_a") == [1.0, 0.0, 0.0, 1.0] and column(hot, "c_nan") == [0.0, 0.0, 1.0, 0.0]
@@ -165,7 +165,7 @@ def test_unseen_levels(spark, levels, limit):
     assert column(label_encode(new, tables, "null"), "c") == [0, None, None]
     assert column(label_encode(new, tables, "minus_one"), "c") == [0, -1, -1]
     assert column(frequency_encode(new, tables), "c") == pytest.approx([2 / 3, 0, 0])
-    hot = one_hot_encode(new, tables)
+    hot = one_hot_encode(new, tables, "columns" if limit else "vector")
     if limit:
         assert column(hot, "c_a") == [1.0, 0.0, 0.0] and column(hot, "c_b") == [0.0, 0.0, 0.0]
     else:
@@ -188,6 +188,26 @@ def test_nan_text_shares_the_missing_class(spark):
     assert one_hot_encode(df, fit_levels(df, ["c"])).columns == ["id", "c_a", "c_nan", "c_nan_missing"]
 
 
+@pytest.mark.parametrize("scaling", ["StandardScaler", "MinMaxScaler", "RobustScaler", "No Scaling"])
+def test_slots_scale_as_columns_do(spark, scaling):
+    """What a slot stands for, from level counts alone, equals the scaled indicator column."""
+    rows = [(i, "a" if i % 2 else ("b" if i % 3 else None)) for i in range(40)] + [(40, "nan"), (41, "c")]
+    df = spark.createDataFrame(rows, "id int, c string")
+    config = lambda form: preprocess.PrepConfig("Mean", "One-Hot Encoding", scaling, one_hot=form)
+    wide = preprocess.fit_prep(df, None, config("columns"), ["c"]).apply(df)
+    prep = preprocess.fit_prep(df, None, config("vector"), ["c"])
+    scale = prep.slot_scales["c_vec"]
+    names = scale.slots.names
+    assert names == ["c_a", "c_b", "c_c", "c_nan", "c_nan_missing"] == wide.columns[1:]
+    applied = prep.apply(df)
+    assert [a["name"] for a in applied.schema["c_vec"].metadata["ml_attr"]["attrs"]["numeric"]] == names
+    vectors = {r["id"]: r["c_vec"].toArray() for r in applied.collect()}
+    for r in wide.collect():
+        assert vectors[r["id"]] - scale.shift / scale.width == pytest.approx([r[n] for n in names])
+    counts, n = prep.slot_counts(df)
+    assert counts["c_vec"].tolist() == scale.slots.counts.tolist() == [20, 13, 1, 1, 7] and n == 42
+
+
 # --- scaling, sequence ----------------------------------------------------------------------
 
 
