@@ -233,6 +233,11 @@ class Experiment:
     train: DataFrame
     test: DataFrame
 
+    def slot_counts(self) -> tuple[dict[str, np.ndarray], int]:
+        """Rows of the training side per slot of each one-hot vector, and all of them; known from the fit."""
+        scales = self.prep.slot_scales
+        return {c: s.slots.counts for c, s in scales.items()}, next((s.slots.rows for s in scales.values()), 0)
+
     def release(self) -> None:
         self.train.unpersist()
         self.test.unpersist()

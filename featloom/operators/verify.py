@@ -234,10 +234,7 @@ def model_response(
         asked = shape.find_slots(feature)
         if not asked:
             raise ValueError(f"{feature} is not a prepared feature")
-        scales = setup.prep.slot_scales
-        counts = {c: scale.slots.counts for c, scale in scales.items()}  # those of the training side
-        n = next((scale.slots.rows for scale in scales.values()), 0)
-        typical = Typical.of(shape, setup.train, counts, n, asked, 0.05, 0.95)
+        typical = Typical.of(shape, setup.train, *setup.slot_counts(), asked, 0.05, 0.95)
         rows = []  # points x models x slots
         for model in models:
             try:
@@ -253,6 +250,12 @@ def model_response(
     )
 
 
+def slot_ranges(setup: Experiment, feature: str) -> DataFrame:
+    """``feature, low, high`` of every column or slot of a feature on the training side, as sweeps use them."""
+    shape = TrainedModel("", setup.target, setup.classes, setup.features, None, setup.prep)
+    return Typical.of(shape, setup.train, *setup.slot_counts(), shape.find_slots(feature), 0, 1).bounds
+
+
 def scaling_impact(
     df: DataFrame, target: str, models: list[str], scalings: list[str], keys: list[str] = (),
     imputation: str = "Mean", encoding: str = "Label Encoding",

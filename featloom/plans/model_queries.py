@@ -165,6 +165,80 @@ def _customers(spark, sf):
     )
 
 
+# Up to 1,201 one-hot levels of a text column, missing and the text "nan" among them. Distances
+# between one-hot rows are known from the level counts, so nearest neighbours have a twin.
+_WIDE = PrepConfig("Mean", "One-Hot Encoding", "StandardScaler", one_hot="vector")
+_WIDE_SQL = f"""
+c AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 1201 = 5 THEN NULL WHEN c_custkey % 1201 = 6 THEN 'nan'
+          WHEN c_custkey % 4 = 0 THEN 'common' ELSE 'g' || (c_custkey % 1201) END AS grp,
+          CASE WHEN c_acctbal + (c_custkey % 4) * 1500 > 6000 THEN 1 ELSE 0 END AS rich, {sql_uniform('c_custkey')} < 0.2 AS test FROM customer),
+tr AS (SELECT * FROM c WHERE NOT test),
+lev AS (SELECT grp, count(*) / CAST((SELECT count(*) FROM tr) AS DOUBLE) AS p FROM tr GROUP BY grp),
+slot AS (SELECT grp, coalesce('grp_' || grp, 'grp_nan_missing') AS name, p, sqrt(p * (1 - p)) AS w FROM lev),
+num AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM tr),
+pts AS (SELECT (c_acctbal - m) / s AS x, tr.grp, rich, slot.w FROM tr JOIN slot ON tr.grp IS NOT DISTINCT FROM slot.grp, num)"""
+
+
+def _wide_customers(spark, sf):
+    key = F.col("c_custkey")
+    group = F.when(key % 1201 == 5, None).when(key % 1201 == 6, "nan").when(key % 4 == 0, "common").otherwise(
+        F.concat(F.lit("g"), (key % 1201).cast("string")))
+    return table(spark, sf, "customer").select(
+        "c_custkey", "c_acctbal", group.alias("grp"), F.when(F.col("c_acctbal") + (key % 4) * 1500 > 6000, 1).otherwise(0).alias("rich"))
+
+
+@query("wide_predict", f"""
+WITH {_WIDE_SQL},
+ask AS (SELECT c_custkey, (c_acctbal - m) / s AS x, c.grp, slot.w FROM c LEFT JOIN slot ON c.grp IS NOT DISTINCT FROM slot.grp, num WHERE test),
+d AS (SELECT c_custkey, rich, sqrt((a.x - b.x) * (a.x - b.x) + CASE WHEN a.grp IS NOT DISTINCT FROM b.grp THEN 0
+        ELSE coalesce(1 / (a.w * a.w), 0) + 1 / (b.w * b.w) END) AS dist FROM ask a, pts b),
+n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY dist, rich) AS rn FROM d QUALIFY rn <= 5),
+v AS (SELECT c_custkey, rich, count(*) AS k FROM n GROUP BY 1, 2)
+SELECT c_custkey, rich AS predicted_class FROM v QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY k DESC, rich) = 1""")
+def wide_predict(spark, sf):
+    """Nearest neighbours over a scaled one-hot vector of many levels, seen and unseen ones."""
+    rows = _wide_customers(spark, sf)
+    fitted = models.train_evaluate(rows, "rich", K.KNN, _WIDE, ["c_custkey"]).model
+    _, test = sampling.split(rows, ["c_custkey"])
+    return fitted.predict(test, ["c_custkey"]).select("c_custkey", "predicted_class")
+
+
+@query("wide_sensitivity", f"""
+WITH {_WIDE_SQL},
+rows_ AS (SELECT count(*) AS rows_ FROM c),
+most AS (SELECT slot.name, count(*) AS k FROM c JOIN slot ON c.grp IS NOT DISTINCT FROM slot.grp GROUP BY 1),
+base AS (SELECT median((c_acctbal - m) / s) AS x0 FROM c, num),
+asked AS (SELECT slot.*, k > 0 AS seen, (0 - p) / w AS low, (1 - p) / w AS high FROM slot JOIN most USING (name)),
+grid AS (SELECT name, grp, w, step, CASE WHEN step = 19 THEN high ELSE low + (high - low) / 19.0 * step END AS value
+         FROM asked, range(0, 20) AS t(step)),
+d AS (SELECT g.name, step, value, rich, sqrt((x0 - b.x) * (x0 - b.x) + CASE WHEN b.grp IS NOT DISTINCT FROM g.grp
+        THEN power(step / 19.0 / g.w - 1 / g.w, 2) ELSE power(step / 19.0 / g.w, 2) + 1 / (b.w * b.w) END) AS dist
+      FROM (SELECT * FROM grid WHERE name IN ('grp_common', 'grp_nan', 'grp_nan_missing', 'grp_g1', 'grp_g2')) g, base, pts b),
+n AS (SELECT *, row_number() OVER (PARTITION BY name, step ORDER BY dist, rich) AS rn FROM d QUALIFY rn <= 5)
+SELECT name AS feature, CAST(step AS INTEGER) AS step, round(any_value(value), 6) AS value, round(sum(rich) / 5.0, 4) AS prediction FROM n GROUP BY 1, 2""")
+def wide_sensitivity(spark, sf):
+    """Curves of single levels, found by their names, from the least to the largest value of their slots."""
+    rows = _wide_customers(spark, sf)
+    fitted = models.train_evaluate(rows, "rich", K.KNN, _WIDE, ["c_custkey"]).model
+    asked = [n for n in ("grp_common", "grp_nan", "grp_nan_missing", "grp_g1", "grp_g2") if fitted.find_slots(n)]
+    curve, _ = verify.sensitivity(rows, fitted, asked)
+    return curve.select("feature", "step", F.round("value", 6).alias("value"), F.round("prediction", 4).alias("prediction"))
+
+
+@query("wide_ranges", f"""
+WITH {_WIDE_SQL}
+SELECT name AS feature, round((0 - p) / w, 6) AS low, round((1 - p) / w, 6) AS high FROM slot""")
+def wide_ranges(spark, sf):
+    """Every child of a one-hot feature, with the range its scaled slot takes in the training rows."""
+    rows = _wide_customers(spark, sf)
+    setup = models.prepare_experiment(rows, "rich", _WIDE, ["c_custkey"])
+    try:
+        found = verify.slot_ranges(setup, "grp")
+    finally:
+        setup.release()
+    return found.select("feature", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 @query("model_response")
 def model_response(spark, sf):
     return verify.model_response(_customers(spark, sf), "rich", "c_acctbal", FULL, ["c_custkey"])
