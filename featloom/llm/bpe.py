@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,17 +65,28 @@ class Vocabulary:
 
     def parts(self) -> dict:
         """What tasks need, a few MB to broadcast; workers unpack it once, not for every task."""
-        return {"ids": self.ids, "ranks": self.ranks, "special": self.special, "inside": self.inside, "cache": {}}
+        return {"ids": self.ids, "ranks": self.ranks, "special": self.special, "inside": self.inside, "cache": (Fragments(), {})}
 
 
-class Encoder(dict):
-    """Fragment to packed ids (int32), filled as fragments come up.
+class Fragments(dict):
+    """Fragment to packed ids (int32); what is missing comes from the encoder at work."""
 
-    ``parts["cache"]`` lives as long as the worker that holds the broadcast; when this
-    dictionary is full it becomes the older half there, which is asked before merging again.
+    encoder: Encoder
+
+    def __missing__(self, fragment: bytes) -> bytes:
+        return self.encoder.missing(fragment)
+
+
+class Encoder:
+    """Encodes texts fragment by fragment.
+
+    ``parts["cache"]`` lives as long as the worker that holds the broadcast: a younger half, and
+    an older one that is asked before merging again. A full younger half becomes the older one.
     """
 
     def __init__(self, parts: dict, pattern: str = PATTERN):
+        self.young, self.old = parts["cache"]
+        self.young.encoder = self
         self.parts, self.ids, self.ranks, self.special, self.inside = parts, *(parts[k] for k in ("ids", "ranks", "special", "inside"))
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -85,14 +97,15 @@ class Encoder(dict):
         self.ends = (byte < 0x80) & (byte > 0x20) & (byte != 0x7F)  # ASCII, not white space or control
         self.two = (byte >= 0xC3) & (byte <= 0xDF)  # two-byte characters without white space among them
 
-    def __missing__(self, fragment: bytes) -> bytes:
-        out = self.parts["cache"].get(fragment)
+    def missing(self, fragment: bytes) -> bytes:
+        out = self.old.get(fragment)
         if out is None:
             out = np.array(self.fresh(fragment), np.int32).tobytes()
-        if len(self) >= CACHE:
-            self.parts["cache"] = dict(self)
-            self.clear()
-        self[fragment] = out
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, Fragments()
+            self.young.encoder = self
+            self.parts["cache"] = self.young, self.old
+        self.young[fragment] = out
         return out
 
     def fresh(self, fragment: bytes) -> list[int]:
@@ -169,7 +182,7 @@ class Encoder(dict):
                 out.append(np.array([self.special[part]], np.int32).tobytes())
             elif part:
                 for group in self.fragments(part.encode("utf-8", "replace")):
-                    out.extend(map(self.__getitem__, group))
+                    out.extend(map(self.young.__getitem__, group))
         return np.frombuffer(b"".join(out), np.int32)
 
 
@@ -189,8 +202,6 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*block.columns[1:], ids], names=[*carried, ids_col])
-        if encoder:
-            encoder.parts["cache"] = dict(encoder)
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[1:])
     return frame.mapInArrow(run, f"{fields}`{ids_col}` array<int>")
@@ -198,14 +209,23 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
 
 def decode(ids: Column, vocabulary: Vocabulary, spark) -> Column:
     """The text of an id array; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
-    shared = spark.sparkContext.broadcast({i: t for i, t in vocabulary.tokens.items()})
+    width = max(vocabulary.tokens, default=-1) + 1
+    shared = spark.sparkContext.broadcast([vocabulary.tokens.get(i, b"") for i in range(width + 1)])  # the last one stands for unknown ids
 
     @arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        tokens, out = shared.value, []
-        for i in range(len(column)):
-            row = column[i].values if column[i].is_valid else None
-            out.append(None if row is None else b"".join([tokens.get(x, b"") for x in row.to_pylist()]).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        tokens, out = pa.array(shared.value, pa.binary()), []
+        for at in range(0, len(column), 256):
+            rows = column.slice(at, 256)
+            ids = pc.fill_null(rows.flatten(), width).to_numpy(zero_copy_only=False)
+            known = tokens.take(pa.array(np.where((ids >= 0) & (ids < width), ids, width)))
+            lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            joined = pc.if_else(rows.is_valid(), pc.binary_join(pa.ListArray.from_arrays(offsets, known), b""), None)
+            try:
+                out.append(joined.cast(pa.string()))
+            except pa.ArrowInvalid:  # some text isn't UTF-8
+                out.append(pa.array([None if t is None else t.decode("utf-8", "replace") for t in joined.to_pylist()], pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return run(ids)
