@@ -10,6 +10,7 @@ from featloom.functions.columns import (
 )
 from featloom.operators.profile import few_values
 from featloom.operators.quantiles import exact_quantiles
+from featloom.session import cut_lineage
 
 BOX_BUFFERS = 6  # running values kept per feature in a box pass
 
@@ -153,13 +154,61 @@ def _whiskers(chosen: DataFrame, features: list[str], target: str, kind: str, qu
     return data.join(fences, "class").groupBy("class").agg(*aggregates).select("class", F.inline(F.array(*structs)))
 
 
+def class_boxes(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """The columns of ``box_summary`` for every class of the target, however many there are.
+
+    Counted values are dealt to ranges in order of class, feature and value, so ranks are running
+    counts inside a range. Only the first group of a range can begin in an earlier one: these
+    few groups, at most two rows per range, are broadcast with their offsets and quartiles. No class
+    reaches the driver, no group needs a task of its own, and values of one group may fill many ranges.
+    """
+    kind = df.schema[target].dataType
+    rows = unpivot(nan_to_null(df).where(col(target).isNotNull()).withColumn("__class", col(target)), features, "double", ids=["__class"])
+    rows = rows.select(F.col("__class").alias("class"), "feature", "value").where(F.col("value").isNotNull())
+    counts = rows.groupBy("class", "feature", "value").agg(F.count(F.lit(1)).alias("k"))
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut_lineage(counts.repartitionByRange(ranges, "class", "feature", "value").withColumn("part", F.spark_partition_id()))
+    group, here = ["class", "feature"], Window.partitionBy("part", "class", "feature")
+    # Groups in several ranges, with the rows before each range and in all.
+    parts = dealt.groupBy("part", *group).agg(F.sum("k").alias("inside"))
+    whole = Window.partitionBy(*group)
+    spans = parts.withColumns({
+        "ranges": F.count(F.lit(1)).over(whole), "all": F.sum("inside").over(whole),
+        "before": F.sum("inside").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("inside")})
+    spans = cut_lineage(spans.where(F.col("ranges") > 1).select("part", *group, "all", "before"))
+    ranked = dealt.join(F.broadcast(spans), ["part", *group], "left").withColumns({
+        "total": F.coalesce("all", F.sum("k").over(here)),
+        "upto": F.coalesce("before", F.lit(0)) + F.sum("k").over(here.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))})
+    names, wanted = ["q1", "median", "q3"], {}
+    for name, p in zip(names, (0.25, 0.5, 0.75)):
+        position = (F.col("total") - 1) * p
+        first = F.floor(position)
+        for end, rank in (("a", first), ("b", F.least(first + 1, F.col("total") - 1))):
+            wanted[f"{name}_{end}"] = F.when((F.col("upto") - F.col("k") <= rank) & (rank < F.col("upto")), F.col("value"))
+    marked = ranked.withColumns(wanted)
+    # Quartiles of groups in several ranges; all others find theirs in their own range.
+    far = cut_lineage(marked.where(F.col("all").isNotNull()).groupBy(*group).agg(*[F.max(c).alias(f"far_{c}") for c in wanted]))
+    found = marked.join(F.broadcast(far), group, "left").withColumns({c: F.coalesce(f"far_{c}", F.max(c).over(here)) for c in wanted})
+    shares = {n: (F.col("total") - 1) * p - F.floor((F.col("total") - 1) * p) for n, p in zip(names, (0.25, 0.5, 0.75))}
+    found = found.withColumns({n: F.col(f"{n}_a") + shares[n] * (F.col(f"{n}_b") - F.col(f"{n}_a")) for n in names})
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
+    boxes = found.groupBy(*group).agg(
+        F.max("total").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
+        F.sum(F.when(inside, 0).otherwise(F.col("k"))).alias("n_outliers"), *[F.max(n).alias(n) for n in names])
+    return boxes.withColumn("class", F.col("class").cast(kind))
+
+
 def box_by_target(
     df: DataFrame, target: str, max_features: int | None = None, max_classes: int | None = None
 ) -> DataFrame | None:
-    """Boxes of the numeric features by class; of the first ones and the most frequent classes, if asked."""
+    """Boxes of the numeric features by class, a table of any size; of the first ones and the most frequent classes, if asked."""
     features = numeric_columns(df, target)[:max_features]
     if not features:
         return None
+    if max_classes is None:
+        return class_boxes(df, features, target)
     classes = [r["value"] for r in value_counts(df, target, max_classes).collect()]
     return box_summary(df, features, target, classes)
 

@@ -91,6 +91,15 @@ def box_by_target(spark, sf):
     return _rounded_box(summaries.box_by_target(rows, "flag", K.CHART_VS_TARGET, K.BOX_CLASSES))
 
 
+@query("box_by_customer", f"""WITH o AS (SELECT o_custkey, o_totalprice, CAST(o_orderkey % 97 AS DOUBLE) AS part FROM orders),
+k AS (SELECT DISTINCT o_custkey AS c FROM o)
+{_box_sql(['o_totalprice', 'part'], 'o_custkey', 'o', 'k')}""")
+def box_by_customer(spark, sf):
+    """A box for every customer: classes that grow with the table."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_totalprice", (F.col("o_orderkey") % 97).cast("double").alias("part"))
+    return _rounded_box(summaries.box_by_target(orders, "o_custkey"))
+
+
 @query("box_separation", f"""WITH v AS (SELECT event_id, user_id, value, event_type FROM events),
 k AS (SELECT DISTINCT event_type AS c FROM v ORDER BY c LIMIT 5)
 {_box_sql(['event_id', 'user_id', 'value'], 'event_type', 'v', 'k')}""")

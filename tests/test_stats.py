@@ -224,6 +224,27 @@ def test_box_whiskers(spark):
     assert summaries.box_separation(many, "t") is None
 
 
+def test_boxes_of_very_many_classes(spark):
+    """A class with a third of the rows over several ranges, thousands with a few rows, names that clash."""
+    rng = np.random.default_rng(4)
+    cls = np.where(np.arange(9_000) % 3 == 0, 7, rng.integers(100, 3_000, 9_000))
+    frame = pd.DataFrame({"class": cls, "value": rng.normal(size=9_000).round(2), "part": rng.integers(0, 5, 9_000).astype(float)})
+    frame.loc[::50, "value"] = np.nan
+    frame.loc[3, "value"] = 1e6
+    df = spark.createDataFrame(frame).withColumn("class", F.when(F.col("class") != 101, F.col("class")))
+    got = {(r["class"], r["feature"]): r for r in rows(summaries.class_boxes(df, ["value", "part"], "class"))}
+    known = frame[frame["class"] != 101]
+    assert got.keys() == {(c, f) for f in ("value", "part") for c, x in known.groupby("class")[f] if x.notna().any()}
+    for (c, f), r in got.items():
+        x = known.loc[known["class"] == c, f].dropna()
+        q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+        inside = x[(x >= q1 - 1.5 * (q3 - q1)) & (x <= q3 + 1.5 * (q3 - q1))]
+        assert [r[k] for k in ("q1", "median", "q3", "min", "max", "whisker_low", "whisker_high")] == pytest.approx(
+            [q1, q2, q3, x.min(), x.max(), inside.min(), inside.max()]), (c, f)
+        assert (r["n"], r["n_outliers"]) == (len(x), len(x) - len(inside))
+    assert summaries.class_boxes(df.limit(0), ["value"], "class").count() == 0
+
+
 def test_feature_vs_target_scatter(spark):
     df = spark.range(50).selectExpr("id", "id * 2.0D as x", "cast(id as double) as t")
     kind, points = summaries.feature_vs_target(df, "t", ["id"])
