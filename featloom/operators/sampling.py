@@ -37,22 +37,51 @@ def sample_stratified(
 
     Falls back to a plain sample unless the target is complete, has 2 to 20
     classes, no class with a single row, and room for every class on both sides. Class shares are rounded by largest
-    remainder, so the total is exact.
+    remainder, so the total is exact. ``stratified_sample`` says which of the two it was.
     """
-    clean = nan_to_null(df.select(col(target).alias("t")))
-    rough = clean.agg(F.approx_count_distinct("t").alias("n")).first()["n"]
-    # A sketch above twice the limit settles it; otherwise the exact sizes decide.
-    return _take(df, max_rows, keys, seed, target if rough <= 2 * K.STRATIFY_MAX_CLASSES + 10 else None)
+    return stratified_sample(df, max_rows, target, keys, seed)[0]
 
 
-def _can_stratify(sizes: dict, max_rows: int) -> bool:
-    rest = sum(sizes.values()) - max_rows
-    return (
-        K.STRATIFY_MIN_CLASSES <= len(sizes) <= K.STRATIFY_MAX_CLASSES
-        and None not in sizes
-        and min(sizes.values()) > 1
-        and len(sizes) <= min(max_rows, rest)
-    )
+def stratified_sample(
+    df: DataFrame, max_rows: int, target: str, keys: list[str], seed: int = K.SEED, on_impossible: str = "plain"
+) -> tuple[DataFrame, DataFrame]:
+    """The sample, and one row that says how it was drawn: ``strategy, reason, rows, classes``.
+
+    ``strategy`` is ``all`` (no more rows than asked for), ``stratified`` or ``plain``; ``reason`` tells
+    why not stratified. ``on_impossible="error"`` refuses with ``ValueError`` instead of a plain sample.
+    ``classes`` counts the target's levels, missing among them; null where they are too many to be listed.
+    """
+    if on_impossible not in ("plain", "error"):
+        raise ValueError(f"unknown on_impossible: {on_impossible}")
+    clean = nan_to_null(df.select(col(target).alias("t")))
+    facts = clean.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("t").alias("rough")).first()
+    sizes = None
+    # A sketch above twice the limit settles it; otherwise the exact sizes decide.
+    if facts["rough"] <= 2 * K.STRATIFY_MAX_CLASSES + 10:
+        sizes = {r["t"]: r["count"] for r in clean.groupBy("t").count().collect()}  # about twice the limit at most
+    reason = None if facts["rows"] <= max_rows else stratify_refusal(sizes, max_rows)
+    if reason and on_impossible == "error":
+        raise ValueError(f"no stratified sample over {target}: {reason}")
+    strategy = "all" if facts["rows"] <= max_rows else "plain" if reason else "stratified"
+    outcome = df.sparkSession.createDataFrame(
+        [(strategy, reason, min(facts["rows"], max(max_rows, 0)), None if sizes is None else len(sizes))],
+        "strategy string, reason string, rows bigint, classes int")
+    return _take(df, max_rows, keys, seed, None if reason else target if sizes is not None else None), outcome
+
+
+def stratify_refusal(sizes: dict | None, max_rows: int) -> str | None:
+    """Why the classes of these sizes allow no stratified sample; None if they do."""
+    if sizes is None or len(sizes) > K.STRATIFY_MAX_CLASSES:
+        return f"more than {K.STRATIFY_MAX_CLASSES} classes"
+    if None in sizes:
+        return "missing values in the target"
+    if len(sizes) < K.STRATIFY_MIN_CLASSES:
+        return f"fewer than {K.STRATIFY_MIN_CLASSES} classes"
+    if min(sizes.values()) <= 1:
+        return "a class of one row"
+    if len(sizes) > min(max_rows, sum(sizes.values()) - max_rows):
+        return "no room for every class on both sides"
+    return None
 
 
 def _take(df, max_rows, keys, seed, target):
@@ -70,7 +99,7 @@ def _take(df, max_rows, keys, seed, target):
     total = sum(sizes.values())
     if total <= max_rows:
         return df
-    if target and not _can_stratify(sizes, max_rows):
+    if target and stratify_refusal(sizes, max_rows):
         marked, sizes = marked.withColumn("__g", one), {0: total}
         histogram = histogram.groupBy(one.alias("__g"), "__b").agg(F.sum("n").alias("n"))
     edges = _edges(histogram, _quotas(sizes, max_rows))

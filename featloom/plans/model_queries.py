@@ -39,27 +39,27 @@ def _scores(result):
     return result.metrics.select("model", F.round("accuracy", 4).alias("accuracy"), F.round("f1_score", 4).alias("f1_score"))
 
 
-@query("model_logreg")
+@query("model_logreg", tested_by="tests/test_models.py::test_every_model_beats_guessing")
 def model_logreg(spark, sf):
     return _scores(_trained(spark, sf, K.LOGISTIC))
 
 
-@query("model_tree")
+@query("model_tree", tested_by="tests/test_models.py::test_every_model_beats_guessing")
 def model_tree(spark, sf):
     return _scores(_trained(spark, sf, K.TREE))
 
 
-@query("model_svm")
+@query("model_svm", tested_by="tests/test_models.py::test_every_model_beats_guessing")
 def model_svm(spark, sf):
     return _scores(_trained(spark, sf, K.SVM))
 
 
-@query("model_svm_rbf")
+@query("model_svm_rbf", tested_by="tests/test_models.py::test_kernel_svm_learns_a_circle")
 def model_svm_rbf(spark, sf):
     return _scores(_trained(spark, sf, K.SVM, kernel="rbf"))
 
 
-@query("train_evaluate")
+@query("train_evaluate", tested_by="tests/test_models.py::test_other_encodings_train")
 def train_evaluate(spark, sf):
     """Three classes, one-hot features."""
     config = PrepConfig("Median", "One-Hot Encoding", "MinMaxScaler")
@@ -122,7 +122,7 @@ def model_knn_embeddings(spark, sf):
     return found.select(F.round("accuracy", 4).alias("accuracy"), F.round("f1_score", 4).alias("f1_score"))
 
 
-@query("importance_ranking")
+@query("importance_ranking", tested_by="tests/test_models.py::test_vector_and_columns_give_the_same")
 def importance_ranking(spark, sf):
     fitted = _trained(spark, sf, K.TREE).model
     return models.importance_ranking(spark, fitted).withColumn("importance", F.round("importance", 4))
@@ -133,17 +133,17 @@ def _ablated(spark, sf):
     return verify.ablation(orders, "size", K.TREE, FULL, ["o_orderkey"])
 
 
-@query("ablation")
+@query("ablation", tested_by="tests/test_models.py::test_ablation_leaves_out_every_column")
 def ablation(spark, sf):
     return _ablated(spark, sf)
 
 
-@query("verification_summary")
+@query("verification_summary", tested_by="tests/test_models.py::test_verification_summary")
 def verification_summary(spark, sf):
     return verify.verification_summary(_ablated(spark, sf))
 
 
-@query("sensitivity")
+@query("sensitivity", tested_by="tests/test_models.py::test_vector_and_columns_give_the_same")
 def sensitivity(spark, sf):
     fitted = _trained(spark, sf, K.LOGISTIC).model
     orders = _orders(spark, sf).drop("o_orderstatus")
@@ -151,7 +151,7 @@ def sensitivity(spark, sf):
     return curve.withColumn("prediction", F.round("prediction", 4))
 
 
-@query("sensitivity_summary")
+@query("sensitivity_summary", tested_by="tests/test_models.py::test_sensitivity")
 def sensitivity_summary(spark, sf):
     fitted = _trained(spark, sf, K.LOGISTIC).model
     orders = _orders(spark, sf).drop("o_orderstatus")
@@ -239,12 +239,12 @@ def wide_ranges(spark, sf):
     return found.select("feature", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("model_response")
+@query("model_response", tested_by="tests/test_models.py::test_responses_in_both_forms")
 def model_response(spark, sf):
     return verify.model_response(_customers(spark, sf), "rich", "c_acctbal", FULL, ["c_custkey"])
 
 
-@query("scaling_impact")
+@query("scaling_impact", tested_by="tests/test_models.py::test_tree_ignores_scaling")
 def scaling_impact(spark, sf):
     return verify.scaling_impact(
         _customers(spark, sf), "rich", [K.LOGISTIC, K.KNN, K.TREE], ["No Scaling", "StandardScaler"], ["c_custkey"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featloom import constants as K
+from featloom.functions.columns import union_all
 from featloom.operators import casting, derive, outliers, profile, sampling
 from featloom.plans.registry import (
     GAPPY_SQL, gappy, query, sql_hash, sql_rows, sql_uniform, table,
@@ -96,6 +97,23 @@ def sample_random(spark, sf):
     return sampling.sample_random(orders, K.PLOT_SAMPLE_ROWS, ["o_orderkey"])
 
 
+_OUTCOME_TARGETS = {"l_returnflag": "l_returnflag", "l_partkey": "l_partkey", "constant": "1", "gaps": "CASE WHEN l_linenumber > 1 THEN l_linestatus END"}
+
+
+@query("sample_outcome", "WITH t AS (SELECT (SELECT count(*) FROM lineitem) AS rows_) " + " UNION ALL ".join(
+    f"""SELECT '{name}' AS target, CASE WHEN reason IS NULL THEN 'stratified' ELSE 'plain' END AS strategy, reason, CAST(500 AS BIGINT) AS rows FROM
+(SELECT CASE WHEN count(*) > 20 THEN 'more than 20 classes' WHEN count(*) FILTER (v IS NULL) > 0 THEN 'missing values in the target'
+  WHEN count(*) < 2 THEN 'fewer than 2 classes' WHEN min(k) <= 1 THEN 'a class of one row'
+  WHEN count(*) > least(500, sum(k) - 500) THEN 'no room for every class on both sides' END AS reason
+ FROM (SELECT {expression} AS v, count(*) AS k FROM lineitem GROUP BY 1))""" for name, expression in _OUTCOME_TARGETS.items()))
+def sample_outcome(spark, sf):
+    """How a stratified sample was drawn, for targets that allow one and targets that don't."""
+    rows = table(spark, sf, "lineitem")
+    found = [sampling.stratified_sample(rows.withColumn("v", F.expr(e)), 500, "v", ["l_orderkey", "l_linenumber"])[1].select(
+        F.lit(name).alias("target"), "strategy", "reason", "rows") for name, e in _OUTCOME_TARGETS.items()]
+    return union_all(found)
+
+
 @query("sample_stratified", f"""
 WITH n AS (SELECT o_orderpriority AS c, count(*) AS size, sum(count(*)) OVER () AS total FROM orders GROUP BY 1),
 s AS (SELECT *, 5000.0 * size / total AS share FROM n),

@@ -11,15 +11,21 @@ from featloom.sources.files import read_parquet
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+TESTED_BY: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query under ``name``; ``sql`` is its DuckDB twin, if it has one."""
+def query(name: str, sql: str | None = None, tested_by: str | None = None):
+    """Register a query under ``name``; ``sql`` is its DuckDB twin, if it has one.
+
+    A query without a twin names the test that holds it against brute force or known facts.
+    """
 
     def add(run: Query) -> Query:
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
+        elif tested_by is not None:
+            TESTED_BY[name] = tested_by
         return run
 
     return add

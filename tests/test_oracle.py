@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from featloom.plans.registry import TESTED_BY
 from tools.check_oracle import compare, connect
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -15,7 +16,7 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, con, sf_dir):
-    ok, note, _ = compare(spark, con, QUERIES[name], ORACLES.get(name), sf_dir)
+    ok, note, _ = compare(spark, con, QUERIES[name], ORACLES.get(name), sf_dir, TESTED_BY.get(name))
     assert ok, note
 
 

@@ -42,6 +42,21 @@ def test_sample_with_a_hot_key(spark):
         assert sampling.sample_random(df, size, ["id"]).count() == size
 
 
+def test_stratified_sample_says_how_it_was_drawn(spark):
+    df = spark.range(300).selectExpr("id", "id % 3 as fits", "id as many", "1 as one", "case when id > 5 then id % 2 end as gaps", "id div 299 as lone")
+    asked = {"fits": "stratified", "many": "more than 20 classes", "one": "fewer than 2 classes", "gaps": "missing values in the target", "lone": "a class of one row"}
+    for target, expected in asked.items():
+        sample, outcome = sampling.stratified_sample(df, 60, target, ["id"])
+        row = outcome.first()
+        assert sample.count() == 60 == row["rows"]
+        assert (row["strategy"], row["reason"]) == (("stratified", None) if target == "fits" else ("plain", expected))
+        if target != "fits":
+            with pytest.raises(ValueError, match=expected):
+                sampling.stratified_sample(df, 60, target, ["id"], on_impossible="error")
+    assert sampling.stratified_sample(df, 298, "fits", ["id"])[1].first()["reason"] == "no room for every class on both sides"
+    assert sampling.stratified_sample(df, 500, "many", ["id"])[1].first()["strategy"] == "all"
+
+
 def test_stratified_falls_back(spark):
     base = spark.range(500)
     cases = [
