@@ -136,6 +136,19 @@ def attach_codes(
     return joined.withColumn(out, code.cast("bigint")).drop("__code")
 
 
+def name_codes(df: DataFrame, code: Column, levels: LevelTable, out: str) -> DataFrame:
+    """The level of each label code as ``out``; the other way round, with the same care for hot ones."""
+    named = levels.frame(df.sparkSession).select(F.col("code").cast("string").alias("level"), F.col("level").alias("__name"))
+    rows = None if levels.rows is None else [(str(c), level) for level, _, c in levels.rows]
+    turned = _NamedCodes(levels.column, levels.total, levels.n_levels, rows=rows, table=None if rows is not None else named)
+    return _lookup(df, code.cast("string"), turned, F.col("__name"), out)
+
+
+class _NamedCodes(LevelTable):
+    def frame(self, spark) -> DataFrame:
+        return self.table if self.table is not None else spark.createDataFrame(self.rows, "level string, __name string")
+
+
 def label_encode(df: DataFrame, tables: dict[str, LevelTable], on_unseen: str = "error") -> DataFrame:
     order = df.columns
     for c, levels in tables.items():

@@ -14,7 +14,8 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featloom import constants as K
-from featloom.functions.columns import OTHER, class_of, col, nan_to_null
+from featloom.functions.columns import CATEGORICAL, OTHER, class_of, col, nan_to_null
+from featloom.operators.encode import LevelTable, attach_codes, fit_levels, name_codes
 from featloom.operators.kernel import FourierMap, fit_fourier_map
 from featloom.operators.knn import KnnModel, fit_knn
 from featloom.operators.metrics import classification_metrics
@@ -55,14 +56,19 @@ def estimator(name: str, n_rows: int, n_classes: int, **params):
     raise ValueError("KNN has no estimator; it is fitted by fit_knn")
 
 
-def check_target(df: DataFrame, target: str, max_classes: int | None = None) -> list:
-    """Sorted classes of a valid target; ``ValueError`` otherwise, or beyond ``max_classes`` if given."""
-    df, kind = nan_to_null(df), df.schema[target].dataType
+def check_kind(df: DataFrame, target: str) -> None:
+    """``ValueError`` unless the target may hold classes."""
+    kind = df.schema[target].dataType
     if class_of(kind) == OTHER and not isinstance(kind, T.BooleanType):
         raise ValueError(f"Target column {target} holds neither numbers, text nor truth values.")
-    if isinstance(kind, T.FractionalType) and df.where(col(target) % 1 != 0).limit(1).count():
+    if isinstance(kind, T.FractionalType) and nan_to_null(df).where(col(target) % 1 != 0).limit(1).count():
         raise ValueError(K.CONTINUOUS_TARGET_ERROR)
-    classes = few_values(df, target, max_classes)
+
+
+def check_target(df: DataFrame, target: str, max_classes: int | None = None) -> list:
+    """Sorted classes of a valid target; ``ValueError`` otherwise, or beyond ``max_classes`` if given."""
+    check_kind(df, target)
+    classes = few_values(nan_to_null(df), target, max_classes)
     if classes is None:
         raise ValueError(f"Target has more than {max_classes} classes.")
     if len(classes) < 2:
@@ -70,6 +76,42 @@ def check_target(df: DataFrame, target: str, max_classes: int | None = None) ->
     return classes
 
 
+@dataclass(frozen=True)
+class ClassDictionary:
+    """Classes of a target as data: any number of them, none in the driver but for a small level table.
+
+    Numbers and truth values are their own labels. Text gets the rank of its level, looked up by
+    broadcast or, beyond that, in a join that answers hot levels by broadcast. Both keep the classes' order.
+    """
+
+    target: str
+    kind: T.DataType
+    levels: LevelTable | None  # of a text target
+
+    def attach(self, df: DataFrame, out: str = "label") -> DataFrame:
+        """``out``: the label of each row as a double; null for a class not seen in fit."""
+        if self.levels is None:
+            return df.withColumn(out, col(self.target).cast("double"))
+        coded = attach_codes(df, self.target, self.levels, "__label", missing=None, on_unseen="null")
+        return coded.withColumn(out, F.col("__label").cast("double")).drop("__label")
+
+    def name(self, df: DataFrame, prediction: str, out: str) -> DataFrame:
+        """``out``: the class of each predicted label."""
+        if self.levels is None:
+            return df.withColumn(out, col(prediction).cast(self.kind))
+        return name_codes(df, col(prediction).cast("bigint"), self.levels, out)
+
+
+def class_dictionary(df: DataFrame, target: str) -> ClassDictionary:
+    check_kind(df, target)
+    kind = df.schema[target].dataType
+    present = nan_to_null(df).where(col(target).isNotNull())
+    if present.select(target).distinct().limit(2).count() < 2:
+        raise ValueError(K.SINGLE_CLASS_ERROR)
+    levels = fit_levels(present, [target])[target] if class_of(kind) == CATEGORICAL else None
+    return ClassDictionary(target, kind, levels)
+
+
 def label_column(target: str, classes: list) -> Column:
     """Class index as a nominal ML column, so that no fit has to count classes."""
     lookup = F.create_map(*[F.lit(v) for i, c in enumerate(classes) for v in (c, float(i))])
@@ -98,7 +140,7 @@ class Slot:
 class TrainedModel:
     name: str
     target: str
-    classes: list
+    classes: list | ClassDictionary
     features: list[str]
     model: object
     prep: FittedPrep | None = None
@@ -122,7 +164,7 @@ class TrainedModel:
             joined = queries.join(votes, "qid")
             total = F.aggregate(F.map_values("votes"), F.lit(0).cast("bigint"), lambda a, v: a + v)
             share = F.array_max(F.map_values("votes"))
-            if len(self.classes) == 2:
+            if isinstance(self.classes, list) and len(self.classes) == 2:
                 share = F.coalesce(F.try_element_at("votes", F.lit(1.0)), F.lit(0))
             return joined.select(*keep_cols, "prediction", (share / total).alias("score"))
         scored = self.model.transform(self.projection.apply(rows) if self.projection else rows)
@@ -182,6 +224,8 @@ class TrainedModel:
     def predict(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         """Raw rows in, predicted class values out (fitted preparation applied)."""
         prepared = self.prep.apply(df) if self.prep else df
+        if isinstance(self.classes, ClassDictionary):
+            return self.classes.name(self.score(prepared, keep), "prediction", "predicted_class")
         classes = F.array(*[F.lit(c) for c in self.classes])
         return self.score(prepared, keep).withColumn(
             "predicted_class", F.element_at(classes, (F.col("prediction") + 1).cast("int"))
@@ -194,10 +238,12 @@ def fit_model(
 ) -> TrainedModel:
     """Fit on prepared rows (which still hold the raw target column).
 
-    The SVM takes ``kernel="rbf"``: a linear SVM on random Fourier features.
+    The SVM takes ``kernel="rbf"``: a linear SVM on random Fourier features. Nearest neighbours
+    also take a ``ClassDictionary`` for ``classes``.
     """
-    labelled = prepared.withColumn("label", label_column(target, classes))
-    data = assemble(labelled, features, ["label"])
+    if isinstance(classes, ClassDictionary) and name != K.KNN:
+        raise ValueError(f"{name} needs its classes listed")
+    data = assemble(with_labels(prepared, target, classes), features, ["label"])
     if name == K.KNN:
         k = params.get("k", DEFAULTS[K.KNN]["k"])
         model = fit_knn(data, vector_to_array("features"), F.col("label"), k)
@@ -216,6 +262,12 @@ def fit_model(
     return TrainedModel(name, target, classes, features, model, prep, projection)
 
 
+def with_labels(prepared: DataFrame, target: str, classes: list | ClassDictionary) -> DataFrame:
+    if isinstance(classes, ClassDictionary):
+        return classes.attach(prepared)
+    return prepared.withColumn("label", label_column(target, classes))
+
+
 def usable_features(prepared: DataFrame, prep: FittedPrep) -> list[str]:
     """Prepared feature columns, in fit order, that hold numbers or vectors."""
     kinds = {f.name: f.dataType for f in prepared.schema.fields}
@@ -227,7 +279,7 @@ class Experiment:
     """A target, a split and a fitted preparation shared by several models."""
 
     target: str
-    classes: list
+    classes: list | ClassDictionary
     prep: FittedPrep
     features: list[str]
     train: DataFrame
@@ -245,16 +297,19 @@ class Experiment:
 
 def prepare_experiment(
     df: DataFrame, target: str, config: PrepConfig, keys: list[str],
-    test_share: float = K.TEST_SHARE, features: list[str] | None = None,
+    test_share: float = K.TEST_SHARE, features: list[str] | None = None, list_classes: bool = True,
 ) -> Experiment:
     """Drop rows without target, check it, split, fit the preparation on train.
 
+    Without ``list_classes`` more than two classes stay a ``ClassDictionary``, enough for nearest neighbours.
+
     ``keys`` name the row for the split and are not features. The two prepared
     sides are persisted: every fit reuses them, and a lost block is recomputed
     from the source.
     """
     df = nan_to_null(df).where(col(target).isNotNull())
-    classes = check_target(df, target)
+    few = list_classes or df.select(col(target)).distinct().limit(3).count() <= 2
+    classes = check_target(df, target) if few else class_dictionary(df, target)
     features = features or [c for c in df.columns if c not in keys and c != target]
     train, test = split(df, keys, test_share)
     prep = fit_prep(train, target, config, features)
@@ -268,7 +323,7 @@ def prepare_experiment(
 
 def evaluate(model: TrainedModel, prepared: DataFrame) -> DataFrame:
     """``accuracy, f1_score`` of a model on prepared rows."""
-    labelled = prepared.withColumn("label", label_column(model.target, model.classes))
+    labelled = with_labels(prepared, model.target, model.classes)
     return classification_metrics(model.score(labelled, ["label"]), "label", "prediction")
 
 
@@ -283,7 +338,7 @@ def train_evaluate(
     test_share: float = K.TEST_SHARE, features: list[str] | None = None, **params,
 ) -> TrainResult:
     """Split, prepare, fit, predict, judge; metrics as a one-row DataFrame."""
-    setup = prepare_experiment(df, target, config, list(keys), test_share, features)
+    setup = prepare_experiment(df, target, config, list(keys), test_share, features, list_classes=model != K.KNN)
     try:
         fitted = fit_model(setup.train, model, target, setup.classes, setup.features, setup.prep, **params)
         row = evaluate(fitted, setup.test).first()

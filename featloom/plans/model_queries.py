@@ -97,6 +97,20 @@ def model_knn(spark, sf):
     )
 
 
+@query("knn_by_customer", f"""
+WITH o AS (SELECT o_orderkey, o_totalprice AS x, 'c' || o_custkey AS label, {sql_uniform('o_orderkey')} < 0.2 AS test FROM orders),
+d AS (SELECT q.o_orderkey AS qid, t.label, abs(q.x - t.x) AS dist FROM o q JOIN o t ON q.test AND NOT t.test),
+n AS (SELECT qid, label FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, label) <= 5),
+v AS (SELECT qid, label, count(*) AS votes FROM n GROUP BY 1, 2)
+SELECT qid AS o_orderkey, label AS predicted_class FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) = 1""")
+def knn_by_customer(spark, sf):
+    """Whose order is it, by its price? A class per customer, never listed."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer"))
+    fitted = models.train_evaluate(orders, "customer", K.KNN, PrepConfig(), ["o_orderkey"], features=["o_totalprice"]).model
+    _, test = sampling.split(orders, ["o_orderkey"])
+    return fitted.predict(test, ["o_orderkey"]).select("o_orderkey", "predicted_class")
+
+
 @query("model_knn_embeddings", f"""
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, {sql_uniform('vec_id')} < 0.2 AS test FROM embeddings),
 d AS (SELECT q.vec_id AS qid, q.label AS truth, t.label AS label, list_distance(q.x, t.x) AS dist

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featloom import constants as K
-from featloom.operators import knn, metrics, models, verify
+from featloom.operators import knn, metrics, models, sampling, verify
 from featloom.operators.preprocess import PrepConfig
 from featloom.sources.messy import messy_table
 
@@ -134,6 +134,33 @@ def test_knn_with_fewer_points_than_k(spark):
     assert votes["prediction"] == 0.0 and votes["votes"] == {0.0: 1, 1.0: 1}
 
 
+@pytest.mark.parametrize("form", ["text", "number", "far"])
+def test_knn_with_a_class_per_customer(spark, monkeypatch, form):
+    """Hundreds of classes that are never listed: predictions as by brute force, class values back."""
+    from featloom.operators import encode
+    rng = np.random.default_rng(3)
+    x, t = rng.normal(size=1500), rng.integers(0, 400, 1500)
+    t[::3] = 5
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(1500), "x": x, "t": t}))
+    if form != "number":
+        df = df.withColumn("t", F.format_string("c%03d", F.col("t").cast("int")))
+    if form == "far":
+        monkeypatch.setattr(models, "fit_levels", lambda d, c: encode.fit_levels(d, c, small_limit=0))
+    monkeypatch.setattr(models, "few_values", lambda *a: pytest.fail("classes were listed"))
+    result = models.train_evaluate(df, "t", K.KNN, PrepConfig(), ["id"], features=["x"])
+    assert isinstance(result.model.classes, models.ClassDictionary)
+    got = {r["id"]: r["predicted_class"] for r in result.model.predict(df, ["id"]).collect()}
+    side = {r["id"]: r["is_test"] for r in sampling.mark_test(df, ["id"]).collect()}
+    learnt = np.array([not side[i] for i in range(1500)])
+    expected = brute(x[learnt][:, None], t[learnt].astype(float), x[:, None], 5)
+    name = (lambda c: int(c)) if form == "number" else (lambda c: f"c{int(c):03d}")
+    assert got == {i: name(c) for i, c in enumerate(expected)}
+    right = np.mean([e == c for e, c, inside in zip(expected, t, learnt) if not inside])
+    assert result.metrics.first()["accuracy"] == pytest.approx(right)
+    with pytest.raises(ValueError, match="listed"):
+        models.fit_model(df, K.TREE, "t", result.model.classes, ["x"])
+
+
 # --- verification ------------------------------------------------------------------------
 
 
