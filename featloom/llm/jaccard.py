@@ -7,9 +7,10 @@ size form one group; tokens are joined on groups, and group pairs are filtered b
 how many prefix tokens they share, before members are expanded and verified on whole sets.
 
 Classes are wanted, not pairs, so links inside a class needn't all be looked at. First every
-group is verified against one leader of the lists it is in, a few rounds; then all pairs that
-share a token and still belong to different classes are. No link between classes can be
-missed that way, and copies by the thousand cost one comparison each, not one per pair.
+group is verified against one leader, the most central group of the lists it is in; then all
+pairs that share a token and still belong to different classes are, unless their distances
+from a common leader rule them out. No link between classes can be missed that way, and
+copies by the thousand cost one comparison each, not one per pair.
 
 Words are runs without ASCII white space, A-Z lower-cased. With fewer than five words the whole
 sequence is one shingle; without any (null, empty or blank text) the set is empty and the
@@ -27,9 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featloom.llm.common import join_groups
+from featloom.llm import bloom
+from featloom.llm.common import join_groups, remove_path, squeeze, unsqueeze
 from featloom.llm.components import connected_components
-from featloom.session import cut_lineage
+from featloom.session import cut_lineage, scratch_path
 
 WORDS = 5
 SIMILAR = (75, 100)  # intersection >= 75/100 of the union
@@ -37,7 +39,6 @@ PER_BUCKET = 1 << 18  # tokens counted together, about
 OFTEN = 24  # a token of so many prefixes goes to the end of the order
 MAX_OFTEN = 1 << 20  # at most so many, the most frequent; 8 MB to broadcast
 MAX_FILTER_BITS = 29  # 64 MB
-ROUNDS = 2
 PIECE = 1 << 20  # bytes of a text whose words are hashed at once
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -65,8 +66,9 @@ class Words:
         self.back[0] = 1
         np.multiply.accumulate(self.back, out=self.back)
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        out, start = [], 0
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every word, and where it begins."""
+        out, begins, start = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
         while start < len(text):
             size = PIECE
             while True:
@@ -88,21 +90,34 @@ class Words:
             h = (sums[edges[1::2]] - sums[begin]) * self.back[begin]
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             out.append(h ^ (h >> np.uint64(32)))
+            begins.append(begin + start)
             start += len(data)
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+        return np.concatenate(out), np.concatenate(begins)
 
 
-def shingles(text: str | None, words: Words) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    w = words((text or "").encode("utf-8", "replace").translate(UPPER))
-    if not len(w):
-        return w
-    n = min(WORDS, len(w))
-    out = np.full(len(w) - n + 1, n, np.uint64)
+def mixed(w: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every ``n`` words in a row."""
+    out = np.full(max(0, len(w) - n + 1), n, np.uint64)
     for i in range(n):
         out = (out ^ w[i:len(w) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def distinct(tokens: np.ndarray) -> np.ndarray:
+    tokens = np.sort(tokens)
+    return tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])] if len(tokens) else tokens
+
+
+def shingles(texts: list[bytes | None], words: Words) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; texts are hashed together, with a line break between them."""
+    raw = [t or b"" for t in texts]
+    hashes, begins = words(b"\n".join(raw).translate(UPPER))
+    ends = np.cumsum([len(t) + 1 for t in raw])
+    edges = [0, *np.searchsorted(begins, ends).tolist()]
+    every = mixed(hashes, WORDS)
+    return [distinct(every[a:b - WORDS + 1]) if b - a >= WORDS else mixed(hashes[a:b], b - a) if b > a else hashes[:0]
+            for a, b in zip(edges, edges[1:])]
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -115,8 +130,9 @@ def spread_out(tokens: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def prefix_size(n: int) -> int:
-    return n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
+def prefix_size(n):
+    """Tokens of a prefix (works on columns, too)."""
+    return n - _ceil(SIMILAR[0] * n, SIMILAR[1]) + 1
 
 
 def index_size(n):
@@ -152,10 +168,12 @@ class Order:
         return tokens[(self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], at: int = 0) -> Iterator[str | None]:
-    for batch in batches:
-        for value in batch.column(at):
-            yield value.as_py()
+def _sets(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Short stretches of rows with the sets of their texts."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 128):
+            batch = whole.slice(at, 128)
+            yield batch, shingles(batch.column(0).to_pylist(), words)
 
 
 def _longs(tokens: np.ndarray) -> pa.Array:
@@ -182,16 +200,16 @@ def token_counts(texts: DataFrame, filter_bits: int, bucket_bits: int, often: np
             return pa.record_batch({"bucket": pa.array(buckets[edges[:-1]]),
                                     "tokens": pa.array([every[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())})
 
-        for text in _texts(batches):
-            tokens = shingles(text, hashes)
-            own = signature(tokens)
-            if len(tokens) and own not in seen:  # copies in one task count once
-                seen.add(own)
-                held.append(order.prefix(tokens))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    yield out()
-                    held, size = [], 0
+        for _, sets in _sets(batches, hashes):
+            for tokens in sets:
+                own = signature(tokens)
+                if len(tokens) and own not in seen:  # copies in one task count once
+                    seen.add(own)
+                    held.append(order.prefix(tokens))
+                    size += len(held[-1])
+            if size > 1 << 20:
+                yield out()
+                held, size = [], 0
         if size:
             yield out()
 
@@ -255,182 +273,191 @@ def postings(texts: DataFrame, order: Order) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, hashes, groups = Order(*shared.value), Words(), set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                tokens, early, grps, sizes, sigs = [], [], [], [], []
-                for text in batch.column(0):
-                    every = shingles(text.as_py(), hashes)
-                    grp, sig, rows, first = None, None, every[:0], 0
-                    if len(every):
-                        prefix, sig = own.prefix(every), signature(every)
-                        grp = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(every)) - (1 << 63)
-                        if grp not in groups:  # alike documents of one task send their tokens once
-                            groups.add(grp)
-                            first = own.shared(prefix[:index_size(len(every))])
-                            rows, first = np.concatenate([first, own.shared(prefix[index_size(len(every)):])]), len(first)
-                    tokens += [np.zeros(1, np.uint64), rows]
-                    early.append(np.arange(-1, len(rows)) < first)
-                    grps.append(grp)
-                    sizes.append(len(every))
-                    sigs.append(sig)
-                counts = np.array([len(e) for e in early])
-                doc = np.repeat(np.arange(len(counts)), counts)
-                head = np.concatenate([[True], doc[1:] != doc[:-1]])
-                heads = pa.array(doc, mask=~head)
-                yield pa.record_batch({
-                    "token": pa.array(np.concatenate(tokens).view(np.int64), mask=head), "early": pa.array(np.concatenate(early)),
-                    "grp": pa.array(grps, pa.int64()).take(pa.array(doc)), "n": pa.array(np.array(sizes, np.int32)[doc]),
-                    "sig": pa.array(sigs, pa.binary()).take(heads), "id": batch.column(1).take(heads)})
+        for batch, sets in _sets(batches, hashes):
+            tokens, early, grps, sizes, sigs = [], [], [], [], []
+            for every in sets:
+                grp, sig, rows, first = None, None, every[:0], 0
+                if len(every):
+                    prefix, sig = own.prefix(every), signature(every)
+                    grp = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(every)) - (1 << 63)
+                    if grp not in groups:  # alike documents of one task send their prefix once
+                        groups.add(grp)
+                        first = own.shared(prefix[:index_size(len(every))])
+                        rows, first = np.concatenate([first, own.shared(prefix[index_size(len(every)):])]), len(first)
+                tokens += [np.zeros(1, np.uint64), rows]
+                early.append(np.arange(-1, len(rows)) < first)
+                grps.append(grp)
+                sizes.append(len(every))
+                sigs.append(sig)
+            counts = np.array([len(e) for e in early])
+            doc = np.repeat(np.arange(len(counts)), counts)
+            head = np.concatenate([[True], doc[1:] != doc[:-1]])
+            heads = pa.array(doc, mask=~head)
+            yield pa.record_batch({
+                "token": pa.array(np.concatenate(tokens).view(np.int64), mask=head), "early": pa.array(np.concatenate(early)),
+                "grp": pa.array(grps, pa.int64()).take(pa.array(doc)), "n": pa.array(np.array(sizes, np.int32)[doc]),
+                "sig": pa.array(sigs, pa.binary()).take(heads), "id": batch.column(1).take(heads)})
 
     return texts.mapInArrow(run, f"token long, early boolean, grp long, n int, sig binary, id {kind}")
 
 
-def rebatched(run, rows: int = 50_000):
-    """Puts small output batches together."""
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            size += batch.num_rows
-            if size >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return wrapped
-
+def whole_sets(texts: DataFrame, made: DataFrame, asked: DataFrame) -> DataFrame:
+    """(sig, n, tokens): the sets of the signatures ``asked``, of one document each.
 
-def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set signatures that are similar enough, judged on the whole sets."""
+    A Bloom filter of these documents' ids (64 MB at most) picks the texts to be looked at again;
+    what it lets through by chance goes in the join.
+    """
     spark = texts.sparkSession
-    wanted = cut_lineage(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
-    few = wanted.count() <= 1 << 20  # 8 MB as 64-bit parts; else all sets go to the join
-    keys = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.select(F.conv(F.hex(F.substring("a", 1, 7)), 16, 10).cast("long")).collect()], np.int64)) if few else None)
+    chosen = cut_lineage(made.where(F.col("sig").isNotNull()).join(asked, "sig").groupBy("sig").agg(F.min("id").alias("id")))
+    prints = chosen.select(F.xxhash64("id").alias("h"))
+    bits = bloom.repeated_bits(prints.unionAll(prints), chosen.count())  # each comes twice, so its bits are set
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, among = Words(), set(), keys.value
-        for text in _texts(batches):
-            tokens = shingles(text, hashes)
-            sig = signature(tokens)
-            if sig in seen or not len(tokens):
-                continue
-            part = int.from_bytes(sig[:7], "big")
-            if among is not None and (not len(among) or among[min(np.searchsorted(among, part), len(among) - 1)] != part):
-                continue
-            seen.add(sig)
-            yield pa.record_batch({"sig": pa.array([sig], pa.binary()), "tokens": pa.array([tokens.tobytes()], pa.binary())})
-
-    whole = texts.mapInArrow(rebatched(sets, 500), "sig binary, tokens binary").join(
-        wanted.withColumnRenamed("a", "sig"), "sig", "left_semi").dropDuplicates(["sig"])
-    whole = cut_lineage(whole)
-    # The left sets, once for each lot of a few hundred partners, so a leader of thousands is shared out.
-    sized = pairs.groupBy("a").agg(F.count("*").alias("k"))
+        hashes = Words()
+        for _, found in _sets(batches, hashes):
+            yield pa.record_batch({"sig": pa.array(map(signature, found), pa.binary()), "n": pa.array(map(len, found), pa.int32()),
+                                   "tokens": pa.array([squeeze(np.diff(t, prepend=np.uint64(0))) for t in found], pa.binary())})
+
+    picked = texts.where(bloom.may_repeat(F.xxhash64("id"), bits, spark))
+    return picked.mapInArrow(sets, "sig binary, n int, tokens binary").join(chosen.select("sig"), "sig").dropDuplicates(["sig"])
+
+
+def verify(texts: DataFrame, made: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, both, union) for pairs (a, b) of set signatures: sizes of intersection and union, counted on whole sets.
+
+    Each left set is sent once for a few hundred partners, so a leader of thousands is shared out.
+    """
+    wanted = cut_lineage(pairs.groupBy("a").agg(F.count("*").alias("k")))
+    asked = wanted.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    whole = cut_lineage(whole_sets(texts, made, asked.withColumnRenamed("a", "sig")))
     lots = F.ceil(F.col("k") / 256).cast("int")
-    left = (whole.join(sized, whole.sig == sized.a).select("a", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"), F.lit(None).cast("binary").alias("b"), "tokens"))
-    spread = join_groups(pairs, sized, ["a"], "k").withColumn("lot", F.pmod(F.xxhash64("b"), lots).cast("int"))
-    right = whole.withColumnRenamed("sig", "b").join(spread, "b").select("a", "lot", "b", "tokens")
+    left = whole.join(wanted, whole.sig == wanted.a).select("a", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"), F.lit(None).cast("binary").alias("b"), "n", "tokens")
+    spread = join_groups(pairs, wanted, ["a"], "k").withColumn("lot", F.pmod(F.xxhash64("b"), lots).cast("int"))
+    right = whole.withColumnRenamed("sig", "b").join(spread, "b").select("a", "lot", "b", "n", "tokens")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, np.empty(0, np.uint64)
         for batch in batches:
-            linked = ([], [])
-            for a, b, blob in zip(batch.column("a"), batch.column("b"), batch.column("tokens")):
-                tokens = np.frombuffer(blob.as_py(), np.uint64)
+            out = ([], [], [], [])
+            for a, b, n, blob in zip(*(batch.column(c) for c in ("a", "b", "n", "tokens"))):
+                tokens = np.cumsum(unsqueeze(blob.as_py(), n.as_py(), np.uint64), dtype=np.uint64)
                 if not b.is_valid:
                     leader, own = a.as_py(), tokens
                     continue
                 at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
                 both = int((own[at] == tokens).sum())
-                if SIMILAR[1] * both >= SIMILAR[0] * (len(own) + len(tokens) - both):
-                    linked[0].append(leader)
-                    linked[1].append(b.as_py())
-            yield pa.record_batch({"a": pa.array(linked[0], pa.binary()), "b": pa.array(linked[1], pa.binary())})
+                union = len(own) + len(tokens) - both
+                for column, value in zip(out, (leader, b.as_py(), both, union)):
+                    column.append(value)
+            yield pa.record_batch({n: pa.array(c, k) for n, c, k in zip(("a", "b", "both", "union"), out, (pa.binary(), pa.binary(), pa.int64(), pa.int64()))})
 
     return (left.unionByName(right).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
-            .mapInArrow(judge, "a binary, b binary"))
+            .mapInArrow(judge, "a binary, b binary, both long, union long"))
+
+
+def similar() -> Column:
+    return SIMILAR[1] * F.col("both") >= SIMILAR[0] * F.col("union")
+
 
+def links(texts: DataFrame, made: DataFrame) -> DataFrame:
+    """Links (a, b) between set signatures that connect the same sets as all links do; ``made`` are the postings."""
+    members = cut_lineage(made.where(F.col("sig").isNotNull()).select("grp", "n", "sig").distinct())
+    shared = made.where(F.col("token").isNotNull()).select("token", "early", "grp", "n").dropDuplicates(["token", "grp"])
+    sized = shared.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1)
+    # How central a group is: how many others its prefix tokens have, on average. Of a family of
+    # altered copies the original has the most, and is near all of them, while two copies needn't be near.
+    counted = join_groups(shared, cut_lineage(sized), ["token"], "m")
+    path = scratch_path(made.sparkSession, "jaccard-lists")
+    counted.write.parquet(path)
+    try:
+        return _links(texts, made, members, made.sparkSession.read.parquet(path))
+    finally:
+        remove_path(made.sparkSession, path)
 
-def links(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) between set signatures that connect the same sets as all links do; ``rows`` are the postings."""
-    members = cut_lineage(rows.where(F.col("sig").isNotNull()).select("grp", "n", "sig").distinct())
-    shared = rows.where(F.col("token").isNotNull()).select("token", "early", "grp", "n").repartition("token").dropDuplicates(["token", "grp"])
-    lists = cut_lineage(shared.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1).drop("m").join(shared, "token"))
-    first = cut_lineage(members.groupBy("grp").agg(F.min("sig").alias("first"), F.min("n").alias("n")))
+
+def _links(texts: DataFrame, made: DataFrame, members: DataFrame, lists: DataFrame) -> DataFrame:
+    n, n2 = F.col("n"), F.col("n2")
+    central = cut_lineage(lists.groupBy("grp").agg(F.sum("m").alias("m"), F.first("n").alias("n")).select("grp", (F.col("m") / prefix_size(n)).alias("score")))
+    first = members.groupBy("grp").agg(F.min("sig").alias("first"))
     # Members of one group against its first.
-    inside = members.join(first.select("grp", "first"), "grp").where(F.col("first") != F.col("sig")).select(F.col("first").alias("a"), F.col("sig").alias("b"))
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(SIMILAR[1] / SIMILAR[0])).cast("int")
-    tested = linked = labels = None
-    for turn in range(ROUNDS):
-        at = lists if labels is None else lists.join(labels, "grp", "left").withColumn("label", F.coalesce("label", "grp"))
-        rank = F.struct(F.xxhash64("grp", F.lit(turn)).alias("h"), F.col("grp").alias("g"), *([] if labels is None else [F.col("label").alias("l")]))
-        leaders = at.groupBy("token", band.alias("band")).agg(F.min(rank).alias("lead"), F.count("*").alias("k")).where(F.col("k") > 1)
-        met = at.withColumn("band", band).join(leaders, ["token", "band"]).where(F.col("lead.g") != F.col("grp"))
-        if labels is not None:
-            met = met.where(F.col("lead.l") != F.col("label"))
-        counted = met.groupBy("grp", "n", F.col("lead.g").alias("lead")).agg(F.count("*").alias("c"))
-        best = counted.where(F.col("c") * 10 >= F.col("n")).groupBy("grp").agg(F.max(F.struct("c", "lead")).alias("best")).select("grp", F.col("best.lead").alias("lead"))
-        pairs = (best.join(first.select(F.col("grp").alias("lead"), F.col("first").alias("a")), "lead")
-                 .join(members.select("grp", F.col("sig").alias("b")), "grp").select("a", "b"))
-        pairs = cut_lineage((pairs.unionByName(inside) if turn == 0 else pairs).distinct())
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = cut_lineage(verify(texts, pairs))
-        linked = found if linked is None else linked.unionByName(found)
-        labels = group_labels(linked, members)
+    inside = members.join(first, "grp").where(F.col("first") != F.col("sig")).select(F.col("first").alias("a"), F.col("sig").alias("b"))
+    band = F.floor(F.log(n.cast("double")) / np.log(SIMILAR[1] / SIMILAR[0])).cast("int")
+    at = lists.join(central, "grp").withColumn("band", band)
+    leaders = at.groupBy("token", "band").agg(F.max(F.struct("score", "grp")).alias("lead"), F.count("*").alias("k")).where(F.col("k") > 1)
+    met = join_groups(at, cut_lineage(leaders), ["token", "band"], "k").where(F.col("lead.grp") != F.col("grp"))
+    voted = met.groupBy("grp", "n", F.col("lead.grp").alias("lead"), F.col("lead.score").alias("score")).agg(F.count("*").alias("c"))
+    best = voted.where(F.col("c") * 10 >= n).groupBy("grp").agg(F.max(F.struct("c", "score", "lead")).alias("best")).select("grp", F.col("best.lead").alias("lead"))
+    pairs = (cut_lineage(best).join(first.select(F.col("grp").alias("lead"), F.col("first").alias("a")), "lead")
+             .join(members.select("grp", F.col("sig").alias("b")), "grp").select("a", "b").unionByName(inside).distinct())
+    tested = cut_lineage(verify(texts, made, cut_lineage(pairs)))
+    linked = tested.where(similar()).select("a", "b")
+    # One label per set, and per group if its sets agree; how far from its leader a set is.
+    labels = cut_lineage(connected_components(linked))
+    far = tested.select(F.col("b").alias("sig"), F.col("a").alias("lead"), (1 - F.col("both") / F.col("union")).alias("far"))
+    far = far.groupBy("sig").agg(F.max(F.struct("far", "lead")).alias("x")).select("sig", "x.far", "x.lead")  # an own group's first and a leader: either will do
+    split = cut_lineage(members.join(labels, members.sig == labels.node, "left").join(far, "sig", "left")
+                        .select("grp", "sig", F.coalesce("label", "sig").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("lead", "sig").alias("lead")))
+    label, lead = F.xxhash64("label"), F.xxhash64("lead")
+    whole = split.groupBy("grp").agg(F.min(label).alias("label"), F.max(label).alias("other"), F.min(lead).alias("lead"), F.max(lead).alias("lead2"),
+                                     F.min("far").alias("near"), F.max("far").alias("far"))
+    agreed = F.col("label") == F.col("other")
+    state = cut_lineage(whole.select("grp", F.when(agreed, F.col("label")).otherwise(F.col("grp")).alias("label"), F.when(F.col("lead") == F.col("lead2"), F.col("lead")).alias("lead"),
+                                     "near", "far", (~agreed).alias("torn")))
     # All pairs that share enough prefix tokens and are still apart, members and all.
-    at = (lists.join(labels, "grp", "left").withColumn("label", F.coalesce("label", "grp")))
-    mixed = at.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("token")
-    apart = cut_lineage(at.join(mixed, "token"))
+    at = lists.drop("m").join(state, "grp")
+    mixed_ = at.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k")).where(F.col("low") != F.col("high")).select("token", "k")
+    apart = join_groups(at, cut_lineage(mixed_), ["token"], "k").drop("k")
     # The smaller set's early tokens against all prefix tokens of larger ones. With at least
-    # ``need`` common tokens, the first n - need + j of both share j of them, for every j.
-    other = apart.select("token", F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+    # ``need`` common tokens, the first n - need + j of both share j of them, for every j. Jaccard
+    # distance obeys the triangle inequality: sets too unequally far from a common leader can't be near.
+    other = apart.select("token", *[F.col(c).alias(f"{c}2") for c in ("grp", "n", "label", "lead", "near", "far")])
     least, most = SIMILAR
+    limit = 1 - least / most + 1e-9
+    unequal = (F.col("lead") == F.col("lead2")) & (F.greatest(F.col("near") - F.col("far2"), F.col("near2") - F.col("far")) > limit)
     met = apart.where("early").join(other, "token").where(
-        (F.struct("n", "grp") < F.struct(F.col("n2").alias("n"), F.col("grp2").alias("grp"))) & (F.col("label") != F.col("label2"))
-        & (F.col("n") * most >= F.col("n2") * least))
+        (F.struct("n", "grp") < F.struct(n2.alias("n"), F.col("grp2").alias("grp"))) & (F.col("label") != F.col("label2")) & (n * most >= n2 * least)
+        & ~F.coalesce(unequal, F.lit(False)))
     counted = met.groupBy("grp", "grp2", "n", "n2").agg(F.count("*").alias("c"))
-    n, n2 = F.col("n"), F.col("n2")
     need = _ceil((n + n2) * least, least + most)
     common = F.greatest(F.lit(1), F.least(index_size(n) - n, 1 - _ceil(n2 * least, most)) + need)
     close = counted.where(F.col("c") >= common).select("grp", "grp2")
     # A group whose members ended up in several classes counts as apart from itself, too.
-    split = members.join(set_labels(linked), members.sig == F.col("node"), "left").select("grp", "sig", F.coalesce("label", "sig").alias("label"))
-    own = split.groupBy("grp").agg(F.countDistinct("label").alias("k")).where(F.col("k") > 1).select("grp", F.col("grp").alias("grp2"))
-    close = close.unionByName(own)
-    pairs = (close.join(split.select("grp", F.col("sig").alias("a"), F.col("label").alias("la")), "grp")
-             .join(split.select(F.col("grp").alias("grp2"), F.col("sig").alias("b"), F.col("label").alias("lb")), "grp2")
-             .where(F.col("la") != F.col("lb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    close = close.unionByName(state.where("torn").select("grp", F.col("grp").alias("grp2")))
+    held = split.select("grp", "sig", "label", "far", "lead")
+    pairs = (close.join(held.toDF("grp", "a", "la", "fa", "ha"), "grp").join(held.toDF("grp2", "b", "lb", "fb", "hb"), "grp2")
+             .where((F.col("la") != F.col("lb")) & ~((F.col("ha") == F.col("hb")) & (F.abs(F.col("fa") - F.col("fb")) > limit)))
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cut_lineage(pairs.join(known, ["a", "b"], "left_anti"))
-    return linked if rest.isEmpty() else linked.unionByName(cut_lineage(verify(texts, rest)))
+    return linked if rest.isEmpty() else linked.unionByName(cut_lineage(verify(texts, made, rest)).where(similar()).select("a", "b"))
 
 
-def set_labels(linked: DataFrame) -> DataFrame:
-    return connected_components(linked)
-
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: ``id_col``, n_shingles, component_id (least id linked to it, directly or not).
 
-def group_labels(linked: DataFrame, members: DataFrame) -> DataFrame:
-    """(grp, label) of groups all of whose members are in one class; the others stay apart."""
-    held = members.join(set_labels(linked), members.sig == F.col("node"), "left")
-    label = F.xxhash64(F.coalesce("label", "sig"))
-    return cut_lineage(held.groupBy("grp").agg(F.min(label).alias("label"), F.max(label).alias("high")).where(F.col("label") == F.col("high")).drop("high"))
+    An empty table gives no rows; repeated rows are linked like any equal texts; of the other columns none is
+    read, whatever their names.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("id"))
+    bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    path = scratch_path(spark, "jaccard")
+    try:
+        postings(texts, token_order(texts, bytes_ // 6)).write.parquet(path)  # about six bytes a word
+        return cut_lineage(_classes(texts, spark.read.parquet(path))).toDF(id_col, "n_shingles", "component_id")
+    finally:
+        remove_path(spark, path)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: ``id_col``, n_shingles, component_id (least id linked to it, directly or not)."""
-    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    made = cut_lineage(postings(texts, token_order(texts, bytes_ // 6)))  # about six bytes a word
+def _classes(texts: DataFrame, made: DataFrame) -> DataFrame:
     rows = made.where(F.col("token").isNull()).select("id", F.col("n").cast("long").alias("n"), "sig")
-    alone = rows.where(F.col("sig").isNull()).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    labels = set_labels(links(texts, made))
+    alone = rows.where(F.col("sig").isNull()).select("id", "n", F.col("id").alias("component_id"))
+    labels = connected_components(links(texts, made))
     groups = rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("k"))
-    named = groups.join(labels, groups.sig == labels.node, "left").select("sig", "least", "k", F.coalesce("label", "sig").alias("label"))
+    named = cut_lineage(groups.join(labels, groups.sig == labels.node, "left").select("sig", "least", "k", F.coalesce("label", "sig").alias("label")))
     classes = named.groupBy("label").agg(F.min("least").alias("component_id"))
     known = cut_lineage(named.join(classes, "label").select("sig", "k", "component_id"))
-    grouped = join_groups(rows.where(F.col("sig").isNotNull()), known, ["sig"], "k")
-    return alone.unionByName(grouped.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"))
+    return alone.unionByName(join_groups(rows.where(F.col("sig").isNotNull()), known, ["sig"], "k").select("id", "n", "component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
