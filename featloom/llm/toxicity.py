@@ -3,15 +3,17 @@
 Categories are predicted one after the other by logistic models over the words of a text, the
 beginnings of its words (inflected forms share them) and a few figures of its looks. Each model
 also takes the log-odds that the models before it give. Those are out-of-fold in fitting: for
-every learning document they come from models that haven't seen it, so a later model learns how
-far the earlier ones can be trusted on new texts.
+every learning document they come from models that haven't seen its text (folds are dealt by the
+text, so copies share one), and a later model learns how far the earlier ones can be trusted on
+new texts. Each fit is a task.
 
 The models are fitted on at most ``max_labelled`` labelled rows, chosen by a hash of their
 id; features come from a distributed count over these rows. Scoring covers every
 whole text, in one pass without a shuffle. Null text scores like the empty text; rows of labels
 with a null label or without their document are ignored, as are repeated ids (the least label
 row of an id counts). With no labels, or one value only, a category's probability is its mean
-(0 without labels).
+(0 without labels). Ties cannot arise: scores are numbers, rows are scored each for itself. An empty
+table gives no rows. Output columns replace columns of the same names; other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
              .dropna().groupBy("id").agg(F.min(F.struct(*y)).alias("y")).select("id", "y.*"))
     known = clean.count()
     share = min(1.0, 0.95 * max_labelled / max(1, known))
-    sample = clean.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(max_labelled)
+    sample = clean.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     # At most max_labelled small rows: broadcast, so texts stay where they are.
     learning = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
@@ -170,50 +173,69 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, index = re.compile(WORD), shared.value
         for batch in batches:
-            chosen, shapes = [], []
-            for text in batch.column("text"):
+            folds, chosen, figures = [], [], []
+            for text, marks in zip(batch.column("text"), zip(*(batch.column(n).to_pylist() for n in y))):
                 found, shape = features(text.as_py(), word)
-                chosen.append(sorted(i for f in found if (i := index.get(f)) is not None))
-                shapes.append(shape)
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(str(i).encode()) % FOLDS for i in batch.column("id").to_pylist()], pa.int32()),
-                                              pa.array(chosen, pa.list_(pa.int32())), pa.array(shapes, pa.list_(pa.float64())),
-                                              *[batch.column(n) for n in y]], names=["fold", "chosen", "looks", *y])
+                folds.append(zlib.crc32((text.as_py() or "").encode("utf-8", "replace")) % FOLDS)
+                chosen.append(np.sort(np.array([i for f in found if (i := index.get(f)) is not None], np.int32)).tobytes())
+                figures.append(np.array([*shape, *marks]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("pick"), pa.array(folds, pa.int32()), pa.array(chosen, pa.binary()), pa.array(figures, pa.binary())],
+                                             names=["pick", "fold", "chosen", "figures"])
 
-    # One short row per learning document; documents with one id may bring in more than the
+    # One packed row per learning document; documents with one id may bring in more than the
     # bound, so it is asked for once more.
-    got = learning.mapInArrow(reduce_rows, "fold int, chosen array<int>, looks array<double>, " + ", ".join(f"{n} double" for n in y)
-                              ).limit(max_labelled).collect()
-    got.sort(key=lambda r: (r.fold, r.chosen, r.looks))
-    if not got:
+    picked = learning.withColumn("pick", F.xxhash64("id", "text"))
+    rows = (picked.mapInArrow(reduce_rows, "pick long, fold int, chosen binary, figures binary").orderBy("pick", "chosen", "figures")
+            .limit(max_labelled).select("fold", "chosen", "figures").toArrow())
+    if not rows.num_rows:
         chain.weights = [np.zeros(LOOKS + j + len(chain.index)) for j in range(len(y))]
         chain.bias = [-50.0] * len(y)
         return chain
-    dense = np.array([r.looks for r in got])
+    figures = np.frombuffer(b"".join(rows.column("figures").to_pylist()), np.float64).reshape(rows.num_rows, -1)
+    sizes = pc.binary_length(rows.column("chosen")).to_numpy() // 4
+    cols = np.frombuffer(b"".join(rows.column("chosen").to_pylist()), np.int32)
+    fold, dense, targets = rows.column("fold").to_numpy(), figures[:, :LOOKS], figures[:, LOOKS:]
     chain.mean, chain.scale = dense.mean(0), np.maximum(dense.std(0), 1e-6)
     dense = (dense - chain.mean) / chain.scale
-    fold = np.array([r.fold for r in got])
-    at = np.repeat(np.arange(len(got)), [len(r.chosen) for r in got])
-    cols = np.array([c for r in got for c in r.chosen], np.int64)
-    width = len(chain.index)
-    for j, n in enumerate(y):
-        target = np.array([r[n] for r in got])
-        d = dense.shape[1]
-        weights, bias = fit_logistic(dense, at, cols, width, target)
+    del rows, figures
+    for j in range(len(y)):
+        weights, bias, odds = _fit_in_tasks(spark, dense, sizes, cols, fold, len(chain.index), targets[:, j], j + 1 < len(y))
         chain.weights.append(weights)
         chain.bias.append(bias)
-        if j + 1 < len(y):
-            odds = np.zeros(len(got))
-            for k in range(FOLDS):
+        dense = np.hstack([dense, squash(odds)[:, None]])
+    return chain
+
+
+def _fit_in_tasks(spark, dense: np.ndarray, sizes: np.ndarray, cols: np.ndarray, fold: np.ndarray, width: int, y: np.ndarray, folds: bool) -> tuple[np.ndarray, float, np.ndarray]:
+    """The model on all rows, and if asked for every row's log-odds from a model that hasn't seen its fold.
+
+    One task a fit. What is broadcast is bounded by ``max_labelled`` and the features of a text; only weights and odds return.
+    """
+    shared = spark.sparkContext.broadcast((dense, sizes, cols, fold, y))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                dense, sizes, cols, fold, y = shared.value
                 inside = fold != k
-                if not inside.any() or inside.all():
+                if not inside.any() or k < FOLDS and inside.all():
                     continue
-                renumber = np.cumsum(inside) - 1
-                own = inside[at]
-                w, b = fit_logistic(dense[inside], renumber[at[own]], cols[own], width, target[inside])
-                z = dense @ w[:d] + np.bincount(at, w[d:][cols], len(got)) + b
-                odds[~inside] = z[~inside]
-            dense = np.hstack([dense, squash(odds)[:, None]])
-    return chain
+                own = np.repeat(inside, sizes)
+                rows = np.repeat(np.arange(inside.sum()), sizes[inside])
+                w, b = fit_logistic(dense[inside], rows, cols[own], width, y[inside])
+                d = dense.shape[1]
+                rest = np.repeat(np.arange((~inside).sum()), sizes[~inside])
+                z = dense[~inside] @ w[:d] + np.bincount(rest, w[d:][cols[~own]], (~inside).sum()) + b
+                yield pa.record_batch({"k": pa.array([k]), "weights": pa.array([w.tobytes()], pa.binary()), "bias": pa.array([b]), "odds": pa.array([z.tobytes()], pa.binary())})
+
+    first = 0 if folds else FOLDS
+    got = {r.k: r for r in spark.range(first, FOLDS + 1, 1, FOLDS + 1 - first).mapInArrow(run, "k long, weights binary, bias double, odds binary").collect()}
+    shared.unpersist()
+    odds = np.zeros(len(y))
+    for k in range(FOLDS):
+        if k in got:
+            odds[fold == k] = np.frombuffer(got[k].odds)
+    return np.frombuffer(got[FOLDS].weights), got[FOLDS].bias, odds
 
 
 def predict(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_", carry: list[str] | None = None) -> DataFrame:

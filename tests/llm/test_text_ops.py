@@ -2,6 +2,8 @@
 
 import random
 import re
+import zlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -225,6 +227,19 @@ def test_toxicity_held_out(spark):
     assert len(chain.weights[1]) == len(chain.weights[0]) + 1  # the first category's log-odds go in
 
 
+def test_copies_share_a_fold(spark, monkeypatch):
+    """Out-of-fold odds come from models that haven't seen the text, nor a copy of it under another id."""
+    rows = [(i, f"text number {i % 40} " + ("awful rubbish" if i % 40 % 2 else "fine words")) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = frame.selectExpr("doc_id", "cast(text like '%awful%' as int) as bad", "cast(doc_id % 40 % 2 as int) as poor")
+    seen, fit = [], toxicity._fit_in_tasks
+    monkeypatch.setattr(toxicity, "_fit_in_tasks", lambda *a: seen.append(a) or fit(*a))
+    toxicity.fit(frame, labels, ["poor", "bad"], least_docs=2)
+    _, dense, sizes, cols, fold, *_ = seen[0]
+    expected = Counter(zlib.crc32(t.encode()) % toxicity.FOLDS for _, t in rows)
+    assert Counter(fold.tolist()) == expected and all(n % 5 == 0 for n in expected.values()) and len(sizes) == 200
+
+
 def test_toxicity_odd_inputs(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     chain = toxicity.fit(docs_of([(1, "a")]), labels, ["toxic"])
