@@ -29,7 +29,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-@query("op10_language")
+@query("op10_language", tested_by="tests/llm/test_text_ops.py::test_language_held_out_accuracy")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = language.learn(docs.where(~language.held_out()))
@@ -37,7 +37,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score")
 
 
-@query("op6_bpe")
+@query("op6_bpe", tested_by="tests/llm/test_text_ops.py::test_fragments_encode_as_the_whole")
 def op6(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     words = bpe.Vocabulary(public_tokenizers.path(vocabulary))
     ids = bpe.encode(table(spark, sf_dir, "documents"), words, carry=["doc_id"])
@@ -76,7 +76,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontaminate.contaminated().alias("contaminated"))
 
 
-@query("op3_secrets")
+@query("op3_secrets", tested_by="tests/llm/test_text_ops.py::test_secrets_base_spans_against_brute_force")
 def op3(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     found = secret_scan.find(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN,
                          carry=["doc_id"])
@@ -97,7 +97,7 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
     return toxicity.fit(table(spark, sf_dir, "documents"), labels, TOXIC_CATEGORIES)
 
 
-@query("op4_toxicity")
+@query("op4_toxicity", tested_by="tests/llm/test_text_ops.py::test_toxicity_held_out")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.predict(table(spark, sf_dir, "documents"), toxicity_chain(spark, sf_dir), carry=["doc_id"])
     return scores.withColumn("toxic", F.col("p_toxic") >= 0.5)
@@ -121,18 +121,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
-@query("op1_surrogates")
+@query("op1_surrogates", tested_by="tests/llm/test_text_ops.py::test_surrogates_keep_format_and_coreference")
 def op1(spark: SparkSession, sf_dir: str, key: str = "a key kept outside the code") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace_entities(docs, key)
 
 
-@query("op8_jaccard")
+@query("op8_jaccard", tested_by="tests/llm/test_dedup_ops.py::test_jaccard_against_brute_force")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op7_suffix_dedup")
+@query("op7_suffix_dedup", tested_by="tests/llm/test_dedup_ops.py::test_bytes_dedup_against_brute_force")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bytes_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -167,7 +167,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-@query("op12_suffix_tree")
+@query("op12_suffix_tree", tested_by="tests/llm/test_corpus_ops.py::test_scores_as_brute_force")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
     found = suffix_tree.score(table(spark, sf_dir, "documents"), learn)
