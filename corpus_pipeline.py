@@ -58,7 +58,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
-@query("pipeline", ORACLE_SQL)
+@query("pipeline", ORACLE_SQL, tested_by="tests/llm/test_pipeline.py::test_pipeline_against_brute_force")
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
