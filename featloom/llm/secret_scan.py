@@ -10,7 +10,9 @@ random string that is glued to readable ones (a path, a setting's name) is marke
 so is what a fixed kind leaves of a longer one.
 
 Offsets are code points, the end is exclusive. Null and empty texts have no spans. Whole texts
-are searched, whatever their length; repeated rows are searched each on its own.
+are searched, whatever their length, in time that grows with it; repeated rows are searched each
+on its own. Kinds may overlap each other; spans of one kind never do, the leftmost wins. An empty
+table gives an empty result. A column called like the output is replaced, other names never clash.
 """
 
 from __future__ import annotations
@@ -110,6 +112,8 @@ class Scanner:
             part = string[at:to]
             words = [m.span() for m in self.word.finditer(part)]
             left, right = 0, 0
+            # Stretches lie apart, so those of one long piece follow each other: it is judged once for all of them.
+            judged, verdict = (-1, -1), False
             for a, b in self.dense(part):
                 while words[left][1] <= a:
                     left += 1
@@ -118,7 +122,15 @@ class Scanner:
                     right += 1
                 # The whole pieces it touches, else the stretch itself.
                 for x, y in ((words[left][0], words[right][1]), (a, b)):
-                    if y - x >= LEAST_RANDOM and self.is_random(part[x:y]):
+                    if y - x < LEAST_RANDOM:
+                        continue
+                    if (x, y) != judged:
+                        random = self.is_random(part[x:y])
+                        if (x, y) != (a, b):
+                            judged, verdict = (x, y), random
+                    else:
+                        random = verdict
+                    if random:
                         if found and at + x < found[-1][1]:
                             found[-1] = min(found[-1][0], at + x), max(found[-1][1], at + y)
                         else:
