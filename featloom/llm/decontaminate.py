@@ -14,6 +14,7 @@ each on its own. An empty benchmark leaves everything clean.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,85 +38,112 @@ def words(text: str | None, table: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton over the word numbers of several items."""
+    """Suffix automaton over the word numbers of several items.
+
+    Almost every state has one transition and at most one item, so these stand in arrays of
+    32-bit numbers; only states with more of them have a dictionary.
+    """
 
     def __init__(self, window: int = WINDOW):
         self.window, self.vocab = window, {}
-        self.next, self.link, self.length = [{}], [-1], [0]
-        self.windows: dict[int, set[str]] = {}  # state of a full window: items
-        self.shorts: dict[int, list[tuple[int, str]]] = {}  # state of a whole short item: its length and id
-        self.at_window: list[int] = []
-        self.short_above: list[int] = []
+        self.word, self.to = array("i", [-1]), array("i", [-1])  # the first transition of a state
+        self.more: dict[int, dict[int, int]] = {}  # all further ones
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.names: list[str] = []  # item ids; items are numbers elsewhere
+        self.owner = array("i")  # item of a full window, by state
+        self.owners: dict[int, set[int]] = {}  # all further ones
+        self.shorts: dict[int, list[tuple[int, int]]] = {}  # state of a whole short item: its length and number
+        self.at_window, self.short_above = array("i"), array("i")
         self.least = window
 
+    def step(self, state: int, w: int) -> int:
+        """The state after one more word, -1 where there is none."""
+        if self.word[state] == w:
+            return self.to[state]
+        others = self.more.get(state)
+        return others.get(w, -1) if others else -1
+
+    def _set(self, state: int, w: int, to: int) -> None:
+        if self.word[state] in (-1, w):
+            self.word[state], self.to[state] = w, to
+        else:
+            self.more.setdefault(state, {})[w] = to
+
+    def _add(self, length: int) -> int:
+        for values, value in ((self.word, -1), (self.to, -1), (self.link, 0), (self.length, length)):
+            values.append(value)
+        return len(self.link) - 1
+
     def _clone(self, p: int, w: int, q: int) -> int:
-        self.next.append(dict(self.next[q]))
-        self.link.append(self.link[q])
-        self.length.append(self.length[p] + 1)
-        clone = len(self.next) - 1
+        clone = self._add(self.length[p] + 1)
+        self.word[clone], self.to[clone], self.link[clone] = self.word[q], self.to[q], self.link[q]
+        if q in self.more:
+            self.more[clone] = dict(self.more[q])
         self.link[q] = clone
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = clone
+        while p >= 0 and self.step(p, w) == q:
+            self._set(p, w, clone)
             p = self.link[p]
         return clone
 
     def _extend(self, last: int, w: int) -> int:
-        q = self.next[last].get(w)
-        if q is not None:  # another item has this run already
+        q = self.step(last, w)
+        if q >= 0:  # another item has this run already
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, w, q)
-        self.next.append({})
-        self.link.append(0)
-        self.length.append(self.length[last] + 1)
-        new, p = len(self.next) - 1, last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = new
+        new, p = self._add(self.length[last] + 1), last
+        while p >= 0 and self.step(p, w) < 0:
+            self._set(p, w, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][w]
+            q = self.step(p, w)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, w, q)
         return new
 
     def build(self, items: list[tuple[str, list[bytes]]]) -> "Automaton":
-        numbered = []
-        for item, text in items:
+        numbered, known = [], {}
+        for name, text in items:
             if text:
-                run = [self.vocab.setdefault(w, len(self.vocab)) for w in text]
-                numbered.append((item, run))
+                run = array("i", [self.vocab.setdefault(w, len(self.vocab)) for w in text])
+                numbered.append((known.setdefault(name, len(known)), run))
                 last = 0
                 for w in run:
                     last = self._extend(last, w)
+        self.names, self.owner = list(known), array("i", [-1]) * len(self.link)
         for item, run in numbered:
             n, state = min(self.window, len(run)), 0
             for i, w in enumerate(run):
-                state = self.next[state][w]
+                state = self.step(state, w)
                 while self.length[self.link[state]] >= n:
                     state = self.link[state]
                 if i + 1 >= n:
                     if n == self.window:
-                        self.windows.setdefault(state, set()).add(item)
+                        if self.owner[state] < 0:
+                            self.owner[state] = item
+                        elif self.owner[state] != item:
+                            self.owners.setdefault(state, set()).add(item)
                     else:
                         self.shorts.setdefault(state, []).append((n, item))
                         self.least = min(self.least, n)
-        order = sorted(range(len(self.next)), key=self.length.__getitem__)
-        self.at_window, self.short_above = [0] * len(order), [-1] * len(order)
-        for s in order[1:]:
+        order = np.argsort(np.frombuffer(self.length, np.int32), kind="stable")
+        self.at_window, self.short_above = array("i", [0]) * len(order), array("i", [-1]) * len(order)
+        for s in map(int, order[1:]):
             above = self.link[s]
             self.at_window[s] = self.at_window[above] if self.length[above] >= self.window else s
             self.short_above[s] = s if s in self.shorts else self.short_above[above]
         return self
 
-    def match(self, run: list[int], at: int, ranges: list[tuple[int, int]], items: set[str]) -> None:
+    def match(self, run: list[int], at: int, ranges: list[tuple[int, int]], items: set[int]) -> None:
         """Adds the hit word ranges and items of a run of known words that starts at word ``at``."""
         state, size = 0, 0
         for i, w in enumerate(run, at + 1):
-            while w not in self.next[state] and state:
+            while (after := self.step(state, w)) < 0 and state:
                 state = self.link[state]
                 size = self.length[state]
-            if w in self.next[state]:
-                state, size = self.next[state][w], size + 1
-            if size >= self.window and (found := self.windows.get(self.at_window[state])):
+            if after >= 0:
+                state, size = after, size + 1
+            if size >= self.window and (found := self.owner[self.at_window[state]]) >= 0:
                 ranges.append((i - self.window, i))
-                items |= found
+                items.add(found)
+                items |= self.owners.get(self.at_window[state], set())
             s = self.short_above[state]
             while s > 0:
                 for n, item in self.shorts[s]:
@@ -135,7 +163,7 @@ class Automaton:
         edges = np.concatenate([[-1], breaks, [len(ids)]])
         for k in np.flatnonzero(np.diff(edges) > self.least):
             self.match(ids[edges[k] + 1:edges[k + 1]].tolist(), int(edges[k]) + 1, ranges, items)
-        return joined(ranges), items
+        return joined(ranges), {self.names[i] for i in items}
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -149,7 +177,7 @@ def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def automata(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Automaton]:
-    """Automata of blocks of items, each of about ``block_bytes`` of text."""
+    """Automata of blocks of items, each of about ``block_bytes`` of text; blocks go by the hash of the text."""
     total = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks, table = -(-total // block_bytes), folding()
     for block in range(blocks):
@@ -159,19 +187,21 @@ def automata(items: DataFrame, id_col: str, text_col: str, window: int, block_by
 
 
 def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
-         item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 1 << 24,
+         item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 1 << 23,
          carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``carry``) with the finds.
 
     Adds ``n_words``, ``n_hit`` (words inside windows), ``items`` (their ids, sorted) and
     ``spans`` (hit passages as code point ranges of the text). Documents never shuffle.
     Benchmarks larger than ``block_bytes`` are matched block after block in the same pass.
+    Columns called like the four are replaced unless ``carry`` names them, other names never clash.
     """
-    carried = list(carry if carry is not None else docs.columns)
+    carried = list(carry) if carry is not None else [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
     # Positional names inside: any column names may come in, even these.
     names = [f"c{i}" for i in range(len(carried))]
     frame = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(carried, names)],
-                        F.array().cast("array<int>").alias("edges"), F.array().cast("array<string>").alias("items"))
+                        F.array().cast("array<int>").alias("edges"), F.array().cast("array<string>").alias("items"),
+                        F.lit(None).cast("long").alias("n"))
     kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(carried, names))
     table = folding()
     context = docs.sparkSession.sparkContext
@@ -182,9 +212,11 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: st
             machine = Automaton()
             vars(machine).update(shared.value)
             for batch in batches:
-                edges, found = batch.column("edges").to_pylist(), batch.column("items").to_pylist()
+                edges, found, counts = batch.column("edges").to_pylist(), batch.column("items").to_pylist(), []
                 for i, text in enumerate(batch.column("text")):
-                    ranges, items = machine.scan(words(text.as_py(), table))
+                    run = words(text.as_py(), table)
+                    counts.append(len(run))
+                    ranges, items = machine.scan(run)
                     if ranges:
                         before = edges[i]
                         every = joined([*zip(before[::2], before[1::2]), *ranges])
@@ -192,20 +224,19 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: st
                         found[i] = sorted({*found[i], *items})
                 kept = [batch.column(c) for c in ["text", *names]]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(edges, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))],
-                    names=["text", *names, "edges", "items"])
+                    [*kept, pa.array(edges, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), pa.array(counts, pa.int64())],
+                    names=["text", *names, "edges", "items", "n"])
 
-        frame = frame.mapInArrow(look, f"text string, {kinds}edges array<int>, items array<string>")
+        frame = frame.mapInArrow(look, f"text string, {kinds}edges array<int>, items array<string>, n long")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower, word = str.maketrans(UPPER, UPPER.lower()), re.compile(WORD)
         for batch in batches:
             counts, hits, spans = [], [], []
-            for text, edges in zip(batch.column("text"), batch.column("edges").to_pylist()):
-                text = text.as_py()
-                counts.append(len(words(text, table)))
+            for text, edges, n in zip(batch.column("text"), batch.column("edges").to_pylist(), batch.column("n").to_pylist()):
+                counts.append(len(words(text.as_py(), table)) if n is None else n)  # no item, no count so far
                 hits.append(sum(edges[1::2]) - sum(edges[::2]))
-                places = [m.span() for m in word.finditer(text.translate(lower))] if edges else []
+                places = [m.span() for m in word.finditer(text.as_py().translate(lower))] if edges else []
                 spans.append([{"start": places[a][0], "end": places[b - 1][1]} for a, b in zip(edges[::2], edges[1::2])])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in names], pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), batch.column("items"),
