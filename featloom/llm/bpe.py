@@ -188,9 +188,14 @@ class Encoder:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids",
            carry: list[str] | None = None, pattern: str = PATTERN) -> DataFrame:
-    """``docs`` (or its columns ``carry``) with the token ids of the text, ``array<int>``."""
-    carried = list(carry if carry is not None else [c for c in docs.columns if c != ids_col])
-    frame = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *carried)
+    """``docs`` (or its columns ``carry``) with the token ids of the text, ``array<int>``.
+
+    A column called like the output is replaced, other names never clash. An empty table gives
+    an empty result.
+    """
+    carried = [c for c in (carry if carry is not None else docs.columns) if c != ids_col]
+    names = [f"c{i}" for i in range(len(carried))]
+    frame = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(n) for c, n in zip(carried, names)])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +206,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
                 found = [encoder.encode(t) for t in block.column(0).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*block.columns[1:], ids], names=[*carried, ids_col])
+                yield pa.RecordBatch.from_arrays([*block.columns[1:], ids], names=[*names, "ids"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[1:])
-    return frame.mapInArrow(run, f"{fields}`{ids_col}` array<int>")
+    fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(carried, names))
+    return frame.mapInArrow(run, f"{fields}ids array<int>").toDF(*carried, ids_col)
 
 
 def decode(ids: Column, vocabulary: Vocabulary, spark) -> Column:
