@@ -191,9 +191,14 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", dimensions: int = DIMENSIONS,
             seed: int = 7, lang_out: str = "lang_pred", score_out: str = "score", carry: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``carry``) with the predicted language and score."""
-    carried = [c for c in (carry or docs.columns)]
-    frame = docs.select(F.col(text_col).alias("__text"), *carried)
+    """``docs`` (or its columns ``carry``) with the predicted language and score.
+
+    Columns called like the two outputs are replaced, other names never clash. An empty table
+    gives an empty result; equal cosines go to the language first in order.
+    """
+    carried = [c for c in (carry if carry is not None else docs.columns) if c not in (lang_out, score_out)]
+    inner = [f"c{i}" for i in range(len(carried))]
+    frame = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(carried, inner)])
     names = list(profiles)
     shared = docs.sparkSession.sparkContext.broadcast(
         np.stack([profiles[n] for n in names]).astype(np.float32) if names else np.zeros((0, dimensions), np.float32))
@@ -212,10 +217,10 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "t
                     langs[i], scores[i] = names[best], min(1.0, max(0.0, (1 + float(value)) / 2))
             yield pa.RecordBatch.from_arrays(
                 block.columns[1:] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=carried + [lang_out, score_out])
+                names=inner + ["lang", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:])
-    return frame.mapInArrow(judge, f"{fields}, `{lang_out}` string, `{score_out}` double")
+    fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(carried, inner))
+    return frame.mapInArrow(judge, f"{fields}lang string, score double").toDF(*carried, lang_out, score_out)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
