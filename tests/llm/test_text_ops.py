@@ -1,10 +1,15 @@
 """Tokens, secrets, surrogates, language, toxicity and benchmark passages."""
 
+import bisect
+import pickle
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +115,55 @@ def test_random_strings_of_one_case_are_found(scanner):
     assert not scanner.scan("aB" + "x" * 200_000) and not scanner.scan("-=" * 20)
 
 
+def test_long_runs_take_linear_time(scanner):
+    """One run without separators, readable and random by turns: a million characters in seconds."""
+    rng = random.Random(4)
+    letters = string.ascii_letters + string.digits
+    readable = ["information", "configuration", "environment", "documentation", "applications"]
+    parts = []
+    while sum(map(len, parts)) < 1_000_000:
+        parts.append("".join(rng.choices(letters, k=24)) + "".join(rng.choices(readable, k=4)))
+    began = time.process_time()
+    found = [(a, b) for a, k, b in scanner.scan("".join(parts)) if k == 3]
+    assert time.process_time() - began < 60
+    at, missed = 0, 0
+    for part in parts:
+        missed += not any(a < at + 24 and at < b for a, b in found[bisect.bisect_left(found, (at - 40, 0)):][:4])
+        at += len(part)
+    assert missed < 0.05 * len(parts)  # 2.7 % make tokens too long, as in any other place
+
+
+def test_text_operators_keep_clashing_columns(spark, docs_of, vocabulary, scanner):
+    """Columns called like an output are replaced, others kept as they are; an empty table gives no rows."""
+    names = ["score", "lang_pred", "ids", "secrets", "n_words", "n_hit", "text_", "__text", "c0", "lang", "found", "edges"]
+    frame = docs_of([(1, "the cat"), (2, None)]).drop("text_").withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    bench = spark.createDataFrame([("7", "the cat")], "item_id string, text string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for run, outputs in ((lambda d: language.predict(d, {"en": np.ones(language.DIMENSIONS) / 30}), ["lang_pred", "score"]),
+                         (lambda d: bpe.encode(d, vocabulary), ["ids"]),
+                         (lambda d: secret_scan.find(d, path, public_tokenizers.PATTERN), ["secrets"]),
+                         (lambda d: decontaminate.find(d, bench), ["n_words", "n_hit", "items", "spans"])):
+        got = run(frame)
+        assert got.columns == [c for c in frame.columns if c not in outputs] + outputs
+        rows = {r.doc_id: r for r in got.collect()}
+        for before in frame.collect():
+            assert all(rows[before.doc_id][c] == before[c] for c in frame.columns if c not in outputs)
+        assert run(frame.limit(0)).count() == 0
+
+
+def test_automaton_stays_small():
+    """A state takes a few numbers; dictionaries are for the states that branch."""
+    rng = random.Random(9)
+    vocab = [f"w{i}".encode() for i in range(5000)]
+    items = [(str(i), [vocab[min(int(rng.paretovariate(0.7)), 4999)] for _ in range(200)]) for i in range(250)]
+    machine = decontaminate.Automaton().build(items)
+    packed = pickle.dumps(vars(machine))
+    assert len(packed) / sum(len(w) for _, t in items for w in t) < 25
+    for item, text in items[::25]:
+        ranges, found = machine.scan(text)
+        assert ranges == [(0, 200)] and item in found
+
+
 def test_random_parts_of_longer_strings_are_found(scanner):
     """A readable path or name in front hides nothing, nor does a fixed kind inside."""
     key, other = "Xk29sLqP0zVnB71mTyRw", "q7ZpW3vKx9RtB2mJ8dNf"
