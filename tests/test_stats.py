@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from featloom import constants as K
 from featloom.functions.columns import nan_to_null
-from featloom.operators import casting, correlation, profile, signal, summaries
+from featloom.operators import casting, correlation, moments, profile, signal, summaries
 from featloom.operators.quantiles import exact_quantiles
 
 
@@ -88,6 +88,37 @@ def test_correlations_match_pandas(spark, messy):
                 assert math.isclose(got[a, b], want.loc[a, b], abs_tol=1e-9), (a, b)
 
 
+def test_correlations_of_200_columns_in_tiles(spark):
+    """Several bands, gaps, a constant and an offset that dwarfs the spread; then a target against all."""
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(300, 200)) + rng.normal(size=(300, 1))
+    values[rng.random(values.shape) < 0.1] = np.nan
+    values[:, 7], values[:, 150] = 4.5, values[:, 3] + 1e9
+    pdf = pd.DataFrame(values, columns=[f"v{i}" for i in range(200)])
+    df = nan_to_null(spark.createDataFrame(pdf).repartition(5))
+    got = moments.pair_correlations(df, list(pdf.columns), [(i, j) for i in range(200) for j in range(i, 200)]).toPandas()
+    want = pdf.corr().to_numpy()
+    assert len(got) == 200 * 201 // 2 and not got.duplicated(["i", "j"]).any()
+    undefined = (got.i == 7) | (got.j == 7)
+    assert got.loc[undefined, "corr"].isna().all()
+    rest = got[~undefined]
+    assert np.abs(rest["corr"].to_numpy() - want[rest.i, rest.j]).max() < 1e-6
+    ranked = {r["feature"]: r["corr"] for r in rows(correlation.corr_to_target(df, "v0"))}
+    assert len(ranked) == 198 and all(math.isclose(r, abs(want[0, int(f[1:])]), abs_tol=1e-6) for f, r in ranked.items())
+
+
+@pytest.mark.parametrize("tasks", [1, 97])
+def test_tiles_meet_a_bounded_number_of_blocks(spark, tasks):
+    """The second round doesn't grow with the number of tasks, and neither result nor rows depend on it."""
+    df = spark.range(2000).select(F.col("id").cast("double").alias("a"), (F.col("id") * F.col("id")).cast("double").alias("b")).repartition(tasks)
+    found = moments.pair_correlations(df, ["a", "b"], [(0, 1), (1, 1)])
+    got = {(r["i"], r["j"]): r["corr"] for r in rows(found)}
+    x = np.arange(2000.0)
+    assert math.isclose(got[0, 1], np.corrcoef(x, x * x)[0, 1], abs_tol=1e-12) and math.isclose(got[1, 1], 1.0)
+    assert rows(moments.pair_correlations(df.limit(0), ["a", "b"], [(0, 1)])) == [{"i": 0, "j": 1, "corr": None}]
+    assert moments.pair_correlations(df, ["a", "b"], []).count() == 0
+
+
 def test_correlation_of_constant_within_the_pair(spark):
     pdf = pd.DataFrame({"x": [7.0, 1.3, 1.3, 1.3], "y": [np.nan, 1.0, 2.0, 4.0]})
     got = rows(correlation.corr_matrix(nan_to_null(spark.createDataFrame(pdf))))
