@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featloom import constants as K
 from featloom.functions.columns import CATEGORICAL, OTHER, class_of, col, nan_to_null
+from featloom.operators.deep_tree import DeepTree, fit_deep_tree
 from featloom.operators.encode import LevelTable, attach_codes, fit_levels, name_codes
 from featloom.operators.kernel import FourierMap, fit_fourier_map
 from featloom.operators.knn import KnnModel, fit_knn
@@ -167,6 +168,9 @@ class TrainedModel:
             if isinstance(self.classes, list) and len(self.classes) == 2:
                 share = F.coalesce(F.try_element_at("votes", F.lit(1.0)), F.lit(0))
             return joined.select(*keep_cols, "prediction", (share / total).alias("score"))
+        if isinstance(self.model, DeepTree):
+            found = self.model.transform(rows, list(keep))
+            return found.select(*keep_cols, "prediction", F.col("second" if len(self.classes) == 2 else "top").alias("score"))
         scored = self.model.transform(self.projection.apply(rows) if self.projection else rows)
         if "probability" in scored.columns:
             p = vector_to_array("probability")
@@ -238,8 +242,9 @@ def fit_model(
 ) -> TrainedModel:
     """Fit on prepared rows (which still hold the raw target column).
 
-    The SVM takes ``kernel="rbf"``: a linear SVM on random Fourier features. Nearest neighbours
-    also take a ``ClassDictionary`` for ``classes``.
+    The SVM takes ``kernel="rbf"``: a linear SVM on random Fourier features. The tree takes
+    ``maxDepth=None``: grown until its leaves are pure. Nearest neighbours also take a
+    ``ClassDictionary`` for ``classes``.
     """
     if isinstance(classes, ClassDictionary) and name != K.KNN:
         raise ValueError(f"{name} needs its classes listed")
@@ -248,6 +253,9 @@ def fit_model(
         k = params.get("k", DEFAULTS[K.KNN]["k"])
         model = fit_knn(data, vector_to_array("features"), F.col("label"), k)
         return TrainedModel(name, target, classes, features, model, prep)
+    if name == K.TREE and params.get("maxDepth", 0) is None:
+        settings = {k: v for k, v in {**DEFAULTS[name], **params}.items() if k != "maxDepth"}
+        return TrainedModel(name, target, classes, features, fit_deep_tree(data, **settings), prep)
     kernel, projection = params.pop("kernel", "linear"), None
     if kernel not in ("linear", "rbf") or (kernel == "rbf" and name != K.SVM):
         raise ValueError(f"{name} has no kernel {kernel!r}")
@@ -353,7 +361,7 @@ def train_evaluate(
 def importance(trained: TrainedModel) -> list[tuple[str, float]]:
     """(feature, importance) in feature order, every level of a one-hot feature by its name; empty where a model has none."""
     model = trained.model
-    if isinstance(model, KnnModel) or trained.projection:
+    if isinstance(model, (KnnModel, DeepTree)) or trained.projection:
         return []
     if isinstance(model, OneVsRestModel):
         rows = [m.coefficients.toArray() for m in model.models]

@@ -296,3 +296,18 @@ def gap_svm(spark, sf):
 @query("gap_tree", _GAP_SQL)
 def gap_tree(spark, sf):
     return _gap_predictions(spark, sf, K.TREE)
+
+
+@query("tree_full_depth", """
+WITH points AS (SELECT c_custkey, c_nationkey, floor(c_acctbal / 100) AS hundreds, c_mktsegment FROM customer),
+counted AS (SELECT c_nationkey, hundreds, c_mktsegment, count(*) AS n FROM points GROUP BY ALL),
+best AS (SELECT c_nationkey, hundreds, c_mktsegment AS predicted_class FROM counted
+         QUALIFY row_number() OVER (PARTITION BY c_nationkey, hundreds ORDER BY n DESC, c_mktsegment) = 1)
+SELECT c_custkey, predicted_class FROM points JOIN best USING (c_nationkey, hundreds)""")
+def tree_full_depth(spark, sf):
+    """A tree of full depth learns every customer's segment by heart, equal points by their most frequent one."""
+    rows = table(spark, sf, "customer").select(
+        "c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 100).alias("hundreds"), "c_mktsegment")
+    classes = models.check_target(rows, "c_mktsegment")
+    fitted = models.fit_model(rows, K.TREE, "c_mktsegment", classes, ["c_nationkey", "hundreds"], maxDepth=None)
+    return fitted.predict(rows, ["c_custkey"]).select("c_custkey", "predicted_class")
