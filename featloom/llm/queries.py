@@ -121,8 +121,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
-@query("op1_surrogates", tested_by="tests/llm/test_text_ops.py::test_surrogates_keep_format_and_coreference")
-def op1(spark: SparkSession, sf_dir: str, key: str = "a key kept outside the code") -> DataFrame:
+@query("op1_surrogates", tested_by="tests/llm/test_text_ops.py::test_surrogates_of_names_domains_and_accounts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.featloom.surrogates.key", "set one of your own")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace_entities(docs, key)
 

@@ -3,23 +3,25 @@
 Detected entities (e-mail addresses, phone numbers, IP addresses, payment cards, social
 security numbers, accounts, and persons named with a title or a known first name) are replaced
 by keyed stand-ins of the same kind and format: digits stay digits, letters letters, cases,
-separators and lengths stay, card numbers with a right check digit get a right one, private
-networks stay private, a domain has one stand-in everywhere, and a person's stand-in has the
-gender and the script of the name.
+separators and lengths stay, card and account numbers with right check digits get right ones,
+private networks stay private, a domain has one stand-in everywhere, so has every word of a name
+("Mr Keller", "Hans Keller"), and a first name's stand-in has its gender and script.
 
 A stand-in is a function of key, kind and the entity's plain form, so mentions of one entity
 agree in all documents and deliveries with the same key, without any table (coreference).
-A check over all distinct entities draws again where two entities got the same stand-in or a
-stand-in is itself an entity of the corpus, until none is left (distinctness). Only these
-redrawn entities ever need a look-up; theirs is the one stand-in that depends on the corpus.
+A check over all distinct units (entities, domains, words of names) draws again where two got
+the same stand-in or a stand-in stands in the corpus itself, until none is left (distinctness).
+Only these redrawn units ever need a look-up; theirs is the one stand-in that depends on the corpus.
 
 Null text stays null; empty texts and texts without entities are unchanged and never shuffle.
-Repeated rows are replaced alike. DataFrame functions only.
+Repeated rows are replaced alike. A column called like the count is replaced; an empty table gives
+an empty result. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,19 +91,11 @@ def _name_part(mention: Column) -> Column:
     return F.regexp_replace(mention, f"^(?:{_titles})\\.? ", "")
 
 
-def _gender(mention: Column) -> Column:
-    """From the title, else from the first name."""
-    named = lambda g: F.lit("^(?:" + "|".join([*TITLES[g], *(n for s in FIRST_NAMES.values() for n in s[g])]).lower() + ")\\.? ")
-    low, first = F.lower(mention), F.lower(F.regexp_extract(_name_part(mention), "^\\p{L}+ ", 0))
-    return F.when(F.rlike(low, named("f")), "f").when(F.rlike(low, named("m")), "m").when(
-        F.rlike(first, named("f")), "f").when(F.rlike(first, named("m")), "m").otherwise("n")
-
-
 def plain_form(kind: Column, mention: Column) -> Column:
     """What mentions of one entity have in common: no separators, no case."""
     return (F.when(kind == "email", F.lower(mention))
             .when(kind == "ip", mention)
-            .when(kind == "person", F.concat(_gender(mention), F.lit(":"), F.lower(_name_part(mention))))
+            .when(kind == "person", F.lower(_name_part(mention)))
             .otherwise(F.upper(F.regexp_replace(mention, "[^A-Za-z0-9+]", ""))))
 
 
@@ -141,16 +135,14 @@ class Drawer:
 
         return F.aggregate(F.transform(F.split(F.reverse(digits), ""), weigh), F.lit(0), lambda a, b: a + b)
 
-    def email(self, plain: Column, stream: Column) -> Column:
-        domain = F.substring_index(plain, "@", -1)
-        labels = F.regexp_replace(domain, "\\.[^.]*$", "")
-        new = let(self.stream(F.lit("domain"), domain, F.lit(0)), lambda own: self.shaped(labels, own))
-        return F.concat(self.shaped(F.substring_index(plain, "@", 1), stream), F.lit("@"), new, F.lit("."), F.substring_index(domain, ".", -1))
+    def domain(self, plain: Column, stream: Column, more: Column) -> Column:
+        """Other labels, the same top level; ``more`` makes the last label longer."""
+        return F.concat(self.shaped(F.regexp_replace(plain, "\\.[^.]*$", ""), stream), more, F.lit("."), F.substring_index(plain, ".", -1))
 
-    def ip(self, plain: Column, stream: Column) -> Column:
+    def ip(self, plain: Column, stream: Column, attempt: Column) -> Column:
         octet = lambda i: (self.value(stream, F.lit(i)) % 254 + 1).cast("string")
         head = (F.when(plain.startswith("10."), F.concat(F.lit("10."), octet(1)))
-                .when(plain.startswith("192.168."), F.lit("192.168"))
+                .when(plain.startswith("192.168."), F.when(attempt > 8, F.concat(F.lit("10."), octet(1))).otherwise("192.168"))
                 .when(plain.startswith("127."), F.concat(F.lit("127."), octet(1)))
                 .otherwise(F.concat((self.value(stream, F.lit(0)) % 100 + 11).cast("string"), F.lit("."), octet(1))))
         return F.concat_ws(".", head, octet(2), octet(3))
@@ -168,54 +160,89 @@ class Drawer:
         return F.when(plain.startswith("+"), F.concat(F.substring(plain, 1, 2), F.substring(self.shaped(plain, stream), 3, 32))).otherwise(
             self.shaped(plain, stream))
 
-    def iban(self, plain: Column, stream: Column) -> Column:
-        return F.concat(F.substring(plain, 1, 2), F.substring(self.shaped(plain, stream), 3, 64))
-
-    def person(self, plain: Column, stream: Column) -> Column:
-        """First name of the same gender and script; other names from syllables of that script."""
-        gender, name = F.substring(plain, 1, 1), F.substring(plain, 3, 1000)
-        parts = F.split(name, " ")
-        known = F.array(*[F.lit(n.lower()) for s in FIRST_NAMES.values() for g in s.values() for n in g])
-
-        def pool(script: str, g: str, v: Column) -> Column:
-            names = F.array(*map(F.lit, FIRST_NAMES[script][g]))
-            return F.get(names, v % len(FIRST_NAMES[script][g]))
-
-        def one(part: Column, i: Column) -> Column:
-            script = script_of(part)
-            v = self.value(stream, i)
-            first = reduce(lambda a, b: a.when(b[0], b[1]), [((script == s) & (gender == g), pool(s, g, v))
-                                                            for s in FIRST_NAMES for g in ("f", "m", "n")], F.when(F.lit(False), ""))
-
-            def letter(j: Column) -> Column:
-                w = self.value(stream, (i + 1) * 8 + j)
-                pick = lambda letters: F.substring(F.lit(letters), w % len(letters) + 1, F.lit(1))
-                return F.when(j % 2 == 1, F.when(script == "latin", pick(VOWELS["latin"])).otherwise(pick(VOWELS["cyrillic"]))).otherwise(
-                    F.when(script == "latin", pick(CONSONANTS["latin"])).otherwise(pick(CONSONANTS["cyrillic"])))
+    @staticmethod
+    def mod97(code: Column) -> Column:
+        """The remainder that is one for right account numbers."""
+        def put(state: Column, c: Column) -> Column:
+            return F.when(c == "", state).when(F.rlike(c, F.lit("[0-9]")), (state * 10 + c.cast("int")) % 97).otherwise(
+                (state * 100 + F.ascii(c) - 55) % 97)
 
-            made = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(3), F.least(F.lit(7), F.length(part) - 1))), letter), ""))
-            return F.when((i == 0) & (F.size(parts) > 1) & F.array_contains(known, part), first).otherwise(made)
+        turned = F.concat(F.substring(code, F.lit(5), F.length(code)), F.substring(code, F.lit(1), F.lit(4)))
+        return F.aggregate(F.split(turned, ""), F.lit(0), put)
 
-        return F.array_join(F.transform(parts, one), " ")
+    def iban(self, plain: Column, stream: Column) -> Column:
+        """The country stays; right check digits become right ones."""
+        def whole(drawn: Column) -> Column:
+            country, rest = F.substring(drawn, F.lit(1), F.lit(2)), F.substring(drawn, F.lit(5), F.length(drawn))
+            check = F.lpad((98 - self.mod97(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
+            return F.when(self.mod97(plain) == 1, F.concat(country, check, rest)).otherwise(drawn)
+
+        return let(F.concat(F.substring(plain, 1, 2), F.substring(self.shaped(plain, stream), 3, 64)), whole)
+
+    def first_names(self) -> Column:
+        """Stand-ins of the known first names: the names of a script and gender turned by a keyed number of places.
+
+        No name stays, and no two names get the same one.
+        """
+        out = {}
+        for script, genders in FIRST_NAMES.items():
+            for gender, names in genders.items():
+                turn = 1 + int.from_bytes(hashlib.sha256(f"{self.key}|{script}|{gender}".encode()).digest()[:8]) % (len(names) - 1)
+                out |= {n.lower(): names[(i + turn) % len(names)] for i, n in enumerate(names)}
+        return F.create_map(*[F.lit(x) for pair in out.items() for x in pair])
+
+    def word(self, word: Column, stream: Column, more: Column) -> Column:
+        """A name from syllables of the script."""
+        script = script_of(word)
+
+        def letter(j: Column) -> Column:
+            w = self.value(stream, j + 8)
+            pick = lambda letters: F.substring(F.lit(letters), w % len(letters) + 1, F.lit(1))
+            return F.when(j % 2 == 1, F.when(script == "latin", pick(VOWELS["latin"])).otherwise(pick(VOWELS["cyrillic"]))).otherwise(
+                F.when(script == "latin", pick(CONSONANTS["latin"])).otherwise(pick(CONSONANTS["cyrillic"])))
+
+        made = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(3), F.least(F.lit(7), F.length(word) - 1))), letter), "")
+        tail = F.when(script == "latin", F.translate(more, "0123456789", "aeiounrlst")).otherwise(F.translate(more, "0123456789", "аеиоунрлст"))
+        return F.initcap(F.concat(made, tail))
 
     def draw(self, kind: Column, plain: Column, attempt: Column) -> Column:
-        """The stand-in's plain form. From the ninth attempt on (the format has no room left) it gets longer."""
+        """The stand-in of one unit (see ``units``)."""
         return let(self.stream(kind, plain, attempt), lambda stream: self._draw(kind, plain, attempt, stream))
 
     def _draw(self, kind: Column, plain: Column, attempt: Column, stream: Column) -> Column:
-        by_kind = F.when(kind == "email", self.email(plain, stream))
-        for name in ("ip", "card", "phone", "iban", "person"):
-            by_kind = by_kind.when(kind == name, getattr(self, name)(plain, stream))
-        drawn = by_kind.otherwise(self.shaped(plain, stream))
-        return F.when(attempt > 8, F.concat(drawn, F.substring(F.conv(F.substring(stream, 1, 12), 16, 10), F.lit(1), attempt - 7))).otherwise(drawn)
+        # From the ninth attempt on names and labels get longer, and private networks move to the largest one;
+        # numbers keep their length, as their formats have room for millions.
+        more = F.when(attempt > 8, F.substring(F.conv(F.substring(stream, 1, 12), 16, 10), F.lit(1), attempt - 7)).otherwise("")
+        return (F.when(kind == "email", F.concat(self.shaped(F.substring_index(plain, "@", 1), stream), more))
+                .when(kind == "domain", self.domain(plain, stream, more))
+                .when(kind == "person", self.word(plain, stream, more))
+                .when(kind == "ip", self.ip(plain, stream, attempt))
+                .when(kind == "card", self.card(plain, stream))
+                .when(kind == "phone", self.phone(plain, stream))
+                .when(kind == "iban", self.iban(plain, stream))
+                .otherwise(self.shaped(plain, stream)))
+
+    def whole(self, kind: Column, plain: Column, attempt_of: Callable[[Column, Column], Column]) -> Column:
+        """The stand-in of an entity, put together from those of its units."""
+        unit = lambda k, p: self.draw(k, p, attempt_of(k, p))
+        domain, words = F.substring_index(plain, "@", -1), F.split(plain, " ")
+        named = F.transform(words, lambda w, i: F.coalesce(
+            F.when((i == 0) & (F.size(words) > 1), F.try_element_at(self.first_names(), w)), unit(F.lit("person"), w)))
+        return (F.when(kind == "email", F.concat(unit(F.lit("email"), plain), F.lit("@"), unit(F.lit("domain"), domain)))
+                .when(kind == "person", F.array_join(named, " ")).otherwise(unit(kind, plain)))
 
     def fit(self, kind: Column, mention: Column, drawn: Column) -> Column:
         """The stand-in in the format of one mention."""
         name = _name_part(mention)
         title = F.substring(mention, F.lit(1), F.length(mention) - F.length(name))
+        fill = lambda own, new: let(F.regexp_replace(new, "[^A-Za-z0-9]", ""), lambda slots: self._fill(own, slots))
+        local = lambda mail: F.substring_index(mail, "@", 1)
+        labels = lambda mail: F.regexp_replace(F.substring_index(mail, "@", -1), "\\.[^.]*$", "")
         return F.when(kind == "ip", drawn).when(
-            kind == "person", F.concat(title, let(drawn, lambda d: F.when(name == F.upper(name), F.upper(d)).otherwise(d)))).otherwise(
-            let(F.regexp_replace(drawn, "[^A-Za-z0-9]", ""), lambda slots: self._fill(mention, slots)))
+            kind == "person", F.concat(title, let(drawn, lambda d: F.when(name == F.upper(name), F.upper(d)).otherwise(d)))).when(
+            kind == "email", let(drawn, lambda d: F.concat(
+                fill(local(mention), local(d)), F.lit("@"), fill(labels(mention), labels(d)), F.lit("."), F.substring_index(mention, ".", -1)))).otherwise(
+            fill(mention, drawn))
 
     @staticmethod
     def _fill(mention: Column, slots: Column) -> Column:
@@ -231,27 +258,40 @@ class Drawer:
         return F.aggregate(F.split(mention, ""), start, put, lambda s: F.concat(s["out"], F.substring(slots, s["k"], F.lit(64))))
 
 
+def units(kind: Column, plain: Column) -> Column:
+    """What gets a stand-in of its own: a mail address in its domain, the domain, every word of a name
+    but a known first name, and other entities as a whole; ``array<struct<kind, plain>>``."""
+    unit = lambda k, p: F.struct(k.alias("kind"), p.alias("plain"))
+    words = F.split(plain, " ")
+    known = F.array(*[F.lit(n.lower()) for s in FIRST_NAMES.values() for g in s.values() for n in g])
+    rest = F.when((F.size(words) > 1) & F.array_contains(known, words[0]), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+    return (F.when(kind == "email", F.array(unit(kind, plain), unit(F.lit("domain"), F.substring_index(plain, "@", -1))))
+            .when(kind == "person", F.transform(rest, lambda w: unit(F.lit("person"), w))).otherwise(F.array(unit(kind, plain))))
+
+
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct (kind, plain) of all documents; copies are dropped before anything shuffles."""
+    """Distinct units (kind, plain) of all documents; copies are dropped before anything shuffles."""
     found = docs.select(F.explode(F.array_distinct(mentions(text_of(text_col)))).alias("m"))
     kinds = found.select(kind_of(F.col("m")).alias("kind"), "m")
-    return kinds.select("kind", plain_form(F.col("kind"), F.col("m")).alias("plain")).distinct()
+    return kinds.select(F.inline(units(F.col("kind"), plain_form(F.col("kind"), F.col("m"))))).distinct()
 
 
 def redrawn(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(kind, plain, attempt) of the entities whose first stand-in isn't theirs alone."""
+    """(kind, plain, attempt) of the units whose first stand-in isn't theirs alone."""
     drawer = Drawer(key)
     every = cut_lineage(entities(docs, text_col))
+    # Addresses are told apart inside their domain: no stand-in of a domain is a domain of the corpus.
+    scope = F.when(F.col("kind") == "email", F.substring_index("plain", "@", -1)).otherwise("").alias("scope")
+    real = every.where("kind != 'email'").select(
+        "kind", F.lit("").alias("scope"), F.when(F.col("kind") == "person", F.initcap("plain")).otherwise(F.col("plain")).alias("drawn"))
     pending, accepted, attempt = every, None, 0
     while True:
-        drawn = pending.select("kind", "plain", F.lit(attempt).alias("attempt"),
-                               drawer.draw(F.col("kind"), F.col("plain"), F.lit(attempt)).alias("drawn"))
-        real = every.select("kind", F.col("plain").alias("drawn"))
-        # A person's stand-in is compared by name; the gender mark belongs to the plain form.
-        real = real.withColumn("drawn", F.when(F.col("kind") == "person", F.initcap(F.substring("drawn", 3, 1000))).otherwise(F.col("drawn")))
-        taken = real if accepted is None else real.unionByName(accepted.select("kind", "drawn"))
-        first = drawn.join(taken, ["kind", "drawn"], "left_anti").groupBy("kind", "drawn").agg(F.min("plain").alias("plain"))
-        good = first.select("kind", "plain", F.lit(attempt).alias("attempt"), "drawn")
+        drawn = pending.select("kind", "plain", scope, drawer.draw(F.col("kind"), F.col("plain"), F.lit(attempt)).alias("drawn"))
+        # An address's own local part would be no stand-in.
+        drawn = drawn.where(~((F.col("kind") == "email") & (F.col("drawn") == F.substring_index("plain", "@", 1))))
+        taken = real if accepted is None else real.unionByName(accepted.select("kind", "scope", "drawn"))
+        first = drawn.join(taken, ["kind", "scope", "drawn"], "left_anti").groupBy("kind", "scope", "drawn").agg(F.min("plain").alias("plain"))
+        good = first.select("kind", "plain", F.lit(attempt).alias("attempt"), "scope", "drawn")
         accepted = cut_lineage(good if accepted is None else accepted.unionByName(good))
         pending = cut_lineage(pending.join(accepted, ["kind", "plain"], "left_anti"))
         if pending.isEmpty():
@@ -270,8 +310,8 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
     else:
         # Texts that mention a redrawn entity, by the hash of the text: alike texts get the same.
         mark = F.struct(F.xxhash64(text_col), F.xxhash64(F.lit(1), F.col(text_col)))
-        held = frame.where(F.size("__m") > 0).select(mark.alias("__mark"), F.explode(F.array_distinct(F.zip_with(
-            "__kinds", "__plain", lambda k, p: F.struct(k.alias("kind"), p.alias("plain"))))).alias("e")).select("__mark", "e.kind", "e.plain")
+        held = frame.where(F.size("__m") > 0).select(mark.alias("__mark"), F.explode(F.array_distinct(F.flatten(F.zip_with(
+            "__kinds", "__plain", units)))).alias("e")).select("__mark", "e.kind", "e.plain")
         sized = again.withColumn("__n", F.lit(1).cast("long"))
         texts = (join_groups(held.distinct(), sized, ["kind", "plain"], "__n").groupBy("__mark")
                  .agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "plain"), "attempt"))).alias("__again")))
@@ -281,8 +321,8 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
 
     def one(i: Column) -> Column:
         kind, mention, plain = F.get("__kinds", i), F.get("__m", i), F.get("__plain", i)
-        attempt = F.coalesce(F.try_element_at(F.col("__again"), F.concat_ws(":", kind, plain)), F.lit(0))
-        return drawer.fit(kind, mention, drawer.draw(kind, plain, attempt))
+        attempt_of = lambda k, p: F.coalesce(F.try_element_at(F.col("__again"), F.concat_ws(":", k, p)), F.lit(0))
+        return drawer.fit(kind, mention, drawer.whole(kind, plain, attempt_of))
 
     between = F.split(F.col(text_col), ANY, -1)
     new = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("__m")),

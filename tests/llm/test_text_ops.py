@@ -236,6 +236,28 @@ def test_surrogates_are_redrawn_until_distinct(spark, monkeypatch):
     assert len(rows) == 30 and all(len(v) == 1 for v in drawn.values()) and len(set.union(*drawn.values())) == 9
 
 
+def test_surrogates_of_names_domains_and_accounts(spark):
+    """One stand-in per word of a name, distinct domains however short, right check digits, room in private networks."""
+    texts = ["Mr Keller met Hans Keller. Dr Keller saw Herr Paul Keller and Mrs Anna Weber."]
+    texts += [f"me@{c}.de and you@{c}.de" for c in string.ascii_lowercase]
+    texts += ["DE89 3704 0044 0532 0130 00 or DE89370400440532013000, not DE88370400440532013000"]
+    texts += [f"{first} Weber" for names in surrogates.FIRST_NAMES["latin"].values() for first in names]
+    rows = {r.doc_id: r.text for r in surrogates.replace_entities(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    found = re.fullmatch(r"Mr (\w+) met (\w+) (\w+)\. Dr (\w+) saw Herr (\w+) (\w+) and Mrs (\w+) (\w+)\.", rows[0]).groups()
+    assert len({found[0], found[2], found[3], found[5]}) == 1 and not {"Keller", "Hans", "Paul", "Anna", "Weber"} & set(found)
+    men, women = (surrogates.FIRST_NAMES["latin"][g] for g in "mf")
+    assert found[1] in men and found[4] in men and found[6] in women and found[1] != found[4] and found[7] != found[0]
+    domains = [re.findall(r"@([a-z0-9]+)\.de", rows[1 + i]) for i in range(26)]
+    assert all(len(d) == 2 and d[0] == d[1] for d in domains) and len({d[0] for d in domains}) == 26
+    assert not {d[0] for d in domains} & set(string.ascii_lowercase)
+    spaced, plain, wrong = re.fullmatch(r"(DE[\d ]+) or (DE\d+), not (DE\d+)", rows[27]).groups()
+    assert spaced.replace(" ", "") == plain != "DE89370400440532013000" and len(plain) == len(wrong) == 22
+    assert int(plain[4:] + "1314" + plain[2:4]) % 97 == 1
+    people = [rows[i] for i in range(28, len(texts))]
+    assert len(set(people)) == len(people) and not set(people) & set(texts)
+
+
 def test_surrogates_plan_has_no_python(docs_of):
     plan = surrogates.replace_entities(docs_of([(1, "a@b.com")], False), "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
