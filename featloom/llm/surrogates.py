@@ -269,17 +269,22 @@ def units(kind: Column, plain: Column) -> Column:
             .when(kind == "person", F.transform(rest, lambda w: unit(F.lit("person"), w))).otherwise(F.array(unit(kind, plain))))
 
 
-def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct units (kind, plain) of all documents; copies are dropped before anything shuffles."""
-    found = docs.select(F.explode(F.array_distinct(mentions(text_of(text_col)))).alias("m"))
-    kinds = found.select(kind_of(F.col("m")).alias("kind"), "m")
-    return kinds.select(F.inline(units(F.col("kind"), plain_form(F.col("kind"), F.col("m"))))).distinct()
+def mark_of(text_col: str) -> Column:
+    """Alike texts have the same."""
+    return F.struct(F.xxhash64(text_col), F.xxhash64(F.lit(1), F.col(text_col)))
 
 
-def redrawn(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(kind, plain, attempt) of the units whose first stand-in isn't theirs alone."""
+def held_units(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Distinct (__mark, kind, plain) of all texts, found in one scan; copies are dropped before anything shuffles."""
+    found = docs.select(mark_of(text_col).alias("__mark"), F.array_distinct(mentions(text_of(text_col))).alias("m")).where(F.size("m") > 0)
+    every = F.flatten(F.transform("m", lambda m: let(kind_of(m), lambda k: units(k, plain_form(k, m)))))
+    return found.select("__mark", F.inline(F.array_distinct(every))).distinct()
+
+
+def redrawn(held: DataFrame, key: str) -> DataFrame:
+    """(kind, plain, attempt) of the held units whose first stand-in isn't theirs alone."""
     drawer = Drawer(key)
-    every = cut_lineage(entities(docs, text_col))
+    every = cut_lineage(held.select("kind", "plain").distinct())
     # Addresses are told apart inside their domain: no stand-in of a domain is a domain of the corpus.
     scope = F.when(F.col("kind") == "email", F.substring_index("plain", "@", -1)).otherwise("").alias("scope")
     real = every.where("kind != 'email'").select(
@@ -302,22 +307,20 @@ def redrawn(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
     """``docs`` with stand-ins in the text and the number of entities replaced."""
     drawer = Drawer(key)
-    again = cut_lineage(redrawn(docs, key, text_col))
+    held = cut_lineage(held_units(docs, text_col))
+    again = cut_lineage(redrawn(held, key))
     frame = docs.withColumn("__m", mentions(text_of(text_col))).withColumn("__kinds", F.transform("__m", kind_of)).withColumn(
         "__plain", F.zip_with("__kinds", "__m", plain_form))
     if again.isEmpty():
         frame = frame.withColumn("__again", F.lit(None).cast("map<string,int>"))
     else:
         # Texts that mention a redrawn entity, by the hash of the text: alike texts get the same.
-        mark = F.struct(F.xxhash64(text_col), F.xxhash64(F.lit(1), F.col(text_col)))
-        held = frame.where(F.size("__m") > 0).select(mark.alias("__mark"), F.explode(F.array_distinct(F.flatten(F.zip_with(
-            "__kinds", "__plain", units)))).alias("e")).select("__mark", "e.kind", "e.plain")
         sized = again.withColumn("__n", F.lit(1).cast("long"))
-        texts = (join_groups(held.distinct(), sized, ["kind", "plain"], "__n").groupBy("__mark")
+        texts = (join_groups(held, sized, ["kind", "plain"], "__n").groupBy("__mark")
                  .agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "plain"), "attempt"))).alias("__again")))
         # Rows without an entity stay out of the join.
         bare = frame.where(F.size("__m") == 0).withColumn("__again", F.lit(None).cast("map<string,int>"))
-        frame = frame.where(F.size("__m") > 0).withColumn("__mark", mark).join(texts, "__mark", "left").drop("__mark").unionByName(bare)
+        frame = frame.where(F.size("__m") > 0).withColumn("__mark", mark_of(text_col)).join(texts, "__mark", "left").drop("__mark").unionByName(bare)
 
     def one(i: Column) -> Column:
         kind, mention, plain = F.get("__kinds", i), F.get("__m", i), F.get("__plain", i)
