@@ -214,3 +214,20 @@ def test_jaccard_keeps_one_and_handles_empty(docs_of):
 
 def test_prefix_sizes_lose_no_link():
     assert all(jaccard.prefix_size(n) >= n - int(np.ceil(0.75 * n)) + 1 for n in range(1, 3000))
+
+
+def test_jaccard_sets_travel_without_checkpoints(docs_of, monkeypatch):
+    """Sets of shingles were stored between two shuffles; a set in many pairs leads them."""
+    stored, cut = [], jaccard.cut_lineage
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    asked, verify = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda texts, made, pairs: asked.append(pairs) or verify(texts, made, pairs))
+    rows = jaccard_rows()
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs_of(rows)).collect())
+    assert len(got) == len(rows) and asked
+    assert not any("tokens" in columns for columns in stored if "often" not in columns)
+
+
+def test_jaccard_hashes_are_drawn_back():
+    tokens = np.random.default_rng(3).integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2)
+    assert (jaccard.drawn_back(jaccard.spread_out(tokens)) == tokens).all()
