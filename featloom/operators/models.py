@@ -18,7 +18,7 @@ from featloom.functions.columns import CATEGORICAL, OTHER, class_of, col, nan_to
 from featloom.operators.deep_tree import DeepTree, fit_deep_tree
 from featloom.operators.encode import LevelTable, attach_codes, fit_levels, name_codes
 from featloom.operators.kernel import FourierMap, fit_fourier_map
-from featloom.operators.knn import KnnModel, fit_knn
+from featloom.operators.knn import Neighbours, fit_vectors
 from featloom.operators.metrics import classification_metrics
 from featloom.operators.preprocess import FittedPrep, PrepConfig, SlotScale, fit_prep
 from featloom.operators.profile import few_values
@@ -158,10 +158,9 @@ class TrainedModel:
     def score_vectors(self, rows: DataFrame, keep: list[str] = ()) -> DataFrame:
         """``score`` of rows that hold the assembled ``features``."""
         keep_cols = [col(k) for k in keep]
-        if isinstance(self.model, KnnModel):
-            queries = rows.withColumn("x", vector_to_array("features")).drop("features")
-            queries = cut_lineage(queries.withColumn("qid", F.monotonically_increasing_id()))
-            votes = self.model.vote(queries.select("qid", "x"))
+        if isinstance(self.model, Neighbours):
+            queries = cut_lineage(self.model.queries_of(rows, "features").withColumn("qid", F.monotonically_increasing_id()))
+            votes = self.model.vote(queries.select("qid", "x", *([] if self.model.plain is None else ["si", "sv"])))
             joined = queries.join(votes, "qid")
             total = F.aggregate(F.map_values("votes"), F.lit(0).cast("bigint"), lambda a, v: a + v)
             share = F.array_max(F.map_values("votes"))
@@ -187,6 +186,12 @@ class TrainedModel:
         sizes = [scale.slots.size if (scale := self.scale_of(c)) else 1 for c in self.features]
         return dict(zip(self.features, [sum(sizes[:i]) for i in range(len(sizes))]))
 
+    def plain_places(self) -> list[int] | None:
+        """Places of the assembled vector that are no one-hot slots; None if it holds vectors of another kind or no slots."""
+        if not any(self.scale_of(c) for c in self.features):
+            return None
+        return [start for c, start in self.starts().items() if not self.scale_of(c)]
+
     @property
     def width(self) -> int:
         return sum(scale.slots.size if (scale := self.scale_of(c)) else 1 for c in self.features)
@@ -251,8 +256,9 @@ def fit_model(
     data = assemble(with_labels(prepared, target, classes), features, ["label"])
     if name == K.KNN:
         k = params.get("k", DEFAULTS[K.KNN]["k"])
-        model = fit_knn(data, vector_to_array("features"), F.col("label"), k)
-        return TrainedModel(name, target, classes, features, model, prep)
+        fitted = TrainedModel(name, target, classes, features, None, prep)
+        fitted.model = fit_vectors(data, "features", F.col("label"), fitted.plain_places(), k)
+        return fitted
     if name == K.TREE and params.get("maxDepth", 0) is None:
         settings = {k: v for k, v in {**DEFAULTS[name], **params}.items() if k != "maxDepth"}
         return TrainedModel(name, target, classes, features, fit_deep_tree(data, **settings), prep)
@@ -361,7 +367,7 @@ def train_evaluate(
 def importance(trained: TrainedModel) -> list[tuple[str, float]]:
     """(feature, importance) in feature order, every level of a one-hot feature by its name; empty where a model has none."""
     model = trained.model
-    if isinstance(model, (KnnModel, DeepTree)) or trained.projection:
+    if isinstance(model, (Neighbours, DeepTree)) or trained.projection:
         return []
     if isinstance(model, OneVsRestModel):
         rows = [m.coefficients.toArray() for m in model.models]

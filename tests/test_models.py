@@ -308,3 +308,35 @@ def test_sensitivity_names_unknown_features(people):
     trained = models.train_evaluate(people, "Purchased", K.TREE, FULL, ["id"]).model
     with pytest.raises(ValueError, match="no_such"):
         verify.sensitivity(people, trained, ["Income", "no_such"])
+
+
+@pytest.mark.parametrize("cells, points, queries", [(10_000, 20_000, 4_000), (2, 3, 9)])
+def test_one_hot_neighbours_stay_sparse(spark, monkeypatch, cells, points, queries):
+    """Two one-hot features and two numbers, levels seen and unseen; no array of all slots is made."""
+    monkeypatch.setattr(knn, "POINTS_PER_CELL", cells)
+    monkeypatch.setattr(knn, "BLOCK_POINTS", points)
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", queries)
+    rng = np.random.default_rng(5)
+    n = 260
+    rows = pd.DataFrame({"id": range(n), "a": rng.normal(size=n).round(1), "g": [f"g{i}" for i in rng.integers(0, 9, n)],
+                         "b": rng.integers(0, 3, n).astype(float), "h": [f"h{i}" for i in rng.integers(0, 40, n)], "t": rng.integers(0, 3, n)})
+    df = spark.createDataFrame(rows)
+    setup = models.prepare_experiment(df, "t", PrepConfig("Mean", "One-Hot Encoding", "StandardScaler", one_hot="vector"), ["id"])
+    fitted = models.fit_model(setup.train, K.KNN, "t", setup.classes, setup.features, setup.prep)
+    assert isinstance(fitted.model, knn.BoxModel) and len(fitted.model.plain) == 2
+    assert {len(r["x"]) for r in fitted.model.points.select("x").collect()} == {2}  # was one number for each of some 50 slots
+    train = np.array([(*r["features"].toArray(), r["label"]) for r in models.assemble(models.with_labels(setup.train, "t", setup.classes), setup.features, ["label"]).collect()])
+    _, test = sampling.split(df, ["id"])
+    ask = models.assemble(setup.prep.apply(test), setup.features, ["id"]).collect()
+    want = brute(train[:, :-1], train[:, -1], np.array([r["features"].toArray() for r in ask]), 5)
+    got = {r["id"]: r["prediction"] for r in fitted.score(setup.prep.apply(test), ["id"]).collect()}
+    setup.release()
+    assert [got[r["id"]] for r in ask] == want
+
+
+def test_only_the_least_labels_of_equal_points_are_kept(spark):
+    tdf = spark.range(0, 500).select(F.array(F.lit(1.0)).alias("x"), F.col("id").cast("double").alias("y"))
+    model = knn.fit_knn(tdf, F.col("x"), F.col("y"), 3)
+    assert sorted(r["label"] for r in model.points.collect()) == [0.0, 1.0, 2.0]
+    got = model.vote(spark.createDataFrame([(1, [7.0])], "qid long, x array<double>")).first()
+    assert got["prediction"] == 0.0 and got["votes"] == {0.0: 1, 1.0: 1, 2.0: 1}
