@@ -10,7 +10,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,10 +29,12 @@ class FourierMap:
         weights, offsets = self.weights, self.offsets
         size = math.sqrt(2.0 / len(offsets))
 
-        @F.pandas_udf("array<double>")
-        def project(x: pd.Series) -> pd.Series:
-            rows = np.stack([np.asarray(v, dtype=float) for v in x]) if len(x) else np.empty((0, len(weights)))
-            return pd.Series(list(size * np.cos(rows @ weights + offsets)))
+        @F.arrow_udf("array<double>")
+        def project(x: pa.Array) -> pa.Array:
+            # Whole batches as one block of numbers: no row becomes a Python object.
+            rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), len(weights))
+            made = size * np.cos(rows @ weights + offsets)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(offsets)), pa.array(made.ravel()))
 
         return df.withColumn("features", array_to_vector(project(vector_to_array("features"))))
 

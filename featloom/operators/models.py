@@ -267,12 +267,9 @@ def fit_model(
         raise ValueError(f"{name} has no kernel {kernel!r}")
     if kernel == "rbf":
         projection = fit_fourier_map(data)
-        data = projection.apply(data).persist()  # wide rows from Python: make them once
-    try:
-        # The estimators keep their own input blocks in memory or on disk while they iterate.
-        model = estimator(name, prepared.count(), len(classes), **params).fit(data)
-    finally:
-        data.unpersist()
+        data = projection.apply(data)  # made for the summary and again for the blocks: cheaper than storing wide rows beside the blocks
+    # The estimators keep their own input blocks in memory or on disk while they iterate.
+    model = estimator(name, prepared.count(), len(classes), **params).fit(data)
     return TrainedModel(name, target, classes, features, model, prep, projection)
 
 

@@ -340,3 +340,16 @@ def test_only_the_least_labels_of_equal_points_are_kept(spark):
     assert sorted(r["label"] for r in model.points.collect()) == [0.0, 1.0, 2.0]
     got = model.vote(spark.createDataFrame([(1, [7.0])], "qid long, x array<double>")).first()
     assert got["prediction"] == 0.0 and got["votes"] == {0.0: 1, 1.0: 1, 2.0: 1}
+
+
+def test_fourier_rows_are_not_stored_beside_the_blocks(people, monkeypatch):
+    kept, persist = [], type(people).persist
+    monkeypatch.setattr(type(people), "persist", lambda df, *a: kept.append(df.columns) or persist(df, *a))
+    df = people.select("id", "Purchased", F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    result = models.train_evaluate(df, "Purchased", K.SVM, FULL, ["id"], kernel="rbf")
+    assert kept and not any("features" in columns for columns in kept)
+    x = models.assemble(result.model.prep.apply(df), ["x", "y"], ["id"]).limit(50)
+    map_ = result.model.projection
+    for a, b in zip(sorted(x.collect()), sorted(map_.apply(x).collect())):
+        want = np.sqrt(2 / len(map_.offsets)) * np.cos(a["features"].toArray() @ map_.weights + map_.offsets)
+        assert np.allclose(b["features"].toArray(), want, atol=1e-12)
