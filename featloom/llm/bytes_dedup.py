@@ -10,7 +10,8 @@ passages never travel. A shard sorts its passages' suffixes by Larsson-Sadakane
 round sorts what is still tied by the ranks half-way), Kasai's recurrence gives the common
 prefixes of neighbours, and neighbours that share the full length are one string. One gram's
 passages that are too many for one suffix array make several shards; later ones look their
-strings up in the earlier ones' sorted strings by binary search and merge them in. Equal
+strings up in the earlier ones' by binary search on hashes, compare the bytes, and add what is
+new: of a string only its hash and place are kept beside the passages. Equal
 passages are told off in the task that finds them, so copies by the million travel once per task.
 
 Texts are UTF-8 bytes, null is empty; texts shorter than ``LEAST`` lose nothing. Rows that share
@@ -36,7 +37,9 @@ GRAM = 32
 REACH = LEAST - GRAM + 1  # grams inside one string
 PIECE = 1 << 20  # string starts handled at once
 PLACE_BITS = 21
-SHARD = 1 << 21  # bytes of passages in one suffix array
+SHARD = 1 << 20  # bytes of passages in one suffix array
+ROWS = 1 << 12  # passages of a batch sent on
+COMPARED = 1 << 16  # strings whose bytes are compared at once
 MAX_FILTER_BITS = 29  # 64 MB
 MAX_COPIES = 200_000  # texts with copies that tasks are told of
 LAST = (1 << 63) - 1
@@ -143,6 +146,43 @@ def common_prefixes(text: np.ndarray, rank: np.ndarray, before: np.ndarray, star
     return out
 
 
+def string_hashes(text: np.ndarray) -> np.ndarray:
+    """Hash of the LEAST bytes from each place on, from those of the grams that cover them."""
+    grams, n = gram_hashes(text), len(text) - LEAST + 1
+    out = grams[:n]
+    for at in (GRAM, 2 * GRAM, LEAST - GRAM):
+        out = (out ^ (out >> U(31))) * U(0xD6E8FEB86659FD93) + grams[at:at + n]
+    return out
+
+
+class Earlier:
+    """The different strings of a gram's shards so far: passages, and in order of hash where each string starts in them."""
+
+    def __init__(self):
+        self.text, self.hashes, self.starts = np.empty(0, np.uint8), np.empty(0, U), np.empty(0, np.int64)
+
+    def holds(self, text: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Which strings are among them; where hashes are equal, bytes are compared."""
+        if not len(self.hashes):
+            return np.zeros(len(starts), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        out = self.hashes[at] == hashes
+        found = np.flatnonzero(out)
+        view, own = (np.lib.stride_tricks.sliding_window_view(t, LEAST) for t in (text, self.text))
+        for i in range(0, len(found), COMPARED):
+            some = found[i:i + COMPARED]
+            out[some] = (view[starts[some]] == own[self.starts[at[some]]]).all(axis=1)
+        return out
+
+    def add(self, text: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> None:
+        by = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[by])
+        self.hashes = np.insert(self.hashes, at, hashes[by])
+        self.starts = np.insert(self.starts, at, starts[by] + len(self.text))
+        if len(starts):
+            self.text = np.concatenate([self.text, text])
+
+
 class Shards:
     """The passages of one task, in order of gram and place; yields removed ranges (id, mark, start, end)."""
 
@@ -150,12 +190,12 @@ class Shards:
         self.held: list[tuple] = []
         self.size = 0
         self.gram = None
-        self.earlier: np.ndarray | None = None  # sorted strings of this gram's shards so far
+        self.earlier: Earlier | None = None  # of this gram's shards so far
         self.out: list[tuple[int, int, int, int]] = []
 
     def add(self, gram: int, doc: int, mark: int, start: int, data: bytes) -> None:
         if gram != self.gram:
-            if self.size >= SHARD // 4 or self.earlier is not None:
+            if self.size >= SHARD // 2 or self.earlier is not None:
                 self.settle(False)
             self.gram = gram
         elif self.size >= SHARD:
@@ -200,18 +240,15 @@ class Shards:
         again[by[np.flatnonzero(np.concatenate([[True], group[by][1:] != group[by][:-1]]))]] = False
         if self.earlier is not None or goes_on:
             own = np.array([r[0] == self.gram for r in first])[passage[strings]]
-            view = np.lib.stride_tricks.sliding_window_view(text, LEAST)[strings]
-            keys = np.ascontiguousarray(view).view(f"S{LEAST}").ravel()
+            hashes = string_hashes(text)[strings]
             if self.earlier is not None:
-                at = np.minimum(np.searchsorted(self.earlier, keys), len(self.earlier) - 1)
-                again |= self.earlier[at] == keys
-            fresh = keys[own & ~again]
-            if not goes_on:
-                self.earlier = None
-            elif self.earlier is None:
-                self.earlier = np.sort(fresh)
+                again |= self.earlier.holds(text, strings, hashes)
+            if goes_on:
+                fresh = own & ~again
+                self.earlier = self.earlier or Earlier()
+                self.earlier.add(text, strings[fresh], hashes[fresh])
             else:
-                self.earlier = np.insert(self.earlier, np.searchsorted(self.earlier, np.sort(fresh)), np.sort(fresh))
+                self.earlier = None
         gone = np.zeros(len(text), bool)
         gone[strings[again]] = True
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (gone).astype(np.int8), [0]])))
@@ -340,9 +377,11 @@ def passages(texts: DataFrame, copies, array: np.ndarray, part: int, parts: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
             rows = known + [(g, *place, data, place[2] + len(data)) for (g, data), place in first.items()]
-            columns = list(zip(*rows))
+            columns = list(zip(*rows)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["gram", "id", "mark", "start", "data", "end"])
+            whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["gram", "id", "mark", "start", "data", "end"])
+            for at in range(0, whole.num_rows, ROWS):  # the JVM holds one batch a task beside its heap
+                yield whole.slice(at, ROWS)
 
         marks, first, known, size = shared.value, {}, [], 0
         for doc, mark, data, raw in _documents(batches, copies.value):
@@ -363,10 +402,9 @@ def passages(texts: DataFrame, copies, array: np.ndarray, part: int, parts: int,
                         first[key] = early
                         known.append((None, *late, None, late[2] + len(key[1])))
             if size > 1 << 24 or len(known) > 100_000:
-                yield out()
+                yield from out()
                 first, known, size = {}, [], 0
-        if first or known:
-            yield out()
+        yield from out()
 
     return texts.mapInArrow(run, "gram long, id long, mark long, start long, data binary, end long")
 

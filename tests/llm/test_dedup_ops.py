@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -140,6 +141,32 @@ def test_bytes_dedup_null_and_repeated_ids(docs_of):
     assert bytes_dedup.remove_repeats(docs_of([])).count() == 0
 
 
+def test_strings_of_one_gram_take_little_memory(monkeypatch):
+    monkeypatch.setattr(bytes_dedup, "SHARD", 1 << 16)
+    rng = np.random.default_rng(5)
+    gram = bytes(range(65, 97))
+    passages = [rng.integers(97, 123, 68).astype(np.uint8).tobytes() + gram + rng.integers(97, 123, 68).astype(np.uint8).tobytes() for _ in range(3_000)]
+    shards = bytes_dedup.Shards()
+    tracemalloc.start()
+    for i, data in enumerate([*passages, passages[7][:120], b"?" + passages[7]]):
+        shards.add(1, i, 0, 0, data)
+    shards.settle(False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert shards.out == [(3_000, 0, 0, 120), (3_001, 0, 1, 169)]
+    assert peak < 80 * 3_000 * bytes_dedup.REACH  # with 100 bytes a string, and copies of them, far more
+
+
+def test_strings_of_one_gram_may_end_in_zero_bytes(monkeypatch):
+    monkeypatch.setattr(bytes_dedup, "SHARD", 1 << 8)
+    head = bytes(range(1, 100))
+    shards = bytes_dedup.Shards()
+    for i, data in enumerate([head + b"a" * 200, head + b"\0", head[:-1] + b"\0\0", head + b"\0"]):
+        shards.add(1, i, 0, 0, data)
+    shards.settle(False)
+    assert [x for x in shards.out if x[0]] == [(3, 0, 0, 100)]
+
+
 def test_suffix_ranks_and_common_prefixes():
     rng = np.random.default_rng(2)
     text = rng.integers(97, 99, 400).astype(np.uint8)
