@@ -258,3 +258,39 @@ def test_jaccard_sets_travel_without_checkpoints(docs_of, monkeypatch):
 def test_jaccard_hashes_are_drawn_back():
     tokens = np.random.default_rng(3).integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2)
     assert (jaccard.drawn_back(jaccard.spread_out(tokens)) == tokens).all()
+
+
+def test_jaccard_differences_lose_no_link():
+    draw = np.random.default_rng(7)
+    for _ in range(3000):
+        leader = np.unique(draw.integers(0, 1 << 62, draw.integers(4, 60), dtype=np.uint64))
+        pool = draw.integers(0, 1 << 62, 8, dtype=np.uint64)
+        sets = []
+        for _ in range(2):
+            kept = leader[draw.random(len(leader)) > draw.random() * 0.4]
+            sets.append(np.unique(np.concatenate([kept, pool[draw.random(8) > 0.5], draw.integers(0, 1 << 62, draw.integers(0, 4), dtype=np.uint64)])))
+        near = lambda x, y: 4 * len(np.intersect1d(x, y)) >= 3 * len(np.union1d(x, y))
+        if len(np.union1d(*sets)) and near(*sets):
+            (a, early_a), (b, early_b) = (jaccard.differences(leader, s, np.isin(s, leader)) for s in sets)
+            if not near(leader, sets[1]):
+                assert np.isin(a[:early_a], b).any()
+            if not near(leader, sets[0]):
+                assert np.isin(b[:early_b], a).any()
+
+
+def test_jaccard_family_of_copies_far_from_each_other(docs_of, monkeypatch):
+    """Copies of one text, each altered too much to be near it or another one: their pairs aren't listed."""
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 121):
+        words = list(base)
+        for k, j in enumerate(draw.sample(range(0, 400, 5), 20 if i % 2 else 10)):
+            words[j] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000, rows[1][1] + " more"), (1001, rows[3][1].replace("w7 ", "v7 "))]  # near a far copy only
+    pairs, verify = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda texts, made, asked: pairs.append(asked.count()) or verify(texts, made, asked))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs_of(rows)).collect()}
+    assert got == {i: 0 if i % 2 == 0 else i for i in range(121)} | {1000: 1, 1001: 3}
+    assert sum(pairs) < 1000  # of 7,503
