@@ -29,8 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from featloom.session import small_batches
+
 PIECE = 1 << 20  # bytes of a text handled at once
-CACHE = 300_000  # fragments kept, and as many older ones
+CACHE = 150_000  # fragments kept, and as many older ones; some 130 bytes each
 #: The pattern that splits texts before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -197,6 +199,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
     names = [f"c{i}" for i in range(len(carried))]
     frame = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(n) for c, n in zip(carried, names)])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary.parts())
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, pattern)
@@ -216,6 +219,7 @@ def decode(ids: Column, vocabulary: Vocabulary, spark) -> Column:
     """The text of an id array; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
     width = max(vocabulary.tokens, default=-1) + 1
     shared = spark.sparkContext.broadcast([vocabulary.tokens.get(i, b"") for i in range(width + 1)])  # the last one stands for unknown ids
+    small_batches(spark)
 
     @arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -406,3 +407,12 @@ def test_decontaminate_drops_and_cuts(spark, docs_of):
     assert decontaminate.decontaminate(docs_of([]), bench).count() == 0
 
 
+
+
+def test_batches_of_the_encoder_are_bounded_by_bytes(spark, docs_of, vocabulary):
+    rows = [(i, f"{i} " + "word " * 200_000) for i in range(12)]  # 12 MB
+    docs = docs_of(rows, clash=False).coalesce(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    bpe.encode(docs, vocabulary)
+    sizes = docs.mapInArrow(lambda batches: (pa.record_batch({"n": pa.array([b.nbytes])}) for b in batches), "n long").collect()
+    assert max(r.n for r in sizes) < 6 << 20 and len(sizes) >= 3
