@@ -294,3 +294,42 @@ def test_jaccard_family_of_copies_far_from_each_other(docs_of, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs_of(rows)).collect()}
     assert got == {i: 0 if i % 2 == 0 else i for i in range(121)} | {1000: 1, 1001: 3}
     assert sum(pairs) < 1000  # of 7,503
+
+
+def test_jaccard_copies_with_few_own_words(docs_of, monkeypatch):
+    """Copies that differ from their leader and each other in words of a small pool, at common places: their pairs were listed."""
+    draw = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for j in draw.sample(range(150), draw.choice([2, 4, 6, 9])):
+            words[j] = f"x{draw.randrange(6)}"
+        rows.append((i, " ".join(words)))
+    pairs, verify = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda texts, made, asked: pairs.append(asked.count()) or verify(texts, made, asked))
+    monkeypatch.setattr(jaccard, "LOT", 32)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs_of(rows)).collect())
+    assert got == brute_classes(rows)
+    assert sum(pairs) < 1500  # of 11,175
+
+
+def test_near_pairs_connect_what_all_pairs_do(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    draw = np.random.default_rng(8)
+    for _ in range(40):
+        common = np.unique(draw.integers(0, 1 << 62, 40, dtype=np.uint64))
+        pool = np.unique(draw.integers(0, 1 << 62, 30, dtype=np.uint64))
+        sets = [np.sort(np.concatenate([common[draw.random(len(common)) > 0.2], pool[draw.random(len(pool)) > 0.8]])) for _ in range(30)]
+        rows = [(bytes([i]), i // 2, len(s), np.setxor1d(s, common)) for i, s in enumerate(sets)]
+        near = {(i, j) for i in range(12) for j in range(30) if 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j]))}
+        found = [(a[0], b[0]) for batch in jaccard.near_pairs(rows, rows[:12]) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
+        assert set(found) <= near and len(found) < 15
+
+        def classes(links):
+            label = [i // 2 for i in range(30)]
+            for i, j in links:
+                label = [label[i] if v == label[j] else v for v in label]
+            return [label.index(v) for v in label]
+
+        assert classes(found) == classes(near)
