@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from featloom.llm.common import give_back
 from featloom.session import small_batches
 
 PIECE = 1 << 20  # bytes of a text handled at once
@@ -202,6 +203,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder = Encoder(shared.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -223,6 +225,7 @@ def decode(ids: Column, vocabulary: Vocabulary, spark) -> Column:
 
     @arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
+        give_back()
         tokens, out = pa.array(shared.value, pa.binary()), []
         for at in range(0, len(column), 256):
             rows = column.slice(at, 256)

@@ -5,9 +5,12 @@ import pickle
 import random
 import re
 import string
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -416,3 +419,14 @@ def test_batches_of_the_encoder_are_bounded_by_bytes(spark, docs_of, vocabulary)
     bpe.encode(docs, vocabulary)
     sizes = docs.mapInArrow(lambda batches: (pa.record_batch({"n": pa.array([b.nbytes])}) for b in batches), "n long").collect()
     assert max(r.n for r in sizes) < 6 << 20 and len(sizes) >= 3
+
+
+def test_freed_memory_goes_back():
+    """A worker kept what small blocks of earlier tasks had taken for as long as one later block was in use."""
+    code = (
+        "from featloom.llm.common import give_back\n"
+        "resident = lambda: int(open('/proc/self/statm').read().split()[1]) * 4096\n"
+        "blocks = [bytes(2000) for _ in range(100_000)]; last = blocks[-1]; del blocks\n"
+        "before = resident(); give_back(); print(before - resident())")
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(run.stdout) > 100_000_000
